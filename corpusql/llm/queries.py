@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from corpusql.llm.line_dedup import SQL as LINE_DEDUP_SQL
+
 #: The vocabulary of the token operators; another file can be named without a code change.
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -25,6 +27,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusql.llm.secrets import base_of, joined, scan
+
+    found = scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(joined(base_of(F.col("found"))), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusql.llm.token_files import token_table
 
@@ -56,12 +65,21 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusql.llm.line_dedup import line_dedup
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op3_token_files": op3_token_files,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_decontamination": op7_decontamination,
     "op8_near_duplicates": op8_near_duplicates,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_line_dedup": LINE_DEDUP_SQL}
