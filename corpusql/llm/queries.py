@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusql.llm.line_dedup import SQL as LINE_DEDUP_SQL
+from corpusql.llm.warc import SQL as WARC_SQL
 
 #: The vocabulary of the token operators; another file can be named without a code change.
 VOCABULARY = "word_bpe_49k.json"
@@ -34,6 +35,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(joined(base_of(F.col("found"))), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusql.llm.html import extract_pages
+
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusql.llm.token_files import token_table
 
@@ -65,6 +72,13 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusql.llm.warc import archive_table
+
+    out = archive_table(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusql.llm.line_dedup import line_dedup
 
@@ -74,12 +88,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_html_extraction": op2_html_extraction,
     "op3_token_files": op3_token_files,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_decontamination": op7_decontamination,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_warc": op9_warc,
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {"op10_line_dedup": LINE_DEDUP_SQL}
+ORACLES: dict[str, str] = {"op9_warc": WARC_SQL, "op10_line_dedup": LINE_DEDUP_SQL}
