@@ -131,7 +131,7 @@ def put(path: str, content: bytes) -> None:
     fs, at = filesystem(path)
     fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
     part = f"{at}.{uuid.uuid4().hex}.tmp"
-    with fs.open_output_stream(part) as f:
+    with fs.open_output_stream(part, compression=None) as f:
         f.write(content)
     fs.move(part, at)
 

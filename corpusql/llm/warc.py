@@ -174,7 +174,7 @@ def read_archives(files: DataFrame, path: str, *, with_payload: bool = False) ->
                 fs, at = filesystem(f"{path}/{name}")
                 rows: list[tuple] = []
                 size = 0
-                with fs.open_input_stream(at) as f:
+                with fs.open_input_stream(at, compression=None) as f:
                     for head, block in parse(f):
                         cut = block.index(b"\r\n\r\n") + 4
                         n = int(re.search(rb"(?i)content-length: (\d+)", block[:cut])[1])
