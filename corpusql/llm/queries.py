@@ -47,6 +47,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(_table(spark, sf_dir, "documents"), vocabulary(), end=END_ID)
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusql.llm.lm_score import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusql.llm.packing import pack_documents
 
@@ -90,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_html_extraction": op2_html_extraction,
     "op3_token_files": op3_token_files,
+    "op4_lm_score": op4_lm_score,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_decontamination": op7_decontamination,
