@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusql.llm.common import materialise
 from corpusql.llm.decontaminate import decontaminate
+from corpusql.llm.line_dedup import line_dedup
 from corpusql.llm.near_dedup import near_duplicates
 from corpusql.llm.packing import pack_documents
 from corpusql.llm.quality import quality_rules
@@ -23,6 +24,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules(docs, keep=list(COLUMNS)).where("kept").select(*COLUMNS)
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later occurrences of repeated runs of three lines go; a document left without text goes too."""
+    out = line_dedup(docs.select(*COLUMNS)).where("n_removed = 0 or length(trim(text)) > 0")
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays; so do rows without an id."""
     verdict = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
@@ -40,7 +47,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, vocabulary(), end=END_ID)
 
 
-STAGES = [("quality rules", quality), ("near-duplicates", near), ("decontamination", decontaminated), ("packing", packed)]
+STAGES = [("quality rules", quality), ("line dedup", lines), ("near-duplicates", near), ("decontamination", decontaminated), ("packing", packed)]
 
 #: Hashed shingles, first-fit packing and the vocabulary have no SQL form; tests hold it against brute force.
 ORACLE_SQL = None
