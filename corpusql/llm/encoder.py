@@ -48,7 +48,7 @@ class Encoder:
     speed and not results.
     """
 
-    def __init__(self, path: str, end: int | None = None, remembered: int = 1_300_000):
+    def __init__(self, path: str, end: int | None = None, remembered: int = 1_500_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
@@ -68,38 +68,44 @@ class Encoder:
             self._forget()
 
     def _forget(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.at, self.length = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+        # Sorted hashes with the place of each word's ids; 20 bytes a word beside the ids.
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.pool, self.used, self.n = np.zeros(1 << 18, np.uint32), 0, 0
+        self.at, self.length = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
 
     def _library(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _keep(self, hashes: list[int], ids: np.ndarray, lengths: np.ndarray) -> None:
-        n, m = len(self.slot), len(ids)
+    def _keep(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Places of new words whose ids these are, one word after the other."""
+        n, m, k = self.n, len(ids), len(lengths)
         while self.used + m > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while n + len(hashes) > len(self.at):
+        while n + k > len(self.at):
             self.at, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.length))
         self.pool[self.used : self.used + m] = ids
-        self.length[n : n + len(hashes)] = lengths
-        self.at[n : n + len(hashes)] = self.used + np.cumsum(lengths) - lengths
-        self.slot.update(zip(hashes, range(n, n + len(hashes))))
+        self.length[n : n + k] = lengths
+        self.at[n : n + k] = self.used + np.cumsum(lengths) - lengths
         self.used += m
-
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
-        plain = [(h, p) for h, w in zip(hashes, words) if "".join(p := _PIECES(w)) == w]
-        for i in range(0, len(plain), 4096):
-            part = plain[i : i + 4096]
+        self.n += k
+        return np.arange(n, n + k, dtype=np.int32)
+
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """Encodes new words; their places."""
+        places = np.full(len(words), -1, np.int32)
+        plain = [(i, p) for i, w in enumerate(words) if "".join(p := _PIECES(w)) == w]
+        for lo in range(0, len(plain), 4096):
+            part = plain[lo : lo + 4096]
             pieces = np.array([len(p) for _, p in part])
             ids = np.array(self.plain.encode(" ".join([x for _, p in part for x in p]).lower(), add_special_tokens=False).ids, np.uint32)
             cuts = np.flatnonzero(self.is_end[ids]) + 1
             if len(cuts) == pieces.sum():
-                self._keep([h for h, _ in part], ids, np.diff(cuts[np.cumsum(pieces) - 1], prepend=0))
-        rest = [(h, w) for h, w in zip(hashes, words) if h not in self.slot]
-        if rest:
-            each = [self._library(w) for _, w in rest]
-            self._keep([h for h, _ in rest], np.concatenate(each), np.array([len(x) for x in each]))
+                places[[i for i, _ in part]] = self._keep(ids, np.diff(cuts[np.cumsum(pieces) - 1], prepend=0))
+        rest = np.flatnonzero(places < 0)
+        if len(rest):
+            each = [self._library(words[i]) for i in rest.tolist()]
+            places[rest] = self._keep(np.concatenate(each), np.array([len(x) for x in each]))
+        return places
 
     def _words(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts, ends and hashes of the words, split-off stops included."""
@@ -122,19 +128,23 @@ class Encoder:
         return own, ends, mix((run[ends] - run[own]) * down[own])
 
     def _block(self, block: Block) -> list[np.ndarray]:
-        if len(self.slot) > self.remembered:
+        if self.n > self.remembered:
             self._forget()
         start, end, hashes = self._words(block)
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        slots = np.array([self.slot.get(k, -1) for k in keys], np.int64)
-        if len(new := np.flatnonzero(slots < 0)):
+        near = np.searchsorted(self.keys, distinct)
+        known = np.zeros(len(distinct), bool)
+        if len(self.keys):
+            known = self.keys[np.minimum(near, len(self.keys) - 1)] == distinct
+        slots = np.zeros(len(distinct), np.int32)
+        slots[known] = self.slots[near[known]]
+        if len(new := np.flatnonzero(~known)):
             raw = block.data.tobytes()
-            s, e = start[first[new]].tolist(), end[first[new]].tolist()
-            self._learn([keys[i] for i in new], [raw[a:b].decode() for a, b in zip(s, e)])
-            slots[new] = [self.slot[keys[i]] for i in new]
+            slots[new] = self._learn([raw[a:b].decode() for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())])
+            self.keys = np.insert(self.keys, near[new], distinct[new])
+            self.slots = np.insert(self.slots, near[new], slots[new])
         length = self.length[slots][inverse]
-        run = np.cumsum(length)
+        run = np.cumsum(length, dtype=np.int64)
         total = int(run[-1]) if len(run) else 0
         ids = self.pool[np.repeat(self.at[slots][inverse] - run + length, length) + np.arange(total)]
         cuts = np.concatenate([[0], run])[np.searchsorted(start, block.offsets)]
@@ -153,7 +163,7 @@ class Encoder:
         if isinstance(column, list):
             column = pa.array(column, pa.string())
         if self.fast:
-            return [x for b in blocks(column, 2 << 20) for x in self._block(b)]
+            return [x for b in blocks(column) for x in self._block(b)]
         return [np.concatenate([self._library(t) if t else self.end[:0], self.end]) for t in column.to_pylist()]
 
 
