@@ -146,7 +146,7 @@ def _packed_sql(pieces: str, joiner: str) -> str:
     UNION ALL SELECT doc_id, CAST(chunk AS INTEGER), held FROM f WHERE i = len(p)"""
 
 
-@query(_packed_sql("list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')", "\n\n"))
+@query(_packed_sql("list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')", "\n\n"))
 def chunk_paragraph(spark, base):
     return chunking.chunks(_docs(spark, base), "paragraph", separator="\n")
 

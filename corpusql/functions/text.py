@@ -138,9 +138,14 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+# What windows-1252 has where ISO 8859-1 has control characters.
+_LATIN = [(bytes([b]).decode("latin-1"), bytes([b]).decode("cp1252", "replace")) for b in range(0x80, 0xA0)]
+
+
 def decode(content: Column) -> Column:
     """Bytes as UTF-8 if they are, else as windows-1252."""
-    return F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).otherwise(F.decode(content, "windows-1252"))
+    latin = F.translate(F.decode(content, "ISO-8859-1"), "".join(a for a, _ in _LATIN), "".join(b for _, b in _LATIN))
+    return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(latin)
 
 
 def likely_text(text: Column) -> Column:

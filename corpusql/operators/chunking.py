@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def fixed(text: Column, size: int = 1000, overlap: int = 200) -> Column:
     """Pieces of ``size`` characters that start every ``size - overlap``."""
     if not 0 <= overlap < size:
@@ -30,7 +34,7 @@ def packed(pieces: Column, size: int, joiner: str) -> Column:
 
 def paragraphs(text: Column, size: int = 1000, separator: str = "\n\n") -> Column:
     """Paragraphs packed up to ``size``, blank lines between them."""
-    pieces = F.filter(F.transform(F.split(text, separator), lambda p: F.trim(p)), lambda p: p != "")
+    pieces = F.filter(F.transform(F.split(text, separator), strip), lambda p: p != "")
     out = packed(pieces, size, "\n\n")
     return F.when(F.size(out) > 0, out).otherwise(fixed(text, size, size // 5))
 
@@ -50,7 +54,7 @@ def semantic(text: Column, size: int = 1000, keep_tail: bool = True) -> Column:
     heading = r"(?m)^(?:#{1,6} .*|\d+\. .*|[A-Z][A-Z ]+:.*)$"
     marked = F.split(F.regexp_replace(text, heading, "$0\u0000"), "\u0000")
     kept = marked if keep_tail else F.slice(marked, 1, F.size(marked) - 1)
-    parts = F.filter(F.transform(kept, lambda p: F.trim(p)), lambda p: p != "")
+    parts = F.filter(F.transform(kept, strip), lambda p: p != "")
     return F.when(text.rlike(heading), parts).otherwise(paragraphs(text, size))
 
 

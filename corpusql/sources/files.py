@@ -9,6 +9,7 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType
 
 from corpusql.functions import text as T
 
@@ -27,7 +28,6 @@ def docx_text(content: bytes) -> str:
     return "\n".join("".join(t.text or "" for t in p.iter(f"{_WORD}t")) for p in root.iter(f"{_WORD}p"))
 
 
-@F.pandas_udf("string")
 def _docx(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.map(lambda b: None if b is None else docx_text(bytes(b)))
@@ -48,7 +48,7 @@ def read_files(spark: SparkSession, path: str, most_bytes: int = 50 << 20, pdf:
         .when(ext.isin("md", "markdown"), T.markdown_text(plain))
         .when(ext.isin("html", "htm"), T.html_text(plain))
         .when(ext == "rtf", T.rtf_text(plain))
-        .when(ext == "docx", _docx(F.when(ext == "docx", F.col("content"))))
+        .when(ext == "docx", F.pandas_udf(_docx, StringType())(F.when(ext == "docx", F.col("content"))))
         .when(ext == "pdf", pdf if pdf is not None else F.lit(None).cast("string"))
         .when(T.likely_text(plain), plain)
     )
