@@ -53,20 +53,13 @@ def _repeated(doc: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _lines(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and texts of all lines, and which equal an earlier line of their text."""
     newline = np.flatnonzero(block.data == 10)
-    start = np.sort(np.concatenate([block.offsets[:-1], newline + 1]))
-    doc = np.searchsorted(block.offsets, start, "right") - 1
-    # An empty text starts where the next one does; a newline at a text's end opens an empty line.
-    tail = np.flatnonzero(np.isin(newline + 1, block.offsets))
-    keep = np.ones(len(start), bool)
-    if len(tail):
-        at = np.searchsorted(start, newline[tail] + 1, "left")
-        keep[at] = False
-    start, doc = start[keep], doc[keep]
-    end = np.concatenate([start[1:] - 1, [len(block.data)]]) if len(start) else start
-    end = np.where(np.concatenate([doc[1:] != doc[:-1], [True]]), block.offsets[doc + 1], end) if len(start) else end
-    end = np.maximum(end, start)
-    trailing = (end > start) & (block.data[np.maximum(end - 1, 0)] == 10) if len(block.data) else np.zeros(len(start), bool)
-    end = end - trailing
+    start = np.concatenate([block.offsets[:-1], newline + 1])
+    doc = np.concatenate([np.arange(block.n), np.searchsorted(block.offsets, newline, "right") - 1])
+    order = np.lexsort((start, doc))
+    start, doc = start[order], doc[order]
+    end = block.offsets[doc + 1].copy()
+    inner = np.flatnonzero(doc[1:] == doc[:-1])
+    end[inner] = start[inner + 1] - 1
     run, down = block.prefix_hash(block.data)
     key = mix(mix((run[end] - run[start]) * down[start]) ^ ((end - start).astype(np.uint64) << np.uint64(32)) ^ mix(doc.astype(np.uint64)))
     _, first, inverse = np.unique(key, return_index=True, return_inverse=True)

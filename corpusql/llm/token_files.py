@@ -56,7 +56,7 @@ def pack(doc_ids: list[int | None], tokens: list[np.ndarray], *, id_bytes: int =
     held, size = [], 0
     for t in tokens:
         raw = t.astype(kind).tobytes()
-        if held and size + len(raw) > frame_bytes:
+        if size and size + len(raw) > frame_bytes:
             close(held)
             held, size = [], 0
         held.append(raw)

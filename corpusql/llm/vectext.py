@@ -52,18 +52,19 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def table(separators: bytes = b" \t\n\v\f\r", lower: bool = False, word: bytes | None = None) -> np.ndarray:
-    """For each byte 0 if it separates words, else the byte as it counts in a word.
+    """For each byte 0 if it separates words, else the byte as it counts in a word (254, never in UTF-8, for a zero byte).
 
     ``word``: the ASCII bytes that belong to words (after lower-casing); bytes from 0x80 on
     always do.  Without it, all but ``separators`` do.
     """
     out = np.arange(256, dtype=np.uint8)
+    out[0] = 254
     if lower:
         out[65:91] += 32
     if word is not None:
         keep = np.zeros(256, bool)
         keep[list(word)] = True
-        keep[128:] = True
+        keep[128:254] = True
         out[~keep[out]] = 0
     else:
         out[list(separators)] = 0
