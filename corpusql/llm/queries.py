@@ -7,7 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from corpusql.llm.decontaminate import SQL as DECONTAMINATE_SQL
 from corpusql.llm.line_dedup import SQL as LINE_DEDUP_SQL
+from corpusql.llm.near_dedup import SQL as NEAR_SQL
 from corpusql.llm.warc import SQL as WARC_SQL
 
 #: The vocabulary of the token operators; another file can be named without a code change.
@@ -105,4 +107,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {"op9_warc": WARC_SQL, "op10_line_dedup": LINE_DEDUP_SQL}
+ORACLES: dict[str, str] = {"op7_decontamination": DECONTAMINATE_SQL, "op8_near_duplicates": NEAR_SQL, "op9_warc": WARC_SQL, "op10_line_dedup": LINE_DEDUP_SQL}
