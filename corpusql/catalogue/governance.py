@@ -203,7 +203,14 @@ def erasure(spark, base):
     return g.erase(e, e.where("event_type = 'signup' AND value > 300")).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
+    s AS (SELECT user_id, i, t AS st, 1 AS c, 1 AS allowed, 0 AS rejected, 1 AS windows FROM e WHERE i = 1
+    UNION ALL SELECT e.user_id, e.i, CASE WHEN e.t - st >= 86400000000 THEN e.t ELSE st END, CASE WHEN e.t - st >= 86400000000 THEN 1 WHEN c < 5 THEN c + 1 ELSE c END,
+      allowed + CASE WHEN e.t - st >= 86400000000 OR c < 5 THEN 1 ELSE 0 END, rejected + CASE WHEN e.t - st >= 86400000000 OR c < 5 THEN 0 ELSE 1 END, windows + CASE WHEN e.t - st >= 86400000000 THEN 1 ELSE 0 END
+      FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1)
+    SELECT user_id, i AS n, CAST(allowed AS BIGINT) AS allowed, CAST(rejected AS BIGINT) AS rejected, CAST(windows AS BIGINT) AS windows FROM s WHERE i = (SELECT max(i) FROM e WHERE e.user_id = s.user_id)"""
+)
 def rate_limit_fixed_window(spark, base):
     return g.fixed_window(_events(spark, base), limit=5, seconds=86_400)
 

@@ -151,7 +151,7 @@ def chunk_paragraph(spark, base):
     return chunking.chunks(_docs(spark, base), "paragraph", separator="\n")
 
 
-@query()
+@query(_packed_sql(r"list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')", " "))
 def chunk_sentence(spark, base):
     return chunking.chunks(_docs(spark, base), "sentence")
 
