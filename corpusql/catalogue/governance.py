@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -264,7 +265,8 @@ def upsert_by_key(spark, base):
 @query()
 def stream_tumbling_windows(spark, base):
     """The stream of the events file, in windows, brought to its end and read back."""
-    out = tempfile.mkdtemp(prefix="stream-")
+    # The shared folder that the session names; a local one only where it names none.
+    out = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/stream-{uuid.uuid4().hex}"
     q = st.tumbling(st.read_events(spark, f"{base}/[e]vents.parquet"), late="0 seconds").writeStream.outputMode("complete").format("memory").queryName("stream_tumbling").option("checkpointLocation", out).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table("stream_tumbling")
