@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusql.functions import lexicon
+from corpusql.functions import crypto
 from corpusql.functions import query_text as Q
 from corpusql.functions import text as T
 from corpusql.functions import validation as V
@@ -247,7 +248,7 @@ def query_expansion(spark, base):
     return _turns(spark, base).select(
         "conv_id",
         "turn",
-        Q.without_negations(Q.acronyms(Q.spelled(x))).alias("refined"),
+        Q.refined(x).alias("refined"),
         Q.negations(x).alias("negations"),
         Q.synonyms(x).alias("synonyms"),
         Q.semantic_terms(x).alias("semantic"),
@@ -258,3 +259,31 @@ def query_expansion(spark, base):
         Q.enhanced(x, Q.classify(x)).alias("enhanced"),
         Q.entities(x).alias("entities"),
     )
+
+
+_KEYS = {1: b"0123456789abcdef", 2: b"fedcba9876543210"}
+
+
+@query("SELECT doc_id, sha256(text) AS hash, 1 + doc_id % 2 AS key_version, true AS same FROM documents")
+def field_encryption(spark, base):
+    """Texts encrypted under one of two keys and read back."""
+    d = _docs(spark, base).withColumn("e", F.when(F.col("doc_id") % 2 == 0, crypto.encrypt(F.col("text"), _KEYS, 1)).otherwise(crypto.encrypt(F.col("text"), _KEYS, 2)))
+    back = crypto.decrypt(F.col("e"), _KEYS)
+    return d.select("doc_id", crypto.content_hash(back).alias("hash"), F.col("e.key_version").cast("long").alias("key_version"), (back == F.col("text")).alias("same"))
+
+
+@query()
+def query_tuning(spark, base):
+    """Final query, options, confidence and recommendations of each user turn."""
+    r = _turns(spark, base).withColumn("f", Q.facts(F.col("text"))).withColumn("c", Q.confidences(F.col("f")))
+    f, c = F.col("f"), F.col("c")
+    return r.select("conv_id", "turn", Q.final_query(f, c).alias("final_query"), Q.tuned_options(f, c).alias("options"), F.round("c.overall", 6).alias("confidence"), Q.recommendations(f, c).alias("recommendations"))
+
+
+@query("SELECT doc_id, coalesce(CASE WHEN doc_id % 2 = 0 THEN lang END, 'unset') AS language, source, CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 2 END AS n FROM documents")
+def metadata_merge(spark, base):
+    """The primary's values where it has them, the secondary's otherwise."""
+    primary = F.when(F.col("doc_id") % 2 == 0, F.create_map(F.lit("language"), F.col("lang"), F.lit("kind"), F.lit("text")))
+    secondary = F.create_map(F.lit("language"), F.lit("unset"), F.lit("source"), F.col("source"))
+    m = crypto.merged(primary, secondary)
+    return _docs(spark, base).select("doc_id", F.element_at(m, "language").alias("language"), F.element_at(m, "source").alias("source"), F.size(m).alias("n"))

@@ -165,10 +165,13 @@ def _handled(by: str):
 
 def without_negations(text: Column) -> Column:
     """Negated errors and problems put the other way, all else kept; single spaces."""
-    found = negations(text)
-    for wrong, right in (("error", "success"), ("problem", "solution")):
-        text = F.when(F.exists(found, _handled(right)), F.replace(text, F.lit(wrong), F.lit(right))).otherwise(text)
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    def put(found: Column) -> Column:
+        out = text
+        for wrong, right in (("error", "success"), ("problem", "solution")):
+            out = F.replace(out, F.lit(wrong), F.when(F.exists(found, _handled(right)), right).otherwise(wrong))
+        return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+    return once(negations(text), put)
 
 
 def alternatives(text: Column) -> Column:
@@ -198,7 +201,7 @@ def expansion_confidence(text: Column, most: int = 10) -> Column:
 
 def complexity_score(text: Column) -> Column:
     kind = classify(text)
-    return 0.1 * F.size(tokens(text)) + F.when(kind == "Technical", 0.3).otherwise(0.0) + 0.2 * F.size(negations(text)) + 0.1 * F.size(alternatives(text))
+    return F.least(F.lit(1.0), 0.1 * F.size(tokens(text)) + F.when(kind == "Technical", 0.3).otherwise(0.0) + 0.2 * F.size(negations(text)) + 0.1 * F.size(alternatives(text)))
 
 
 def enhanced(text: Column, kind: Column) -> Column:
@@ -210,3 +213,65 @@ def enhanced(text: Column, kind: Column) -> Column:
         .when((kind == "Question") & low.contains("how to"), F.concat(text, F.lit(" tutorial guide instructions steps")))
         .otherwise(text)
     )
+
+
+def once(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def refined(text: Column) -> Column:
+    """Spelling, acronyms and negations put right."""
+    return once(acronyms(spelled(text)), without_negations)
+
+
+def facts(text: Column) -> Column:
+    """What the functions below need of a query, as a struct to compute once (as a column of its own)."""
+    return F.struct(
+        text.alias("text"),
+        classify(text).alias("kind"),
+        F.size(tokens(text)).alias("tokens"),
+        synonyms(text).alias("synonyms"),
+        semantic_terms(text).alias("semantic"),
+        F.size(negations(text)).alias("negations"),
+        F.size(alternatives(text)).alias("alternatives"),
+        refined(text).alias("refined"),
+    )
+
+
+def confidences(f: Column, most: int = 10) -> Column:
+    """Struct of the expansion's confidence and of the whole's, for ``facts``."""
+    n = F.size(f["synonyms"]) + F.size(f["semantic"])
+    e = F.least(F.lit(1.0), 0.5 + 0.2 * n / most + F.when(f["negations"] > 0, 0.1).otherwise(0.0) + F.when(f["alternatives"] > 0, 0.1).otherwise(0.0))
+    return F.struct(e.alias("expansion"), (0.6 * class_confidence(f["text"], f["kind"]) + 0.4 * e).alias("overall"))
+
+
+def final_query(f: Column, c: Column) -> Column:
+    """The expanded query where expansion is sure, the refined one where it is half sure, else the enhanced one."""
+    expanded = F.trim(F.concat_ws(" ", f["refined"], F.array_join(F.concat(f["synonyms"], f["semantic"]), " ")))
+    return F.when(c["expansion"] > 0.6, expanded).when(c["expansion"] > 0.4, f["refined"]).otherwise(enhanced(f["text"], f["kind"]))
+
+
+def tuned_options(f: Column, c: Column) -> Column:
+    """Threshold, chunks and citations for a query: by its type, then its expansion, then the confidence in it."""
+    technical, whole = f["kind"] == "Technical", c["overall"]
+    threshold, chunks = F.when(technical, 0.8).otherwise(0.7), F.when(technical, 5).otherwise(10)
+    grow = F.least(F.lit(0.3), 0.1 * F.size(f["synonyms"])) + F.least(F.lit(0.2), 0.05 * F.size(f["semantic"]))
+    chunks = F.when(grow > 0, F.least(F.lit(20), F.floor(chunks * (1 + grow)).cast("int"))).otherwise(chunks)
+    threshold = F.when(f["negations"] > 0, F.least(F.lit(0.9), threshold + 0.1)).otherwise(threshold)
+    threshold = F.when(c["expansion"] < 0.5, F.least(F.lit(0.85), threshold + 0.05)).otherwise(threshold)
+    threshold = F.when(whole < 0.5, F.greatest(F.lit(0.5), threshold - 0.1)).when(whole > 0.8, F.least(F.lit(0.9), threshold + 0.05)).otherwise(threshold)
+    chunks = F.when(whole < 0.5, F.least(F.lit(20), chunks + 3)).otherwise(chunks)
+    return F.struct(F.round(threshold, 6).alias("threshold"), chunks.alias("chunks"), (f["kind"] == "Question").alias("citations"))
+
+
+def recommendations(f: Column, c: Column) -> Column:
+    """What would make a query better; never empty."""
+    found = some(
+        F.when(c["overall"] < 0.5, "rephrase"),
+        F.when(f["tokens"] < 3, "add terms"),
+        F.when(F.size(f["synonyms"]) + F.size(f["semantic"]) == 0, "expand with synonyms"),
+        F.when(f["negations"] > 0, "check negations"),
+        F.when(f["kind"] == "Unknown", "state the intent"),
+    )
+    return F.when(F.size(found) == 0, F.array(F.lit("good"))).otherwise(found)
