@@ -152,7 +152,7 @@ def corpus_stats(spark, base):
 @query(_hybrid_sql("SELECT query_id, id, round(bm25, 6) AS bm25 FROM b"))
 def bm25_scores(spark, base):
     q, d, v = _inputs(spark, base)
-    return _rounded(bm25.bm25(q, plan.candidates(q, d, v)), "bm25")
+    return _rounded(bm25.bm25(q, plan.candidates(q, d, v)).select("query_id", "id", "bm25"), "bm25")
 
 
 _TOP = "SELECT query_id, id, round(vs, 6) AS vector_score, round(bm25, 6) AS bm25, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM h WHERE rank <= 10"

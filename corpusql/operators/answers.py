@@ -7,24 +7,41 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpusql.functions.text import excerpt
 
 
-def confidence(ranked: DataFrame) -> DataFrame:
-    """``query_id, n_chunks, confidence`` from ``query_id, rank, score``: 70 % the best three, 20 % their number, 10 % their evenness."""
+def _confidence_parts() -> list[Column]:
     r, s = F.col("rank"), F.col("score")
     at = lambda i: F.max(F.when(r == i, s))
     top5 = F.when(r <= 5, s)
-    agg = ranked.groupBy("query_id").agg(F.count("*").alias("n_chunks"), at(1).alias("s1"), at(2).alias("s2"), at(3).alias("s3"), F.avg(top5).alias("m"), F.stddev_pop(top5).alias("d"))
+    return [F.count("*").alias("n_chunks"), at(1).alias("s1"), at(2).alias("s2"), at(3).alias("s3"), F.avg(top5).alias("m"), F.stddev_pop(top5).alias("d")]
+
+
+def _confidence() -> Column:
     n = F.col("n_chunks")
     best = F.when(n == 1, F.col("s1")).when(n == 2, F.col("s1") * 0.7 + F.col("s2") * 0.3).otherwise(F.col("s1") * 0.5 + F.col("s2") * 0.3 + F.col("s3") * 0.2)
     amount = F.when(n == 1, 0.7).when(n <= 3, 0.85).when(n <= 6, 1.0).otherwise(0.95)
     even = F.when(n == 1, 0.8).otherwise(F.greatest(F.lit(0.5), 1 - F.least(F.lit(1.0), F.when(F.col("m") == 0, 1.0).otherwise(F.col("d") / F.col("m")))))
-    return agg.select("query_id", "n_chunks", F.greatest(F.lit(0.0), F.least(F.lit(1.0), best * 0.7 + amount * 0.2 + even * 0.1)).alias("confidence"))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), best * 0.7 + amount * 0.2 + even * 0.1))
+
+
+def _context() -> Column:
+    listed = F.sort_array(F.collect_list(F.struct("rank", "content")))
+    return F.array_join(F.transform(listed, lambda x: F.concat(F.lit("["), x["rank"].cast("string"), F.lit("] "), x["content"], F.lit("\n\n"))), "")
+
+
+def confidence(ranked: DataFrame) -> DataFrame:
+    """``query_id, n_chunks, confidence`` from ``query_id, rank, score``: 70 % the best three, 20 % their number, 10 % their evenness."""
+    return ranked.groupBy("query_id").agg(*_confidence_parts()).select("query_id", "n_chunks", _confidence().alias("confidence"))
 
 
 def context(ranked: DataFrame) -> DataFrame:
     """``query_id, context``: the chunks by rank, each as ``[i] content`` and a blank line."""
-    listed = F.sort_array(F.collect_list(F.struct("rank", "content")))
-    text = F.array_join(F.transform(listed, lambda x: F.concat(F.lit("["), x["rank"].cast("string"), F.lit("] "), x["content"], F.lit("\n\n"))), "")
-    return ranked.groupBy("query_id").agg(text.alias("context"))
+    return ranked.groupBy("query_id").agg(_context().alias("context"))
+
+
+def summary(ranked: DataFrame) -> DataFrame:
+    """Confidence, context and citations of each query in one aggregation."""
+    cited = F.sort_array(F.collect_list(F.struct("id", excerpt(F.col("content")).alias("excerpt"))))
+    g = ranked.groupBy("query_id").agg(*_confidence_parts(), _context().alias("context"), cited.alias("citations"))
+    return g.select("query_id", "n_chunks", _confidence().alias("confidence"), "context", "citations")
 
 
 def citations(ranked: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ are joined before anything is counted across chunks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusql.functions import lexicon
 from corpusql.functions.text import terms
@@ -43,20 +43,26 @@ def idf(n: Column, df: Column, plus_one: bool = False) -> Column:
 
 
 def bm25(queries: DataFrame, candidates: DataFrame, k1: float = 1.2, b: float = 0.75, min_tf: int = 1, plus_one: bool = False, average: str = "distinct") -> DataFrame:
-    """``query_id, id, bm25`` for every candidate (``query_id, id, content``); 0 without a common term."""
-    scoped = candidates.select("query_id", "id", terms(F.col("content")).alias("t"))
+    """``candidates`` (``query_id, id, content`` and more; a pair once) with ``bm25``; 0 without a common term.
+
+    Candidates are dealt by query once; statistics of a query's set are windows over it.
+    """
+    rest = [c for c in candidates.columns if c not in ("query_id", "id", "bm25")]
+    mine = query_terms(queries).groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "qtf"))).alias("q"))
+    c = candidates.select("query_id", "id", F.struct(*rest).alias("row"), terms(F.col("content")).alias("t")).join(mine, "query_id", "left")
     size = F.size(F.array_distinct("t")) if average == "distinct" else F.size("t")
-    stats = scoped.groupBy("query_id").agg(F.count("*").alias("n"), F.avg(size).alias("avgdl"))
-    asked = query_terms(queries)
-    # Each chunk meets its query's few terms; only matches are kept.
-    mine = asked.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "qtf"))).alias("q"))
-    hits = scoped.join(mine, "query_id").select("query_id", "id", F.size("t").alias("dl"), "q", F.explode(F.filter("t", lambda x: F.map_contains_key("q", x))).alias("term"))
-    tf = hits.groupBy("query_id", "id", "term", "dl").agg(F.count("*").alias("tf"), F.first(F.element_at("q", F.col("term"))).alias("qtf"))
-    df = tf.groupBy("query_id", "term").agg(F.count("*").alias("df"))
-    scored = tf.where(F.col("tf") >= min_tf).join(df, ["query_id", "term"]).join(stats, "query_id")
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    total = scored.groupBy("query_id", "id").agg(F.sum(idf(F.col("n"), F.col("df"), plus_one) * weight * F.col("qtf")).alias("s"))
-    return candidates.select("query_id", "id").join(total, ["query_id", "id"], "left").select("query_id", "id", F.coalesce("s", F.lit(0.0)).alias("bm25"))
+    matched = F.when(F.col("q").isNull(), F.array().cast("array<string>")).otherwise(F.filter("t", lambda x: F.map_contains_key("q", x)))
+    c = c.select("query_id", "id", "row", "q", F.size("t").alias("dl"), size.alias("dt"), matched.alias("m"))
+    own = Window.partitionBy("query_id")
+    c = c.withColumns({"n": F.count("*").over(own), "avgdl": F.avg("dt").over(own)})
+    hits = F.transform(F.array_distinct("m"), lambda t: F.struct(t.alias("term"), F.size(F.filter("m", lambda x: x == t)).alias("tf"), F.element_at("q", t).alias("qtf")))
+    c = c.select("query_id", "id", "row", "dl", "n", "avgdl", F.explode_outer(hits).alias("h"))
+    c = c.withColumn("df", F.count("h").over(Window.partitionBy("query_id", "h.term")))
+    tf = F.col("h.tf")
+    weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    score = F.when(tf >= min_tf, idf(F.col("n"), F.col("df"), plus_one) * weight * F.col("h.qtf"))
+    out = c.groupBy("query_id", "id").agg(F.first("row").alias("row"), F.coalesce(F.sum(score), F.lit(0.0)).alias("bm25"))
+    return out.select("query_id", "id", *[F.col("row").getField(x).alias(x) for x in rest], "bm25")
 
 
 def blend(vector: Column, keyword: Column, vector_weight: float = 0.7, keyword_weight: float = 0.3) -> Column:

@@ -43,9 +43,7 @@ def candidates(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, option
 
 def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, options: Options = Options(), where: Column | None = None) -> DataFrame:
     """``query_id, id, document_id, content, created_at, vector_score, bm25, score, rank``."""
-    c = candidates(queries, chunks, vectors, options, where).drop("rank")
-    k = bm25.bm25(queries, c.select("query_id", "id", "content"))
-    scored = c.join(k, ["query_id", "id"]).withColumn("score", F.round(bm25.blend(F.col("vector_score"), F.col("bm25"), options.vector_weight, options.keyword_weight), 9))
+    scored = bm25.bm25(queries, candidates(queries, chunks, vectors, options, where).drop("rank")).withColumn("score", F.round(bm25.blend(F.col("vector_score"), F.col("bm25"), options.vector_weight, options.keyword_weight), 9))
     return top(scored, options.chunks, "score", "id", "query_id")
 
 
@@ -69,9 +67,7 @@ def relevance(queries: DataFrame, ranked: DataFrame, as_of: Column, preset: str
 
 def enhanced(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, as_of: Column, options: Options = Options(candidates=50), preset: str = "general") -> DataFrame:
     """Two stages: many candidates by vector and keyword, then the most relevant of them."""
-    c = candidates(queries, chunks, vectors, options).drop("rank")
-    k = bm25.bm25(queries, c.select("query_id", "id", "content"))
-    r = relevance(queries, c.join(k, ["query_id", "id"]), as_of, preset)
+    r = relevance(queries, bm25.bm25(queries, candidates(queries, chunks, vectors, options).drop("rank")), as_of, preset)
     r = r.withColumn("score", F.round("overall", 9)).where(F.col("score") >= options.least_relevance)
     return top(r, options.chunks, "score", "id", "query_id")
 
@@ -79,9 +75,8 @@ def enhanced(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, as_of: C
 def answer(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, options: Options = Options()) -> DataFrame:
     """One row a query: ``query_id, n_chunks, confidence, context, answer, citations``."""
     ranked = hybrid(queries, chunks, vectors, options)
-    # A query's rows meet once; what is asked of them is computed side by side.
-    cited = answers.citations(ranked).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("id", "excerpt"))).alias("citations"))
-    out = queries.select("query_id", "text").join(answers.confidence(ranked), "query_id", "left").join(answers.context(ranked), "query_id", "left").join(cited, "query_id", "left")
+    # A query's rows meet once, so the search runs once.
+    out = queries.select("query_id", "text").join(answers.summary(ranked), "query_id", "left")
     n = F.coalesce("n_chunks", F.lit(0).cast("long"))
     return out.select("query_id", n.alias("n_chunks"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "context", answers.canned_answer(F.col("text"), n).alias("answer"), "citations")
 
