@@ -38,7 +38,8 @@ def read_files(spark: SparkSession, path: str, most_bytes: int = 50 << 20, pdf:
 
     ``status`` is ok, or why there is no text (type, empty, size, unreadable); a bad file
     never stops the others.  ``pdf``: a column expression over ``content`` for PDF files,
-    which are unreadable without one.  Contents over ``most_bytes`` are not loaded.
+    which are unreadable without one.  Contents over ``most_bytes`` are not loaded; files
+    of no bytes at all are left out by the reader.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     ext = T.extension(F.col("path"))

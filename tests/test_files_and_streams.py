@@ -27,7 +27,7 @@ def test_files(spark, tmp_path):
         "f.pdf": b"%PDF",
         "g.docx": b"broken",
         "h.txt": "naïve".encode("windows-1252"),
-        "i.txt": b"",
+        "i.txt": b" \n ",
     }.items():
         (tmp_path / name).write_bytes(content)
     got = {r.path[-6:].strip("/").rsplit("/", 1)[-1]: r for r in files.read_files(spark, str(tmp_path)).collect()}
