@@ -61,7 +61,7 @@ def read_files(spark: SparkSession, path: str, most_bytes: int = 50 << 20, pdf:
         F.lit("Untitled Document"),
     )
     rows = files.where(F.col("length") <= most_bytes).select("path", ext.alias("file_type"), F.col("length").alias("file_size"), title.alias("title"), text.alias("text"))
-    status = F.when(F.col("text").isNull(), F.when(F.col("file_type").isin(*SUPPORTED), "unreadable").otherwise("type")).when(F.trim("text") == "", "empty").otherwise("ok")
+    status = F.when(F.col("text").isNull(), F.when(F.col("file_type").isin(*SUPPORTED), "unreadable").otherwise("type")).when(~F.col("text").rlike(r"\S"), "empty").otherwise("ok")
     large = files.where(F.col("length") > most_bytes).select("path", ext.alias("file_type"), F.col("length").alias("file_size"))
     return rows.withColumn("status", status).unionByName(large.withColumn("status", F.lit("size")), allowMissingColumns=True)
 
