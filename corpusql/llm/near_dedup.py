@@ -12,6 +12,11 @@ table the classes are ordered by further minima, and each is paired with its ``n
 successors and with the bucket's smallest id: likes stand side by side, all pairs of a
 bucket of up to ``neighbours + 1`` classes are taken, and a bucket of any size gives pairs
 in proportion to its size.  Every pair is confirmed on its two full sets before it links.
+
+What larger buckets leave out is made up for exactly (``crowded`` and ``rest``): where such
+a bucket still holds several components, every pair across them that can be alike at all is
+found by the shingles that few of these classes have, or, if it can do without them, by
+pairing the bucket in full.
 """
 
 from __future__ import annotations
@@ -26,6 +31,9 @@ from corpusql.llm.common import fits, materialise
 from corpusql.llm.vectext import SPACED_LOWER, Block, Words, blocks, chain, mix
 
 
+WORDS = 16  # of 64 bits that tell which shingles a crowded text has
+
+
 def shingles(block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Text and hash of each distinct shingle, by text; a text of fewer than ``k`` words is one."""
     w = Words(block, SPACED_LOWER)
@@ -93,7 +101,7 @@ def sketch(rows: DataFrame, k: int, m: int, width: int) -> DataFrame:
 
 
 def candidates(classes: DataFrame, m: int, neighbours: int) -> DataFrame:
-    """Distinct pairs ``a < b`` of class ids that meet in a table."""
+    """Distinct pairs ``a < b`` of class ids that meet in a table, of larger buckets only a part."""
     keyed = classes.select("id", "o", F.posexplode("u").alias("i", "x"), "v").select("id", "o", "i", "x", F.posexplode("v").alias("j", "y"))
     # Each table orders its buckets from another of the eight ordering minima.
     order = F.expr("shiftleft(o, 8 * ((i + 3 * j) % 8)) | shiftrightunsigned(o, 64 - 8 * ((i + 3 * j) % 8))")
@@ -105,6 +113,88 @@ def candidates(classes: DataFrame, m: int, neighbours: int) -> DataFrame:
     return pairs.select(F.least("id", "q").alias("a"), F.greatest("id", "q").alias("b")).distinct()
 
 
+def crowded(classes: DataFrame, labels: DataFrame, neighbours: int) -> DataFrame:
+    """``key, id, c``: buckets of more than ``neighbours + 1`` classes that hold several components ``c``."""
+    c = labels.select(F.col("node").alias("id"), "component")
+    named = classes.join(c, "id", "left").select("id", F.coalesce("component", "id").alias("c"), "u", "v")
+    keyed = named.select("id", "c", F.posexplode("u").alias("i", "x"), "v").select("id", "c", "i", "x", F.posexplode("v").alias("j", "y"))
+    w = Window.partitionBy("key")
+    met = keyed.select(F.xxhash64("i", "j", "x", "y").alias("key"), "id", "c")
+    met = met.select("key", "id", "c", F.count("*").over(w).alias("z"), F.min("c").over(w).alias("least"), F.max("c").over(w).alias("most"))
+    return met.where((F.col("z") > neighbours + 1) & (F.col("least") < F.col("most"))).select("key", "id", "c")
+
+
+def shingle_rows(texts: DataFrame, k: int) -> DataFrame:
+    """``texts`` (id, c, t) to (id, c, r, n, h, x): a row a shingle, ``r`` the text's own number, ``n`` its set's size.
+
+    ``x``, in the first row of a text and else empty, has a bit set for each shingle's place of 64 * WORDS.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block in blocks(b.column(3)):
+                doc, h = shingles(block, k)
+                n = np.bincount(doc, minlength=block.n)
+                place = mix(h ^ np.uint64(0x5851F42D4C957F2D))
+                x = np.zeros((block.n, WORDS), np.uint64)
+                np.bitwise_or.at(x, (doc, (place >> np.uint64(6)).astype(np.int64) % WORDS), np.uint64(1) << (place & np.uint64(63)))
+                first = np.diff(doc, prepend=-1) > 0
+                cut = np.concatenate([[0], np.cumsum(first * WORDS)]).astype(np.int32)
+                bits = pa.ListArray.from_arrays(pa.array(cut), pa.array(x[doc[first]].view(np.int64).ravel()))
+                at = pa.array(doc + block.first)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), pa.array(n[doc].astype(np.int64)), pa.array(h.view(np.int64)), bits], names=["id", "c", "r", "n", "h", "x"])
+
+    return texts.select("id", "c", F.xxhash64("id", "t").alias("r"), "t").mapInArrow(run, "id long, c long, r long, n long, h long, x array<long>")
+
+
+def rest(met: DataFrame, texts: DataFrame, k: int, percent: int, few: int) -> DataFrame:
+    """All pairs ``a < b`` of different components in the crowded buckets ``met`` that can be alike.
+
+    A shingle is rare if at most ``few`` of the texts in ``met`` have it, and each text has some
+    number ``f`` of frequent ones.  Two sets share no more than the rare shingles they share
+    and the smaller ``f``; where this cannot reach the limit the pair is not alike.  Pairs that
+    share rare shingles meet by them; the others reach it only with the frequent ones, and are
+    taken from their buckets, each class outside the bucket's largest component with all others,
+    unless too many bits of one are not in the other.
+    """
+    of = met.select("id", "c").distinct()
+    rows = materialise(shingle_rows(texts.join(of, "id").dropDuplicates(["id", "t"]), k), "crowd-shingles")
+    rare = rows.groupBy("h").count().where(F.col("count").between(1, few)).select("h")
+    rare = materialise(rows.drop("x").join(rare.hint("merge"), "h"), "crowd-rare")
+    each = rows.groupBy("id", "c", "r").agg(F.first("n").alias("n"), F.max("x").alias("x")).join(rare.groupBy("r").agg(F.count("*").alias("own")), "r", "left")
+    each = materialise(each.select("id", "c", "r", "n", "x", (F.col("n") - F.coalesce("own", F.lit(0))).alias("f")), "crowd-texts")
+
+    def reaches(shared) -> F.Column:
+        return (100 + percent) * shared >= percent * (F.col("na") + F.col("nb"))
+
+    def lacks(x: str, y: str) -> F.Column:
+        """The bits of ``x`` that ``y`` has not: each stands for a shingle or more that isn't shared."""
+        return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, n: s + n)
+
+    def side(df: DataFrame, x: str) -> DataFrame:
+        return df.select(*[F.col(c).alias(c if c in ("h", "key") else c + x) for c in df.columns])
+
+    apart = (F.col("ia") < F.col("ib")) & (F.col("ca") != F.col("cb"))
+    by = rare.join(each.select("r", "f"), "r").select("h", F.col("id").alias("i"), "c", "r", "n", "f")
+    a, b = side(by, "a"), side(by, "b")
+    sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    shared = a.join(b.hint("merge"), (a.h == b.h) & apart & sized).groupBy("ia", "ib", "ra", "rb", "na", "nb", "fa", "fb").count()
+    shared = shared.where(reaches(F.col("count") + F.least("fa", "fb"))).select(F.col("ia").alias("a"), F.col("ib").alias("b"))
+
+    # Without rare ones a pair needs 100 f >= percent * n on both sides, and (100 + percent) f >= 2 * percent * n on one.
+    full = each.where(100 * F.col("f") >= percent * F.col("n")).select("id", "n", "f", "x")
+    w = Window.partitionBy("key")
+    core = (100 + percent) * F.col("f") >= 2 * percent * F.col("n")
+    held = met.join(full, "id").select("key", F.col("id").alias("i"), "c", "n", "f", "x", F.max(core).over(w).alias("core"), F.min("c").over(w).alias("least"), F.max("c").over(w).alias("most"))
+    held = materialise(held.where("core and least < most").select("key", "i", "c", "n", "f", "x"), "crowd-full")
+    main = held.groupBy("key", "c").count().groupBy("key").agg(F.max(F.struct("count", "c")).alias("m")).select("key", F.col("m.c").alias("main"))
+    a = side(held.join(main, "key").where("c <> main").select("key", "i", "c", "n", "f", "x"), "a")
+    b = side(held, "b")
+    whole = a.join(b.hint("merge"), (a.key == b.key) & (F.col("ca") != F.col("cb")) & (F.col("ia") != F.col("ib")) & reaches(F.least("fa", "fb")) & reaches(F.least(F.col("na") - lacks("xa", "xb"), F.col("nb") - lacks("xb", "xa"))))
+    whole = whole.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))
+    return shared.unionByName(whole).distinct()
+
+
 def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs whose full sets are alike: ``100 * |A & B| >= percent * |A | B|``."""
 
@@ -152,7 +242,7 @@ def components(edges: DataFrame, what: str = "components", most: int = 60) -> Da
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, m: int = 12, width: int = 2, neighbours: int = 3, broadcast_bytes: int = 64 << 20) -> DataFrame:
+def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, m: int = 12, width: int = 2, neighbours: int = 3, few: int = 16, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """One row a document: ``doc_id, n_shingles, component_id, kept``.
 
     Words are split at white space after lower-casing A-Z.  ``component_id`` is the smallest
@@ -175,7 +265,12 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     left = across(pairs, first).join(spanning(pairs), ["a", "b"], "left_anti")
     more = verify(left, texts, k, percent)
     links = more.unionByName(first.select(F.col("component").alias("a"), F.col("node").alias("b")))
-    final = components(links, "round2")
+    second = materialise(components(links, "round2"), "round2")
+    # Crowds: what is still apart in the larger buckets, without the pairs that were verified.
+    met = materialise(crowded(classes, second, neighbours), "crowds")
+    left = materialise(rest(met, texts, k, percent, few).join(pairs, ["a", "b"], "left_anti"), "crowd-pairs")
+    found = materialise(verify(left, texts, k, percent), "crowd-links")
+    final = second if found.isEmpty() else components(found.unionByName(second.select(F.col("component").alias("a"), F.col("node").alias("b"))), "round3")
     ids = some.select("id", "s1", "s2").join(classes.select("s1", "s2", F.col("id").alias("rep")), ["s1", "s2"])
     linked = ids.join(final.withColumnRenamed("node", "rep"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("c"))
     out = made.select("id", "n").join(linked, "id", "left")

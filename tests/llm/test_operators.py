@@ -244,6 +244,20 @@ def test_near_duplicates(spark, docs, odd, none):
     assert len(o) == odd.count() and {r.component_id for r in o if r.doc_id in (4, 5)} == {4} and near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_inside_crowds(spark):
+    """Half-alike texts that share large buckets: pairs with rare shingles in common, and pairs without any."""
+    rng = np.random.default_rng(5)
+    base, rows = " ".join(f"base{i}" for i in range(87)), []
+    for p in range(600):  # 86 of 114 shingles in common with the partner, 83 of 117 with the others
+        rows += [(2 * p + j, " ".join([base, *(f"p{p}w{i}" for i in range(3)), *(f"p{p}t{j}w{i}" for i in range(14))])) for j in range(2)]
+    base, blocks = " ".join(f"other{i}" for i in range(60)), [" ".join(f"b{b}w{i}" for i in range(9)) for b in range(12)]
+    rows += [(5000 + t, " ".join([base, *(blocks[b] for b in sorted(rng.choice(12, 5, replace=False)))])) for t in range(120)]
+    want = brute_near(rows)
+    table = spark.createDataFrame(rows + rows[:3], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_duplicates(table).collect()} == want
+    assert {r.doc_id: r.component_id for r in near_duplicates(table, neighbours=1, few=4).collect()} == want
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
