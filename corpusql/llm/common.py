@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Where ``spark.checkpoint.dir`` is unset (tests, a local shell) a fresh local folder is
-    made and set, which is right only when driver and executors are one machine.
+    Where ``spark.checkpoint.dir`` is unset and driver and executors are one process (tests,
+    a local shell) a fresh local folder is made and set; elsewhere that is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(at)
     elif not spark.sparkContext.getCheckpointDir():

@@ -3,8 +3,8 @@
 Documents are dealt into randomised groups (by a seeded hash of id and text); each group is
 packed by itself, so groups are the unit of work and of memory.  In a group a document is
 cut into full sequences and a remainder; the remainders, longest first, each go into the
-first bin with room for them, found in a tournament tree of the bins' capacities.  At last
-the emptiest bins are taken apart to fill the gaps of the others.
+first bin with room for them, found in a tournament tree of the bins' capacities.  As an
+option the emptiest bins are then taken apart to fill the gaps of the others.
 """
 
 from __future__ import annotations
@@ -61,12 +61,13 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def pack_group(lengths: list[int], capacity: int, least_cut: int = 1) -> list[list[tuple[int, int, int]]]:
+def pack_group(lengths: list[int], capacity: int, refill: bool = False) -> list[list[tuple[int, int, int]]]:
     """Sequences of pieces ``(document, start, length)`` for documents of these lengths.
 
     Every id of every document is in exactly one piece and no sequence exceeds ``capacity``.
-    Gaps of at least ``least_cut`` are filled from the emptiest sequences; sequences that
-    are full, or whose length is a power of two and so need no padding, are left alone.
+    With ``refill`` gaps are filled from the emptiest sequences, which cuts more documents;
+    sequences that are full, or whose length is a power of two and so need no padding, are
+    left alone.
     """
     full, rest = [], []
     for d, n in enumerate(lengths):
@@ -77,13 +78,15 @@ def pack_group(lengths: list[int], capacity: int, least_cut: int = 1) -> list[li
         if n > at:
             rest.append((d, at, n - at))
     bins = [[rest[i] for i in b] for b in first_fit_decreasing([n for _, _, n in rest], capacity)]
+    if not refill:
+        return full + bins
     used = [sum(p[2] for p in b) for b in bins]
     order = sorted((b for b in range(len(bins)) if used[b] & (used[b] - 1)), key=lambda b: (-used[b], b))
     taker, giver = 0, len(order) - 1
     while taker < giver:
         t, g = order[taker], order[giver]
         gap = capacity - used[t]
-        if gap < least_cut:
+        if not gap:
             taker += 1
             continue
         d, at, n = bins[g].pop()
@@ -97,19 +100,23 @@ def pack_group(lengths: list[int], capacity: int, least_cut: int = 1) -> list[li
     return full + [b for b in bins if b]
 
 
-def pack_documents(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end: int | None = None, group_docs: int = 2048, seed: int = 17, with_tokens: bool = False) -> DataFrame:
+def pack_documents(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end: int | None = None, group_docs: int = 2048, group_bytes: int = 8 << 20, refill: bool = False, seed: int = 17, with_tokens: bool = False) -> DataFrame:
     """One row a piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
     ``start``: the document's ids before the piece; ``offset``: its place in its sequence,
     gapless from 0; ``ids_crc32``: of the piece's ids as little-endian 32-bit integers;
     ``doc_tokens``: ids of the document with the end id; ``with_tokens`` adds ``tokens``.
-    Groups have about ``group_docs`` documents, whatever their number.  Null text counts as
-    empty (only the end id; nothing at all without one), null ids and equal rows are packed
-    like others, and other columns are not read.
+    Groups have about ``group_docs`` documents and ``group_bytes`` of text at most, whatever
+    their number; only a single longer text exceeds that.  Null text counts as empty (only
+    the end id; nothing at all without one), null ids and equal rows are packed like others
+    (rows without an id are dealt by their place, so equal ones don't meet in one group),
+    and other columns are not read.
     """
-    n = max(1, -(-df.count() // group_docs))
-    rows = df.select(F.col(id_col).cast("long").alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    rows = rows.withColumn("g", F.pmod(F.xxhash64(F.lit(seed), "k", "t"), F.lit(n)))
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("k"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"))
+    total = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("b")).first()
+    n = max(1, -(-total["n"] // group_docs), -(-(total["b"] or 0) // group_bytes))
+    place = F.coalesce("k", F.monotonically_increasing_id())
+    rows = rows.withColumn("g", F.pmod(F.xxhash64(F.lit(seed), place, F.col("k").isNull(), "t"), F.lit(n)))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", tokens array<int>" * with_tokens
 
     def pack(table: pa.Table) -> pa.Table:
@@ -118,7 +125,7 @@ def pack_documents(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
         ids = table.column("k").to_pylist()
         tokens = encoder(vocabulary, end).encode(table.column("t"))
         out: list[tuple] = []
-        for s, pieces in enumerate(pack_group([len(t) for t in tokens], capacity)):
+        for s, pieces in enumerate(pack_group([len(t) for t in tokens], capacity, refill)):
             at = 0
             for d, start, length in pieces:
                 piece = tokens[d][start : start + length]

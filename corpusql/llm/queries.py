@@ -31,10 +31,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from corpusql.llm.secrets import base_of, joined, scan
+    from corpusql.llm.secrets import base_of, joined, links, scan
 
     found = scan(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(joined(base_of(F.col("found"))), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(joined(base_of(F.col("found"))), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), links(F.col("found")).alias("links"))
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ The dictionary is built from a bounded sample of the records and stands in a ski
 (magic 0x184D2A5D) at the head of every file, so each file can be read by itself; each
 record is a frame of its own.  Of records with equal payloads of at least ``least_bytes``
 the one with the largest page id is a ``response`` and the others are ``revisit`` records
-that name it.
+that name it by record id, target URI and date.
 """
 
 from __future__ import annotations
@@ -40,18 +40,34 @@ def build_dictionary(samples: list[bytes], size: int = 1 << 16) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def record(kind: str, page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None, date: str) -> bytes:
-    """One WARC record; a revisit carries the HTTP head and no payload."""
+def response_id(page_id: int | None, digest: str) -> str:
+    """The record id of the response that revisits of a payload refer to."""
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id} {digest}')}>"
+
+
+def record(kind: str, record_id: str, page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: tuple[int, str | None, bool] | None, date: str) -> bytes:
+    """One WARC record; a revisit carries the HTTP head and no payload.
+
+    ``refers_to``: page id and url of a revisit's response, and whether it is the only row
+    with this id and payload, so that it has the id of ``response_id``.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http + (payload if kind == "response" else b"")
-    lines = [VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(_SPACE, f'{page_id} {url} {digest}')}>", f"WARC-Date: {date}"]
+    target = lambda u: quote(u, safe="".join(map(chr, range(33, 127))))
+    lines = [VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id}", f"WARC-Date: {date}"]
     if url is not None:
-        lines.append(f"WARC-Target-URI: {quote(url, safe=''.join(map(chr, range(33, 127))))}")
+        lines.append(f"WARC-Target-URI: {target(url)}")
     lines.append("WARC-Payload-Digest: sha1:" + base64.b32encode(bytes.fromhex(digest)).decode())
     if page_id is not None:
         lines.append(f"X-Page-ID: {page_id}")
-    if kind == "revisit":
-        lines += [f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page-ID: {refers_to}"]
+    if refers_to is not None:
+        page, uri, single = refers_to
+        lines.append(f"WARC-Profile: {PROFILE}")
+        if single:
+            lines.append(f"WARC-Refers-To: {response_id(page, digest)}")
+        if uri is not None:
+            lines += [f"WARC-Refers-To-Target-URI: {target(uri)}", f"WARC-Refers-To-Date: {date}"]
+        lines.append(f"X-Refers-To-Page-ID: {page}")
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -118,19 +134,20 @@ def write_archives(df: DataFrame, path: str, *, id_col: str = "page_id", url_col
     null url leaves its header out.  A null page id is less than any; rows that share the
     largest id of their payload are all responses.  The table of repeated payloads is sent
     to all executors if it is within ``broadcast_bytes`` and joined by digest otherwise.
-    The dictionary is built from the ``sample_records`` records of least hash, ``sample_bytes``
-    of each at most.
+    The dictionary is built from about ``sample_records`` distinct payloads, ``sample_bytes``
+    of each at most: those whose digest hashes below a limit that is set from the number of
+    distinct payloads, so what reaches the driver doesn't depend on the input or its
+    partitions.
     """
     spark = df.sparkSession
     html = F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit(""))
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumn("digest", F.sha1("html")).withColumn("size", F.octet_length("html").cast("long"))
-    shared = rows.where(F.col("size") >= least_bytes).groupBy("digest", "size").agg(F.count("*").alias("n"), F.max("id").alias("last"))
+    big = rows.where(F.col("size") >= least_bytes).groupBy("digest", "size", "id").agg(F.count("*").alias("n"), F.min("url").alias("url"))
+    shared = big.groupBy("digest", "size").agg(F.sum("n").alias("n"), F.max(F.struct("id", (F.col("n") == 1).alias("single"), "url")).alias("last"))
     shared = materialise(shared.where("n > 1").select("digest", "size", "last"), "warc-repeats")
-    small = fits(shared, F.lit(64), broadcast_bytes)
-    sample = rows.select(F.substring("html", 1, sample_bytes).alias("html"), F.xxhash64("digest", "id").alias("o")).orderBy("o").limit(sample_records)
-    samples = [record("response", 0, None, r["html"].encode(), "00" * 20, len(r["html"]), None, date) for r in sample.collect()]
-    dictionary = spark.sparkContext.broadcast(build_dictionary(samples))
+    small = fits(shared, F.octet_length(F.coalesce("last.url", F.lit(""))) + 80, broadcast_bytes)
+    dictionary = spark.sparkContext.broadcast(build_dictionary(_samples(rows, sample_records, sample_bytes, date)))
     rows = rows.join(F.broadcast(shared) if small else shared, ["digest", "size"], "left").select("id", "url", "html", "digest", "size", "last")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,15 +155,21 @@ def write_archives(df: DataFrame, path: str, *, id_col: str = "page_id", url_col
 
         part, done, archive = TaskContext.get().partitionId(), 0, Archive(dictionary.value)
 
+        def name() -> str:
+            return f"archive-{part:06d}-{done:06d}.warc.zst"
+
         def close() -> pa.RecordBatch:
-            name = f"archive-{part:06d}-{done:06d}.warc.zst"
-            put(f"{path}/{name}", archive.close())
-            return pa.RecordBatch.from_pydict({"file": [name], "n_records": [archive.n]})
+            put(f"{path}/{name()}", archive.close())
+            return pa.RecordBatch.from_pydict({"file": [name()], "n_records": [archive.n]})
 
         for b in batches:
             for page, url, text, digest, size, last in zip(*(c.to_pylist() for c in b.columns)):
-                revisit = last is not None and page != last
-                archive.add(record("revisit" if revisit else "response", page, url, text.encode(), digest, size, last if revisit else None, date))
+                refers = None if last is None or page == last["id"] else (last["id"], last["url"], last["single"])
+                if last is not None and refers is None and last["single"]:
+                    record_id = response_id(page, digest)
+                else:
+                    record_id = f"<urn:uuid:{uuid.uuid5(_SPACE, f'{path}/{name()} {archive.n}')}>"
+                archive.add(record("revisit" if refers else "response", record_id, page, url, text.encode(), digest, size, refers, date))
                 if archive.size >= file_bytes:
                     yield close()
                     archive, done = Archive(dictionary.value), done + 1
@@ -156,6 +179,14 @@ def write_archives(df: DataFrame, path: str, *, id_col: str = "page_id", url_col
     return materialise(rows.mapInArrow(write, "file string, n_records long"), "warc-files")
 
 
+def _samples(rows: DataFrame, records: int, size: int, date: str) -> list[bytes]:
+    """Records of about ``records`` distinct payloads (fewer if there are fewer), chosen by their digest."""
+    distinct = rows.agg(F.approx_count_distinct("digest").alias("n")).first()["n"] or 1
+    limit = min(1 << 32, (records << 32) // distinct + 1)
+    chosen = rows.where(F.pmod(F.xxhash64("digest"), F.lit(1 << 32)) < limit).groupBy("digest").agg(F.min(F.substring("html", 1, size)).alias("html"))
+    return [record("response", response_id(0, "0"), 0, None, r["html"].encode(), "00" * 20, len(r["html"]), None, date) for r in chosen.collect()]
+
+
 def read_archives(files: DataFrame, path: str, *, with_payload: bool = False) -> DataFrame:
     """One row a record of the files that ``write_archives`` listed.
 

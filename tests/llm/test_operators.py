@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -18,9 +19,9 @@ from corpusql.llm.lm_score import huffman, score_documents
 from corpusql.llm.near_dedup import components, near_duplicates
 from corpusql.llm.packing import pack_documents, padding
 from corpusql.llm.quality import quality_rules
-from corpusql.llm.secrets import scan
+from corpusql.llm.secrets import COMPLETE, KINDS, PATTERNS, scan
 from corpusql.llm.token_files import token_table
-from corpusql.llm.warc import archive_table, build_dictionary
+from corpusql.llm.warc import archive_table, build_dictionary, parse as parse_archive, write_archives
 
 SPACED, ALNUM = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -68,7 +69,7 @@ def test_secrets(spark, docs):
     table = docs.select("doc_id", "text").union(spark.createDataFrame(list(enumerate(extra, 10_000)), "doc_id long, text string"))
     text = {r.doc_id: r.text for r in table.collect()}
     for r in scan(table).collect():
-        base = [tuple(x) for x in r.found if x.kind < 3]
+        base = [tuple(x[:4]) for x in r.found if x.kind < 3]
         assert base == [tuple(x) for x in spans(text[r.doc_id])] and r.n_assign == sum(x[1] == 0 for x in base)
 
 
@@ -80,6 +81,45 @@ def test_weak_parts_need_each_other(spark, odd, none):
     assert scan(odd).count() == odd.count() and scan(none).count() == 0
 
 
+def brute_links(t, scope=200):
+    """All findings of a text with their partners, by comparing each with each."""
+    every = []
+    for i, kind in enumerate(KINDS):
+        pattern, group, least = PATTERNS[kind]
+        for m in re.finditer(pattern, t, re.A):
+            v = m[group]
+            if len(v) >= least and (kind != "opaque" or re.search("[0-9]", v) and re.search("[A-Za-z]", v)):
+                every.append((m.start(), i, m.end(), kind))
+    base = [x for x in every if x[1] < 3]
+    every = [x for x in every if x[1] < 3 or not any(b[0] < x[2] and x[0] < b[2] for b in base)]
+    out = []
+    for x in sorted(every):
+        parts = [y for y in every if y[3] in COMPLETE[x[3]] and y != x]
+        left = max(((y[2], y[0], y[1], y[3]) for y in parts if y[:3] < x[:3]), default=None)
+        right = min(((y[0], y[2], y[1], y[3]) for y in parts if y[:3] > x[:3]), default=None)
+        a, b = left and x[0] - left[0], right and right[0] - x[2]
+        if left and a < scope and (not right or a <= b):
+            out.append((*x, (left[3], left[1], left[0])))
+        elif right and b < scope:
+            out.append((*x, (right[3], right[0], right[1])))
+        elif x[1] < 3:
+            out.append((*x, None))
+    return out
+
+
+def test_links_against_each_with_each(spark):
+    rng = random.Random(4)
+    pieces = ["user=bob77", "login: alice", "AKIA" + "Q7" * 9, "token=abcdef12", "https://db.example/x", "Zm9vYmFyMTIzNDU2Nzg5MA", "0123456789abcdef01234567", "word " * 12, "and", "\n"]
+    rows = [(i, " ".join(rng.choice(pieces) for _ in range(rng.randrange(25)))) for i in range(150)]
+    got = {r.doc_id: [(*x[:4], x.partner and tuple(x.partner)) for x in r.found] for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: brute_links(t) for i, t in rows}
+
+
+def test_many_findings_in_one_text(spark):
+    row = scan(spark.createDataFrame([(1, "token=abcdef12 user=bob " * 30_000)], "doc_id long, text string")).selectExpr("n_assign", "size(found) as n", "size(filter(found, x -> x.partner is null)) as alone").first()
+    assert (row.n_assign, row.n, row.alone) == (30_000, 60_000, 0)
+
+
 # 2
 
 
@@ -280,13 +320,27 @@ def test_archives(spark):
     assert archive_table(df.limit(0)).count() == 0 and build_dictionary([]) == b""
 
 
+def test_record_ids(spark, tmp_path):
+    big = "x" * 1500
+    rows = [(1, "http://a/1", big), (2, "http://a/2", big), (3, "u", "y"), (3, "u", "y"), (5, "v", "z" * 1200), (5, "v", "z" * 1200), (4, "w", "z" * 1200)]
+    at = f"file://{tmp_path}"
+    files = write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), at).collect()
+    heads = [h for r in files for h, _ in parse_archive((tmp_path / r.file).open("rb"))]
+    ids = [h["warc-record-id"] for h in heads]
+    assert len(set(ids)) == len(rows)
+    by = {(h["x-page-id"], h["warc-type"]): h for h in heads}
+    one = by["1", "revisit"]
+    assert one["warc-refers-to"] == by["2", "response"]["warc-record-id"] and one["warc-refers-to-target-uri"] == "http://a/2"
+    assert "warc-refers-to" not in by["4", "revisit"] and by["4", "revisit"]["x-refers-to-page-id"] == "5"
+
+
 # 10
 
 
 def test_line_dedup(spark, odd, none):
-    rows = [(1, "a\nb\nc\nd", "p"), (1, "a\nb\nc\nd", "p"), (2, "x\na \n b\nc", "q"), (None, None, None), (3, "", "z"), (4, "\n\n\n\n", "z"), (5, "b\nc\nd\ne\nb\nc\nd", "k"), (6, "a\nb", "k")]
+    rows = [(1, "a\nb\nc\nd", "p"), (1, "a\nb\nc\nd", "p"), (2, "x\na \n b\nc", "q"), (None, None, None), (3, "", "z"), (4, "\n\n\n\n", "z"), (5, "b\nc\nd\ne\nb\nc\nd", "k"), (6, "a\nb", "k"), (7, " a\nb", "k"), (8, "a", "k"), (9, "a", "m"), (None, None, None)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, k string, lines string")
     got = sorted(((r.doc_id or 0, r.text, r.n_lines, r.n_removed, r.k, r.lines) for r in line_dedup(df).collect()), key=str)
-    want = [(0, None, 0, 0, None), (1, "", 4, 4, "p"), (1, "a\nb\nc\nd", 4, 0, "p"), (2, "x", 4, 3, "q"), (3, "", 1, 0, "z"), (4, "\n\n\n\n", 5, 0, "z"), (5, "e", 7, 6, "k"), (6, "a\nb", 2, 0, "k")]
+    want = [(0, None, 0, 0, None), (1, "", 4, 4, "p"), (1, "a\nb\nc\nd", 4, 0, "p"), (2, "x", 4, 3, "q"), (3, "", 1, 0, "z"), (4, "\n\n\n\n", 5, 0, "z"), (5, "e", 7, 6, "k"), (6, "a\nb", 2, 0, "k"), (7, "", 2, 2, "k"), (8, "a", 1, 0, "k"), (9, "", 1, 1, "m"), (0, None, 0, 0, None)]
     assert got == sorted(((*w, "clash") for w in want), key=str)
     assert line_dedup(odd).count() == odd.count() and line_dedup(none).count() == 0
