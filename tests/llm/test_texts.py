@@ -59,6 +59,50 @@ def test_quality_figures(ts):
     assert got == [brute_quality(t) for t in ts]
 
 
+def brute_verdict(t, rules=Rules()):
+    """The shares and the verdict, by counting in plain Python."""
+    spans = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+    ws = [t[a:b] for a, b in spans]
+    n, total = len(ws), max(1, sum(map(len, ws)))
+    out = {}
+    for k in (*rules.top, *rules.duplicate):
+        at = {}
+        for i in range(n - k + 1):
+            at.setdefault(tuple(ws[i : i + k]), []).append(i)
+        chars = lambda places: sum(len(ws[j]) for j in {i + d for i in places for d in range(k)})
+        again = [p for p in at.values() if len(p) > 1]
+        if k in rules.top:
+            best = max(again, key=lambda p: (len(p) * sum(map(len, ws[p[0] : p[0] + k])), -p[0]), default=[])
+            out[f"top_{k}_share"] = chars(best) / total
+        else:
+            out[f"dup_{k}_share"] = chars([i for p in again for i in p]) / total
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    seen, again = set(), []
+    for x in lines:
+        again += [x] * (x in seen)
+        seen.add(x)
+    out["dup_line_share"] = len(again) / max(1, len(lines))
+    out["dup_line_char_share"] = sum(len(w) for x in again for w in re.findall(r"[^\x20\x09-\x0D]+", x)) / total
+    more = min(rules.allowance, 2 * rules.sentence / max(n, 1))
+    limits = {f"top_{k}_share": x for k, x in rules.top.items()} | {f"dup_{k}_share": x for k, x in rules.duplicate.items()} | {"dup_line_share": rules.max_dup_lines, "dup_line_char_share": rules.max_dup_line_chars}
+    _, _, symbols, _, repeat = brute_quality(t)
+    failed = n < rules.min_words or 100 * repeat > 50 * n
+    return out, not (failed or any(out[k] > x + more for k, x in limits.items()) or symbols > rules.max_symbols * n)
+
+
+def test_quality_shares():
+    rng = random.Random(3)
+    ts = []
+    for _ in range(60):
+        words = ["".join(rng.choice("abcé") for _ in range(rng.randint(1, 3))) for _ in range(rng.choice([8, 40, 400]))]
+        ts.append("".join(rng.choice(words) + rng.choice("   \n") for _ in range(rng.randint(0, 400))))
+        ts.append(ts[-1] + "\n" + ts[-1][: rng.randint(0, 80)])
+    (p,) = [measure(b, Rules()) for b in blocks(pa.array(ts))]
+    for i, t in enumerate(ts):
+        shares, kept = brute_verdict(t)
+        assert {k: p[k][i] for k in shares} == pytest.approx(shares) and p["kept"][i] == kept
+
+
 def test_quality_verdicts():
     rng = random.Random(1)
     clean = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(200))
@@ -118,7 +162,10 @@ def test_token_file(lengths):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 60), max_size=40))
 def test_packing(lengths):
-    seqs = pack_group(lengths, 20)
+    whole = pack_group(lengths, 20)
+    cuts = sum(len(x) for x in whole) - sum(-(-n // 20) for n in lengths)
+    assert cuts == 0 and all(sum(p[2] for p in s) <= 20 for s in whole)
+    seqs = pack_group(lengths, 20, refill=True)
     seen = {d: [] for d in range(len(lengths))}
     for s in seqs:
         assert 0 < sum(p[2] for p in s) <= 20
