@@ -100,28 +100,41 @@ def sketch(rows: DataFrame, k: int, m: int, width: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, n long, s1 long, s2 long, u array<long>, v array<long>, o long")
 
 
-def candidates(classes: DataFrame, m: int, neighbours: int) -> DataFrame:
-    """Distinct pairs ``a < b`` of class ids that meet in a table, of larger buckets only a part."""
+def members(classes: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """``key, id, o, z, least``: the classes of every bucket that holds two or more.
+
+    ``z`` is the bucket's number of classes and ``least`` its smallest id, both from an
+    aggregation that combines before it deals; most keys are met once and go no further.
+    """
     keyed = classes.select("id", "o", F.posexplode("u").alias("i", "x"), "v").select("id", "o", "i", "x", F.posexplode("v").alias("j", "y"))
     # Each table orders its buckets from another of the eight ordering minima.
     order = F.expr("shiftleft(o, 8 * ((i + 3 * j) % 8)) | shiftrightunsigned(o, 64 - 8 * ((i + 3 * j) % 8))")
     keyed = keyed.select(F.xxhash64("i", "j", "x", "y").alias("key"), "id", order.alias("o"))
-    w = Window.partitionBy("key").orderBy("o", "id")
-    others = [F.lead("id", d).over(w) for d in range(1, neighbours + 1)] + [F.min("id").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))]
-    met = keyed.select("id", F.array(*others).alias("p")).where(F.col("p")[0].isNotNull() | (F.col("p")[neighbours] != F.col("id")))
-    pairs = met.select("id", F.explode("p").alias("q")).where("q is not null and q <> id")
+    shared = materialise(keyed.groupBy("key").agg(F.count("*").alias("z"), F.min("id").alias("least")).where("z > 1"), "buckets")
+    small = fits(shared, F.lit(24), broadcast_bytes)
+    return materialise(keyed.join(F.broadcast(shared) if small else shared, "key"), "members")
+
+
+def candidates(met: DataFrame, neighbours: int, run: int = 512) -> DataFrame:
+    """Distinct pairs ``a < b`` of class ids that meet in a table, of larger buckets only a part.
+
+    A bucket is ordered in parts of about ``run`` classes, cut by the first bits of the order,
+    so a crowd is dealt over many tasks; only pairs across a cut are left out by that.
+    """
+    bits = F.greatest(F.ceil(F.log2(F.col("z") / run)), F.lit(0)).cast("int")
+    part = F.when(bits > 0, F.expr("shiftrightunsigned(o, 64 - bits)")).otherwise(F.lit(0).cast("long"))
+    w = Window.partitionBy("key", "part").orderBy("o", "id")
+    others = [F.lead("id", d).over(w) for d in range(1, neighbours + 1)] + [F.col("least")]
+    pairs = met.withColumn("bits", bits).withColumn("part", part).select("id", F.array(*others).alias("p")).select("id", F.explode("p").alias("q")).where("q is not null and q <> id")
     return pairs.select(F.least("id", "q").alias("a"), F.greatest("id", "q").alias("b")).distinct()
 
 
-def crowded(classes: DataFrame, labels: DataFrame, neighbours: int) -> DataFrame:
+def crowded(met: DataFrame, labels: DataFrame, neighbours: int) -> DataFrame:
     """``key, id, c``: buckets of more than ``neighbours + 1`` classes that hold several components ``c``."""
     c = labels.select(F.col("node").alias("id"), "component")
-    named = classes.join(c, "id", "left").select("id", F.coalesce("component", "id").alias("c"), "u", "v")
-    keyed = named.select("id", "c", F.posexplode("u").alias("i", "x"), "v").select("id", "c", "i", "x", F.posexplode("v").alias("j", "y"))
-    w = Window.partitionBy("key")
-    met = keyed.select(F.xxhash64("i", "j", "x", "y").alias("key"), "id", "c")
-    met = met.select("key", "id", "c", F.count("*").over(w).alias("z"), F.min("c").over(w).alias("least"), F.max("c").over(w).alias("most"))
-    return met.where((F.col("z") > neighbours + 1) & (F.col("least") < F.col("most"))).select("key", "id", "c")
+    named = materialise(met.where(F.col("z") > neighbours + 1).join(c, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), "crowd-members")
+    several = named.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("key")
+    return named.join(several, "key", "left_semi")
 
 
 def shingle_rows(texts: DataFrame, k: int) -> DataFrame:
@@ -183,10 +196,10 @@ def rest(met: DataFrame, texts: DataFrame, k: int, percent: int, few: int) -> Da
 
     # Without rare ones a pair needs 100 f >= percent * n on both sides, and (100 + percent) f >= 2 * percent * n on one.
     full = each.where(100 * F.col("f") >= percent * F.col("n")).select("id", "n", "f", "x")
-    w = Window.partitionBy("key")
     core = (100 + percent) * F.col("f") >= 2 * percent * F.col("n")
-    held = met.join(full, "id").select("key", F.col("id").alias("i"), "c", "n", "f", "x", F.max(core).over(w).alias("core"), F.min("c").over(w).alias("least"), F.max("c").over(w).alias("most"))
-    held = materialise(held.where("core and least < most").select("key", "i", "c", "n", "f", "x"), "crowd-full")
+    held = materialise(met.join(full, "id").select("key", F.col("id").alias("i"), "c", "n", "f", "x", core.alias("core")), "crowd-frequent")
+    live = held.groupBy("key").agg(F.max("core").alias("some"), F.min("c").alias("least"), F.max("c").alias("most")).where("some and least < most").select("key")
+    held = materialise(held.drop("core").join(live, "key", "left_semi"), "crowd-full")
     main = held.groupBy("key", "c").count().groupBy("key").agg(F.max(F.struct("count", "c")).alias("m")).select("key", F.col("m.c").alias("main"))
     a = side(held.join(main, "key").where("c <> main").select("key", "i", "c", "n", "f", "x"), "a")
     b = side(held, "b")
@@ -218,16 +231,16 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     return joined.mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame, what: str = "components", most: int = 60) -> DataFrame:
+def components(edges: DataFrame, what: str = "components") -> DataFrame:
     """``node, component``: the smallest node each is connected with, by alternating star steps.
 
     Each round joins every node's edges to the least node it knows (large star, then small
-    star), which needs about log(n) ** 2 rounds at most; tables between rounds are written,
-    so lineage stays short.
+    star), until nothing changes; the published bound is about log(n) ** 2 rounds.  Tables
+    between rounds are written, so lineage stays short.
     """
     edges = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), what)
     state = None
-    for _ in range(most):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("l")).select("a", F.least("a", "l").alias("l"))
         large = both.where("b > a").join(least, "a").select(F.col("l").alias("a"), "b").where("a <> b").distinct()
@@ -239,7 +252,6 @@ def components(edges: DataFrame, what: str = "components", most: int = 60) -> Da
         if now == state:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
         state = now
-    raise RuntimeError("components did not settle")
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, m: int = 12, width: int = 2, neighbours: int = 3, few: int = 16, broadcast_bytes: int = 64 << 20) -> DataFrame:
@@ -255,7 +267,8 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     made = materialise(sketch(rows, k, m, width), "sketches")
     some = made.where("id is not null and n > 0")
     classes = materialise(some.groupBy("s1", "s2").agg(F.min("id").alias("id"), F.first("u").alias("u"), F.first("v").alias("v"), F.first("o").alias("o")), "classes")
-    pairs = materialise(candidates(classes, m, neighbours), "pairs")
+    buckets = members(classes, broadcast_bytes)
+    pairs = materialise(candidates(buckets, neighbours), "pairs")
     # Only texts that some pair needs are moved: their ids are sent to all executors if they
     # are within broadcast_bytes, else texts and ids are dealt by id.
     needed = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "needed")
@@ -267,7 +280,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     links = more.unionByName(first.select(F.col("component").alias("a"), F.col("node").alias("b")))
     second = materialise(components(links, "round2"), "round2")
     # Crowds: what is still apart in the larger buckets, without the pairs that were verified.
-    met = materialise(crowded(classes, second, neighbours), "crowds")
+    met = materialise(crowded(buckets, second, neighbours), "crowds")
     left = materialise(rest(met, texts, k, percent, few).join(pairs, ["a", "b"], "left_anti"), "crowd-pairs")
     found = materialise(verify(left, texts, k, percent), "crowd-links")
     final = second if found.isEmpty() else components(found.unionByName(second.select(F.col("component").alias("a"), F.col("node").alias("b"))), "round3")
