@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from corpusql.functions import lexicon
@@ -12,6 +9,7 @@ from corpusql.operators import governance as g
 from corpusql.operators import ranking
 from corpusql.plans import answer
 from corpusql.sources import tables as t
+from corpusql.session import shared_path
 from corpusql.streaming import events as st
 
 QUERIES: dict = {}
@@ -244,9 +242,16 @@ def page_information(spark, base):
     return ranking.page_info(t.read(spark, base, "orders"), 3, 50)
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_size = 7 AND p_type LIKE '%STEEL%'")
+@query("SELECT p_partkey, p_name, p_brand FROM part WHERE p_size = 7 AND p_brand LIKE '%#1%' ORDER BY p_retailprice DESC, p_partkey LIMIT 25")
 def builder_select_like(spark, base):
-    return ranking.select_rows(t.read(spark, base, "part"), ["p_partkey", "p_name"], equal={"p_size": 7}, like={"p_type": "STEEL"})
+    return ranking.select_rows(t.read(spark, base, "part"), ["p_partkey", "p_name", "p_brand"], equal={"p_size": 7}, like={"p_brand": "#1"}, order=[("p_retailprice", False), ("p_partkey", True)], limit=25)
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_size = 7 AND p_brand LIKE '%#1%' ORDER BY p_retailprice DESC, p_partkey LIMIT 25")
+def builder_sql_text(spark, base):
+    """The builder's text, run as SQL."""
+    t.read(spark, base, "part").createOrReplaceTempView("cq_part")
+    return spark.sql(ranking.select_sql("cq_part", ["p_partkey", "p_name"], equal={"p_size": 7}, like={"p_brand": "#1"}, order=[("p_retailprice", False), ("p_partkey", True)], limit=25))
 
 
 @query("SELECT count(*) AS total, count(*) FILTER (o_orderstatus <> 'F' AND NOT o_orderdate < TIMESTAMP '1996-01-01') AS active, count(*) FILTER (o_orderdate < TIMESTAMP '1996-01-01') AS expired FROM orders")
@@ -262,14 +267,13 @@ def upsert_by_key(spark, base):
     return t.upsert(old, new, "doc_id")
 
 
-@query()
+@query(SQL["event_windows_tumbling"])
 def stream_tumbling_windows(spark, base):
-    """The stream of the events file, in windows, brought to its end and read back."""
-    # The shared folder that the session names; a local one only where it names none.
-    out = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/stream-{uuid.uuid4().hex}"
-    q = st.tumbling(st.read_events(spark, f"{base}/[e]vents.parquet"), late="0 seconds").writeStream.outputMode("complete").format("memory").queryName("stream_tumbling").option("checkpointLocation", out).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table("stream_tumbling")
+    """The stream of the events file, in windows, brought to its end in a table and read back."""
+    out = shared_path(spark, "stream")
+    windows = st.tumbling(st.read_events(spark, f"{base}/[e]vents.parquet"), late="0 seconds")
+    st.run_to_table(windows, out)
+    return spark.read.schema(windows.schema).parquet(f"{out}/table").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) + 1e-9, 4) AS mean_so_far FROM events")

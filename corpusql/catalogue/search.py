@@ -87,14 +87,18 @@ def vector_validity(spark, base):
     return t.vectors(spark, base).select("id", V.valid(F.col("embedding")).alias("valid"), F.round(V.norm(F.col("embedding")), 6).alias("norm"))
 
 
-@query(f"WITH {_Q} SELECT query_id, id, round({_SCORES['cosine']}, 6) AS cosine, round({_SCORES['euclidean']}, 6) AS euclidean FROM q, v WHERE label = ql")
+@query(
+    f"""WITH {_Q}, s AS (SELECT query_id, id, qv, e, round({_SCORES['dot']}, 9) AS s FROM q, v), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM s)
+    SELECT query_id, id, round({_SCORES['cosine']}, 6) AS cosine, round({_SCORES['euclidean']}, 6) AS euclidean FROM r WHERE rank <= 30"""
+)
 def vector_pairs_jvm(spark, base):
-    """Scores inside the JVM of the pairs that a join gives: the query's and its label's vectors."""
-    p = _asked(spark, base).join(t.vectors(spark, base), "label")
+    """Scores inside the JVM of given pairs: each query with the thirty that another metric found."""
+    q, v = _asked(spark, base), t.vectors(spark, base)
+    p = vs.search(q, v, 30, "dot").select("query_id", "id").join(q.select("query_id", "qv"), "query_id").join(v.select("id", "embedding"), "id")
     return p.select("query_id", "id", *[F.round(V.score(m, F.col("qv"), F.col("embedding")), 6).alias(m) for m in ("cosine", "euclidean")])
 
 
-_DOCS = "docs AS (SELECT doc_id AS id, text AS content, lang, source, TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 365 AS INTEGER)) AS created_at FROM documents)"
+_DOCS = "docs AS (SELECT doc_id AS id, text AS content, lang, source, TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 365 AS INTEGER)) AS created_at, substring(text, 1, 60) AS topic, " + "CASE doc_id % 5 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(t.SOURCE_TYPES)) + " END AS source_type FROM documents)"
 _QUERIES = "qs AS (SELECT b.item_id AS query_id, b.text, e.embedding::DOUBLE[] AS qv FROM benchmark b JOIN embeddings e ON b.item_id = e.vec_id)"
 _STOP = "[" + ", ".join(f"'{w}'" for w in lexicon.STOP_WORDS) + "]"
 
@@ -109,7 +113,7 @@ def _cand_sql(n: int, where: str = "true", post: str = "true") -> str:
     return f"""{_DOCS}, {_QUERIES},
     cs AS (SELECT query_id, e.vec_id AS id, round(1 - greatest(0, least(2, 1 - list_cosine_similarity(qv, e.embedding::DOUBLE[]))) / 2, 9) AS vs FROM qs, embeddings e WHERE {where}),
     cr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vs DESC, id) AS r FROM cs),
-    c AS (SELECT query_id, docs.id, vs, r, content, lang, source, created_at FROM cr JOIN docs ON docs.id = cr.id WHERE r <= {n} AND {post})"""
+    c AS (SELECT query_id, docs.id, vs, r, content, lang, source, created_at, topic, source_type FROM cr JOIN docs ON docs.id = cr.id WHERE r <= {n} AND {post})"""
 
 
 def _bm25_sql() -> str:
@@ -186,25 +190,33 @@ def tag_any_filter(spark, base):
 
 
 @query(
-    rf"""WITH b AS (SELECT item_id, {_terms_sql('text', True)} AS q FROM benchmark),
-    d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents),
-    j AS (SELECT b.item_id, doc_id, len(w) AS n, len(q) AS m, list_transform(q, lambda x: len(list_filter(w, lambda y: y = x))) AS c FROM b JOIN d ON b.item_id = d.doc_id)
-    SELECT item_id, round(CASE WHEN n = 0 OR m = 0 THEN 0 ELSE least(1, list_sum(c) / n / m * (1 + len(list_filter(c, lambda x: x > 0)) / m)) END, 6) AS score FROM j"""
+    "WITH "
+    + _cand_sql(20)
+    + rf""", j AS (SELECT c.query_id, c.id, list_filter(string_split_regex(lower(content), '\s+'), lambda x: x <> '') AS w, {_terms_sql('qs.text', True)} AS q FROM c JOIN qs ON qs.query_id = c.query_id),
+    k AS (SELECT query_id, id, len(w) AS n, len(q) AS m, list_transform(q, lambda x: len(list_filter(w, lambda y: y = x))) AS c FROM j)
+    SELECT query_id, id, round(CASE WHEN n = 0 OR m = 0 THEN 0 ELSE least(1, list_sum(c) / n / m * (1 + len(list_filter(c, lambda x: x > 0)) / m)) END, 6) AS score FROM k"""
 )
 def legacy_keyword_score(spark, base):
-    b = t.read(spark, base, "benchmark").join(t.documents(spark, base), F.col("item_id") == F.col("id"))
-    return b.select("item_id", F.round(bm25.legacy_keyword(F.col("text"), F.col("content")), 6).alias("score"))
+    """The older keyword score of every candidate of every query."""
+    q, d, v = _inputs(spark, base)
+    c = plan.candidates(q, d, v).join(q.select("query_id", "text"), "query_id")
+    return c.select("query_id", "id", F.round(bm25.legacy_keyword(F.col("text"), F.col("content")), 6).alias("score"))
 
 
 @query(
-    r"""WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS a FROM documents)
-    SELECT x.doc_id AS a, y.doc_id AS b, round(CASE WHEN len(x.a) + len(y.a) = 0 THEN 0 ELSE len(list_intersect(x.a, y.a)) / (len(x.a) + len(y.a) - len(list_intersect(x.a, y.a))) END, 6) AS jaccard
-    FROM w x JOIN w y ON y.doc_id = x.doc_id + 1"""
+    "WITH "
+    + _cand_sql(10)
+    + r""", w AS (SELECT query_id, id, list_distinct(list_filter(string_split_regex(content, '\s+'), lambda x: x <> '')) AS a FROM c)
+    SELECT x.query_id, x.id AS a, y.id AS b, round(CASE WHEN len(x.a) + len(y.a) = 0 THEN 0 ELSE len(list_intersect(x.a, y.a)) / (len(x.a) + len(y.a) - len(list_intersect(x.a, y.a))) END, 6) AS jaccard
+    FROM w x JOIN w y ON x.query_id = y.query_id AND x.id < y.id"""
 )
 def jaccard_pairs(spark, base):
-    d = t.documents(spark, base).select("id", F.array_distinct(words(F.col("content"))).alias("w"))
-    n = d.select((F.col("id") - 1).alias("id"), F.col("id").alias("b"), F.col("w").alias("w2"))
-    return d.join(n, "id").select(F.col("id").alias("a"), "b", F.round(jaccard(F.col("w"), F.col("w2")), 6).alias("jaccard"))
+    """All pairs among the ten passages of each query."""
+    q, d, v = _inputs(spark, base)
+    w = plan.candidates(q, d, v, plan.Options(candidates=10)).select("query_id", "id", F.array_distinct(words(F.col("content"))).alias("w"))
+    listed = w.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("id", "w"))).alias("r"))
+    pairs = F.flatten(F.transform("r", lambda x, i: F.transform(F.filter("r", lambda y, j: j > i), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b"), F.round(jaccard(x["w"], y["w"]), 6).alias("jaccard")))))
+    return listed.select("query_id", F.explode(pairs).alias("p")).select("query_id", "p.a", "p.b", "p.jaccard")
 
 
 # Relevance: the analysis of the query in SQL.
@@ -225,7 +237,7 @@ _C = "greatest(0, least(1, {0}))"
 _NW = f"len({_WORDS.format('content')})"
 _INFO = " + ".join(f"CASE WHEN contains(lower(content), '{w}') THEN 1 ELSE 0 END" for w in lexicon.INFORMATIVE)
 _BOOST = " ".join(f"WHEN intent = '{k}' AND {_any('lower(content)', w)} THEN {f}" for k, (f, w) in lexicon.BOOSTS.items())
-_PARTS = f"""p AS (SELECT h.*, a.type, a.intent, a.temporal,
+_PARTS = f"""p AS (SELECT h.*, a.type, a.intent, a.temporal, a.key_terms,
     {_C.format("vs * CASE complexity WHEN 'Moderate' THEN 1.05 WHEN 'Complex' THEN 1.1 WHEN 'Expert' THEN 1.15 ELSE 1 END * CASE type WHEN 'Factual' THEN 1.1 WHEN 'Analytical' THEN 1.05 WHEN 'Procedural' THEN 0.95 ELSE 1 END")} AS semantic,
     len(list_filter(key_terms, lambda k: contains(lower(content), k))) AS kt, len(key_terms) AS kn,
     date_diff('day', created_at, TIMESTAMP '2024-12-31') AS days,
@@ -236,7 +248,8 @@ _PARTS = f"""p AS (SELECT h.*, a.type, a.intent, a.temporal,
     CASE {_BOOST} ELSE 1.0 END AS boost FROM h JOIN a ON h.query_id = a.query_id),
     r AS (SELECT *, {_C.format("tanh(bm25 / 10) * CASE WHEN kt > 0 THEN 1 + 0.2 * kt / kn ELSE 1 END * CASE type WHEN 'Procedural' THEN 1.2 WHEN 'Navigational' THEN 1.25 WHEN 'Comparative' THEN 1.1 ELSE 1 END")} AS keyword,
     readability * 0.2 + completeness * 0.3 + 0.15 + structure * 0.1 + depth * 0.1 AS quality,
-    {_C.format("exp(-days / 365.0) * CASE WHEN temporal THEN 0.8 * CASE WHEN days <= 30 THEN 1.2 ELSE 1 END ELSE 1 END")} AS freshness, 0.5 AS context FROM p)"""
+    {_C.format("exp(-days / 365.0) * CASE WHEN temporal THEN 0.8 * CASE WHEN days <= 30 THEN 1.2 ELSE 1 END ELSE 1 END")} AS freshness,
+    {_C.format("0.5 + CASE WHEN topic IS NULL THEN 0 WHEN len(list_filter(key_terms, lambda k: contains(lower(topic), lower(k)))) > 0 THEN 0.24 ELSE 0.06 END + CASE WHEN source_type IS NULL THEN 0 WHEN intent = 'Learning' AND source_type IN ('tutorial', 'guide') OR intent = 'ProblemSolving' AND source_type IN ('solution', 'troubleshooting') OR intent = 'InformationSeeking' AND source_type IN ('reference', 'documentation') THEN 0.18 ELSE 0.1 END")} AS context FROM p)"""
 
 
 def _overall(w: tuple[float, ...]) -> str:
@@ -362,7 +375,21 @@ def diversity_penalty(spark, base):
     return _final(rerank.diversity_penalty(plan.hybrid(q, d, v).join(v.select("id", "embedding"), "id")))
 
 
-@query()
+@query(
+    "WITH RECURSIVE "
+    + _cand_sql(20)
+    + ", "
+    + _bm25_sql()
+    + """, z AS (SELECT h.query_id, h.id, h.rank, score, e.embedding::DOUBLE[] AS e FROM h JOIN embeddings e ON e.vec_id = h.id WHERE rank <= 10),
+    l AS (SELECT x.query_id, x.rank AS a, y.rank AS b, greatest(0, least(1, list_cosine_similarity(x.e, y.e))) AS l FROM z x JOIN z y ON x.query_id = y.query_id),
+    s AS (SELECT query_id, 1 AS step, [rank] AS chosen FROM z WHERE rank = 1
+    UNION ALL SELECT query_id, step + 1, list_append(chosen, best) FROM (
+      SELECT query_id, step, chosen, arg_max(rank, (round(v, 12), -rank)) AS best FROM (
+        SELECT s.query_id, s.step, s.chosen, z.rank, 0.5 * z.score - 0.5 * max(l.l) AS v FROM s JOIN z ON z.query_id = s.query_id AND NOT list_contains(s.chosen, z.rank) JOIN l ON l.query_id = s.query_id AND l.a = z.rank AND list_contains(s.chosen, l.b)
+        GROUP BY s.query_id, s.step, s.chosen, z.rank, z.score) GROUP BY query_id, step, chosen)),
+    f AS (SELECT query_id, arg_max(chosen, step) AS chosen FROM s GROUP BY 1)
+    SELECT z.query_id, z.id, CAST(list_position(chosen, z.rank) AS BIGINT) AS new_rank FROM z JOIN f ON f.query_id = z.query_id"""
+)
 def mmr(spark, base):
     q, d, v = _inputs(spark, base)
     return rerank.mmr(plan.hybrid(q, d, v).join(v.select("id", "embedding"), "id"))

@@ -134,11 +134,11 @@ def chunk_fixed(spark, base):
     return chunking.chunks(_docs(spark, base), "fixed")
 
 
-def _packed_sql(pieces: str, joiner: str) -> str:
+def _packed_sql(pieces: str, joiner: str, where: str = "true") -> str:
     """Greedy packing as a fold over the pieces, for texts with at least one."""
     j = len(joiner)
     jo = "chr(10) || chr(10)" if joiner == "\n\n" else _lit(joiner)
-    return f"""WITH RECURSIVE p AS (SELECT doc_id, {pieces} AS p FROM documents),
+    return f"""WITH RECURSIVE p AS (SELECT doc_id, {pieces} AS p FROM documents WHERE {where}),
     f AS (SELECT doc_id, p, 1 AS i, 0 AS chunk, p[1] AS held, CAST(NULL AS VARCHAR) AS done FROM p WHERE len(p) > 0
     UNION ALL SELECT doc_id, p, i + 1, CASE WHEN length(held) + {j} + length(p[i + 1]) <= 1000 THEN chunk ELSE chunk + 1 END,
       CASE WHEN length(held) + {j} + length(p[i + 1]) <= 1000 THEN held || {jo} || p[i + 1] ELSE p[i + 1] END,
@@ -157,12 +157,25 @@ def chunk_sentence(spark, base):
     return chunking.chunks(_docs(spark, base), "sentence")
 
 
-@query()
+_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_HEADING = r"(?m)^(?:#{1,6} .*|\d+\. .*|[A-Z][A-Z ]+:.*)$"
+
+
+@query(
+    _packed_sql(f"list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: {_STRIP.format('x')}), lambda x: x <> '')", "\n\n", f"NOT regexp_matches(text, {_lit(_HEADING)})")
+    + rf""" UNION ALL SELECT doc_id, CAST(i - 1 AS INTEGER), p[i] FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (
+        SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, {_lit(_HEADING)}, '\0' || chr(1), 'g'), chr(1)), lambda x: {_STRIP.format('x')}), lambda x: x <> '') AS p FROM documents WHERE regexp_matches(text, {_lit(_HEADING)})))"""
+)
 def chunk_semantic(spark, base):
     return chunking.chunks(_docs(spark, base), "semantic")
 
 
-@query()
+@query(
+    f"""WITH d AS (SELECT doc_id, {_sanitise_sql()} AS text FROM documents WHERE len({_ERRORS}) = 0),
+    c AS (SELECT doc_id AS document_id, CAST(i AS INTEGER) AS chunk_index, substring(text, i * 800 + 1, 1000) AS content FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 800) AS BIGINT))) AS i FROM d)),
+    s AS (SELECT *, lower(substring(content, 1, 1000)) AS s FROM c), n AS (SELECT *, {_count(lexicon.LANGUAGES['en'])} AS en, {_count(lexicon.LANGUAGES['es'])} AS es, {_count(lexicon.LANGUAGES['fr'])} AS fr FROM s)
+    SELECT document_id, chunk_index, CASE WHEN en > es AND en > fr THEN 'en' WHEN es > fr THEN 'es' WHEN fr > 0 THEN 'fr' ELSE 'unknown' END AS language, CAST(len({_W.format('content')}) AS BIGINT) AS word_count, 384 AS dimension FROM n"""
+)
 def ingest_documents(spark, base):
     return ingest.ingest(_docs(spark, base), size=1000, overlap=200).select("document_id", "chunk_index", "language", "word_count", F.size("embedding").alias("dimension"))
 
@@ -226,7 +239,56 @@ def expand_synonyms(spark, base):
     return _turns(spark, base).select("conv_id", "turn", F.array_join(Q.synonyms(F.col("text")), ",").alias("synonyms"))
 
 
-@query()
+def _looked(x: str, *tables: dict[str, list[str]]) -> str:
+    """All expansions of a word, table after table."""
+    each = ["CASE " + x + " " + " ".join(f"WHEN {_lit(k)} THEN [{', '.join(map(_lit, v))}]" for k, v in table.items()) + " ELSE []::VARCHAR[] END" for table in tables]
+    return f"list_concat({each[0]}, {each[1]})"
+
+
+def _expanded(*tables: dict[str, list[str]]) -> str:
+    return f"flatten(list_transform(w, lambda x: {_looked('x', *tables)}))"
+
+
+def _first(x: str) -> str:
+    return f"list_slice(list_filter({x}, lambda v, i: list_position({x}, v) = i), 1, 10)"
+
+
+def _negations(x: str) -> str:
+    """(term, place, handling) of each negation, as the operator finds them."""
+    found = []
+    for n in lexicon.NEGATIONS:
+        at = f"instr(lower({x}), {_lit(n)})"
+        rest = f"substring(lower({x}), {at} + {len(n)})"
+        term = f"split_part({rest}, ' ', 1)"
+        handling = f"CASE WHEN strlen({term}) < 3 THEN 'keep' WHEN {term} = 'error' THEN 'success' WHEN {term} = 'problem' THEN 'solution' ELSE 'exclude' END"
+        found.append(f"CASE WHEN {at} > 0 AND contains({rest}, ' ') AND {term} <> '' THEN {term} || ':' || ({at} - 1) || ':' || {handling} END")
+    return f"list_filter([{', '.join(found)}], lambda x: x IS NOT NULL)"
+
+
+def _replaced(x: str, table: dict[str, str], to: str) -> str:
+    for k, v in table.items():
+        x = f"regexp_replace({x}, '{chr(92)}b{k}{chr(92)}b', {_lit(to.format(k=k, v=v))}, 'g')"
+    return x
+
+
+_ENHANCED = """CASE WHEN kind = 'Technical' AND contains(low, 'function') THEN text || ' method procedure routine' WHEN kind = 'Technical' AND contains(low, 'error') THEN text || ' exception bug issue problem'
+    WHEN kind = 'Question' AND contains(low, 'how to') THEN text || ' tutorial guide instructions steps' ELSE text END"""
+_EXPANSION = rf"""{_TURNS},
+    e0 AS (SELECT conv_id, turn, text, lower(text) AS low, {_W.format('lower(text)')} AS w, {_W.format('text')} AS wt, {_CLASS} AS kind, {_replaced(_replaced('text', lexicon.SPELLINGS, '{v}'), lexicon.ACRONYMS, '{k} {v}')} AS y,
+      list_filter(list_transform({_W.format('lower(text)')}, lambda w: regexp_replace(w, '[^a-z0-9''-]', '', 'g')), lambda w: w <> '' AND NOT list_contains({_PSTOP}, w)) AS tk FROM u),
+    e1 AS (SELECT *, {_expanded(lexicon.GENERAL_SYNONYMS, lexicon.TECHNICAL_SYNONYMS)} AS s0, {_expanded(lexicon.HYPERNYMS, lexicon.RELATED)} AS m0, {_expanded(lexicon.DOMAIN, lexicon.HIERARCHIES)} AS d0, {_negations('text')} AS neg, {_negations('y')} AS yneg,
+      list_filter([CASE WHEN contains(text, '?') AND trim(replace(text, '?', '')) <> '' THEN trim(replace(text, '?', '')) END, CASE WHEN {_any('low', ['implement', 'create', 'build', 'make'])} AND NOT prefix(low, 'how to') THEN 'how to ' || text END, CASE WHEN NOT prefix(low, 'what is') AND NOT contains(text, '?') THEN 'what is ' || text END], lambda x: x IS NOT NULL) AS alt FROM e0),
+    e2 AS (SELECT *, {_first('s0')} AS syn, {_first('m0')} AS sem, {_first('d0')} AS dom,
+      trim(regexp_replace(replace(replace(y, 'error', CASE WHEN len(list_filter(yneg, lambda x: suffix(x, ':success'))) > 0 THEN 'success' ELSE 'error' END), 'problem', CASE WHEN len(list_filter(yneg, lambda x: suffix(x, ':solution'))) > 0 THEN 'solution' ELSE 'problem' END), '\s+', ' ', 'g')) AS refined FROM e1),
+    e3 AS (SELECT *, least(1, 0.5 + 0.2 * (len(syn) + len(sem)) / 10 + CASE WHEN len(neg) > 0 THEN 0.1 ELSE 0 END + CASE WHEN len(alt) > 0 THEN 0.1 ELSE 0 END) AS expansion,
+      least(1, 0.5 + CASE WHEN strlen(text) > 20 THEN 0.2 ELSE 0 END + CASE WHEN kind = 'Question' AND suffix(text, '?') THEN 0.3 WHEN kind = 'Command' AND prefix(low, 'show') THEN 0.2 WHEN kind = 'Technical' AND contains(low, 'api') THEN 0.2 ELSE 0 END) AS cc FROM e2)"""
+
+
+@query(
+    f"""WITH {_EXPANSION}, t AS (SELECT conv_id, turn, list_distinct(w) AS w, list_filter(syn, lambda x: NOT list_contains(sem, x)) AS s, sem FROM e3)
+    SELECT conv_id, turn, unnest(list_filter(w, lambda x: NOT list_contains(s, x) AND NOT list_contains(sem, x))) AS term, CAST(1.0 AS DOUBLE) AS weight FROM t
+    UNION ALL SELECT conv_id, turn, unnest(s), 0.6 FROM t UNION ALL SELECT conv_id, turn, unnest(sem), 0.48 FROM t"""
+)
 def term_weights(spark, base):
     w = _turns(spark, base).select("conv_id", "turn", F.explode(Q.term_weights(F.col("text"))).alias("term", "weight"))
     return w
@@ -241,23 +303,28 @@ def query_refinement(spark, base):
     return _turns(spark, base).select("conv_id", "turn", F.trim(F.regexp_replace(Q.spelled(x), r"\s+", " ")).alias("spelled"), F.size(Q.alternatives(x)).alias("alternatives"))
 
 
-@query()
+@query(
+    f"""WITH {_EXPANSION} SELECT conv_id, turn, refined, array_to_string(neg, ',') AS negations, array_to_string(syn, ',') AS synonyms, array_to_string(sem, ',') AS semantic, array_to_string(dom, ',') AS domain, array_to_string(alt, '|') AS alternatives,
+    CAST(round(expansion, 6) AS DOUBLE) AS confidence, CAST(round(least(1, 0.1 * len(tk) + CASE WHEN kind = 'Technical' THEN 0.3 ELSE 0 END + 0.2 * len(neg) + 0.1 * len(alt)), 6) AS DOUBLE) AS complexity, {_ENHANCED} AS enhanced,
+    array_to_string(list_filter(list_transform(range(1, len(wt)), lambda i: wt[i] || ' ' || wt[i + 1]), lambda x: regexp_matches(x, '^\\p{{Lu}}\\S* \\p{{Lu}}')), ',') AS entities FROM e3"""
+)
 def query_expansion(spark, base):
     """All stages of expansion side by side."""
     x = F.col("text")
+    negations = F.transform(Q.negations(x), lambda n: F.concat_ws(":", n["term"], n["place"], n["handling"]))
     return _turns(spark, base).select(
         "conv_id",
         "turn",
         Q.refined(x).alias("refined"),
-        Q.negations(x).alias("negations"),
-        Q.synonyms(x).alias("synonyms"),
-        Q.semantic_terms(x).alias("semantic"),
-        Q.domain_terms(x).alias("domain"),
-        Q.alternatives(x).alias("alternatives"),
+        F.array_join(negations, ",").alias("negations"),
+        F.array_join(Q.synonyms(x), ",").alias("synonyms"),
+        F.array_join(Q.semantic_terms(x), ",").alias("semantic"),
+        F.array_join(Q.domain_terms(x), ",").alias("domain"),
+        F.array_join(Q.alternatives(x), "|").alias("alternatives"),
         F.round(Q.expansion_confidence(x), 6).alias("confidence"),
         F.round(Q.complexity_score(x), 6).alias("complexity"),
         Q.enhanced(x, Q.classify(x)).alias("enhanced"),
-        Q.entities(x).alias("entities"),
+        F.array_join(Q.entities(x), ",").alias("entities"),
     )
 
 
@@ -272,12 +339,21 @@ def field_encryption(spark, base):
     return d.select("doc_id", crypto.content_hash(back).alias("hash"), F.col("e.key_version").cast("long").alias("key_version"), (back == F.col("text")).alias("same"))
 
 
-@query()
+@query(
+    f"""WITH {_EXPANSION}, g AS (SELECT *, 0.6 * cc + 0.4 * expansion AS whole, least(0.3, 0.1 * len(syn)) + least(0.2, 0.05 * len(sem)) AS grow FROM e3),
+    c AS (SELECT *, CASE WHEN grow > 0 THEN least(20, CAST(floor(CASE WHEN kind = 'Technical' THEN 5 ELSE 10 END * (1 + grow)) AS INTEGER)) WHEN kind = 'Technical' THEN 5 ELSE 10 END AS c1, CASE WHEN kind = 'Technical' THEN 0.8 ELSE 0.7 END AS t1 FROM g),
+    h AS (SELECT *, CASE WHEN len(neg) > 0 THEN least(0.9, t1 + 0.1) ELSE t1 END AS t2 FROM c), i AS (SELECT *, CASE WHEN expansion < 0.5 THEN least(0.85, t2 + 0.05) ELSE t2 END AS t3 FROM h),
+    r AS (SELECT *, list_filter([CASE WHEN whole < 0.5 THEN 'rephrase' END, CASE WHEN len(tk) < 3 THEN 'add terms' END, CASE WHEN len(syn) + len(sem) = 0 THEN 'expand with synonyms' END, CASE WHEN len(neg) > 0 THEN 'check negations' END, CASE WHEN kind = 'Unknown' THEN 'state the intent' END], lambda x: x IS NOT NULL) AS rec FROM i)
+    SELECT conv_id, turn, CASE WHEN expansion > 0.6 THEN trim(refined || ' ' || array_to_string(list_concat(syn, sem), ' ')) WHEN expansion > 0.4 THEN refined ELSE {_ENHANCED} END AS final_query,
+    CAST(round(CASE WHEN whole < 0.5 THEN greatest(0.5, t3 - 0.1) WHEN whole > 0.8 THEN least(0.9, t3 + 0.05) ELSE t3 END, 6) AS DOUBLE) AS threshold, CASE WHEN whole < 0.5 THEN least(20, c1 + 3) ELSE c1 END AS chunks, kind = 'Question' AS citations,
+    CAST(round(whole, 6) AS DOUBLE) AS confidence, CASE WHEN len(rec) = 0 THEN 'good' ELSE array_to_string(rec, ',') END AS recommendations FROM r"""
+)
 def query_tuning(spark, base):
     """Final query, options, confidence and recommendations of each user turn."""
     r = _turns(spark, base).withColumn("f", Q.facts(F.col("text"))).withColumn("c", Q.confidences(F.col("f")))
     f, c = F.col("f"), F.col("c")
-    return r.select("conv_id", "turn", Q.final_query(f, c).alias("final_query"), Q.tuned_options(f, c).alias("options"), F.round("c.overall", 6).alias("confidence"), Q.recommendations(f, c).alias("recommendations"))
+    r = r.withColumn("o", Q.tuned_options(f, c))
+    return r.select("conv_id", "turn", Q.final_query(f, c).alias("final_query"), "o.threshold", "o.chunks", "o.citations", F.round("c.overall", 6).alias("confidence"), F.array_join(Q.recommendations(f, c), ",").alias("recommendations"))
 
 
 @query("SELECT doc_id, coalesce(CASE WHEN doc_id % 2 = 0 THEN lang END, 'unset') AS language, source, CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 2 END AS n FROM documents")

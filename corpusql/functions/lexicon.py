@@ -115,4 +115,6 @@ MIME = {
     "htm": "text/html",
     "rtf": "application/rtf",
 }
+#: Requests an hour.
+CLIENT_LIMITS = {"ip": 100, "key": 1000, "admin": 10000}
 HISTOGRAM_BOUNDS = [0.001, 0.005, 0.01, 0.05, 0.1, 0.5, 1.0, 5.0, 10.0]

@@ -220,6 +220,17 @@ def once(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def processing_stats(text: Column) -> Column:
+    """Struct of how many words a query has, how many are left as terms, and how many distinct ones."""
+    t = tokens(text)
+    return F.struct(F.size(words(text)).alias("original_terms"), F.size(t).alias("processed_terms"), F.size(F.array_distinct(t)).alias("distinct_terms"))
+
+
+def add_terms(text: Column, terms: Column) -> Column:
+    """The query with further terms after it."""
+    return F.trim(F.concat_ws(" ", text, F.array_join(terms, " ")))
+
+
 def refined(text: Column) -> Column:
     """Spelling, acronyms and negations put right."""
     return once(acronyms(spelled(text)), without_negations)

@@ -8,6 +8,19 @@ from corpusql.functions import lexicon
 from corpusql.functions.text import contains_any, words
 
 
+class Content:
+    """A text with its words and its lower-case form, as columns where they have been made before."""
+
+    def __init__(self, text: Column, words_: Column | None = None, low: Column | None = None):
+        self.text = text
+        self.words = words(text) if words_ is None else words_
+        self.low = F.lower(text) if low is None else low
+
+
+def _of(content: Column | Content) -> Content:
+    return content if isinstance(content, Content) else Content(content)
+
+
 def clamp(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
@@ -18,8 +31,8 @@ def semantic(similarity: Column, a: Column) -> Column:
     return clamp(similarity * by_complexity * by_type)
 
 
-def keyword(base: Column, a: Column, content: Column) -> Column:
-    low = F.lower(content)
+def keyword(base: Column, a: Column, content: Column | Content) -> Column:
+    low = _of(content).low
     terms = a["key_terms"]
     found = F.size(F.filter(terms, lambda t: low.contains(t)))
     boost = F.when(found > 0, 1 + 0.2 * found / F.size(terms)).otherwise(1.0)
@@ -27,18 +40,20 @@ def keyword(base: Column, a: Column, content: Column) -> Column:
     return clamp(base * boost * by_type)
 
 
-def readability(content: Column) -> Column:
-    n = F.size(words(content))
-    sentences = F.size(F.split(content, r"\."))
+def readability(content: Column | Content) -> Column:
+    content = _of(content)
+    n = F.size(content.words)
+    sentences = F.size(F.split(content.text, r"\."))
     return F.when(n == 0, 0.5).otherwise(clamp((206.835 - 1.015 * n / sentences) / 100))
 
 
-def completeness(content: Column) -> Column:
-    n = F.size(words(content))
+def completeness(content: Column | Content) -> Column:
+    n = F.size(_of(content).words)
     return F.when(n <= 20, 0.3).when(n <= 50, 0.6).when(n <= 200, 1.0).when(n <= 500, 0.9).otherwise(0.7)
 
 
-def structure(content: Column) -> Column:
+def structure(content: Column | Content) -> Column:
+    content = _of(content).text
     colons = F.length(content) - F.length(F.replace(content, F.lit(":"), F.lit("")))
     return clamp(
         0.5
@@ -49,14 +64,14 @@ def structure(content: Column) -> Column:
     )
 
 
-def depth(content: Column) -> Column:
-    w = words(content)
-    low = F.lower(content)
+def depth(content: Column | Content) -> Column:
+    content = _of(content)
+    w, low = content.words, content.low
     hints = sum((F.when(low.contains(x), 1).otherwise(0) for x in lexicon.INFORMATIVE), F.lit(0))
     return F.when(F.size(w) == 0, 0.0).otherwise(clamp(F.size(F.array_distinct(w)) / F.size(w) + hints / 10.0))
 
 
-def document_quality(content: Column, authority: Column | None = None) -> Column:
+def document_quality(content: Column | Content, authority: Column | None = None) -> Column:
     authority = F.lit(0.5) if authority is None else authority
     return readability(content) * 0.2 + completeness(content) * 0.3 + F.coalesce(authority, F.lit(0.5)) * 0.3 + structure(content) * 0.1 + depth(content) * 0.1
 
@@ -83,8 +98,8 @@ def context(a: Column, topic: Column, source_type: Column) -> Column:
     return clamp(0.5 + by_topic + by_source)
 
 
-def boost(a: Column, content: Column) -> Column:
-    low = F.lower(content)
+def boost(a: Column, content: Column | Content) -> Column:
+    low = _of(content).low
     out = F.lit(1.0)
     for intent, (factor, hints) in lexicon.BOOSTS.items():
         out = F.when((a["intent"] == intent) & contains_any(low, hints), factor).otherwise(out)
@@ -121,14 +136,51 @@ def recency(created_at: Column, as_of: Column, recent_days: int = 7, recent: flo
     return F.when(d <= recent_days, recent).otherwise(F.greatest(F.pow(F.lit(decay), d), F.lit(0.1)))
 
 
-def signals(semantic_: Column, keyword_: Column, quality_: Column, boost_: Column) -> Column:
+FACTORS = ("semantic similarity", "keyword relevance", "document quality", "content freshness", "context alignment")
+
+
+def signals(semantic_: Column, keyword_: Column, quality_: Column, boost_: Column, freshness_: Column | None = None) -> Column:
     """Struct of what speaks for and against a result."""
     good = [F.when(semantic_ > 0.7, "high semantic similarity"), F.when(keyword_ > 0.6, "strong keyword match"), F.when(quality_ > 0.7, "high quality"), F.when(boost_ > 1.1, "fits the intent")]
-    bad = [F.when(semantic_ < 0.3, "low semantic similarity"), F.when(keyword_ < 0.2, "weak keyword match"), F.when(quality_ < 0.3, "low quality")]
+    bad = [F.when(semantic_ < 0.3, "low semantic similarity"), F.when(keyword_ < 0.2, "weak keyword match")]
+    if freshness_ is not None:
+        bad.append(F.when(freshness_ < 0.3, "may be outdated"))
     return F.struct(F.array_compact(F.array(*good)).alias("positive"), F.array_compact(F.array(*bad)).alias("negative"))
 
 
 def top_factors(named: dict[str, Column], n: int = 3) -> Column:
-    """The names of the ``n`` largest factors."""
-    pairs = F.array(*[F.struct((-v).alias("v"), F.lit(k).alias("k")) for k, v in named.items()])
-    return F.transform(F.slice(F.array_sort(pairs), 1, n), lambda x: x["k"])
+    """The ``n`` largest factors, as ``name: value``; of equal ones that named first."""
+    pairs = F.array(*[F.struct((-v).alias("v"), F.lit(i).alias("i"), F.lit(k).alias("k")) for i, (k, v) in enumerate(named.items())])
+    return F.transform(F.slice(F.array_sort(pairs), 1, n), lambda x: F.format_string("%s: %.3f", x["k"], -x["v"]))
+
+
+def recommended(a: Column, content: Column, quality_: Column, positive: Column) -> Column:
+    """What may give better results."""
+    return F.array_compact(
+        F.array(
+            F.when((a["type"] == "Procedural") & ~F.lower(content).contains("step"), "look for step-by-step instructions"),
+            F.when((a["type"] == "Factual") & (quality_ < 0.5), "look for more authoritative sources"),
+            F.when(F.size(positive) == 0, "refine the query terms"),
+        )
+    )
+
+
+def explanation(a: Column, content: Column, semantic_: Column, keyword_: Column, quality_: Column, freshness_: Column, context_: Column, boost_: Column) -> Column:
+    """Struct of factors, signals for and against, recommendations, and all scores by name."""
+    five = (semantic_, keyword_, quality_, freshness_, context_)
+    s = signals(semantic_, keyword_, quality_, boost_, freshness_)
+    names = ("semantic_score", "keyword_score", "quality_score", "freshness_score", "context_score", "boost_multiplier")
+    return F.struct(
+        top_factors(dict(zip(FACTORS, five))).alias("factors"),
+        s["positive"].alias("positive"),
+        s["negative"].alias("negative"),
+        recommended(a, content, quality_, s["positive"]).alias("recommendations"),
+        F.create_map(*[x for k, v in zip(names, (*five, boost_)) for x in (F.lit(k), v)]).alias("debug"),
+    )
+
+
+def explained(rank: Column, overall_: Column, confidence_: Column, factors: Column, positive: Column, content: Column | Content) -> Column:
+    """Lines that tell a reader why a result stands where it does."""
+    return F.format_string(
+        "Rank %d: overall %.3f (confidence %.3f)\n- factors: %s\n- for it: %s\n- %s...", rank, overall_, confidence_, F.array_join(factors, ", "), F.array_join(positive, ", "), F.substring(content, 1, 100)
+    )

@@ -57,20 +57,117 @@ def language(text: Column, sample: int = 1000) -> Column:
     return F.when((n["en"] > n["es"]) & (n["en"] > n["fr"]), "en").when(n["es"] > n["fr"], "es").when(n["fr"] > 0, "fr").otherwise("unknown")
 
 
+def _quoted(x: Column) -> Column:
+    """Without spaces and then quotation marks at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.trim(x), r'^"+|"+$', ""), r"^'+|'+$", "")
+
+
+def last_wins(entries: Column) -> Column:
+    """A map from an array of (key, value): of several entries with one key the last counts."""
+    keys = F.transform(entries, lambda e: e["key"])
+    kept = F.filter(F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), e["value"].alias("value"), (F.array_position(F.slice(keys, i + 2, F.greatest(F.size(keys) - i - 1, F.lit(0))), e["key"]) == 0).alias("last"))), lambda e: e["last"])
+    return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["key"], e["value"])))
+
+
 def front_matter(text: Column) -> Column:
-    """Map of the ``key: value`` lines between leading ``---`` lines; null without them."""
+    """Map of the ``key: value`` lines between leading ``---`` lines, the last line of a key counting; null without them."""
     block = F.regexp_extract(text, r"^---\n(?s:(.*?))\n---\n", 1)
     pairs = F.filter(F.split(block, "\n"), lambda x: x.contains(":"))
-    entry = lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), F.trim(F.regexp_extract(x, r"^[^:]*:(.*)$", 1)).alias("value"))
-    return F.when(block != "", F.map_from_entries(F.array_distinct(F.transform(pairs, entry))))
+    entry = lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), _quoted(F.regexp_extract(x, r"^[^:]*:(.*)$", 1)).alias("value"))
+    return F.when(block != "", last_wins(F.transform(pairs, entry)))
 
 
-def html_title(html: Column) -> Column:
-    return F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
+def _tags(values: Column) -> Column:
+    return F.when(values.isNotNull(), F.transform(F.split(values, ","), lambda x: F.trim(x))).otherwise(F.array().cast("array<string>"))
+
+
+def record(title: Column | None = None, author: Column | None = None, created: Column | None = None, tags: Column | None = None, category: Column | None = None, n_words: Column | None = None, fields: Column | None = None) -> Column:
+    """The metadata of a document, whatever its format."""
+    null = F.lit(None).cast("string")
+    return F.struct(
+        F.coalesce(title, null).alias("title") if title is not None else null.alias("title"),
+        (author if author is not None else null).alias("author"),
+        (created if created is not None else F.lit(None).cast("timestamp")).alias("created_date"),
+        (tags if tags is not None else F.array().cast("array<string>")).alias("tags"),
+        (category if category is not None else null).alias("category"),
+        (n_words if n_words is not None else F.lit(None).cast("long")).alias("word_count"),
+        (fields if fields is not None else F.create_map().cast("map<string,string>")).alias("custom_fields"),
+    )
+
+
+_KNOWN = ("title", "author", "date", "tags", "category")
+
+
+def markdown_record(text: Column) -> Column:
+    """From front matter: title, author, date (RFC 3339), tags and category by name, all others as custom fields."""
+    m = F.coalesce(front_matter(text), F.create_map().cast("map<string,string>"))
+    low = F.transform_keys(F.map_filter(m, lambda k, v: F.lower(k).isin(list(_KNOWN))), lambda k, v: F.lower(k))
+    get = lambda k: F.try_element_at(low, F.lit(k))
+    title = F.coalesce(get("title"), markdown_title(text))
+    return record(title, get("author"), F.try_to_timestamp(get("date")), _tags(get("tags")), get("category"), word_count(text), F.map_filter(m, lambda k, v: ~F.lower(k).isin(list(_KNOWN))))
+
+
+_META = r"""(?is)<meta\b((?:[^>"']|"[^"]*"|'[^']*')*)>"""
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute in whatever order and quotes; null if it isn't there."""
+    pattern = rf"""(?is)(?:^|[\s"']){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    parts = [F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)]
+    return F.when(tag.rlike(pattern), F.concat(*parts))
+
 
+def html_metas(html: Column) -> Column:
+    """Map of all ``meta`` elements with name and content, names in lower case, the last of a name counting."""
+    tags = F.regexp_extract_all(html, F.lit(_META), F.lit(1))
+    entries = F.transform(tags, lambda t: F.struct(F.lower(_attribute(t, "name")).alias("key"), _attribute(t, "content").alias("value")))
+    return last_wins(F.filter(entries, lambda e: e["key"].isNotNull() & e["value"].isNotNull()))
 
-def html_meta(html: Column, name: str) -> Column:
-    return F.regexp_extract(html, rf"""(?is)<meta\s+name=["']{name}["']\s+content=["'](.*?)["']""", 1)
+
+def html_record(html: Column) -> Column:
+    """From the title and the meta elements: author, keywords as tags, the others as custom fields; words of the text."""
+    m = html_metas(html)
+    get = lambda k: F.try_element_at(m, F.lit(k))
+    return record(F.nullif(html_title(html), F.lit("")), get("author"), None, _tags(get("keywords")), None, word_count(html_text(html)), F.map_filter(m, lambda k, v: ~k.isin("author", "keywords")))
+
+
+def plain_record(text: Column) -> Column:
+    return record(inferred_title(text), n_words=word_count(text))
+
+
+def metadata_record(text: Column, file_type: Column) -> Column:
+    """One record for every format, from the format's own places."""
+    kind = F.lower(file_type)
+    return F.when(kind.isin("md", "markdown"), markdown_record(text)).when(kind.isin("html", "htm"), html_record(text)).otherwise(plain_record(text))
+
+
+def merged_record(a: Column, b: Column) -> Column:
+    """The first's values, where it has none the second's; tags if it has none; custom fields of both, the first's before."""
+    pick = lambda c: F.coalesce(a[c], b[c]).alias(c)
+    fields = F.map_concat(a["custom_fields"], F.map_filter(b["custom_fields"], lambda k, v: ~F.map_contains_key(a["custom_fields"], k)))
+    return F.struct(pick("title"), pick("author"), pick("created_date"), F.when(F.size(a["tags"]) > 0, a["tags"]).otherwise(b["tags"]).alias("tags"), pick("category"), pick("word_count"), fields.alias("custom_fields"))
+
+
+def basic_record(text: Column) -> Column:
+    """Words, and English as the language, for extractors that know no more."""
+    return F.struct(word_count(text).alias("word_count"), F.lit("en").alias("language"))
+
+
+def word_pairs(text: Column) -> Column:
+    """Neighbouring words."""
+    w = words(text)
+    n = F.greatest(F.size(w) - 1, F.lit(0))
+    return F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+
+def named_entities(text: Column) -> Column:
+    """Neighbouring words that both begin with a capital letter, as (text, type, confidence)."""
+    pairs = F.filter(word_pairs(text), lambda p: p["a"].rlike(r"^\p{Lu}") & p["b"].rlike(r"^\p{Lu}"))
+    return F.transform(pairs, lambda p: F.struct(F.concat_ws(" ", p["a"], p["b"]).alias("text"), F.lit("Organization").alias("type"), F.lit(0.7).alias("confidence")))
+
+
+def html_title(html: Column) -> Column:
+    return F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
 def html_text(html: Column) -> Column:

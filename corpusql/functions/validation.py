@@ -68,36 +68,33 @@ def sanitise(text: Column, limits: Limits = Limits()) -> Column:
     return text
 
 
-def top_repetition(w: Column) -> Column:
-    """How often the most frequent word of an array occurs: the longest run once sorted."""
-    state = F.aggregate(
-        F.array_sort(w),
-        F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best")),
-        lambda a, x: F.struct(
-            x.alias("last"),
-            F.when(a["last"] == x, a["run"] + 1).otherwise(1).alias("run"),
-            F.greatest(a["best"], F.when(a["last"] == x, a["run"] + 1).otherwise(1)).alias("best"),
-        ),
-    )
-    return state["best"]
+def repeats(w: Column, most: int) -> Column:
+    """Whether some word of an array occurs more than ``most`` times: once sorted, it stands ``most`` places apart."""
+    n = F.size(w)
+    apart = lambda x: F.exists(F.zip_with(F.slice(x, F.lit(1), n - most), F.slice(x, F.lit(most + 1), n - most), lambda a, b: a == b), lambda same: same)
+    return F.when(n > most, apart(F.array_sort(w))).otherwise(False)
 
 
 def quality(text: Column, limits: Limits = Limits()) -> Column:
     """100 less what repetition, poor vocabulary, sentence length and few letters cost; 0 at least."""
-    w = words(F.lower(text))
-    n = F.size(w)
+    # One element, so that the text is split once.
+    once = F.transform(F.array(words(F.lower(text))), lambda w: F.struct(F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("distinct"), repeats(w, limits.max_repetition).alias("repeats")))
+    w = F.get(once, F.lit(0))
     pieces = F.size(F.split(text, "[.!?]"))
     average = F.floor(F.octet_length(text) / pieces)
     chars = F.length(text)
-    letters = chars - F.length(F.regexp_replace(text, r"\p{L}", ""))
-    score = (
-        F.lit(100.0)
-        - F.when((n > 0) & (top_repetition(w) > limits.max_repetition), 20.0).otherwise(0.0)
-        - F.when((n > 0) & (F.size(F.array_distinct(w)) / n < 0.3), 15.0).otherwise(0.0)
-        - F.when(average > 500, 10.0).when(average < 10, 5.0).otherwise(0.0)
-        - F.when((chars > 0) & (letters / chars < 0.3), 20.0).otherwise(0.0)
-    )
-    return F.greatest(score, F.lit(0.0))
+    letters = chars - F.length(F.regexp_replace(text, r"\p{L}+", ""))
+
+    def score(w: Column) -> Column:
+        return (
+            F.lit(100.0)
+            - F.when(w["repeats"], 20.0).otherwise(0.0)
+            - F.when((w["n"] > 0) & (w["distinct"] / w["n"] < 0.3), 15.0).otherwise(0.0)
+            - F.when(average > 500, 10.0).when(average < 10, 5.0).otherwise(0.0)
+            - F.when((chars > 0) & (letters / chars < 0.3), 20.0).otherwise(0.0)
+        )
+
+    return F.greatest(F.get(F.transform(F.array(w), score), F.lit(0)), F.lit(0.0))
 
 
 def quick_valid(text: Column, limits: Limits = Limits()) -> Column:

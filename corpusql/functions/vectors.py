@@ -59,6 +59,16 @@ def same_size(v: Column, n: int) -> Column:
     return F.when(F.size(v) == n, v).otherwise(F.raise_error(F.concat(F.lit(f"expected {n} values, found "), F.size(v).cast("string"))))
 
 
+def size_issue(v: Column, n: int) -> Column:
+    """What is wrong with the size of a vector, or null."""
+    return F.when(F.size(v) != n, F.concat(F.lit(f"expected {n} values, found "), F.size(v).cast("string")))
+
+
+def of_size(v: Column, n: int) -> Column:
+    """``v`` if it has ``n`` values, null otherwise."""
+    return F.when(F.size(v) == n, v)
+
+
 def mock_embedding(text: Column, n: int = 384) -> Column:
     """A fixed unit vector for each text, for use without a model."""
     raw = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.pmod(F.xxhash64(text, i), F.lit(2000001)) / 1000000.0 - 1.0)

@@ -57,6 +57,32 @@ def audit_report(events: DataFrame) -> DataFrame:
     )
 
 
+def batches(requests: DataFrame, size: int = 50, wait_us: int = 100_000, key: str = "user_id", ts: str = "ts", id_col: str = "event_id") -> DataFrame:
+    """``key, id, batch, place``: requests in batches that close with ``size`` of them, or when one comes ``wait_us`` or more after the first.
+
+    Sequential by nature: a key's requests are read in order of time in Arrow batches with
+    constant state, never as a whole.
+    """
+    rows = requests.select(F.col(key).cast("long").alias("k"), F.col(id_col).cast("long").alias("id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t")).where("k is not null")
+    n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n, "k").sortWithinPartitions("k", "t", "id")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, batch, place, first = None, 0, 0, 0
+        for pdf in frames:
+            out = []
+            for k, i, t in zip(pdf["k"].tolist(), pdf["id"].tolist(), pdf["t"].tolist()):
+                if k != now:
+                    now, batch, place, first = k, 0, 0, t
+                elif place == size or t - first >= wait_us:
+                    batch, place, first = batch + 1, 0, t
+                out.append((k, i, batch, place))
+                place += 1
+            yield pd.DataFrame(out, columns=["k", "id", "batch", "place"])
+
+    return rows.mapInPandas(run, "k long, id long, batch long, place long").withColumnRenamed("k", key).withColumnRenamed("id", id_col)
+
+
 def top_users(events: DataFrame, n: int = 10) -> DataFrame:
     return events.groupBy("user_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "user_id").limit(n)
 
@@ -213,19 +239,93 @@ def counters(points: DataFrame) -> DataFrame:
     return points.groupBy("name", "labels").agg(F.round(F.sum("value"), 6).alias("total"), F.max_by("value", F.struct("ts", "id")).alias("last"))
 
 
+def _running(df: DataFrame, value: str, by: list[str], order: list[str], parts: int = 64) -> DataFrame:
+    """``df`` with ``__n`` and ``__s``: number and sum of the rows up to each, within ``by`` in ``order``.
+
+    The first column of ``order`` is cut into ranges by its quantiles; a key's rows are only
+    ordered within a range, and what comes before the range is added from sums, so few and
+    hot keys are dealt over many tasks.
+    """
+    at = F.col(order[0])
+    at = F.unix_micros(at.cast("timestamp")) if df.schema[order[0]].dataType.typeName().startswith("timestamp") else at
+    cuts = sorted(set(df.agg(F.percentile_approx(at, [i / parts for i in range(1, parts)], 1000)).first()[0] or []))
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>"), lambda c: c < at))
+    cut = df.withColumn("__p", F.when(at.isNull(), -1).otherwise(part)).withColumn("__v", F.col(value).cast("decimal(38,9)"))
+    sums = cut.groupBy(*by, "__p").agg(F.count("__v").alias("__c"), F.sum("__v").alias("__t"))
+    w = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    before = sums.select(*by, "__p", F.coalesce(F.sum("__c").over(w), F.lit(0)).alias("__bn"), F.coalesce(F.sum("__t").over(w), F.lit(0)).alias("__bs"))
+    before = before.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], F.col("__p").alias("__q"), "__bn", "__bs")
+    match = F.col("__p") == F.col("__q")
+    for i, c in enumerate(by):
+        match = match & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    joined = cut.join(before, match).select(*cut.columns, "__bn", "__bs")
+    w = Window.partitionBy(*by, "__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = joined.withColumn("__n", F.col("__bn") + F.count("__v").over(w)).withColumn("__s", F.col("__bs") + F.coalesce(F.sum("__v").over(w), F.lit(0)))
+    return out.drop("__p", "__v", "__bn", "__bs")
+
+
 def running_average(df: DataFrame, value: str, by: list[str], order: list[str]) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("running_avg", F.avg(value).over(w))
+    """``df`` with ``running_avg`` over each key's rows so far."""
+    r = _running(df, value, by, order)
+    return r.withColumn("running_avg", F.when(F.col("__n") > 0, (F.col("__s") / F.col("__n")).cast("double"))).drop("__n", "__s")
 
 
 def moving_average(df: DataFrame, value: str, by: list[str], order: list[str], size: int = 1000) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(1 - size, Window.currentRow)
-    return df.withColumn("moving_avg", F.avg(value).over(w))
+    """``df`` with ``moving_avg`` over each key's last ``size`` values: the difference of two running sums."""
+    r = _running(df, value, by, order)
+    earlier = r.where(F.col(value).isNotNull()).select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(by)], (F.col("__n") + size).alias("__m"), F.col("__s").alias("__e"))
+    match = F.col("__n") == F.col("__m")
+    for i, c in enumerate(by):
+        match = match & F.col(c).eqNullSafe(F.col(f"__{i}"))
+    out = r.join(earlier, match, "left")
+    n = F.least(F.col("__n"), F.lit(size))
+    mean = F.when(n > 0, ((F.col("__s") - F.coalesce("__e", F.lit(0))) / n).cast("double"))
+    return out.withColumn("moving_avg", mean).select(*df.columns, "moving_avg")
+
+
+def prometheus(points: DataFrame, help_text: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """``line``: ``name{labels} value timestamp`` of each point (``name, labels, value, ts``), and for each of ``help_text`` (name -> kind, text) its two leading lines."""
+    labels = F.when(F.size("labels") == 0, "").otherwise(F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), e["value"], F.lit('"'))), ","), F.lit("}")))
+    lines = points.select(F.concat_ws(" ", F.concat("name", labels), F.col("value").cast("string"), F.unix_seconds("ts").cast("string")).alias("line"))
+    if not help_text:
+        return lines
+    head = [(x,) for name, (kind, text) in help_text.items() for x in (f"# HELP {name} {text}", f"# TYPE {name} {kind}")]
+    return points.sparkSession.createDataFrame(head, "line string").unionByName(lines)
+
+
+def metrics_summary(points: DataFrame) -> DataFrame:
+    """One row: points, names, and the span of time."""
+    return points.agg(F.count("*").alias("total_metrics"), F.countDistinct("name").alias("names"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+
+
+def metrics_json(points: DataFrame) -> DataFrame:
+    """``json``: each point as one object."""
+    return points.select(F.to_json(F.struct("name", "labels", "value", F.unix_seconds("ts").alias("timestamp"))).alias("json"))
+
+
+def metrics_html(points: DataFrame) -> DataFrame:
+    """``row``: each point as a row of an HTML table."""
+    return points.select(F.format_string("<tr><td>%s</td><td>%s</td><td>%s</td></tr>", F.col("name"), F.to_json("labels"), F.col("value").cast("string")).alias("row"))
+
+
+def batch_efficiency(requests: DataFrame) -> DataFrame:
+    """One row from ``batch`` (null: alone): requests, batches, mean size of a batch, percent of requests in batches."""
+    n = F.count("batch")
+    return requests.agg(
+        F.count("*").alias("requests"),
+        F.countDistinct("batch").alias("batches"),
+        F.round(F.when(F.countDistinct("batch") > 0, n / F.countDistinct("batch")).otherwise(0.0), 6).alias("mean_size"),
+        F.round(F.when(F.count("*") > 0, 100 * n / F.count("*")).otherwise(0.0), 6).alias("efficiency"),
+    )
 
 
-def prometheus(points: DataFrame) -> DataFrame:
-    """``line``: ``name{label} value`` for each counter."""
-    return points.select(F.format_string('%s{labels="%s"} %s', F.col("name"), F.col("labels"), F.col("total").cast("string")).alias("line"))
+def pool_efficiency(events: DataFrame) -> DataFrame:
+    """One row from ``connection, reused, open``: connections, idle ones, percent of requests that reused one."""
+    return events.agg(
+        F.countDistinct("connection").alias("connections"),
+        F.count_if(~F.col("open")).alias("idle"),
+        F.round(F.when(F.count("*") > 0, 100 * F.count_if("reused") / F.count("*")).otherwise(0.0), 6).alias("efficiency"),
+    )
 
 
 def query_stats(log: DataFrame, slow: float) -> DataFrame:
@@ -249,15 +349,15 @@ def evict(entries: DataFrame, policy: str, keep: int) -> DataFrame:
 def evict_bytes(entries: DataFrame, most_bytes: int, buckets: int = 64) -> DataFrame:
     """The most recently used entries whose sizes sum to ``most_bytes`` at most.
 
-    Sums are first taken over ranges of the last access, so only the range in which the
-    limit falls is ordered as a whole.
+    Sums are first taken over ranges of the last access, cut by its quantiles, so only the
+    range in which the limit falls is ordered as a whole.
     """
-    lo, hi = entries.agg(F.min(F.unix_micros("last_accessed")), F.max(F.unix_micros("last_accessed"))).first()
-    if lo is None:
+    at = F.unix_micros("last_accessed")
+    cuts = sorted(set(entries.agg(F.percentile_approx(at, [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []))
+    if not cuts:
         return entries
-    width = max(1, -(-(hi - lo + 1) // buckets))
-    b = ((F.lit(hi) - F.unix_micros("last_accessed")) / width).cast("long")
-    sized = entries.withColumn("__b", b)
+    # Numbered from the latest range on.
+    sized = entries.withColumn("__b", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c >= at)))
     sums = sized.groupBy("__b").agg(F.sum("size_bytes").alias("__s"))
     before = sums.select("__b", (F.sum("__s").over(Window.orderBy("__b")) - F.col("__s")).alias("__before"))
     w = Window.partitionBy("__b").orderBy(F.desc("last_accessed"), "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -39,15 +39,22 @@ def temporal(df: DataFrame, as_of: Column, most: int = 10, weight: float = 0.1)
     return _ranked(df.withColumn("recency", r).withColumn("final_score", F.col("score") + weight * F.col("recency")), most)
 
 
+def _with_likeness(df: DataFrame, of: Column, likeness: Callable[[Column, Column], Column], pick: Callable[[Column], Column]) -> DataFrame:
+    """``df`` with ``likeness``: the least or largest of ``of`` with the rows before in the query; null for the first.
+
+    A query's ranked rows are few; they meet once in an array, so what made them runs once.
+    """
+    rows = F.struct("rank", of.alias("of"), F.struct(*[F.col(c) for c in df.columns]).alias("row"))
+    listed = df.groupBy("query_id").agg(F.sort_array(F.collect_list(rows)).alias("rs")).select("rs", F.transform("rs", lambda r: r["of"]).alias("all"))
+    scored = F.transform("rs", lambda r, i: F.struct(r["row"].alias("row"), pick(F.transform(F.slice("all", 1, i), lambda y: likeness(r["of"], y))).alias("likeness")))
+    return listed.select(F.explode(scored).alias("r")).select("r.row.*", "r.likeness")
+
+
 def _diverse(df: DataFrame, least: bool = True, threshold: float = 0.85, penalty: float = 0.5) -> DataFrame:
     """``diversity``: 1 less the least (or largest) likeness with the rows before; 1 for the first."""
-    w = df.withColumn("w", F.array_distinct(words(F.col("content"))))
-    before = w.select("query_id", F.col("rank").alias("r2"), F.col("w").alias("w2"))
-    pairs = w.select("query_id", "rank", "w").join(before, "query_id").where("r2 < rank")
-    pick = F.min if least else F.max
-    likeness = pairs.groupBy("query_id", "rank").agg(pick(jaccard(F.col("w"), F.col("w2"))).alias("likeness"))
+    out = _with_likeness(df, F.array_distinct(words(F.col("content"))), jaccard, F.array_min if least else F.array_max)
     d = F.when(F.col("likeness").isNull(), 1.0).otherwise((1 - F.col("likeness")) * F.when(F.col("likeness") > threshold, 1 - penalty).otherwise(1.0))
-    return df.join(likeness, ["query_id", "rank"], "left").withColumn("diversity", d).drop("likeness")
+    return out.withColumn("diversity", d).drop("likeness")
 
 
 def diversity(df: DataFrame, most: int = 10, per_document: int = 3, weight: float = 0.2, least: bool = True) -> DataFrame:
@@ -112,12 +119,27 @@ def mmr(df: DataFrame, alpha: float = 0.5) -> DataFrame:
 
 def diversity_penalty(df: DataFrame, weight: float = 0.3) -> DataFrame:
     """Score less ``weight`` times the largest cosine with a row ranked before; reordered."""
-    before = df.select("query_id", F.col("rank").alias("r2"), F.col("embedding").alias("e2"))
-    pairs = df.select("query_id", "rank", "embedding").join(before, "query_id").where("r2 < rank")
-    most = pairs.groupBy("query_id", "rank").agg(F.max(cosine(F.col("embedding"), F.col("e2"))).alias("m"))
-    return _ranked(df.join(most, ["query_id", "rank"], "left").withColumn("final_score", F.col("score") - weight * F.coalesce("m", F.lit(0.0))).drop("m"), 1 << 30)
+    out = _with_likeness(df, F.col("embedding"), cosine, F.array_max)
+    return _ranked(out.withColumn("final_score", F.col("score") - weight * F.coalesce("likeness", F.lit(0.0))).drop("likeness"), 1 << 30)
 
 
 def rank_changes(df: DataFrame) -> DataFrame:
     """How many rows moved by how many ranks."""
     return df.groupBy((F.col("new_rank") - F.col("rank")).cast("long").alias("rank_change")).agg(F.count("*").alias("n"))
+
+
+def improvement(df: DataFrame, strategy: str) -> DataFrame:
+    """One row: what reranking by ``strategy`` did: queries, rows, rows that rose and fell, mean change of score."""
+    return df.agg(
+        F.lit(strategy).alias("strategy"),
+        F.countDistinct("query_id").alias("queries"),
+        F.count("*").alias("rows"),
+        F.count_if(F.col("new_rank") < F.col("rank")).alias("rose"),
+        F.count_if(F.col("new_rank") > F.col("rank")).alias("fell"),
+        F.round(F.avg(F.col("final_score") - F.col("score")), 6).alias("mean_change"),
+    ).select("strategy", "queries", "rows", "rose", "fell", "mean_change")
+
+
+def applied(df: DataFrame, strategy: str, enabled: bool = True, **options) -> DataFrame:
+    """Reranked by ``strategy``, or, where reranking is off, all rows as they came."""
+    return rerank(df, strategy, **options) if enabled else original(df, 1 << 30)

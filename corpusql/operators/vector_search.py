@@ -1,14 +1,15 @@
 """Exact vector search of many queries at once.
 
-Queries are sent to all executors in blocks of bounded size; each task multiplies Arrow
-batches with the block and keeps the best ``k`` for each query, so what is shuffled is at
-most ``k`` rows a query and task, whatever the number of vectors.
+A block of queries whose size is bounded goes to all executors; each task multiplies Arrow
+batches with it and keeps the best ``k`` for each query, so what is shuffled is at most ``k``
+rows a query and task, whatever the number of vectors.  More queries than one block are
+never collected: queries and vectors are dealt into blocks and each pair of blocks meets in
+one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ def similarity(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return 1 / (1 + out)
 
 
-def search(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "cosine", threshold: float | None = None, digits: int = 9, block: int = 4096, unlike: str | None = None) -> DataFrame:
+def search(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "cosine", threshold: float | None = None, digits: int = 9, block_bytes: int = 32 << 20, unlike: str | None = None) -> DataFrame:
     """``query_id, id, score, rank``: for each query its ``k`` best vectors.
 
     ``unlike``: a column of both tables; vectors that agree with the query in it, and the
@@ -42,62 +43,119 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "c
 
     ``queries``: ``query_id`` (long), ``qv``; ``vectors``: ``id`` (long), ``embedding``.  Scores
     are rounded to ``digits`` before ranking, ties go to the smaller id.  Null vectors, and
-    vectors of another length than the query's, match nothing.
+    vectors of another length than the query's, match nothing.  Queries of ``block_bytes``
+    in all are sent to all executors; of more, see the module.
     """
     if metric not in METRICS:
         raise ValueError(f"no metric {metric!r}")
-    n = queries.where("qv is not null").count()
-    parts = []
-    numbered = queries.where("qv is not null")
-    blocks = max(1, -(-n // block))
-    for b in range(blocks):
-        some = numbered if blocks == 1 else numbered.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        rows = some.select(F.col("query_id").cast("long"), V.doubles(F.col("qv")).alias("qv"), _code(unlike)).collect()  # a block of the given queries
-        parts.append(_block(rows, vectors, k, metric, threshold, digits, unlike))
-    found = reduce(DataFrame.unionByName, parts)
+    q = queries.where("qv is not null").select(F.col("query_id").cast("long").alias("id"), V.doubles(F.col("qv")).alias("v"), _code(unlike))
+    x = vectors.select(F.col("id").cast("long").alias("id"), V.doubles(F.col("embedding")).alias("v"), _code(unlike))
+    size = q.agg(F.sum(8 * F.size("v") + 24)).first()[0] or 0
+    how = (k, metric, threshold, digits, bool(unlike))
+    found = _sent(q, x, how) if size <= block_bytes else _dealt(q, x, how, size, block_bytes)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+FOUND = "query_id long, id long, score double"
+
+
 def _code(unlike: str | None) -> Column:
     return (F.when(F.col(unlike).isNotNull(), F.xxhash64(unlike)) if unlike else F.lit(None).cast("long")).alias("code")
 
 
-def _block(rows: list, vectors: DataFrame, k: int, metric: str, threshold: float | None, digits: int, unlike: str | None) -> DataFrame:
-    by_size: dict[int, tuple[list[int], list[list[float]], list[int | None]]] = {}
-    for r in rows:
-        ids, values, codes = by_size.setdefault(len(r["qv"]), ([], [], []))
-        ids.append(r["query_id"])
-        values.append(r["qv"])
-        codes.append(r["code"])
-    shared = vectors.sparkSession.sparkContext.broadcast({n: (np.array(i, np.int64), np.array(v, np.float64), c) for n, (i, v, c) in by_size.items()})
+def _sent(q: DataFrame, x: DataFrame, how: tuple) -> DataFrame:
+    """One bounded block of queries, sent to all executors."""
+    shared = x.sparkSession.sparkContext.broadcast(q.toArrow())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        best = Best(shared.value, *how)
         for b in batches:
-            sizes = np.asarray(b.column(1).value_lengths().fill_null(-1))
-            ids = np.asarray(b.column(0).fill_null(0)).astype(np.int64)
-            ok = np.asarray(b.column(0).is_valid())
-            code, coded = np.asarray(b.column(2).fill_null(0)).astype(np.int64), np.asarray(b.column(2).is_valid())
-            for n, (qids, q, codes) in shared.value.items():
-                at = np.flatnonzero((sizes == n) & ok)
-                if not len(at):
-                    continue
-                x = np.asarray(b.column(1).take(pa.array(at)).flatten(), np.float64).reshape(len(at), n)
-                s = np.round(similarity(metric, x, q), digits)
-                for j, qid in enumerate(qids.tolist()):
-                    keep = np.arange(len(at)) if threshold is None else np.flatnonzero(s[:, j] >= threshold)
-                    if unlike:
-                        keep = keep[(ids[at[keep]] != qid) & ~(coded[at[keep]] & (code[at[keep]] == codes[j]) if codes[j] is not None else np.zeros(len(keep), bool))]
-                    i, v = ids[at[keep]], s[keep, j]
-                    if qid in best:
-                        i, v = np.concatenate([best[qid][0], i]), np.concatenate([best[qid][1], v])
-                    o = np.lexsort((i, -v))[:k]
-                    best[qid] = i[o], v[o]
-        for qid, (i, v) in best.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), qid, np.int64)), pa.array(i), pa.array(v)], names=["query_id", "id", "score"])
-
-    return vectors.select(F.col("id").cast("long"), F.col("embedding").cast("array<double>"), _code(unlike)).mapInArrow(run, "query_id long, id long, score double")
+            best.see(b.column(0), b.column(1), b.column(2))
+        yield from best.found()
+
+    return x.mapInArrow(run, FOUND)
+
+
+def _dealt(q: DataFrame, x: DataFrame, how: tuple, size: int, block_bytes: int) -> DataFrame:
+    """Blocks of queries and blocks of vectors, each pair of them in one task."""
+    total = x.agg(F.sum(8 * F.size("v") + 24)).first()[0] or 0
+    n, m = -(-size // block_bytes), max(1, -(-total // block_bytes))
+    q = q.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n))).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    x = x.where("id is not null").withColumn("p", F.pmod(F.xxhash64("id"), F.lit(m))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+    def pair(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        best = Best(queries, *how)
+        for b in vectors.to_batches(max_chunksize=10_000):
+            best.see(b.column("id"), b.column("v"), b.column("code"))
+        return pa.Table.from_batches(best.found(), schema=pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())]))
+
+    return q.groupBy("p", "b").cogroup(x.groupBy("p", "b")).applyInArrow(pair, FOUND)
+
+
+class Best:
+    """The best ``k`` vectors so far for each of some queries (``id, v, code``)."""
+
+    CELLS = 1 << 22  # of a matrix of scores
+
+    def __init__(self, queries: pa.Table, k: int, metric: str, threshold: float | None, digits: int, unlike: bool):
+        self.k, self.metric, self.digits, self.unlike = k, metric, digits, unlike
+        v = queries.column("v").combine_chunks()
+        sizes = np.asarray(v.value_lengths())
+        code = queries.column("code").combine_chunks()
+        self.ids = np.asarray(queries.column("id").combine_chunks()).astype(np.int64)
+        self.code, self.coded = np.asarray(code.fill_null(0)).astype(np.int64), np.asarray(code.is_valid())
+        self.by_size = {}
+        for n in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == n)
+            self.by_size[n] = at, np.asarray(v.take(pa.array(at)).flatten(), np.float64).reshape(len(at), n)
+        #: What a score must reach to matter: the threshold, and the k-th best once there are k.
+        self.least = np.full(len(self.ids), -np.inf if threshold is None else threshold)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # query, vector, score
+        self.rows = 0
+
+    def see(self, ids: pa.Array, vectors: pa.Array, code: pa.Array) -> None:
+        sizes = np.asarray(vectors.value_lengths().fill_null(-1))
+        known = np.asarray(ids.is_valid())
+        ids = np.asarray(ids.fill_null(0)).astype(np.int64)
+        coded, code = np.asarray(code.is_valid()), np.asarray(code.fill_null(0)).astype(np.int64)
+        for n, (of, q) in self.by_size.items():
+            rows = np.flatnonzero((sizes == n) & known)
+            step = max(1, self.CELLS // len(of))
+            for a in range(0, len(rows), step):
+                at = rows[a : a + step]
+                x = np.asarray(vectors.take(pa.array(at)).flatten(), np.float64).reshape(len(at), n)
+                s = similarity(self.metric, x, q)
+                np.round(s, self.digits, out=s)
+                keep = s >= self.least[of][None, :]
+                if self.unlike:
+                    keep &= ids[at][:, None] != self.ids[of][None, :]
+                    keep &= ~(coded[at][:, None] & self.coded[of][None, :] & (code[at][:, None] == self.code[of][None, :]))
+                i, j = np.nonzero(keep)
+                self.held.append((of[j], ids[at][i], s[i, j]))
+                self.rows += len(i)
+                if self.rows > max(4 * self.k * len(self.ids), 200_000):
+                    self.prune()
+
+    def prune(self) -> None:
+        """Only the best stay, and what is worse than the k-th of a query no longer comes in."""
+        if not self.held:
+            return
+        q, i, s = (np.concatenate(x) for x in zip(*self.held))
+        order = np.lexsort((i, -s, q))
+        q, i, s = q[order], i[order], s[order]
+        first = np.searchsorted(q, q)
+        place = np.arange(len(q)) - first
+        full = place == self.k - 1
+        self.least[q[full]] = np.maximum(self.least[q[full]], s[full])
+        stay = place < self.k
+        self.held = [(q[stay], i[stay], s[stay])]
+        self.rows = int(stay.sum())
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        self.prune()
+        for q, i, s in self.held:
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[q]), pa.array(i), pa.array(s)], names=["query_id", "id", "score"])
 
 
 def score_pairs(pairs: DataFrame, metric: str = "cosine", out: str = "score") -> DataFrame:

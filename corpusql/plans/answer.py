@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusql.functions import query_text as Q
 from corpusql.functions import relevance as R
 from corpusql.functions.lexicon import PRESETS
+from corpusql.functions.text import words
 from corpusql.operators import answers, bm25
+from corpusql.operators.governance import running_average
 from corpusql.operators.ranking import top
 from corpusql.operators.vector_search import search
 
@@ -47,20 +49,34 @@ def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, options: O
     return top(scored, options.chunks, "score", "id", "query_id")
 
 
-def relevance(queries: DataFrame, ranked: DataFrame, as_of: Column, preset: str = "general") -> DataFrame:
-    """``ranked`` with its five scores, boost, overall relevance and confidence."""
+def relevance(queries: DataFrame, ranked: DataFrame, as_of: Column, preset: str = "general", authority: DataFrame | None = None) -> DataFrame:
+    """``ranked`` with its five scores, boost, overall relevance and confidence.
+
+    ``topic`` and ``source_type`` of the chunk count where it has them; ``authority``
+    (``document_id, authority``) holds what a document's source is worth, 0.5 where it
+    doesn't name it.
+    """
+    for c in ("topic", "source_type"):
+        if c not in ranked.columns:
+            ranked = ranked.withColumn(c, F.lit(None).cast("string"))
+    worth = F.lit(0.5)
+    if authority is not None:
+        ranked = ranked.join(authority.select("document_id", "authority"), "document_id", "left")
+        worth = F.coalesce("authority", F.lit(0.5))
     r = ranked.join(queries.select("query_id", Q.analysis(F.col("text")).alias("analysis")), "query_id")
-    a, content = F.col("analysis"), F.col("content")
+    # Words and lower-case text are made once a row and used by all scores.
+    r = r.withColumns({"__w": words(F.col("content")), "__low": F.lower("content")})
+    a, content = F.col("analysis"), R.Content(F.col("content"), F.col("__w"), F.col("__low"))
     r = r.withColumns(
         {
             "semantic": R.semantic(F.col("vector_score"), a),
             "keyword": R.keyword(F.tanh(F.col("bm25") / 10), a, content),
-            "quality": R.document_quality(content),
+            "quality": R.document_quality(content, worth),
             "freshness": R.freshness(F.col("created_at"), as_of, a),
-            "context": R.context(a, F.lit(None).cast("string"), F.lit(None).cast("string")),
+            "context": R.context(a, F.col("topic"), F.col("source_type")),
             "boost": R.boost(a, content),
         }
-    )
+    ).drop("__w", "__low")
     five = [F.col(c) for c in ("semantic", "keyword", "quality", "freshness", "context")]
     return r.withColumn("overall", R.overall(*five, F.col("boost"), PRESETS[preset])).withColumn("confidence", R.confidence(*five))
 
@@ -83,5 +99,4 @@ def answer(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, options: O
 
 def running_latency(log: DataFrame) -> DataFrame:
     """Mean duration of each query type so far, in order of time."""
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return log.withColumn("mean_so_far", F.avg("value").over(w))
+    return running_average(log, "value", ["event_type"], ["ts", "event_id"]).withColumnRenamed("running_avg", "mean_so_far")

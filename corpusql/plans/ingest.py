@@ -41,5 +41,11 @@ def batch_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def batch_jobs(docs: DataFrame, batch: str, text: str = "text") -> DataFrame:
+    """A job record for each batch: its files, those done and those that failed; one bad file stops no other."""
+    ok = V.quick_valid(F.col(text))
+    return docs.groupBy(batch).agg(F.count("*").alias("files"), F.count_if(ok).alias("done"), F.count_if(~ok).alias("failed"))
+
+
 def progress(chunks_: DataFrame) -> DataFrame:
     return chunks_.groupBy("document_id").agg(F.count("*").alias("chunks"), F.count("embedding").alias("embedded"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -25,3 +28,18 @@ def session(app: str = "corpusql", master: str | None = None, shuffle_partitions
     for k, v in (SETTINGS | settings).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    Where that is unset, a local folder serves if driver and executors are one process;
+    elsewhere it is an error.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="shared-")
+    return f"{at.rstrip('/')}/{what}-{uuid.uuid4().hex}"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 AS_OF = "2024-12-31 00:00:00"
+SOURCE_TYPES = ("tutorial", "solution", "reference", "blog")
 
 
 def read(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -12,7 +13,11 @@ def read(spark: SparkSession, base: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, base: str) -> DataFrame:
-    """``id, document_id, content, category, tags, metadata, created_at``: a document is one chunk."""
+    """``id, document_id, content, category, tags, metadata, created_at, topic, source_type``: a document is one chunk.
+
+    Its first 60 characters stand for its topic, and its number gives it a type of source
+    (every fifth has none).
+    """
     d = read(spark, base, "documents")
     created = F.timestamp_add("DAY", F.pmod("doc_id", F.lit(365)).cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp"))
     return d.select(
@@ -23,6 +28,8 @@ def documents(spark: SparkSession, base: str) -> DataFrame:
         F.array("source", "lang").alias("tags"),
         F.to_json(F.struct("lang", "source")).alias("metadata"),
         created.alias("created_at"),
+        F.substring("text", 1, 60).alias("topic"),
+        F.try_element_at(F.array(*[F.lit(x) for x in SOURCE_TYPES]), F.pmod("doc_id", F.lit(5)).cast("int") + 1).alias("source_type"),
     )
 
 
@@ -36,8 +43,15 @@ def queries(spark: SparkSession, base: str) -> DataFrame:
     return b.join(vectors(spark, base).select(F.col("id").alias("query_id"), F.col("embedding").alias("qv")), "query_id")
 
 
-def upsert(old: DataFrame, new: DataFrame, *key: str) -> DataFrame:
-    """``old`` with the rows of ``new`` in place of those with their keys; the last of several new ones is not chosen, so keys of ``new`` must be unique."""
+def upsert(old: DataFrame, new: DataFrame, *key: str, order: str | None = None) -> DataFrame:
+    """``old`` with the rows of ``new`` in place of those with their keys.
+
+    With ``order``, a column of ``new`` that is not kept, the last of several rows with one
+    key counts; without it keys of ``new`` must be unique.
+    """
+    if order is not None:
+        rest = [c for c in new.columns if c not in (*key, order)]
+        new = new.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("__l")).select(*key, *[F.col(f"__l.{c}").alias(c) for c in rest])
     return old.join(new.select(*key), list(key), "left_anti").unionByName(new, allowMissingColumns=True)
 
 

@@ -72,3 +72,10 @@ def rate_limited(events: DataFrame, limit: int, seconds: int) -> DataFrame:
 def append_audit(events: DataFrame, path: str, checkpoint: str, every: str = "5 seconds"):
     """A query that appends events as JSON lines, batch by batch."""
     return events.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(processingTime=every).start()
+
+
+def run_to_table(counts: DataFrame, path: str) -> None:
+    """Bring a stream of aggregates to its end; each micro-batch replaces the table at ``path``/table by what holds then."""
+    write = lambda df, _: df.write.mode("overwrite").parquet(f"{path}/table")
+    q = counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
