@@ -3,11 +3,21 @@
 The pages of a host are merged into one tree: a node is a path of elements (name, id and
 classes, digits masked), and for every node the tree counts which children it has shown
 (its presentation) and which texts it has held (its content), over distinct pages.  The
-importance of a node is the larger entropy of the two, normalised by the number of pages:
-0 where all pages show the same, 1 where all differ.  Branches of low importance are taken
-out of each page.  What the mark-up itself says stands above entropy: an article is kept
-whatever its pages have in common, menus, footers, asides, forms and the like go however
-varied they are.
+entropy of a node is the larger of the two, normalised by the number of pages: 0 where all
+pages show the same, 1 where all differ.
+
+What mark-up says of a node (an article; a menu, footer, form or advert by its element or
+name; text beside an article) is a prior in the units of that evidence, weighed as a number
+of pages, and importance is the mean of both:
+
+    importance = (w * prior + pages * entropy) / (w + pages)
+
+``w`` grows with the pages, so that mark-up isn't outvoted by mere numbers, but how fast
+depends on which part of a page's text the node holds (``importance`` has the formula).  So
+an aside that differs on every page stays out, but a branch that only has the name of one
+and holds most of what varies comes in; a part of an article that all pages repeat goes,
+but not the bulk of its text.  Branches whose importance is under one half are taken out of
+each page, and nothing else decides: mark-up acts through the tree.
 
 Pages are parsed twice and never grouped: what the first pass sends is a row for each node
 of a page, summed up before it is dealt out by host, node and content.
@@ -22,14 +32,15 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusql.llm.common import fits, materialise
 
 # Elements by what they are.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe xmp noembed noframes svg math canvas object".split())
-DROPPED = RAW | frozenset("head title nav footer aside form button select option optgroup textarea input label datalist dialog menu audio video map area".split())
+UNSEEN = RAW | frozenset(("head", "title"))
+ASIDES = frozenset("nav footer aside form button select option optgroup textarea input label datalist dialog menu audio video map area".split())
 MAIN = frozenset(("article", "main"))
 BLOCKS = frozenset("address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 #: An opening tag ends an open element of its kind; inside the second set it doesn't reach further up.
@@ -47,7 +58,7 @@ CLOSES = {
 }
 #: Block elements that end an open paragraph.
 ENDS_P = BLOCKS - frozenset("body html td th tr tbody thead tfoot caption legend summary".split())
-#: Words of class, id and role that name what is not the article.
+#: Words of class, id and role that name what is not the article: a prior, as the elements in ASIDES are.
 ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot banner sponsor sponsors sponsored promo promotion promotions "
     "cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login "
@@ -74,16 +85,18 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 @dataclass(slots=True)
 class Node:
     tag: str
-    path: str  # of the style tree
-    verdict: int  # 1 kept as main content, -1 dropped by mark-up, 0 left to importance
-    main: bool  # inside an article
-
-
-def _says(tag: str, attributes: str, above: Node) -> tuple[int, bool, str]:
-    """What the mark-up says about an element, whether it is in an article, and its name in the tree."""
-    main = above.main
-    name = tag
-    hidden = False
+    path: str  # of the style tree; of an element that is no branch, its parent's
+    above: "Node | None"
+    branch: bool  # a block, or an element that mark-up names: a node of the tree
+    aside: bool  # mark-up names it as no part of the article
+    under: bool  # it or an element above it is an aside
+    main: bool  # inside an article and not under an aside
+    unseen: bool  # never shown
+
+
+def _says(tag: str, attributes: str, above: Node) -> Node:
+    """The node of an opening tag."""
+    main, name, hidden = above.main, tag, False
     words: set[str] = set()
     if attributes:
         for m in _ATTRIBUTE.finditer(attributes):
@@ -99,22 +112,19 @@ def _says(tag: str, attributes: str, above: Node) -> tuple[int, bool, str]:
                 words.update(_WORD.findall(low))
                 if key != "itemprop":
                     name += ("#" if key == "id" else "." if key == "class" else "@") + _DIGITS.sub("9", low.strip()).replace("/", "_")
-    if above.verdict < 0 or tag in DROPPED or hidden:
-        return -1, main, name
     named = words & ASIDE_WORDS
     if above.main:
         named -= OUTSIDE_ONLY
-    if named and tag not in ("body", "html", "main") and not (tag == "article" and named <= OUTSIDE_ONLY):
-        return -1, main, name
-    if tag == "header" and not above.main:
-        return -1, main, name
-    main = main or tag in MAIN
-    return (1 if main else 0), main, name
+    aside = tag in ASIDES or tag == "header" and not above.main
+    aside |= bool(named) and tag not in ("body", "html", "main") and not (tag == "article" and named <= OUTSIDE_ONLY)
+    under = above.under or aside
+    branch = aside or tag in BLOCKS
+    return Node(tag, f"{above.path}/{name}" if branch else above.path, above, branch, aside, under, (main or tag in MAIN) and not under, above.unseen or tag in UNSEEN or hidden)
 
 
 def parse(page: str) -> Iterator[tuple[str, Node | None, str]]:
     """``("open", node, "")``, ``("close", node, "")``, ``("text", node, text)``, ``("break", node, "")`` in page order."""
-    root = Node("", "", 0, False)
+    root = Node("", "", None, False, False, False, False, False)
     stack = [root]
     at, n = 0, len(page)
 
@@ -161,8 +171,7 @@ def parse(page: str) -> Iterator[tuple[str, Node | None, str]]:
             if tag in ("br", "hr", "wbr", "img"):
                 yield "break", above, tag
             continue
-        verdict, main, name = _says(tag, m[3], above)
-        node = Node(tag, f"{above.path}/{name}", verdict, main)
+        node = _says(tag, m[3], above)
         yield "open", node, ""
         if tag in _END_RAW and not m[3].endswith("/"):
             end = _END_RAW[tag].search(page, at)
@@ -182,84 +191,90 @@ def clean(text: str) -> str:
     return _SPACES.sub(" ", text).strip()
 
 
-def extract(page: str | None, low: frozenset[str] | set[str] = frozenset()) -> str:
-    """The main text: blocks in page order, joined by blank lines.
+def has_article(events: list[tuple[str, Node, str]]) -> bool:
+    return any(kind == "text" and node.main and not node.unseen and text.strip() for kind, node, text in events)
 
-    ``low``: paths of the host's branches of low importance.  With an article in the page
-    only articles count; without one, all that neither mark-up nor importance takes out.
-    """
+
+def extract(page: str | None, low: frozenset[str] | set[str] = frozenset()) -> str:
+    """The text of all branches but ``low`` (paths of the host's tree): blocks in page order, joined by blank lines."""
     if not page:
         return ""
-    blocks: list[tuple[bool, str]] = []
+    events = list(parse(page))
+    article = has_article(events)
+    blocks: list[str] = []
     held: list[str] = []
-    held_main = False
 
     def flush() -> None:
-        nonlocal held_main
         if held:
             text = clean(htmllib.unescape("".join(held)))
             if text:
-                blocks.append((held_main, text))
+                blocks.append(text)
             held.clear()
-        held_main = False
 
-    gone = 0  # depth of low branches that are open
-    for kind, node, text in parse(page):
-        if kind == "open":
-            if node.tag in BLOCKS:
-                flush()
-            if not node.main and node.path in low:
-                gone += 1
-        elif kind == "close":
-            if node.tag in BLOCKS:
-                flush()
-            if not node.main and node.path in low:
-                gone -= 1
+    gone = 0  # low branches that are open
+    for kind, node, text in events:
+        if kind == "text":
+            if not gone and not node.unseen and not (article and not node.main and f"{node.path}/{BESIDE}" in low):
+                held.append(text)
         elif kind == "break":
             if text == "hr":
                 flush()
             elif text == "br":
                 held.append(" ")
-        elif node.verdict >= 0 and not (gone and not node.main):
-            held.append(text)
-            held_main |= node.main
+        else:
+            if node.tag in BLOCKS:
+                flush()
+            if node.branch and node.path in low:
+                gone += 1 if kind == "open" else -1
     flush()
-    if any(main for main, _ in blocks):
-        return "\n\n".join(t for main, t in blocks if main)
-    return "\n\n".join(t for _, t in blocks)
+    return "\n\n".join(blocks)
+
 
+#: The last step in the path of text that stands outside the article in a page that has one.
+BESIDE = "#beside"
+#: Priors: that a branch is main text, as mark-up has it.
+IN_ARTICLE, OPEN, NAMED_ASIDE = 1.0, 0.75, 0.0
 
-def nodes_of(page: str) -> dict[str, tuple[int, int]]:
-    """For each path of a page the hashes of its presentation and of its content.
 
-    Same-path siblings are one node; branches that mark-up decides on are left out below
-    their top, as are plain inline elements.
+def nodes_of(page: str) -> list[tuple[str, int, int, float, float]]:
+    """Of each node of a page with text: path, hashes of presentation and content, prior, share of the page's characters.
+
+    Same-path siblings are one node; plain inline elements are part of the block they are in.
     """
+    events = list(parse(page))
+    article = has_article(events)
     shown: dict[str, list[str]] = {}
-    held: dict[str, list[str]] = {}
-    open_: list[str] = []
-    for kind, node, text in parse(page):
-        if node.verdict != 0:
-            if kind == "open" and open_:
-                shown[open_[-1]].append(node.tag)
-            continue
-        if kind == "open":
-            if open_:
-                shown[open_[-1]].append(node.path.rsplit("/", 1)[1])
-            open_.append(node.path)
-            shown.setdefault(node.path, [])
-            held.setdefault(node.path, [])
-        elif kind == "close":
-            if open_ and open_[-1] == node.path:
-                open_.pop()
-        elif kind == "text":
+    held: dict[str, xxhash.xxh64] = {}
+    chars: dict[str, int] = {}
+    prior: dict[str, float] = {}
+    total = 0
+    for kind, node, text in events:
+        if kind == "open" and not node.unseen:
+            up = node.above.path
+            if up:
+                shown.setdefault(up, []).append(node.path.rsplit("/", 1)[1] if node.branch else node.tag)
+        elif kind == "text" and not node.unseen:
             t = clean(htmllib.unescape(text))
-            if t:
-                for p in open_:
-                    held[p].append(t)
-    h = xxhash.xxh64_intdigest
+            if not t:
+                continue
+            total += len(t)
+            paths = {f"{node.path}/{BESIDE}": NAMED_ASIDE} if article and not node.main else {}
+            at = node
+            while at.above is not None:
+                if at.branch:
+                    paths[at.path] = NAMED_ASIDE if at.aside else IN_ARTICLE if article and not at.under else OPEN
+                at = at.above
+            raw = t.encode()
+            for p, x in paths.items():
+                h = held.get(p)
+                if h is None:
+                    h = held[p] = xxhash.xxh64()
+                    prior[p] = x
+                h.update(raw)
+                h.update(b"\n")
+                chars[p] = chars.get(p, 0) + len(t)
     signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
-    return {p: (signed(h(" ".join(shown[p]))), signed(h("\n".join(held[p])))) for p in shown if held[p]}
+    return [(p, signed(xxhash.xxh64_intdigest(" ".join(shown.get(p, ())))), signed(h.intdigest()), prior[p], chars[p] / total) for p, h in held.items()]
 
 
 def host_of(url):
@@ -267,55 +282,96 @@ def host_of(url):
     return F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
 
 
-def style_tree(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host, path, pages, style, content, importance`` for each node of each host's tree.
+NODE = "host string, path string, style long, content long, prior double, share double, page long"
 
-    ``style`` and ``content`` are the entropies over the host's distinct pages, ``importance``
-    the larger; a node seen on one page has importance 1.
-    """
+
+def _nodes(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    """A row for each node of each page."""
     rows = pages.select(host_of(F.col(f"`{url_col}`").cast("string")).alias("host"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"))
     rows = rows.select("host", "html", F.xxhash64("html").alias("page"))
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+    names = [x.split()[0] for x in NODE.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple] = []
-            for host, page, h in zip(*(c.to_pylist() for c in b.columns)):
-                out += [(host, p, s, c, h) for p, (s, c) in nodes_of(page).items()]
+            out = [(host, *node, h) for host, page, h in zip(*(c.to_pylist() for c in b.columns)) for node in nodes_of(page)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["host", "path", "style", "content", "page"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+
+    return rows.mapInArrow(run, NODE)
+
+
+def importance(pages: Column, entropy: Column, prior: Column, share: Column) -> Column:
+    """The mean of prior and entropy, the prior weighed as a number of pages.
+
+    It weighs 8 pages, and besides: where it speaks for the branch, 4 for each page, by how
+    sure it is and by the share of a page's text that the branch holds; where it speaks
+    against, 2 for each page, by how sure it is and by the share that it doesn't hold.
+    """
+    sure = F.abs(2 * prior - 1)
+    w = 8 + pages * F.when(prior >= 0.5, 4 * sure * share).otherwise(2 * sure * (1 - share))
+    return (w * prior + pages * entropy) / (w + pages)
+
 
-    seen = rows.mapInArrow(run, "host string, path string, style long, content long, page long")
+def style_tree(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``host, path, pages, style, content, prior, share, importance`` for each node of each host's tree.
+
+    ``style`` and ``content`` are the entropies over the host's distinct pages (1 for a node
+    seen on one page), ``prior`` and ``share`` means over them.
+    """
+    seen = _nodes(pages, url_col, html_col)
     # Copies of a page count once; then each (node, feature) is one row with its count.
-    seen = seen.groupBy("host", "path", "style", "content", "page").agg(F.lit(1).alias("one"))
-    pair = seen.groupBy("host", "path", "style", "content").agg(F.count("*").alias("n"))
-    styles = pair.groupBy("host", "path", "style").agg(F.sum("n").alias("n")).groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.ln("n")).alias("l"))
+    seen = seen.groupBy("host", "path", "style", "content", "page").agg(F.first("prior").alias("prior"), F.first("share").alias("share"))
+    pair = seen.groupBy("host", "path", "style", "content").agg(F.count("*").alias("n"), F.sum("prior").alias("prior"), F.sum("share").alias("share"))
+    styles = pair.groupBy("host", "path", "style").agg(F.sum("n").alias("n"), F.sum("prior").alias("prior"), F.sum("share").alias("share"))
+    styles = styles.groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.ln("n")).alias("l"), F.sum("prior").alias("prior"), F.sum("share").alias("share"))
     contents = pair.groupBy("host", "path", "content").agg(F.sum("n").alias("n")).groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.ln("n")).alias("l"))
     entropy = F.when(F.col("m") > 1, (F.ln("m") - F.col("l") / F.col("m")) / F.ln("m")).otherwise(1.0)
-    s = styles.select("host", "path", F.col("m").alias("pages"), entropy.alias("style"))
+    s = styles.select("host", "path", F.col("m").alias("pages"), entropy.alias("style"), (F.col("prior") / F.col("m")).alias("prior"), (F.col("share") / F.col("m")).alias("share"))
     c = contents.select("host", "path", entropy.alias("content"))
-    return s.join(c, ["host", "path"]).withColumn("importance", F.greatest("style", "content"))
+    tree = s.join(c, ["host", "path"]).select("host", "path", "pages", "style", "content", "prior", "share")
+    return tree.withColumn("importance", importance(F.col("pages"), F.greatest("style", "content"), F.col("prior"), F.col("share")))
 
 
-def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 5, threshold: float = 0.3, broadcast_bytes: int = 16 << 20) -> DataFrame:
+def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 0.5, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """One row a page: ``page_id, url, text, n_chars`` (code points), ``text`` empty if there is none.
 
-    A branch outside articles goes if its importance is under ``threshold`` on a host with
-    at least ``least_pages`` distinct pages that have it.  The table of such branches, one
-    row a host, is sent to all executors if it is within ``broadcast_bytes`` and joined by
-    host otherwise.  Null and empty pages have no text, null urls are one host, equal rows
-    give equal rows; other columns are not read.
+    Branches of importance under ``threshold`` go.  The table of their paths is sent to all
+    executors if it is within ``broadcast_bytes``; else each page's own paths are joined with
+    it and only those that it has are listed beside the page, so no list is longer than a
+    page.  Null and empty pages have no text, null urls are one host, equal rows give equal
+    rows; other columns are not read.
     """
+    spark = pages.sparkSession
     tree = style_tree(pages, url_col=url_col, html_col=html_col)
-    low = tree.where((F.col("pages") >= least_pages) & (F.col("importance") < threshold))
-    low = materialise(low.groupBy("host").agg(F.collect_list("path").alias("low")), "style-tree")
-    small = fits(low, F.octet_length("host") + F.octet_length(F.array_join("low", ",")) + 16, broadcast_bytes)
-    rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
-    rows = rows.withColumn("host", host_of(F.col("url").cast("string"))).join(F.broadcast(low) if small else low, "host", "left").select("page_id", "url", "html", "low")
+    low = materialise(tree.where(F.col("importance") < threshold).select("host", "path"), "style-tree")
+    html = F.col(f"`{html_col}`").cast("string")
+    rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), html.alias("html"), host_of(F.col(f"`{url_col}`").cast("string")).alias("host"))
     kinds = [f.dataType.simpleString() for f in rows.schema.fields[:2]]
+    schema = f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def texts(b: pa.RecordBatch, lows) -> pa.RecordBatch:
+        found = [extract(h, x) for h, x in zip(b.column(2).to_pylist(), lows)]
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    if fits(low, F.octet_length("host") + F.octet_length("path") + 64, broadcast_bytes):
+        by_host: dict[str, set[str]] = {}
+        for r in low.collect():  # within broadcast_bytes
+            by_host.setdefault(r["host"], set()).add(r["path"])
+        shared = spark.sparkContext.broadcast(by_host)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield texts(b, (shared.value.get(h, frozenset()) for h in b.column(3).to_pylist()))
+
+        return rows.mapInArrow(run, schema)
+
+    own = _nodes(pages, url_col, html_col).select("host", "path", "page").distinct()
+    listed = own.join(low, ["host", "path"]).groupBy("host", "page").agg(F.collect_list("path").alias("low"))
+    rows = rows.withColumn("page", F.xxhash64(F.coalesce("html", F.lit("")))).join(listed, ["host", "page"], "left").select("page_id", "url", "html", "low")
+
+    def run_listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [extract(h, set(paths or ())) for h, paths in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            yield texts(b, (set(x or ()) for x in b.column(3).to_pylist()))
 
-    return rows.mapInArrow(run, f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars long")
+    return rows.mapInArrow(run_listed, schema)

@@ -1,26 +1,31 @@
 """The operators against brute force on small tables with the awkward cases in them."""
 
 import hashlib
+import html as htmllib
 import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import DATA, same
+from pyspark.sql import functions as F
 
 from corpusql.llm import queries as Q
 from corpusql.llm.decontaminate import decontaminate
-from corpusql.llm.html import extract, extract_pages, style_tree
+from corpusql.llm.html import ASIDE_WORDS, ASIDES, BLOCKS, OUTSIDE_ONLY, VOID, extract, extract_pages, nodes_of, style_tree
 from corpusql.llm.line_dedup import line_dedup
-from corpusql.llm.lm_score import huffman, score_documents
+from corpusql.llm.lm_score import Settings, Where, model_of, prefix_code, score_documents, training_counts, vocabulary, write_tables
 from corpusql.llm.near_dedup import components, near_duplicates
 from corpusql.llm.packing import pack_documents, padding
 from corpusql.llm.quality import quality_rules
 from corpusql.llm.secrets import COMPLETE, KINDS, PATTERNS, scan
 from corpusql.llm.token_files import token_table
+from corpusql.llm.vectext import SPACED_LOWER, blocks
 from corpusql.llm.warc import archive_table, build_dictionary, parse as parse_archive, write_archives
 
 SPACED, ALNUM = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -123,23 +128,161 @@ def test_many_findings_in_one_text(spark):
 # 2
 
 
+class Plain(HTMLParser):
+    """Well-formed pages by the standard library's parser: (path, prior facts, text) of each text, and children."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.texts, self.shown = [], [], defaultdict(list)
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        words = " ".join(v or "" for k, v in attrs if k in ("class", "id")).lower()
+        name = tag + "".join(("#" if k == "id" else ".") + re.sub(r"\d+", "9", v) for k, v in attrs if k in ("class", "id"))
+        up = self.stack[-1] if self.stack else ("", False, False, False, False)
+        aside = tag in ASIDES or tag == "header" and not up[3] or bool(set(re.findall("[a-z]+", words)) & (ASIDE_WORDS - (OUTSIDE_ONLY if up[3] else set())))
+        branch = aside or tag in BLOCKS
+        under = up[2] or aside
+        if up[0] and not up[4]:
+            self.shown[up[0]].append(name if branch else tag)
+        if tag in VOID:
+            return
+        self.stack.append((f"{up[0]}/{name}" if branch else up[0], aside, under, (up[3] or tag in ("article", "main")) and not under, up[4] or tag in ("script", "style", "head", "title"), tag, branch))
+
+    def handle_endtag(self, tag):
+        while self.stack and self.stack.pop()[5] != tag:
+            pass
+
+    def handle_data(self, text):
+        if self.stack and not self.stack[-1][4] and text.strip():
+            self.texts.append((list(self.stack), " ".join(text.split())))
+
+
+class BruteTree:
+    """Entropy and prior of each node of one host, in dictionaries."""
+
+    def __init__(self, pages):
+        self.m, self.styles, self.contents, self.prior, self.share = Counter(), defaultdict(Counter), defaultdict(Counter), Counter(), Counter()
+        for page in set(pages):
+            p = Plain(page)
+            article = any(s[-1][3] for s, _ in p.texts)
+            held, prior = defaultdict(list), {}
+            for stack, t in p.texts:
+                at = {x[0]: (0.0 if x[1] else 1.0 if article and not x[2] else 0.75) for x in reversed(stack) if x[6]}
+                if article and not stack[-1][3]:
+                    at[stack[-1][0] + "/#beside"] = 0.0
+                for path, x in at.items():
+                    held[path].append(t)
+                    prior.setdefault(path, x)
+            total = sum(len(t) for _, t in p.texts)
+            for path, ts in held.items():
+                self.m[path] += 1
+                self.styles[path][tuple(p.shown[path])] += 1
+                self.contents[path][tuple(ts)] += 1
+                self.prior[path] += prior[path]
+                self.share[path] += sum(map(len, ts)) / total
+
+    def importance(self, path):
+        m = self.m[path]
+        entropy = lambda c: 1.0 if m == 1 else -sum(n / m * math.log(n / m) for n in c.values()) / math.log(m)
+        p, s = self.prior[path] / m, self.share[path] / m
+        w = 8 + m * (4 * (2 * p - 1) * s if p >= 0.5 else 2 * (1 - 2 * p) * (1 - s))
+        return (w * p + m * max(entropy(self.styles[path]), entropy(self.contents[path]))) / (w + m)
+
+    def low(self):
+        return {x for x in self.m if self.importance(x) < 0.5}
+
+    def text(self, page):
+        p, low, blocks, last = Plain(page), self.low(), [], None
+        article = any(s[-1][3] for s, _ in p.texts)
+        for stack, t in p.texts:
+            if any(x[0] in low for x in stack) or article and not stack[-1][3] and stack[-1][0] + "/#beside" in low:
+                continue
+            block = [x for x in stack if x[5] in BLOCKS][-1:]
+            assert block
+            blocks.append(t)
+        return "\n\n".join(blocks)
+
+
+def host_pages(rng, n):
+    """Pages of one host: each text in a block of its own, so that blocks are texts."""
+    pool = [" ".join(rng.choice("red green blue fish bird tree".split()) for _ in range(5)) for _ in range(7)]
+    own = lambda k: " ".join(str(rng.random())[2:9] for _ in range(k))
+    kind = rng.randrange(4)
+    pages = []
+    for i in range(n):
+        head = f"<head><title>T{i}</title><script>x</script></head>"
+        ps = "".join(f"<p>{own(12)}</p>" for _ in range(rng.randint(1, 4)))
+        nav, ad, foot = f"<nav><ul><li>{pool[i % 5]}</li><li>Home</li></ul></nav>", f'<div class="ad">{rng.choice(pool)}</div>', f"<footer>Imprint {i % 2}</footer>"
+        if kind == 0:
+            body = f"{nav}{ad}<article><h1>{own(2)}</h1>{ps}<div class=x9>Share this page</div></article><div>{rng.choice(pool)}</div>{foot}"
+        elif kind == 1:  # no article; what all pages share has no name
+            body = f"<div class=top>Welcome to the site</div><div class=body>{ps}</div><div class=end>Bye</div>{foot}"
+        elif kind == 2:  # an aside in name only
+            body = f'<div class="with sidebar layout">{nav}<h1>{own(2)}</h1>{ps}</div>{foot}'
+        else:  # comments differ on each page
+            body = f"<article><h1>{own(2)}</h1>{ps}</article><section class=comments><p>{own(6)}</p></section>{ad}"
+        pages.append(f"<html>{head}<body>{body}</body></html>")
+    return kind, pages
+
+
+def test_pages_against_a_brute_force_tree(spark):
+    rng = random.Random(11)
+    hosts = [host_pages(rng, n) for n in (1, 2, 3, 6, 12, 30, 30, 30, 30, 60, 60, 60)]
+    rows = [(100 * h + i, f"http://h{h}.example/{i}", page) for h, (_, pages) in enumerate(hosts) for i, page in enumerate(pages)]
+    rows += [(9000 + i, u, page) for i, u, page in rows[::7]]  # copies count once
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    trees = {f"h{h}.example": BruteTree(pages) for h, (_, pages) in enumerate(hosts)}
+    want = {i: trees[u.split("/")[2]].text(page) for i, u, page in rows}
+    for options in ({}, {"broadcast_bytes": 0}):
+        assert {r.page_id: r.text for r in extract_pages(df, **options).collect()} == want
+    tree = style_tree(df).collect()
+    assert len(tree) == sum(len(t.m) for t in trees.values())
+    assert all(r.importance == pytest.approx(trees[r.host].importance(r.path)) for r in tree)
+    for h, (kind, pages) in enumerate(hosts):
+        if len(pages) >= 30:
+            shown = want[100 * h]
+            assert "Imprint" not in shown and "Home" not in shown and "Share" not in shown and "Welcome" not in shown and "Bye" not in shown
+            assert len(shown.split("\n\n")) == pages[0].count("<p>") - (kind == 3) + (kind != 1)
+
+
+def test_the_tree_decides(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").collect()
+    low = defaultdict(set)
+    for r in style_tree(spark.read.parquet(f"{DATA}/pages.parquet")).where("importance < 0.5").collect():
+        low[r.host].add(r.path)
+    every = {r.path for r in style_tree(spark.read.parquet(f"{DATA}/pages.parquet")).collect()}
+    for r in pages:
+        host = r.url.split("/")[2].lower()
+        text = extract(r.html, low[host])
+        assert extract(r.html) != text and extract(r.html, every) == "" != text
+        inner = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
+        parts = re.split(r"</?(?:p|h1|article)>", inner)
+        assert text == "\n\n".join(t for t in (" ".join(htmllib.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", x))).split()) for x in parts) if t)
+
+
 def test_html_pages():
     page = '<html><body><header><h1>Site</h1></header><div id="cookie-notice">We use cookies</div><div class="content"><div class="sidebar-left">Side</div><h2>Ti&amp;tle</h2>Hello <b>w</b>orld<br>x <ul><li>a<li>b</ul><div class="comments"><p>nice</p></div></div><script>if(a<b){"</div>"}</script><form>q</form><footer>f</footer>'
-    assert extract(page) == "Ti&tle\n\nHello world x\n\na\n\nb"
+    low = lambda p: {x for x, *_, prior, share in nodes_of(p) if prior == 0}  # noqa: E731 - all that a single page gives
+    assert extract(page, low(page)) == "Ti&tle\n\nHello world x\n\na\n\nb"
     page = '<body><nav>n</nav><article class="post"><header><h1>T</h1></header><p>One &lt;b&gt; two&nbsp;  three<aside>no</aside><section class="comments"><p>c</p></section><p>four<div class="ad">buy</div></article><article class="comment">x</article><p>out'
-    assert extract(page) == "T\n\nOne <b> two three\n\nfour"
+    assert extract(page, low(page)) == "T\n\nOne <b> two three\n\nfour"
     assert extract(None) == extract("") == "" and extract("a < b > c") == "a < b > c" and extract("<p>x<!-- no") == "x"
 
 
 def test_style_tree_drops_what_pages_share(spark):
-    pages = [(i, f"http://h.example/{i}", f"<body><div class=top>Same words on all</div><div class=main><p>Text {i} of its own</div></body>") for i in range(12)]
-    pages += [(100, "http://other.example/", "<body><div class=top>Same words on all</div><p>once</body>"), (101, None, None), (102, "x", "")]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    tree = {(r.host, r.path): r.importance for r in style_tree(df).collect()}
-    assert tree["h.example", "/body/div.top"] == 0 and tree["h.example", "/body/div.main"] == 1
-    got = {r.page_id: r.text for r in extract_pages(df).collect()}
-    assert got[3] == "Text 3 of its own" and got[100] == "Same words on all\n\nonce" and got[101] == got[102] == ""
-    assert {r.page_id: r.text for r in extract_pages(df, broadcast_bytes=0).collect()} == got
+    pages = [(i, f"http://h.example/{i}", f"<body><div class=top>Same words on all</div><div class=main><p>Text {i} of its own, and more of it</div></body>") for i in range(12)]
+    pages += [(100, "http://other.example/", "<body><div class=top>Same words on all</div><p>once</body>"), (101, None, None), (102, "x", ""), (101, None, None), (100, "http://other.example/", "<body><div class=top>Same words on all</div><p>once</body>")]
+    df = spark.createDataFrame([(*p, "clash", "clash", 1) for p in pages], "page_id long, url string, html string, text string, host string, low int")
+    tree = {(r.host, r.path): r for r in style_tree(df).collect()}
+    top, main = tree["h.example", "/body/div.top"], tree["h.example", "/body/div.main"]
+    assert top.style == top.content == 0 and top.importance < 0.5 and main.content == 1 and main.importance > 0.5
+    for options in ({}, {"broadcast_bytes": 0}):
+        got = [(r.page_id, r.text) for r in extract_pages(df, **options).collect()]
+        assert len(got) == len(pages)
+        by = dict(got)
+        assert by[3] == "Text 3 of its own, and more of it" and by[100] == "Same words on all\n\nonce" and by[101] == by[102] == ""
     assert extract_pages(df.limit(0)).count() == 0
 
 
@@ -189,10 +332,144 @@ def test_packing(docs, odd, none, ids):
 # 4
 
 
-def test_huffman():
-    codes, lengths = huffman(np.array([5, 1, 1, 9, 2, 0]))
-    words = [format(int(c), f"0{n}b") for c, n in zip(codes, lengths)]
-    assert sum(2.0**-n for n in lengths) == 1 and not any(a != b and b.startswith(a) for a in words for b in words) and lengths[3] == min(lengths)
+def test_prefix_code():
+    for counts in ([5, 1, 1, 9, 2, 0], [1], list(range(1, 3000)), [10**9] + [1] * 500):
+        codes, lengths = prefix_code(np.array(counts))
+        words = sorted(format(int(c), f"0{n}b") for c, n in zip(codes, lengths))
+        assert not any(b.startswith(a) for a, b in zip(words, words[1:])) and lengths[int(np.argmax(counts))] == min(lengths)
+    share = np.array(counts) / sum(counts)
+    assert (lengths <= np.ceil(-np.log2(share))).all()
+
+
+MASK = (1 << 64) - 1
+
+
+def mix_one(h):
+    h ^= h >> 33
+    h = h * 0xFF51AFD7ED558CCD & MASK
+    h ^= h >> 33
+    h = h * 0xC4CEB9FE1A85EC53 & MASK
+    return h ^ h >> 33
+
+
+class PlainMixer:
+    """The model bit by bit in plain Python: no blocks, no slots, no hashing of codes."""
+
+    def __init__(self, train, settings):
+        self.s = settings
+        self.hash = {}
+        for t in train:
+            self.note(t)
+        counts = Counter(w for t in train for w in self.words(t))
+        vocabulary = {w: n for w, n in counts.items() if n >= settings.least}
+        order = sorted(vocabulary, key=lambda w: self.hash[w])
+        rare = sum(counts.values()) - sum(vocabulary.values())
+        by_byte = Counter(x for w, n in counts.items() for x in list(w.encode()) * n)
+        codes, lengths = prefix_code(np.array([rare + 1, len(train) + 1, *(vocabulary[w] for w in order)]))
+        code = lambda i: format(int(codes[i]), f"0{lengths[i]}b")
+        self.code = {w: code(i + 2) for i, w in enumerate(order)} | {0: code(0), 1: code(1)}
+        self.number = {w: i + 2 for i, w in enumerate(order)} | {0: 0, 1: 1}
+        codes, lengths = prefix_code(np.array([*(by_byte[i] for i in range(255)), sum(by_byte.values()) // 6 + 1]))
+        self.code |= {("byte", i): code(i) for i in range(256)}
+        self.number |= {("byte", i): len(order) + 2 + i for i in range(256)}
+        first = sorted(range(len(order)), key=lambda i: (-vocabulary[order[i]], i))[: settings.anchors]
+        self.anchors = {order[i] for i in first}
+        self.follows = [defaultdict(Counter) for _ in range(3)]
+        for t in train:
+            for symbol, ctx, _ in self.symbols(t):
+                for c in range(3):
+                    self.follows[c][ctx[c]][symbol] += 1
+
+    def words(self, t):
+        return re.findall(SPACED, low(t))
+
+    def note(self, t):
+        for b in blocks(pa.array([t])):
+            w = b.words(SPACED_LOWER)
+            self.hash |= dict(zip(self.words(t), w.hash.tolist()))
+
+    def symbols(self, t):
+        """(symbol, contexts, word number) of a text."""
+        self.note(t)
+        anchor = last = before = 0
+        ws = self.words(t)
+        for i, w in enumerate([*ws, None]):
+            symbol = 1 if w is None else w if w in self.code else 0
+            yield symbol, self.keys(anchor, last, last + mix_one(before)), i
+            if symbol == 0:
+                seen = [0] * 5
+                for x in [*w.encode(), 255]:
+                    # a context of d bytes: the last in the lowest 9 bits
+                    held = [sum(v << 9 * j for j, v in enumerate(seen[:d])) + (1 << 50) for d in (1, 3, 5)]
+                    yield ("byte", x), self.keys(*held), i
+                    seen = [x + 1, *seen[:4]]
+            if w is not None:
+                before, last = last, self.hash[w]
+                anchor = last if w in self.anchors else anchor
+
+    def keys(self, *ctx):
+        return [mix_one((x + c + 1) & MASK) >> 24 for c, x in enumerate(ctx)]
+
+    def predictions(self, symbol, ctx):
+        """For each bit of a symbol the three predictions and the bit."""
+        code, guess = self.code[symbol], None
+        if f := self.follows[2][ctx[2]]:
+            guess, n = min(f.items(), key=lambda x: (-x[1], self.number[x[0]]))
+            odds = round(14 * math.log((n + 0.3) / (f.total() - n + 0.3)))
+        for i, bit in enumerate(code):
+            out = []
+            for c in range(2):
+                after = Counter()
+                for other, n in self.follows[c][ctx[c]].items():
+                    if len(self.code[other]) > i and self.code[other].startswith(code[:i]):
+                        after[self.code[other][i]] += n
+                out.append(round(14 * math.log((after["1"] + 0.4) / (after["0"] + 0.4))))
+            agrees = guess is not None and self.code[guess].startswith(code[:i]) and len(self.code[guess]) > i
+            out.append((odds if self.code[guess][i] == "1" else -odds) if agrees else 0)
+            yield [max(-126, min(126, x)) for x in out], int(bit)
+
+    def score(self, t):
+        s, total = self.s, 0.0
+        weights = defaultdict(lambda: list(s.start))
+        refined = defaultdict(lambda: None)
+        turn = lambda i: sum(i >= e for e in (1, 2, 4, 8, 12, 16)) + max(i - 16, 0) // s.step
+        steps = defaultdict(list)
+        for symbol, ctx, i in self.symbols(t):
+            steps[turn(i)] += [(x, y, isinstance(symbol, tuple)) for x, y in self.predictions(symbol, ctx)]
+        for k in sorted(steps):
+            change, off, times = defaultdict(lambda: [0.0] * 3), Counter(), Counter()
+            for x, y, is_byte in steps[k]:
+                a, b = abs(x[1]) / 14, abs(x[2]) / 14
+                gate = 16 * is_byte + 8 * (a > 0.5) + 4 * (a > 2) + 2 * (b > 0.5) + (b > 1.8)
+                z = [v / 14 for v in x]
+                dot = max(-7.99, min(7.99, sum(w * v for w, v in zip(weights[gate], z))))
+                cell = gate, int((dot + 8) * 24 / 16)
+                p = 1 / (1 + math.exp(-dot))
+                q = refined[cell] if refined[cell] is not None else 1 / (1 + math.exp(8 - (cell[1] + 0.5) * 16 / 24))
+                refined[cell] = q
+                one = (p + q) / 2
+                total += math.log(min(max(one if y else 1 - one, 1e-5), 1 - 1e-5))
+                for c in range(3):
+                    change[gate][c] += (y - p) * z[c]
+                off[cell] += y - q
+                times[cell] += 1
+            for gate, d in change.items():
+                weights[gate] = [w + s.rate * v for w, v in zip(weights[gate], d)]
+            for cell, n in times.items():
+                refined[cell] += off[cell] / (n + s.map_inertia)
+        return total / math.log(10)
+
+
+def test_lm_scores_bit_by_bit(spark):
+    rng = random.Random(2)
+    words = "the of and sea ship sails Tide moon é漢 harbour oars q zz".split()
+    texts = [" ".join(rng.choice(words[: rng.randint(3, len(words))]) + rng.choice(["", "", "", "s", f"{rng.randint(0, 99)}"]) for _ in range(rng.choice([0, 1, 5, 30, 90]))) for _ in range(40)]
+    s = Settings(fit_bytes=0, slots=1 << 14, run_slots=1 << 12, anchors=3, table_bytes=1 << 50, step=8)
+    rows = list(enumerate(texts))
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    plain = PlainMixer([t for d, t in rows if not held(d)], s)
+    got = {r.doc_id: r.score for r in score_documents(spark.createDataFrame(rows, "doc_id long, text string"), settings=s).collect()}
+    assert got == {d: pytest.approx(plain.score(t), rel=2e-4, abs=1e-3) for d, t in rows}
 
 
 def test_lm_scores(docs, odd, none):
@@ -211,6 +488,21 @@ def test_lm_scores(docs, odd, none):
     assert score_documents(odd).count() == odd.count() and score_documents(none).count() == 0
 
 
+def test_lm_tables_grow_and_are_bounded(spark, docs, tmp_path):
+    few, all_ = (docs.where(f"doc_id % {k} = 0").select(F.coalesce("text", F.lit("")).alias("t")) for k in (4, 1))
+
+    def tables(train, settings):
+        counted = training_counts(train).cache()
+        path, _, within = vocabulary(counted.where("kind = 0").select("key", "n"), settings)
+        where = write_tables(train, Where(path, 0, 10, (1,) * 256, settings), within)
+        m = model_of(where)
+        return sum(len(x) for x in m.tables.odds) + 6 * len(m.tables.symbol), len(m.hashes)
+
+    (a, wa), (b, wb) = tables(few, Settings()), tables(all_, Settings())
+    assert b > 2 * a and wb > 1.5 * wa
+    assert tables(all_, Settings(table_bytes=1 << 18, words=500))[0] < 1 << 19 and tables(all_, Settings(words=500))[1] <= 500
+
+
 # 6
 
 
