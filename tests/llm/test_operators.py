@@ -2,6 +2,7 @@
 
 import hashlib
 import html as htmllib
+import io
 import math
 import random
 import re
@@ -310,6 +311,25 @@ def test_token_files(docs, odd, none, ids):
     assert token_table(none, Q.vocabulary(), end=1).count() == 0
 
 
+def test_only_wanted_frames_are_read(docs, ids, tmp_path, monkeypatch):
+    from corpusql.llm import token_files as tf
+
+    at = f"file://{tmp_path}"
+    files = tf.write_token_files(docs, at, Q.vocabulary(), end=1, partitions=1)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    wanted = {3, 57, 111}
+    got = {r.doc_id: list(r.tokens) for r in tf.read_token_files(files, at, wanted=wanted, with_tokens=True).collect()}
+    assert got == {d: ids(text[d]).tolist() for d in wanted}
+    # In one file: how many frames are decompressed for one document in the middle of it.
+    (name,) = [r.file for r in files.collect()]
+    raw = (tmp_path / name).read_bytes()
+    reader, opened = tf.Reader(io.BytesIO(raw), len(raw)), []
+    whole = reader.frame
+    monkeypatch.setattr(reader, "frame", lambda k: opened.append(k) or whole(k))
+    place = reader.doc_ids.tolist().index(57)
+    assert reader.tokens(place).tolist() == ids(text[57]).tolist() and len(set(opened)) == 1 and len(reader.frames) > 1
+
+
 def test_packing(docs, odd, none, ids):
     out = pack_documents(docs, Q.vocabulary(), end=1, group_docs=64)
     text = {r.doc_id: ids(r.text) for r in docs.collect()}
