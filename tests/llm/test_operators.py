@@ -463,7 +463,7 @@ class PlainMixer:
                 gate = 16 * is_byte + 8 * (a > 0.5) + 4 * (a > 2) + 2 * (b > 0.5) + (b > 1.8)
                 z = [v / 14 for v in x]
                 dot = max(-7.99, min(7.99, sum(w * v for w, v in zip(weights[gate], z))))
-                cell = gate, int((dot + 8) * 24 / 16)
+                cell = gate >> 2, int((dot + 8) * 24 / 16)
                 p = 1 / (1 + math.exp(-dot))
                 q = refined[cell] if refined[cell] is not None else 1 / (1 + math.exp(8 - (cell[1] + 0.5) * 16 / 24))
                 refined[cell] = q
