@@ -104,13 +104,16 @@ def members(classes: DataFrame, broadcast_bytes: int) -> DataFrame:
     """``key, id, o, z, least``: the classes of every bucket that holds two or more.
 
     ``z`` is the bucket's number of classes and ``least`` its smallest id, both from an
-    aggregation that combines before it deals; most keys are met once and go no further.
+    aggregation that combines before it deals; most keys are met once and go no further.  Of
+    buckets with the same classes (as two classes meet in many tables) one stands for all.
     """
     keyed = classes.select("id", "o", F.posexplode("u").alias("i", "x"), "v").select("id", "o", "i", "x", F.posexplode("v").alias("j", "y"))
     # Each table orders its buckets from another of the eight ordering minima.
     order = F.expr("shiftleft(o, 8 * ((i + 3 * j) % 8)) | shiftrightunsigned(o, 64 - 8 * ((i + 3 * j) % 8))")
     keyed = keyed.select(F.xxhash64("i", "j", "x", "y").alias("key"), "id", order.alias("o"))
-    shared = materialise(keyed.groupBy("key").agg(F.count("*").alias("z"), F.min("id").alias("least")).where("z > 1"), "buckets")
+    who = [F.bit_xor(F.xxhash64(F.lit(j), "id")).alias(f"s{j}") for j in range(2)]
+    each = keyed.groupBy("key").agg(F.count("*").alias("z"), F.min("id").alias("least"), *who).where("z > 1")
+    shared = materialise(each.groupBy("z", "least", "s0", "s1").agg(F.min("key").alias("key")).select("key", "z", "least"), "buckets")
     small = fits(shared, F.lit(24), broadcast_bytes)
     return materialise(keyed.join(F.broadcast(shared) if small else shared, "key"), "members")
 
@@ -129,12 +132,17 @@ def candidates(met: DataFrame, neighbours: int, run: int = 512) -> DataFrame:
     return pairs.select(F.least("id", "q").alias("a"), F.greatest("id", "q").alias("b")).distinct()
 
 
-def crowded(met: DataFrame, labels: DataFrame, neighbours: int) -> DataFrame:
-    """``key, id, c``: buckets of more than ``neighbours + 1`` classes that hold several components ``c``."""
+def crowded(met: DataFrame, labels: DataFrame, neighbours: int) -> tuple[DataFrame, DataFrame]:
+    """Where buckets of more than ``neighbours + 1`` classes hold several components.
+
+    Returns ``key, id, c`` of all classes in larger buckets, and ``key, id, c`` of those that
+    are not of their bucket's largest component, in the buckets that have several.
+    """
     c = labels.select(F.col("node").alias("id"), "component")
     named = materialise(met.where(F.col("z") > neighbours + 1).join(c, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), "crowd-members")
-    several = named.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("key")
-    return named.join(several, "key", "left_semi")
+    main = named.groupBy("key", "c").count().groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("count", "c")).alias("m")).where("n > 1").select(F.col("key").alias("of"), F.col("m.c").alias("main"))
+    odd = named.join(main, (F.col("key") == F.col("of")) & (F.col("c") != F.col("main"))).select("key", "id", "c")
+    return named, materialise(odd, "crowd-odd")
 
 
 def shingle_rows(texts: DataFrame, k: int) -> DataFrame:
@@ -160,17 +168,21 @@ def shingle_rows(texts: DataFrame, k: int) -> DataFrame:
     return texts.select("id", "c", F.xxhash64("id", "t").alias("r"), "t").mapInArrow(run, "id long, c long, r long, n long, h long, x array<long>")
 
 
-def rest(met: DataFrame, texts: DataFrame, k: int, percent: int, few: int) -> DataFrame:
-    """All pairs ``a < b`` of different components in the crowded buckets ``met`` that can be alike.
+def rest(named: DataFrame, odd: DataFrame, labels: DataFrame, texts: DataFrame, k: int, percent: int, few: int) -> DataFrame:
+    """All pairs ``a < b`` of different components that met in a larger bucket and can be alike.
 
-    A shingle is rare if at most ``few`` of the texts in ``met`` have it, and each text has some
-    number ``f`` of frequent ones.  Two sets share no more than the rare shingles they share
-    and the smaller ``f``; where this cannot reach the limit the pair is not alike.  Pairs that
-    share rare shingles meet by them; the others reach it only with the frequent ones, and are
-    taken from their buckets, each class outside the bucket's largest component with all others,
+    Looked at are all texts of the components that stand beside another in such a bucket.  A
+    shingle is rare if at most ``few`` of them have it, and each text has some number ``f`` of
+    frequent ones.  Two sets share no more than the rare shingles they share and the smaller
+    ``f``; where this cannot reach the limit the pair is not alike.  Pairs that share rare
+    shingles meet by them; the others reach it only with the frequent ones, and are taken
+    from their buckets, each class outside the bucket's largest component with all others,
     unless too many bits of one are not in the other.
     """
-    of = met.select("id", "c").distinct()
+    c = labels.select(F.col("node").alias("id"), F.col("component").alias("c"))
+    beside = named.join(odd.select("key").distinct(), "key", "left_semi").groupBy("c").agg(F.lit(1).alias("one")).select("c")
+    own = texts.select("id").distinct().join(c, "id", "left").select("id", F.coalesce("c", "id").alias("c"))
+    of = own.join(beside, "c", "left_semi")
     rows = materialise(shingle_rows(texts.join(of, "id").dropDuplicates(["id", "t"]), k), "crowd-shingles")
     rare = rows.groupBy("h").count().where(F.col("count").between(1, few)).select("h")
     rare = materialise(rows.drop("x").join(rare.hint("merge"), "h"), "crowd-rare")
@@ -194,16 +206,13 @@ def rest(met: DataFrame, texts: DataFrame, k: int, percent: int, few: int) -> Da
     shared = a.join(b.hint("merge"), (a.h == b.h) & apart & sized).groupBy("ia", "ib", "ra", "rb", "na", "nb", "fa", "fb").count()
     shared = shared.where(reaches(F.col("count") + F.least("fa", "fb"))).select(F.col("ia").alias("a"), F.col("ib").alias("b"))
 
-    # Without rare ones a pair needs 100 f >= percent * n on both sides, and (100 + percent) f >= 2 * percent * n on one.
-    full = each.where(100 * F.col("f") >= percent * F.col("n")).select("id", "n", "f", "x")
-    core = (100 + percent) * F.col("f") >= 2 * percent * F.col("n")
-    held = materialise(met.join(full, "id").select("key", F.col("id").alias("i"), "c", "n", "f", "x", core.alias("core")), "crowd-frequent")
-    live = held.groupBy("key").agg(F.max("core").alias("some"), F.min("c").alias("least"), F.max("c").alias("most")).where("some and least < most").select("key")
-    held = materialise(held.drop("core").join(live, "key", "left_semi"), "crowd-full")
-    main = held.groupBy("key", "c").count().groupBy("key").agg(F.max(F.struct("count", "c")).alias("m")).select("key", F.col("m.c").alias("main"))
-    a = side(held.join(main, "key").where("c <> main").select("key", "i", "c", "n", "f", "x"), "a")
-    b = side(held, "b")
-    whole = a.join(b.hint("merge"), (a.key == b.key) & (F.col("ca") != F.col("cb")) & (F.col("ia") != F.col("ib")) & reaches(F.least("fa", "fb")) & reaches(F.least(F.col("na") - lacks("xa", "xb"), F.col("nb") - lacks("xb", "xa"))))
+    # Without rare ones a pair needs 100 f >= percent * n on both sides, so only buckets in
+    # which a class outside the largest component has that are read.
+    full = each.where(100 * F.col("f") >= percent * F.col("n")).select(F.col("id").alias("i"), "n", "f", "x")
+    held = materialise(odd.withColumnRenamed("id", "i").join(full, "i"), "crowd-odd-full")
+    others = named.join(held.select("key").distinct(), "key", "left_semi").withColumnRenamed("id", "i").join(full, "i")
+    a, b = side(held.select("key", "i", "c", "n", "f", "x"), "a"), side(others.select("key", "i", "c", "n", "f", "x"), "b")
+    whole = a.join(b.hint("merge"), (a.key == b.key) & (F.col("ca") != F.col("cb")) & reaches(F.least("fa", "fb")) & reaches(F.least(F.col("na") - lacks("xa", "xb"), F.col("nb") - lacks("xb", "xa"))))
     whole = whole.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))
     return shared.unionByName(whole).distinct()
 
@@ -280,8 +289,8 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     links = more.unionByName(first.select(F.col("component").alias("a"), F.col("node").alias("b")))
     second = materialise(components(links, "round2"), "round2")
     # Crowds: what is still apart in the larger buckets, without the pairs that were verified.
-    met = materialise(crowded(buckets, second, neighbours), "crowds")
-    left = materialise(rest(met, texts, k, percent, few).join(pairs, ["a", "b"], "left_anti"), "crowd-pairs")
+    named, odd = crowded(buckets, second, neighbours)
+    left = materialise(rest(named, odd, second, texts, k, percent, few).join(pairs, ["a", "b"], "left_anti"), "crowd-pairs")
     found = materialise(verify(left, texts, k, percent), "crowd-links")
     final = second if found.isEmpty() else components(found.unionByName(second.select(F.col("component").alias("a"), F.col("node").alias("b"))), "round3")
     ids = some.select("id", "s1", "s2").join(classes.select("s1", "s2", F.col("id").alias("rep")), ["s1", "s2"])
