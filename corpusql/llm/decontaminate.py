@@ -147,8 +147,9 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, *, text_col: str = "text"
                     order = np.argsort(start, kind="stable")
                     start, n, owner = start[order], n[order], owner[order]
                     doc = w.doc[start] if len(start) else start
-                    for d in np.unique(doc).tolist():
-                        own = doc == d
+                    found, first = np.unique(doc, return_index=True)  # runs are in order of the texts
+                    for d, a, z in zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(doc)]):
+                        own = slice(a, z)
                         s = (start[own] - w.first[d]).tolist()
                         e = (start[own] + n[own] - w.first[d]).tolist()
                         row = block.first + d
