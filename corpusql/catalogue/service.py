@@ -16,7 +16,7 @@ from corpusql.functions import relevance as R
 from corpusql.functions import text as T
 from corpusql.functions import validation as V
 from corpusql.functions import vectors as VE
-from corpusql.operators import compliance as c
+from corpusql.operators import caching, compliance as c
 from corpusql.operators import embedding as e
 from corpusql.operators import governance as g
 from corpusql.operators import ranking, records, rerank, vector_search as vs
@@ -135,6 +135,29 @@ def vector_dimensions(spark, base):
     return v.select("id", VE.size_issue(F.col("embedding"), 64).alias("issue"), F.round(VE.total(VE.doubles(VE.of_size(F.col("embedding"), 64))), 6).alias("total"))
 
 
+_LEVELS = "k AS (SELECT DISTINCT user_id AS key FROM events), n AS (SELECT user_id AS key, max(event_type) AS value FROM events WHERE user_id % 5 = 0 GROUP BY 1), f AS (SELECT user_id AS key, min(event_type) AS value FROM events WHERE user_id % 3 = 0 GROUP BY 1)"
+
+
+def _levels(spark, base):
+    ev = G._events(spark, base)
+    until = F.lit("2024-03-01 00:00:00").cast("timestamp")
+    near = ev.where("user_id % 5 = 0").groupBy(F.col("user_id").alias("key")).agg(F.max("event_type").alias("value")).withColumn("expires_at", until)
+    far = ev.where("user_id % 3 = 0").groupBy(F.col("user_id").alias("key")).agg(F.min("event_type").alias("value")).withColumn("expires_at", F.when(F.col("key") % 2 == 0, until).otherwise(F.lit("2024-01-01 00:00:00").cast("timestamp")))
+    return caching.look_up(ev.select(F.col("user_id").alias("key")).distinct(), near, far, G._as_of())
+
+
+@query(f"WITH {_LEVELS} SELECT k.key, coalesce(n.value, f.value) AS value, CASE WHEN n.value IS NOT NULL THEN 'near' WHEN f.value IS NOT NULL THEN 'far' END AS level FROM k LEFT JOIN n ON n.key = k.key LEFT JOIN (SELECT * FROM f WHERE key % 2 = 0) f ON f.key = k.key")
+def two_level_lookup(spark, base):
+    """Young entries before old ones; what is over counts for nothing."""
+    return _levels(spark, base).select("key", "value", "level")
+
+
+@query(f"WITH {_LEVELS} SELECT key, strlen(value) AS size_bytes, TIMESTAMP '2024-02-01 00:05:00' AS expires_at FROM f WHERE key % 2 = 0 AND key NOT IN (SELECT key FROM n)")
+def two_level_promotion(spark, base):
+    p = caching.promoted(_levels(spark, base), G._as_of(), 3600)
+    return p.select("key", "size_bytes", F.col("expires_at").cast("timestamp_ntz").alias("expires_at"))
+
+
 # Records: reading, listing, changing.
 @query("SELECT doc_id AS id, lang AS category, substring(text, 1, 20) AS head FROM documents WHERE doc_id IN (3, 17, 999999999, 4)")
 def lookup_by_id(spark, base):
@@ -308,6 +331,15 @@ def retention_transitions(spark, base):
     return c.apply_actions(r, a, G._then()).select("data_id", "status", "rejected")
 
 
+@query(f"WITH {G._RECORDS} SELECT status, sum(CAST(hold AS INTEGER) + CAST(data_id % 4 = 0 AS INTEGER))::BIGINT AS holds, count(*) AS n FROM (SELECT data_id, hold, CASE WHEN data_id % 4 = 0 THEN CASE WHEN data_id % 8 = 0 THEN CASE WHEN expires_at < TIMESTAMP '2000-01-01' THEN 'Expired' ELSE 'Active' END ELSE 'LegalHold' END ELSE status END AS status FROM x) GROUP BY 1")
+def hold_changes(spark, base):
+    """Holds put on every fourth record and lifted from every eighth."""
+    r = G._records(spark, base)
+    r = c.with_hold(r, r.where("data_id % 4 = 0").select("data_id", F.lit(None).cast("timestamp").alias("expires_at")))
+    r = c.without_holds(r, r.where("data_id % 8 = 0").select("data_id"), G._then())
+    return r.groupBy("status").agg(F.sum(F.size("holds")).alias("holds"), F.count("*").alias("n"))
+
+
 @query("SELECT count(*) AS n, min(ts) AS oldest FROM events WHERE ts >= TIMESTAMP '2024-01-15'")
 def audit_purge(spark, base):
     p = c.purged(G._events(spark, base), F.lit("2024-01-15 00:00:00").cast("timestamp"))
@@ -356,6 +388,14 @@ def key_authorisation(spark, base):
     return c.authorised(_keys(spark, base), uses, F.lit("1997-01-01").cast("timestamp"), "Write")
 
 
+@query(f"WITH {_KEYS} SELECT count(*) + 1 AS total, count(*) FILTER (active AND key_id % 10 <> 0) + 1 AS active FROM k")
+def key_lifecycle(spark, base):
+    """Every tenth key revoked and one issued."""
+    k = c.revoked(_keys(spark, base), spark.range(0, 10_000_000, 10).select(F.col("id").alias("key_id")))
+    k = c.issued(k, spark.createDataFrame([(-1, "new", ["Read"])], "key_id long, owner string, permissions array<string>"))
+    return k.agg(F.count("*").alias("total"), F.count_if("active").alias("active"))
+
+
 @query(f"WITH {_KEYS} SELECT key_id, owner FROM k WHERE active ORDER BY owner, key_id LIMIT 25 OFFSET 25")
 def key_listing(spark, base):
     return ranking.page(_keys(spark, base).where("active"), 2, 25, F.col("owner"), F.col("key_id")).select("key_id", "owner")

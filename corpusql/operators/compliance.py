@@ -106,6 +106,37 @@ def apply_actions(records: DataFrame, actions: DataFrame, as_of: Column, soft: b
     return r.withColumn("status", F.coalesce(to, "status")).drop("action")
 
 
+def with_hold(records: DataFrame, holds: DataFrame) -> DataFrame:
+    """``records`` with one more hold each for ``holds`` (data_id, expires_at or null) and the status that goes with it."""
+    new = holds.select("data_id", F.struct(F.lit(True).alias("active"), F.col("expires_at").cast("timestamp").alias("expires_at")).alias("__h"))
+    r = records.join(new, "data_id", "left")
+    more = F.col("__h").isNotNull()
+    old = F.coalesce("holds", F.array().cast("array<struct<active:boolean,expires_at:timestamp>>"))
+    return r.withColumn("holds", F.when(more, F.concat(old, F.array("__h"))).otherwise(old)).withColumn("status", F.when(more, "LegalHold").otherwise(F.col("status"))).drop("__h")
+
+
+def without_holds(records: DataFrame, ids: DataFrame, as_of: Column) -> DataFrame:
+    """``records`` with the holds of ``ids`` (data_id) lifted: such a record is expired or active again."""
+    r = records.join(ids.select("data_id", F.lit(True).alias("__l")).distinct(), "data_id", "left")
+    lifted = F.coalesce("__l", F.lit(False))
+    r = r.withColumn("holds", F.when(lifted, F.transform("holds", lambda h: F.struct(F.lit(False).alias("active"), h["expires_at"].alias("expires_at")))).otherwise(F.col("holds")))
+    to = F.when(F.col("expires_at") < as_of, "Expired").otherwise("Active")
+    return r.withColumn("status", F.when(lifted & (F.col("status") == "LegalHold"), to).otherwise(F.col("status"))).drop("__l")
+
+
+def revoked(keys: DataFrame, ids: DataFrame) -> DataFrame:
+    """``keys`` with those of ``ids`` (key_id) made inactive."""
+    r = keys.join(ids.select("key_id", F.lit(True).alias("__r")).distinct(), "key_id", "left")
+    return r.withColumn("active", F.col("active") & F.col("__r").isNull()).drop("__r")
+
+
+def issued(keys: DataFrame, new: DataFrame) -> DataFrame:
+    """``keys`` and the ``new`` ones, which are active; a key_id that is there already is an error."""
+    clash = new.join(keys.select("key_id", F.lit(True).alias("__c")), "key_id", "left")
+    checked = clash.withColumn("active", F.when(F.col("__c").isNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("key exists: "), F.col("key_id").cast("string"))).cast("boolean"))).drop("__c")
+    return keys.unionByName(checked, allowMissingColumns=True)
+
+
 def purged(events: DataFrame, before: Column, ts: str = "ts") -> DataFrame:
     """The events that stay when older ones go."""
     return events.where(F.col(ts) >= before)

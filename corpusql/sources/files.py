@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType
 
@@ -72,3 +73,25 @@ def append_jsonl(df: DataFrame, path: str) -> None:
 
 def read_jsonl(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).json(path)
+
+
+def _store(path: str):
+    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+
+
+def save(folder: str, name: str, content: bytes) -> str:
+    """Keep one file (an upload, from the driver) in the store ``folder``; its path."""
+    fs, at = _store(folder.rstrip("/"))
+    fs.create_dir(at, recursive=True)
+    with fs.open_output_stream(f"{at}/{name}", compression=None) as f:
+        f.write(content)
+    return f"{folder.rstrip('/')}/{name}"
+
+
+def remove(path: str) -> bool:
+    """Delete one file; whether it was there."""
+    fs, at = _store(path)
+    there = fs.get_file_info(at).is_file
+    if there:
+        fs.delete_file(at)
+    return there

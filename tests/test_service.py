@@ -12,7 +12,7 @@ from corpusql.functions import query_text as Q
 from corpusql.functions import relevance as R
 from corpusql.functions import text as T
 from corpusql.functions import vectors as V
-from corpusql.operators import compliance as c
+from corpusql.operators import caching, compliance as c
 from corpusql.operators import embedding as e
 from corpusql.operators import governance as g
 from corpusql.operators import records, vector_search as vs
@@ -202,5 +202,27 @@ def test_limiter_stream_is_table(spark, tmp_path):
     assert got == {r.user_id: r.allowed for r in g.fixed_window(ev, 5, 86_400).collect()}
 
 
+def test_store(spark, tmp_path):
+    path = files.save(f"file://{tmp_path}/store", "a.bin", b"\x00\x01")
+    assert (tmp_path / "store" / "a.bin").read_bytes() == b"\x00\x01" and files.remove(path) and not files.remove(path)
+
+
+def test_levels_and_keys(spark):
+    now = dt.datetime(2024, 1, 1)
+    schema = "key string, value string, size_bytes long, created_at timestamp, expires_at timestamp"
+    near = spark.createDataFrame([("a", "1", 1, now, None), ("b", "old", 1, now, now - dt.timedelta(seconds=1))], schema)
+    far = spark.createDataFrame([("b", "2", 1, now, None), ("a", "x", 1, now, None)], schema)
+    found = caching.look_up(spark.createDataFrame([("a",), ("b",), ("c",)], "key string"), near, far, F.lit(now))
+    assert {(r.key, r.value, r.level) for r in found.collect()} == {("a", "1", "near"), ("b", "2", "far"), ("c", None, None)}
+    (p,) = caching.promoted(found, F.lit(now), 60).collect()
+    assert p.key == "b" and p.expires_at == now + dt.timedelta(seconds=60)
+    put = caching.put(near, caching.promoted(found, F.lit(now), 60))
+    assert {(r.key, r.value) for r in caching.drop(put, found.where("key = 'a'")).collect()} == {("b", "2")}
+    keys = spark.createDataFrame([(1, "o", True)], "key_id long, owner string, active boolean")
+    assert not c.revoked(keys, keys).first().active
+    with pytest.raises(Exception, match="key exists: 1"):
+        c.issued(keys, keys.select("key_id", "owner")).collect()
+
+
 def test_shared_path(spark):
     assert shared_path(spark, "x") != shared_path(spark, "x") and "x-" in shared_path(spark, "x")
