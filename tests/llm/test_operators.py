@@ -520,7 +520,7 @@ def test_lm_tables_grow_and_are_bounded(spark, docs, tmp_path):
 
     (a, wa), (b, wb) = tables(few, Settings()), tables(all_, Settings())
     assert b > 2 * a and wb > 1.5 * wa
-    assert tables(all_, Settings(table_bytes=1 << 18, words=500))[0] < 1 << 19 and tables(all_, Settings(words=500))[1] <= 500
+    assert tables(all_, Settings(table_bytes=1 << 18, words=500))[0] < 1 << 18 and tables(all_, Settings(words=500))[1] <= 500
 
 
 # 6
