@@ -37,12 +37,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpusql.llm.common import fits, materialise
 
 # Elements by what they are.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe xmp noembed noframes svg math canvas object".split())
+VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"])
+RAW = frozenset(["script", "style", "noscript", "template", "iframe", "xmp", "noembed", "noframes", "svg", "math", "canvas", "object"])
 UNSEEN = RAW | frozenset(("head", "title"))
-ASIDES = frozenset("nav footer aside form button select option optgroup textarea input label datalist dialog menu audio video map area".split())
+ASIDES = frozenset(["nav", "footer", "aside", "form", "button", "select", "option", "optgroup", "textarea", "input", "label", "datalist", "dialog", "menu", "audio", "video", "map", "area"])
 MAIN = frozenset(("article", "main"))
-BLOCKS = frozenset("address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
+BLOCKS = frozenset(["address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "caption"])
 #: An opening tag ends an open element of its kind; inside the second set it doesn't reach further up.
 CLOSES = {
     "li": (("li",), ("ul", "ol", "menu")),
@@ -57,18 +57,21 @@ CLOSES = {
     "option": (("option",), ("select", "optgroup", "datalist")),
 }
 #: Block elements that end an open paragraph.
-ENDS_P = BLOCKS - frozenset("body html td th tr tbody thead tfoot caption legend summary".split())
+ENDS_P = BLOCKS - frozenset(["body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "summary"])
 #: Words of class, id and role that name what is not the article: a prior, as the elements in ASIDES are.
 ASIDE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adslot banner sponsor sponsors sponsored promo promotion promotions "
-    "cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login "
-    "sidebar sidebars side widget widgets aside complementary menu menus nav navbar navigation navigations breadcrumb breadcrumbs toolbar topbar pagination pager "
-    "footer foot colophon copyright legal disclaimer masthead header banner "
-    "comment comments commentlist respond reply replies disqus discussion "
-    "share sharing social related recommended recommendations trending popular tags search skip skiplink form contentinfo dialog".split()
+    [
+        "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "adslot", "banner", "sponsor", "sponsors",
+        "sponsored", "promo", "promotion", "promotions", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "alerts",
+        "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "sidebar", "sidebars", "side", "widget",
+        "widgets", "aside", "complementary", "menu", "menus", "nav", "navbar", "navigation", "navigations", "breadcrumb", "breadcrumbs",
+        "toolbar", "topbar", "pagination", "pager", "footer", "foot", "colophon", "copyright", "legal", "disclaimer", "masthead", "header",
+        "comment", "comments", "commentlist", "respond", "reply", "replies", "disqus", "discussion", "share", "sharing", "social", "related",
+        "recommended", "recommendations", "trending", "popular", "tags", "search", "skip", "skiplink", "form", "contentinfo", "dialog",
+    ]
 )
 #: Of these words some name parts of an article too and count only outside it.
-OUTSIDE_ONLY = frozenset("header side tags form legal popular discussion".split())
+OUTSIDE_ONLY = frozenset(["header", "side", "tags", "form", "legal", "popular", "discussion"])
 #: Classes that say what a page has or lacks, and not what the element is.
 _ABOUT_PAGE = re.compile(r"(?<!\S)(?:has|with|without|no|is|js|supports)[-_]\S*")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
