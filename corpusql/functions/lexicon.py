@@ -3,18 +3,11 @@
 from __future__ import annotations
 
 # Stop words of keyword search.
-STOP_WORDS = (
-    "a an and are as at be by for from has he in is it its of on that the to was will with would "
-    "i you we they them their this these those what which who when where why how do does did can could should "
-    "may might must shall have had been being"
-).split()
+STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "that", "the", "to", "was", "will", "with", "would", "i", "you", "we", "they", "them", "their", "this", "these", "those", "what", "which", "who", "when", "where", "why", "how", "do", "does", "did", "can", "could", "should", "may", "might", "must", "shall", "have", "had", "been", "being"]
 # Stop words of query processing.
-PROCESSOR_STOP_WORDS = (
-    "a an and are as at be by for from has he in is it its of on that the to was will with this but they have "
-    "had what said each which she do how their if up out many then them these so some"
-).split()
+PROCESSOR_STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "that", "the", "to", "was", "will", "with", "this", "but", "they", "have", "had", "what", "said", "each", "which", "she", "do", "how", "their", "if", "up", "out", "many", "then", "them", "these", "so", "some"]
 # Stop words of key terms.
-KEY_TERM_STOP_WORDS = "a an and are as at be by for from has he in is it its of on that the to was will with would what how why when where who".split()
+KEY_TERM_STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "that", "the", "to", "was", "will", "with", "would", "what", "how", "why", "when", "where", "who"]
 
 # Phrases that tell the type of a query.
 COMMANDS = ["show me", "give me", "search for", "tell me about", "help me", "find", "list", "display", "explain", "describe"]
