@@ -10,7 +10,7 @@ from corpusql import sqlfunctions
 from corpusql.catalogue import governance as G
 from corpusql.catalogue import search as S
 from corpusql.catalogue import text as X
-from corpusql.functions import lexicon
+from corpusql.functions import crypto, lexicon
 from corpusql.functions import query_text as Q
 from corpusql.functions import relevance as R
 from corpusql.functions import text as T
@@ -19,7 +19,7 @@ from corpusql.functions import vectors as VE
 from corpusql.operators import caching, compliance as c
 from corpusql.operators import embedding as e
 from corpusql.operators import governance as g
-from corpusql.operators import ranking, records, rerank, vector_search as vs
+from corpusql.operators import answers, bm25, chunking, ranking, records, rerank, vector_search as vs
 from corpusql.plans import answer as plan, ingest
 from corpusql.sources import tables as t
 
@@ -223,6 +223,25 @@ def batch_upload(spark, base):
     return ingest.batch_jobs(d, "batch")
 
 
+@query("SELECT document_id, count(*) AS chunks, count(*) FILTER (length(content) >= 100) AS embedded FROM (SELECT doc_id AS document_id, substring(text, i * 800 + 1, 1000) AS content FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 800) AS BIGINT))) AS i FROM documents)) GROUP BY 1")
+def ingest_progress(spark, base):
+    """Chunks of each document, and those that have a vector (here, those of a hundred characters)."""
+    d = chunking.chunks(t.read(spark, base, "documents").select("doc_id", "text"), "fixed")
+    return ingest.progress(d.withColumn("embedding", F.when(F.length("content") >= 100, F.array(F.lit(1.0)))))
+
+
+@query(f"SELECT id, term, count(*) AS tf FROM (SELECT doc_id AS id, unnest({S._terms_sql('text')}) AS term FROM documents) GROUP BY 1, 2")
+def chunk_term_counts(spark, base):
+    return bm25.chunk_terms(t.documents(spark, base), ["id"])
+
+
+@query(S._hybrid_sql("SELECT x.query_id, 'Context:' || chr(10) || context || 'Question: ' || qs.text || chr(10) || 'Answer:' AS prompt FROM (SELECT query_id, string_agg('[' || rank || '] ' || content || chr(10) || chr(10), '' ORDER BY rank) AS context FROM h WHERE rank <= 10 GROUP BY 1) x JOIN qs ON qs.query_id = x.query_id"))
+def prompt_assembly(spark, base):
+    q, _, _ = S._inputs(spark, base)
+    x = answers.context(S._best(spark, base)).join(q.select("query_id", "text"), "query_id")
+    return x.select("query_id", answers.prompt(F.col("text"), F.col("context")).alias("prompt"))
+
+
 # Privacy duties, over events and orders.
 _PROC = "p AS (SELECT o_orderkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN 'ServiceProvision' WHEN '2-HIGH' THEN 'AccountManagement' ELSE 'Analytics' END AS purpose, CASE WHEN o_orderstatus = 'P' THEN '' ELSE 'Contract' END AS lawful_basis, o_custkey % 150 AS user_id, o_orderstatus AS activity, o_orderdate AS ts FROM orders)"
 _CONS = "cs AS (SELECT user_id, CASE event_type WHEN 'click' THEN 'Analytics' WHEN 'view' THEN 'Marketing' ELSE 'ServiceProvision' END AS purpose, value > 20 AS consent_given, event_type = 'error' AS withdrawn, ts, CASE WHEN event_type IN ('click', 'view') THEN ts + to_days(365) END AS expires_at, event_id FROM events)"
@@ -388,6 +407,12 @@ def key_authorisation(spark, base):
     return c.authorised(_keys(spark, base), uses, F.lit("1997-01-01").cast("timestamp"), "Write")
 
 
+@query("SELECT c_custkey AS key_id, sha256('key-' || c_name) AS hash FROM customer")
+def key_hashes(spark, base):
+    """What is kept of a key instead of it."""
+    return t.read(spark, base, "customer").select(F.col("c_custkey").alias("key_id"), crypto.key_hash(F.concat(F.lit("key-"), "c_name")).alias("hash"))
+
+
 @query(f"WITH {_KEYS} SELECT count(*) + 1 AS total, count(*) FILTER (active AND key_id % 10 <> 0) + 1 AS active FROM k")
 def key_lifecycle(spark, base):
     """Every tenth key revoked and one issued."""

@@ -38,7 +38,3 @@ def put(entries: DataFrame, new: DataFrame) -> DataFrame:
 def drop(entries: DataFrame, keys: DataFrame) -> DataFrame:
     return entries.join(keys.select("key").distinct(), "key", "left_anti")
 
-
-def compressible(size_bytes: Column, least: int = 1024) -> Column:
-    """Whether a value is worth compressing."""
-    return size_bytes > least

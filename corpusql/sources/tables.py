@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 AS_OF = "2024-12-31 00:00:00"
@@ -59,10 +61,11 @@ def delete(table: DataFrame, keys: DataFrame, *key: str) -> DataFrame:
     return table.join(keys.select(*key).distinct(), list(key), "left_anti")
 
 
-def rewrite(df: DataFrame, path: str, *partition: str) -> None:
-    """Write a new version beside the old one, for tables that are read while they are replaced."""
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition) if partition else writer).parquet(path)
+def rewrite(df: DataFrame, path: str, *partition: str) -> str:
+    """Write a new version in a folder of its own below ``path`` and return it; readers of older ones are not disturbed."""
+    at = f"{path.rstrip('/')}/v-{uuid.uuid4().hex}"
+    (df.write.partitionBy(*partition) if partition else df.write).parquet(at)
+    return at
 
 
 def duplicates(table: DataFrame, *key: str) -> DataFrame:

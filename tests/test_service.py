@@ -98,6 +98,7 @@ def test_errors():
     table = {name: (code, again) for name, code, again in errors.table()}
     assert table["NotFoundError"] == (404, False) and table["AuthenticationError"][0] == 401 and table["AuthorizationError"][0] == 403
     assert table["VectorStoreError"] == (500, True) and table["ModelError"][1] and table["ExternalServiceError"][1] and not table["SearchError"][1]
+    assert issubclass(errors.ConfigurationError, errors.EngineError) and table["DocumentError"] == (500, False)
     with pytest.raises(errors.ValidationError, match="ids: from 1 to 100"):
         records.batch_delete(None, "id", list(range(101)))
     with pytest.raises(ValueError):
@@ -202,6 +203,13 @@ def test_limiter_stream_is_table(spark, tmp_path):
     assert got == {r.user_id: r.allowed for r in g.fixed_window(ev, 5, 86_400).collect()}
 
 
+def test_new_versions_leave_old_ones(spark, tmp_path):
+    one = tables.rewrite(spark.range(3), str(tmp_path / "t"))
+    old = spark.read.parquet(one)
+    two = tables.rewrite(old.where("id > 0"), str(tmp_path / "t"))
+    assert one != two and old.count() == 3 and spark.read.parquet(two).count() == 2
+
+
 def test_store(spark, tmp_path):
     path = files.save(f"file://{tmp_path}/store", "a.bin", b"\x00\x01")
     assert (tmp_path / "store" / "a.bin").read_bytes() == b"\x00\x01" and files.remove(path) and not files.remove(path)
