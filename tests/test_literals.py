@@ -182,5 +182,5 @@ def test_vector_search_edges(spark):
     r = [(x.query_id, x.id, x.rank) for x in vs.search(q, v, 2).orderBy("query_id", "rank").collect()]
     assert r == [(9, 1, 1), (9, 4, 2)]
     assert vs.search(q, v.limit(0), 2).count() == 0
-    blocks = vs.search(spark.createDataFrame([(i, [1.0, float(i)]) for i in range(7)], "query_id long, qv array<double>"), v, 3, block=2)
+    blocks = vs.search(spark.createDataFrame([(i, [1.0, float(i)]) for i in range(7)], "query_id long, qv array<double>"), v, 3, block_bytes=80)
     assert blocks.count() == 21
