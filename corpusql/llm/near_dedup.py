@@ -111,9 +111,8 @@ def members(classes: DataFrame, broadcast_bytes: int) -> DataFrame:
     # Each table orders its buckets from another of the eight ordering minima.
     order = F.expr("shiftleft(o, 8 * ((i + 3 * j) % 8)) | shiftrightunsigned(o, 64 - 8 * ((i + 3 * j) % 8))")
     keyed = keyed.select(F.xxhash64("i", "j", "x", "y").alias("key"), "id", order.alias("o"))
-    who = [F.bit_xor(F.xxhash64(F.lit(j), "id")).alias(f"s{j}") for j in range(2)]
-    each = keyed.groupBy("key").agg(F.count("*").alias("z"), F.min("id").alias("least"), *who).where("z > 1")
-    shared = materialise(each.groupBy("z", "least", "s0", "s1").agg(F.min("key").alias("key")).select("key", "z", "least"), "buckets")
+    each = keyed.groupBy("key").agg(F.count("*").alias("z"), F.min("id").alias("least"), F.bit_xor(F.xxhash64("id")).alias("who")).where("z > 1")
+    shared = materialise(each.groupBy("z", "least", "who").agg(F.min("key").alias("key")).select("key", "z", "least"), "buckets")
     small = fits(shared, F.lit(24), broadcast_bytes)
     return materialise(keyed.join(F.broadcast(shared) if small else shared, "key"), "members")
 
@@ -132,17 +131,21 @@ def candidates(met: DataFrame, neighbours: int, run: int = 512) -> DataFrame:
     return pairs.select(F.least("id", "q").alias("a"), F.greatest("id", "q").alias("b")).distinct()
 
 
-def crowded(met: DataFrame, labels: DataFrame, neighbours: int) -> tuple[DataFrame, DataFrame]:
+def crowded(met: DataFrame, labels: DataFrame, neighbours: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Where buckets of more than ``neighbours + 1`` classes hold several components.
 
-    Returns ``key, id, c`` of all classes in larger buckets, and ``key, id, c`` of those that
-    are not of their bucket's largest component, in the buckets that have several.
+    Returns ``key, id, c`` of all classes in larger buckets; ``key, id, c`` of those that are
+    not of their bucket's largest component, in the buckets that have several; and ``c``, all
+    components in these buckets.
     """
     c = labels.select(F.col("node").alias("id"), "component")
     named = materialise(met.where(F.col("z") > neighbours + 1).join(c, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), "crowd-members")
-    main = named.groupBy("key", "c").count().groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("count", "c")).alias("m")).where("n > 1").select(F.col("key").alias("of"), F.col("m.c").alias("main"))
+    sizes = materialise(named.groupBy("key", "c").count(), "crowd-sizes")
+    main = sizes.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("count", "c")).alias("m")).where("n > 1").select(F.col("key").alias("of"), F.col("m.c").alias("main"))
+    main = materialise(main, "crowd-main")
     odd = named.join(main, (F.col("key") == F.col("of")) & (F.col("c") != F.col("main"))).select("key", "id", "c")
-    return named, materialise(odd, "crowd-odd")
+    beside = sizes.join(main, F.col("key") == F.col("of")).groupBy("c").agg(F.lit(1).alias("one")).select("c")
+    return named, materialise(odd, "crowd-odd"), beside
 
 
 def shingle_rows(texts: DataFrame, k: int) -> DataFrame:
@@ -168,7 +171,7 @@ def shingle_rows(texts: DataFrame, k: int) -> DataFrame:
     return texts.select("id", "c", F.xxhash64("id", "t").alias("r"), "t").mapInArrow(run, "id long, c long, r long, n long, h long, x array<long>")
 
 
-def rest(named: DataFrame, odd: DataFrame, labels: DataFrame, texts: DataFrame, k: int, percent: int, few: int) -> DataFrame:
+def rest(named: DataFrame, odd: DataFrame, beside: DataFrame, labels: DataFrame, texts: DataFrame, k: int, percent: int, few: int) -> DataFrame:
     """All pairs ``a < b`` of different components that met in a larger bucket and can be alike.
 
     Looked at are all texts of the components that stand beside another in such a bucket.  A
@@ -180,7 +183,6 @@ def rest(named: DataFrame, odd: DataFrame, labels: DataFrame, texts: DataFrame,
     unless too many bits of one are not in the other.
     """
     c = labels.select(F.col("node").alias("id"), F.col("component").alias("c"))
-    beside = named.join(odd.select("key").distinct(), "key", "left_semi").groupBy("c").agg(F.lit(1).alias("one")).select("c")
     own = texts.select("id").distinct().join(c, "id", "left").select("id", F.coalesce("c", "id").alias("c"))
     of = own.join(beside, "c", "left_semi")
     rows = materialise(shingle_rows(texts.join(of, "id").dropDuplicates(["id", "t"]), k), "crowd-shingles")
@@ -289,8 +291,8 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     links = more.unionByName(first.select(F.col("component").alias("a"), F.col("node").alias("b")))
     second = materialise(components(links, "round2"), "round2")
     # Crowds: what is still apart in the larger buckets, without the pairs that were verified.
-    named, odd = crowded(buckets, second, neighbours)
-    left = materialise(rest(named, odd, second, texts, k, percent, few).join(pairs, ["a", "b"], "left_anti"), "crowd-pairs")
+    named, odd, beside = crowded(buckets, second, neighbours)
+    left = materialise(rest(named, odd, beside, second, texts, k, percent, few).join(pairs, ["a", "b"], "left_anti"), "crowd-pairs")
     found = materialise(verify(left, texts, k, percent), "crowd-links")
     final = second if found.isEmpty() else components(found.unionByName(second.select(F.col("component").alias("a"), F.col("node").alias("b"))), "round3")
     ids = some.select("id", "s1", "s2").join(classes.select("s1", "s2", F.col("id").alias("rep")), ["s1", "s2"])
