@@ -94,6 +94,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusql.llm.whitening import whiten
+
+    out = whiten(_table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusql.llm.simhash import simhash_duplicates
+
+    return simhash_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_html_extraction": op2_html_extraction,
@@ -105,6 +118,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_warc": op9_warc,
     "op10_line_dedup": op10_line_dedup,
+    "op11_whitening": op11_whitening,
+    "op12_simhash": op12_simhash,
 }
 
 ORACLES: dict[str, str] = {"op7_decontamination": DECONTAMINATE_SQL, "op8_near_duplicates": NEAR_SQL, "op9_warc": WARC_SQL, "op10_line_dedup": LINE_DEDUP_SQL}
