@@ -320,7 +320,7 @@ def _best(spark, base):
     return plan.hybrid(*_inputs(spark, base))
 
 
-@query(_hybrid_sql(f", z AS (SELECT *, {_RQ} AS q FROM h WHERE rank <= 10), f AS (SELECT query_id, id, score * CASE WHEN q > 0.7 THEN 1.2 WHEN q < 0.3 THEN 0.8 ELSE 1 END + 0.15 * q AS f FROM z) {_FINAL}"))
+@query(_hybrid_sql(f", z AS (SELECT *, {_RQ} AS q FROM h WHERE rank <= 10), f AS (SELECT query_id, id, score * CASE WHEN round(q, 9) > 0.7 THEN 1.2 WHEN round(q, 9) < 0.3 THEN 0.8 ELSE 1 END + 0.15 * q AS f FROM z) {_FINAL}"))
 def rerank_quality(spark, base):
     return _final(rerank.rerank(_best(spark, base), "Quality"))
 
@@ -430,7 +430,7 @@ def answer_batch(spark, base):
 
 @query(
     _relevance_sql(
-        f", o AS (SELECT query_id, id, rank, round({_overall(lexicon.PRESETS['general'])}, 6) AS s, semantic, keyword, quality, freshness, context FROM r WHERE rank <= 10), g AS (SELECT *, (semantic + keyword + quality + freshness + context) / 5 AS m FROM o) SELECT query_id, id, round(greatest(0, least(1, 1 - sqrt(((semantic - m) ** 2 + (keyword - m) ** 2 + (quality - m) ** 2 + (freshness - m) ** 2 + (context - m) ** 2) / 5))), 6) AS confidence, (semantic > 0.7) AS semantic_good, (keyword < 0.2) AS keyword_bad FROM g"
+        f", o AS (SELECT query_id, id, rank, round({_overall(lexicon.PRESETS['general'])}, 6) AS s, semantic, keyword, quality, freshness, context FROM r WHERE rank <= 10), g AS (SELECT *, (semantic + keyword + quality + freshness + context) / 5 AS m FROM o) SELECT query_id, id, round(greatest(0, least(1, 1 - sqrt(((semantic - m) ** 2 + (keyword - m) ** 2 + (quality - m) ** 2 + (freshness - m) ** 2 + (context - m) ** 2) / 5))), 6) AS confidence, (round(semantic, 9) > 0.7) AS semantic_good, (round(keyword, 9) < 0.2) AS keyword_bad FROM g"
     )
 )
 def score_explanation(spark, base):

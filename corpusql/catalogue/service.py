@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import string
 
 from pyspark.sql import functions as F
 
@@ -216,10 +217,13 @@ def upload_gate(spark, base):
     return d.select("doc_id", F.array_join(records.upload_issues(p, F.col("length"), F.col("metadata"), F.col("strategy")), ",").alias("issues"), T.mime(p).alias("mime"), T.safe_name(p, F.col("doc_id").cast("string")).alias("name"))
 
 
-@query("SELECT doc_id % 7 AS batch, count(*) AS files, count(*) FILTER (strlen(text) >= 10 AND trim(text) <> '') AS done, count(*) FILTER (strlen(text) < 10 OR trim(text) = '') AS failed FROM documents WHERE NOT regexp_matches(text, '(?i)<script') GROUP BY 1")
+@query(
+    f"""WITH d AS (SELECT doc_id % 7 AS batch, trim(text) <> '' AND strlen(text) BETWEEN 10 AND 10485760 AND NOT ({' OR '.join(f'regexp_matches(text, {X._lit(p)})' for p in lexicon.BLOCKED)}) AS ok FROM documents)
+    SELECT batch, count(*) AS files, count(*) FILTER (ok) AS done, count(*) FILTER (NOT ok) AS failed FROM d GROUP BY 1"""
+)
 def batch_upload(spark, base):
     """Batches of files in which one bad file doesn't stop the others."""
-    d = t.read(spark, base, "documents").where("NOT text rlike '(?i)<script'").select(F.pmod("doc_id", F.lit(7)).alias("batch"), "doc_id", "text")
+    d = t.read(spark, base, "documents").select(F.pmod("doc_id", F.lit(7)).alias("batch"), "doc_id", "text")
     return ingest.batch_jobs(d, "batch")
 
 
@@ -416,7 +420,8 @@ def key_hashes(spark, base):
 @query(f"WITH {_KEYS} SELECT count(*) + 1 AS total, count(*) FILTER (active AND key_id % 10 <> 0) + 1 AS active FROM k")
 def key_lifecycle(spark, base):
     """Every tenth key revoked and one issued."""
-    k = c.revoked(_keys(spark, base), spark.range(0, 10_000_000, 10).select(F.col("id").alias("key_id")))
+    k = _keys(spark, base)
+    k = c.revoked(k, k.where("key_id % 10 = 0").select("key_id"))
     k = c.issued(k, spark.createDataFrame([(-1, "new", ["Read"])], "key_id long, owner string, permissions array<string>"))
     return k.agg(F.count("*").alias("total"), F.count_if("active").alias("active"))
 
@@ -463,10 +468,11 @@ def pool_statistics(spark, base):
     return g.pool_efficiency(ev.select(F.col("user_id").alias("connection"), (F.col("value") > 250).alias("reused"), (F.col("event_type") == "view").alias("open")))
 
 
-@query("SELECT conv_id, turn, 'BATCH[' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) || ']: ' || upper(text) AS line FROM conversations WHERE regexp_matches(text, '^[\\x00-\\x7F]*$')")
+@query("SELECT conv_id, turn, 'BATCH[' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) || ']: ' || translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS line FROM conversations")
 def batch_lines(spark, base):
-    r = t.read(spark, base, "conversations").where("text rlike '^[\\\\x00-\\\\x7F]*$'")
-    return records.batch_lines(r, "conv_id", "turn", "text").select("conv_id", "turn", "line")
+    """Capitals of A to Z only, as the two sides know different ones beyond them."""
+    r = t.read(spark, base, "conversations")
+    return records.batch_lines(r, "conv_id", "turn", "text", upper=lambda x: F.translate(x, string.ascii_lowercase, string.ascii_uppercase)).select("conv_id", "turn", "line")
 
 
 # Metrics.
@@ -562,9 +568,9 @@ def contributing_factors(spark, base):
 
 @query(
     S._relevance_sql(
-        """, z AS (SELECT *, list_filter([CASE WHEN semantic > 0.7 THEN 'high semantic similarity' END, CASE WHEN keyword > 0.6 THEN 'strong keyword match' END, CASE WHEN quality > 0.7 THEN 'high quality' END, CASE WHEN boost > 1.1 THEN 'fits the intent' END], lambda x: x IS NOT NULL) AS good,
-        list_filter([CASE WHEN semantic < 0.3 THEN 'low semantic similarity' END, CASE WHEN keyword < 0.2 THEN 'weak keyword match' END, CASE WHEN freshness < 0.3 THEN 'may be outdated' END], lambda x: x IS NOT NULL) AS bad FROM r WHERE rank <= 10)
-        SELECT query_id, id, array_to_string(good, ',') AS positive, array_to_string(bad, ',') AS negative, array_to_string(list_filter([CASE WHEN type = 'Procedural' AND NOT contains(lower(content), 'step') THEN 'look for step-by-step instructions' END, CASE WHEN type = 'Factual' AND quality < 0.5 THEN 'look for more authoritative sources' END, CASE WHEN len(good) = 0 THEN 'refine the query terms' END], lambda x: x IS NOT NULL), ',') AS recommendations, round(semantic, 6) AS semantic_score FROM z"""
+        """, z AS (SELECT *, list_filter([CASE WHEN round(semantic, 9) > 0.7 THEN 'high semantic similarity' END, CASE WHEN round(keyword, 9) > 0.6 THEN 'strong keyword match' END, CASE WHEN round(quality, 9) > 0.7 THEN 'high quality' END, CASE WHEN round(boost, 9) > 1.1 THEN 'fits the intent' END], lambda x: x IS NOT NULL) AS good,
+        list_filter([CASE WHEN round(semantic, 9) < 0.3 THEN 'low semantic similarity' END, CASE WHEN round(keyword, 9) < 0.2 THEN 'weak keyword match' END, CASE WHEN round(freshness, 9) < 0.3 THEN 'may be outdated' END], lambda x: x IS NOT NULL) AS bad FROM r WHERE rank <= 10)
+        SELECT query_id, id, array_to_string(good, ',') AS positive, array_to_string(bad, ',') AS negative, array_to_string(list_filter([CASE WHEN type = 'Procedural' AND NOT contains(lower(content), 'step') THEN 'look for step-by-step instructions' END, CASE WHEN type = 'Factual' AND round(quality, 9) < 0.5 THEN 'look for more authoritative sources' END, CASE WHEN len(good) = 0 THEN 'refine the query terms' END], lambda x: x IS NOT NULL), ',') AS recommendations, round(semantic, 6) AS semantic_score FROM z"""
     )
 )
 def relevance_explanation(spark, base):
@@ -574,12 +580,23 @@ def relevance_explanation(spark, base):
     return x.select("query_id", "id", F.array_join("x.positive", ",").alias("positive"), F.array_join("x.negative", ",").alias("negative"), F.array_join("x.recommendations", ",").alias("recommendations"), F.round(F.element_at("x.debug", "semantic_score"), 6).alias("semantic_score"))
 
 
-@query(S._relevance_sql("SELECT query_id, id, 'Rank ' || rank || ': overall' AS head, substring(content, 1, 100) || '...' AS tail FROM r WHERE rank <= 10"))
+@query(
+    S._relevance_sql(
+        f""", o AS (SELECT *, round({S._overall(lexicon.PRESETS['general'])}, 9) AS overall, (semantic + keyword + quality + freshness + context) / 5 AS m FROM r WHERE rank <= 10),
+        z AS (SELECT *, round(greatest(0, least(1, 1 - sqrt(((semantic - m) ** 2 + (keyword - m) ** 2 + (quality - m) ** 2 + (freshness - m) ** 2 + (context - m) ** 2) / 5))), 9) AS confidence,
+          list_filter([CASE WHEN round(semantic, 9) > 0.7 THEN 'high semantic similarity' END, CASE WHEN round(keyword, 9) > 0.6 THEN 'strong keyword match' END, CASE WHEN round(quality, 9) > 0.7 THEN 'high quality' END, CASE WHEN round(boost, 9) > 1.1 THEN 'fits the intent' END], lambda x: x IS NOT NULL) AS good FROM o),
+        n AS (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY v DESC, i) AS n FROM (SELECT query_id, id, unnest(['semantic similarity', 'keyword relevance', 'document quality', 'content freshness', 'context alignment']) AS k, unnest([round(semantic, 9), round(keyword, 9), round(quality, 9), round(freshness, 9), round(context, 9)]) AS v, unnest([1, 2, 3, 4, 5]) AS i FROM o)),
+        f AS (SELECT query_id, id, string_agg(k || ': ' || printf('%.3f', round(v, 3)), ', ' ORDER BY n) AS factors FROM n WHERE n <= 3 GROUP BY 1, 2)
+        SELECT z.query_id, z.id, 'Rank ' || rank || ': overall ' || printf('%.3f', round(overall, 3)) || ' (confidence ' || printf('%.3f', round(confidence, 3)) || ')' || chr(10) || '- factors: ' || factors || chr(10) || '- for it: ' || array_to_string(good, ', ') || chr(10) || '- ' || substring(content, 1, 100) || '...' AS line FROM z JOIN f ON f.query_id = z.query_id AND f.id = z.id"""
+    )
+)
 def explained_results(spark, base):
-    """The lines that tell why, cut to what doesn't depend on the last digit."""
+    """The lines that tell why each result stands where it does, whole; scores from values of 9 digits."""
     _, r = S._ranked(spark, base)
-    line = R.explained(F.col("rank"), F.col("overall"), F.col("confidence"), F.array(F.lit("f")), F.array(F.lit("p")), F.col("content"))
-    return r.select("query_id", "id", F.regexp_extract(line, r"^(Rank \d+: overall) ", 1).alias("head"), F.regexp_extract(line, r"(?s)- for it: p\n- (.*)$", 1).alias("tail"))
+    five = {k: F.round(F.col(x), 9) for k, x in zip(R.FACTORS, ("semantic", "keyword", "quality", "freshness", "context"))}
+    s = R.signals(F.col("semantic"), F.col("keyword"), F.col("quality"), F.col("boost"))
+    line = R.explained(F.col("rank"), F.round("overall", 9), F.round("confidence", 9), R.top_factors(five), s["positive"], F.col("content"))
+    return r.select("query_id", "id", line.alias("line"))
 
 
 @query(S._relevance_sql(" UNION ALL ".join(f"SELECT '{k}' AS preset, count(*) AS n, round(avg({S._overall(w)}), 6) AS mean, round(max({S._overall(w)}), 6) AS best FROM r WHERE rank <= 10" for k, w in lexicon.PRESETS.items())))
@@ -618,7 +635,7 @@ def rerank_off(spark, base):
 
 @query(
     S._hybrid_sql(
-        f", z AS (SELECT *, {S._RQ} AS q FROM h WHERE rank <= 10), f AS (SELECT query_id, id, rank, score, score * CASE WHEN q > 0.7 THEN 1.2 WHEN q < 0.3 THEN 0.8 ELSE 1 END + 0.15 * q AS f FROM z), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(f, 9) DESC, id) AS new_rank FROM f) SELECT 'Quality' AS strategy, count(DISTINCT query_id) AS queries, count(*) AS rows, count(*) FILTER (new_rank < rank) AS rose, count(*) FILTER (new_rank > rank) AS fell, round(avg(f - score), 6) AS mean_change FROM n"
+        f", z AS (SELECT *, {S._RQ} AS q FROM h WHERE rank <= 10), f AS (SELECT query_id, id, rank, score, score * CASE WHEN round(q, 9) > 0.7 THEN 1.2 WHEN round(q, 9) < 0.3 THEN 0.8 ELSE 1 END + 0.15 * q AS f FROM z), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(f, 9) DESC, id) AS new_rank FROM f) SELECT 'Quality' AS strategy, count(DISTINCT query_id) AS queries, count(*) AS rows, count(*) FILTER (new_rank < rank) AS rose, count(*) FILTER (new_rank > rank) AS fell, round(avg(f - score), 6) AS mean_change FROM n"
     )
 )
 def rerank_improvement(spark, base):
@@ -662,12 +679,14 @@ def basic_metadata(spark, base):
 
 
 # SQL functions.
-@query(f"WITH {S._Q} SELECT query_id, id, round({S._SCORES['cosine']}, 6) AS score, round(sqrt(list_sum(list_transform(e, lambda x: x * x))), 6) AS norm FROM q, v WHERE query_id = 20 AND id < 200")
+@query(f"WITH {S._Q}, s AS (SELECT query_id, id, e, round({S._SCORES['cosine']}, 9) AS s FROM q, v), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM s) SELECT query_id, id, round(s, 6) AS score, round(sqrt(list_sum(list_transform(e, lambda x: x * x))), 6) AS norm FROM r WHERE rank <= 10")
 def sql_functions(spark, base):
-    """The engine's functions by name in SQL."""
+    """The engine's functions by name in SQL, over the pairs of the stated queries and what the search finds among all vectors."""
     sqlfunctions.register(spark)
-    t.vectors(spark, base).createOrReplaceTempView("cq_vectors")
-    return spark.sql("SELECT q.id AS query_id, v.id, round(cq_cosine_score(q.embedding, v.embedding), 6) AS score, round(cq_norm(v.embedding), 6) AS norm FROM cq_vectors q, cq_vectors v WHERE q.id = 20 AND v.id < 200")
+    v = t.vectors(spark, base)
+    v.createOrReplaceTempView("cq_vectors")
+    vs.search(S._asked(spark, base), v, 10).createOrReplaceTempView("cq_found")
+    return spark.sql("SELECT query_id, f.id, round(cq_cosine_score(q.embedding, v.embedding), 6) AS score, round(cq_norm(v.embedding), 6) AS norm FROM cq_found f JOIN cq_vectors q ON q.id = f.query_id JOIN cq_vectors v ON v.id = f.id")
 
 
 @query("SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, length(substring(text, i * 800 + 1, 1000)) AS n FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 800) AS BIGINT))) AS i FROM documents)")

@@ -140,18 +140,22 @@ FACTORS = ("semantic similarity", "keyword relevance", "document quality", "cont
 
 
 def signals(semantic_: Column, keyword_: Column, quality_: Column, boost_: Column, freshness_: Column | None = None) -> Column:
-    """Struct of what speaks for and against a result."""
+    """Struct of what speaks for and against a result.
+
+    Scores are sums that can land on a threshold; they are rounded to 9 digits first.
+    """
+    semantic_, keyword_, quality_, boost_ = (F.round(x, 9) for x in (semantic_, keyword_, quality_, boost_))
     good = [F.when(semantic_ > 0.7, "high semantic similarity"), F.when(keyword_ > 0.6, "strong keyword match"), F.when(quality_ > 0.7, "high quality"), F.when(boost_ > 1.1, "fits the intent")]
     bad = [F.when(semantic_ < 0.3, "low semantic similarity"), F.when(keyword_ < 0.2, "weak keyword match")]
     if freshness_ is not None:
-        bad.append(F.when(freshness_ < 0.3, "may be outdated"))
+        bad.append(F.when(F.round(freshness_, 9) < 0.3, "may be outdated"))
     return F.struct(F.array_compact(F.array(*good)).alias("positive"), F.array_compact(F.array(*bad)).alias("negative"))
 
 
 def top_factors(named: dict[str, Column], n: int = 3) -> Column:
     """The ``n`` largest factors, as ``name: value``; of equal ones that named first."""
     pairs = F.array(*[F.struct((-v).alias("v"), F.lit(i).alias("i"), F.lit(k).alias("k")) for i, (k, v) in enumerate(named.items())])
-    return F.transform(F.slice(F.array_sort(pairs), 1, n), lambda x: F.format_string("%s: %.3f", x["k"], -x["v"]))
+    return F.transform(F.slice(F.array_sort(pairs), 1, n), lambda x: F.format_string("%s: %.3f", x["k"], F.round(-x["v"], 3)))
 
 
 def recommended(a: Column, content: Column, quality_: Column, positive: Column) -> Column:
@@ -159,7 +163,7 @@ def recommended(a: Column, content: Column, quality_: Column, positive: Column)
     return F.array_compact(
         F.array(
             F.when((a["type"] == "Procedural") & ~F.lower(content).contains("step"), "look for step-by-step instructions"),
-            F.when((a["type"] == "Factual") & (quality_ < 0.5), "look for more authoritative sources"),
+            F.when((a["type"] == "Factual") & (F.round(quality_, 9) < 0.5), "look for more authoritative sources"),
             F.when(F.size(positive) == 0, "refine the query terms"),
         )
     )
@@ -182,5 +186,5 @@ def explanation(a: Column, content: Column, semantic_: Column, keyword_: Column,
 def explained(rank: Column, overall_: Column, confidence_: Column, factors: Column, positive: Column, content: Column | Content) -> Column:
     """Lines that tell a reader why a result stands where it does."""
     return F.format_string(
-        "Rank %d: overall %.3f (confidence %.3f)\n- factors: %s\n- for it: %s\n- %s...", rank, overall_, confidence_, F.array_join(factors, ", "), F.array_join(positive, ", "), F.substring(content, 1, 100)
+        "Rank %d: overall %.3f (confidence %.3f)\n- factors: %s\n- for it: %s\n- %s...", rank, F.round(overall_, 3), F.round(confidence_, 3), F.array_join(factors, ", "), F.array_join(positive, ", "), F.substring(content, 1, 100)
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusql.errors import ValidationError
@@ -78,10 +80,10 @@ def upload_issues(path: Column, length: Column, metadata: Column | None = None,
     return some(*found)
 
 
-def batch_lines(rows: DataFrame, batch: str, order: str, text: str) -> DataFrame:
+def batch_lines(rows: DataFrame, batch: str, order: str, text: str, upper: Callable[[Column], Column] = F.upper) -> DataFrame:
     """``rows`` with ``line``: the place in the batch and the text in capitals."""
     place = F.row_number().over(Window.partitionBy(batch).orderBy(order)) - 1
-    return rows.withColumn("line", F.format_string("BATCH[%d]: %s", place, F.upper(text)))
+    return rows.withColumn("line", F.format_string("BATCH[%d]: %s", place, upper(F.col(text))))
 
 
 def distribution(rows: DataFrame, column: str) -> DataFrame:

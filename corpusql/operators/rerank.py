@@ -30,7 +30,8 @@ def original(df: DataFrame, most: int = 10) -> DataFrame:
 
 def quality(df: DataFrame, most: int = 10, weight: float = 0.15, up: float = 1.2, down: float = 0.8) -> DataFrame:
     q = R.rerank_quality(F.col("content"))
-    factor = F.when(F.col("quality") > 0.7, up).when(F.col("quality") < 0.3, down).otherwise(1.0)
+    q9 = F.round("quality", 9)  # a sum of tenths, which may land on the limit
+    factor = F.when(q9 > 0.7, up).when(q9 < 0.3, down).otherwise(1.0)
     return _ranked(df.withColumn("quality", q).withColumn("final_score", F.col("score") * factor + weight * F.col("quality")), most)
 
 
