@@ -9,8 +9,9 @@ from corpusql.functions import query_text as Q
 from corpusql.functions import relevance as R
 from corpusql.functions import vectors as V
 from corpusql.functions.text import jaccard, terms, words
-from corpusql.operators import answers, bm25, rerank, vector_search as vs
+from corpusql.operators import answers, bm25, inverted_index as ii, rerank, vector_index as vi, vector_search as vs
 from corpusql.plans import answer as plan
+from corpusql.session import shared_path
 from corpusql.sources import tables as t
 
 QUERIES: dict = {}
@@ -72,6 +73,36 @@ def vector_threshold(spark, base):
     return _rounded(vs.search(_asked(spark, base), t.vectors(spark, base), 50, threshold=0.55), "score")
 
 
+def _ann(spark, base):
+    index = vi.build(t.vectors(spark, base), shared_path(spark, "vector-index"))
+    return vi.search(index, _asked(spark, base), 10)
+
+
+@query()
+def vector_ann_topk(spark, base):
+    """What the index finds; which neighbours it misses depends on the fit."""
+    return _rounded(_ann(spark, base), "score")
+
+
+@query(
+    f"""WITH {_Q}, s AS (SELECT query_id, id, round({_SCORES['cosine']}, 9) AS s FROM q, v), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM s)
+    SELECT query_id, count(*) AS wanted, count(*) AS found, true AS true_scores, round(max(s), 6) AS best, true AS recall_ok FROM r WHERE rank <= 10 GROUP BY 1"""
+)
+def vector_ann_recall(spark, base):
+    """Per query: exact neighbours, rows found, whether all their scores are true ones, the best score; and whether nine tenths of all exact neighbours are found."""
+    q, v = _asked(spark, base), t.vectors(spark, base)
+    # Written, as it is read three times.
+    path = shared_path(spark, "vector-found")
+    _ann(spark, base).write.parquet(path)
+    found = spark.read.schema("query_id long, id long, score double, rank int").parquet(path)
+    real = found.join(q.select("query_id", "qv"), "query_id").join(v.select("id", "embedding"), "id")
+    true = F.bool_and(F.abs(F.col("score") - V.score("cosine", F.col("qv"), F.col("embedding"))) < 1e-8)
+    each = real.groupBy("query_id").agg(F.count("*").alias("found"), true.alias("true_scores"), F.round(F.max("score"), 6).alias("best"))
+    r = vi.recall(found, vs.search(q, v, 10)).join(each, "query_id")
+    share = r.agg((F.sum("got") / F.sum("wanted")).alias("share"))
+    return r.join(F.broadcast(share.withColumn("one", F.lit(1))), F.lit(1) == F.col("one")).select("query_id", "wanted", "found", "true_scores", "best", (F.col("share") >= 0.9).alias("recall_ok"))
+
+
 @query(_topk_sql("cosine", 5, where="id <> query_id AND label <> ql", ranked="s >= 0.4"))
 def find_similar_exclude_label(spark, base):
     return _rounded(vs.find_similar(_asked(spark, base), t.vectors(spark, base), 5, threshold=0.4, unlike="label"), "score")
@@ -137,6 +168,23 @@ def _inputs(spark, base):
     return t.queries(spark, base), t.documents(spark, base), t.vectors(spark, base)
 
 
+@query(
+    f"""WITH d AS (SELECT doc_id AS id, {_terms_sql('text')} AS t FROM documents), st AS (SELECT count(*) AS n, avg(len(list_distinct(t))) AS avgdl FROM d),
+    qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({_terms_sql('text', True)}) AS term FROM benchmark) GROUP BY 1, 2),
+    tf AS (SELECT id, term, len(t) AS dl, count(*) AS tf FROM (SELECT id, t, unnest(t) AS term FROM d) GROUP BY id, term, len(t)),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+    s AS (SELECT query_id, id, round(sum(ln((n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) * qtf), 9) AS score FROM tf JOIN qt ON qt.term = tf.term JOIN df ON df.term = tf.term, st GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
+    SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10"""
+)
+def bm25_corpus_topk(spark, base):
+    """Keyword search of all documents, through an index that skips blocks."""
+    docs = t.read(spark, base, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "lang", "source")
+    index = ii.build(docs, shared_path(spark, "inverted-index"), "lang", "source")
+    asked = t.read(spark, base, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return _rounded(ii.search(index, asked, shared_path(spark, "keyword-search")), "score")
+
+
 @query(f"SELECT doc_id AS id, CAST(len({_terms_sql('text')}) AS BIGINT) AS n_terms, CAST(len(list_distinct({_terms_sql('text')})) AS BIGINT) AS n_distinct FROM documents")
 def token_counts(spark, base):
     x = terms(F.col("content"))

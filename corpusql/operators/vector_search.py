@@ -42,8 +42,9 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "c
     vector with the query's own id, are left out (null agrees with nothing).
 
     ``queries``: ``query_id`` (long), ``qv``; ``vectors``: ``id`` (long), ``embedding``.  Scores
-    are rounded to ``digits`` before ranking, ties go to the smaller id.  Null vectors, and
-    vectors of another length than the query's, match nothing.  Queries of ``block_bytes``
+    are rounded to ``digits`` before ranking, ties go to the smaller id.  Null vectors,
+    vectors with an entry that is null or not finite, and vectors of another length than the
+    query's match nothing.  Queries of ``block_bytes``
     in all are sent to all executors; of more, see the module.
     """
     if metric not in METRICS:
@@ -114,17 +115,24 @@ class Best:
         self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # query, vector, score
         self.rows = 0
 
-    def see(self, ids: pa.Array, vectors: pa.Array, code: pa.Array) -> None:
+    def see(self, ids: pa.Array, vectors: pa.Array, code: pa.Array, only: np.ndarray | None = None) -> None:
+        """Take some vectors into account, for all queries or ``only`` for those."""
         sizes = np.asarray(vectors.value_lengths().fill_null(-1))
         known = np.asarray(ids.is_valid())
         ids = np.asarray(ids.fill_null(0)).astype(np.int64)
         coded, code = np.asarray(code.is_valid()), np.asarray(code.fill_null(0)).astype(np.int64)
         for n, (of, q) in self.by_size.items():
+            if only is not None:
+                of, q = of[only[of]], q[only[of]]
+                if not len(of):
+                    continue
             rows = np.flatnonzero((sizes == n) & known)
             step = max(1, self.CELLS // len(of))
             for a in range(0, len(rows), step):
                 at = rows[a : a + step]
                 x = np.asarray(vectors.take(pa.array(at)).flatten(), np.float64).reshape(len(at), n)
+                if not (finite := np.isfinite(x).all(1)).all():
+                    x, at = x[finite], at[finite]
                 s = similarity(self.metric, x, q)
                 np.round(s, self.digits, out=s)
                 keep = s >= self.least[of][None, :]
