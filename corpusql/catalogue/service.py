@@ -20,7 +20,7 @@ from corpusql.functions import vectors as VE
 from corpusql.operators import caching, compliance as c
 from corpusql.operators import embedding as e
 from corpusql.operators import governance as g
-from corpusql.operators import answers, bm25, chunking, ranking, records, rerank, vector_search as vs
+from corpusql.operators import answers, bm25, chunking, ranking, records, rerank, retention_log, vector_search as vs
 from corpusql.plans import answer as plan, ingest
 from corpusql.sources import tables as t
 
@@ -354,6 +354,39 @@ def retention_transitions(spark, base):
     return c.apply_actions(r, a, G._then()).select("data_id", "status", "rejected")
 
 
+# A log of actions: every event is one, on the record of its user; the users of every tenth number have no record.
+_REPLAY = """WITH RECURSIVE r AS (SELECT DISTINCT user_id AS data_id, CASE user_id % 5 WHEN 0 THEN 'DeletionRequested' WHEN 1 THEN 'Expired' WHEN 2 THEN 'DeletionApproved' ELSE 'Active' END AS status, CAST(user_id % 3 = 0 AS BIGINT) AS holds, CASE WHEN user_id % 2 = 0 THEN TIMESTAMP '2024-01-15' ELSE TIMESTAMP '2024-02-15' END AS expires_at FROM events WHERE user_id % 10 <> 9),
+    a AS (SELECT user_id AS data_id, event_id AS id, ts, CASE event_type WHEN 'signup' THEN 'hold' WHEN 'error' THEN 'release' WHEN 'view' THEN 'request' WHEN 'click' THEN 'approve' ELSE 'delete' END AS action, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    s AS (SELECT r.data_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS action, status, holds, expires_at, false AS rejected FROM r
+    UNION ALL SELECT s.data_id, a.i, a.id, a.action,
+      CASE WHEN a.action = 'hold' THEN 'LegalHold' WHEN a.action = 'release' AND s.holds <= 1 THEN CASE WHEN a.ts > expires_at THEN 'Expired' ELSE 'Active' END WHEN a.action = 'request' AND s.holds = 0 THEN 'DeletionRequested'
+        WHEN a.action = 'approve' AND s.status = 'DeletionRequested' THEN 'DeletionApproved' WHEN a.action = 'delete' AND s.holds = 0 AND s.status IN ('DeletionApproved', 'Expired') THEN 'SoftDeleted' ELSE s.status END,
+      CASE WHEN a.action = 'hold' THEN s.holds + 1 WHEN a.action = 'release' THEN greatest(s.holds - 1, 0) ELSE s.holds END, expires_at,
+      a.action = 'request' AND s.holds > 0 OR a.action = 'approve' AND s.status <> 'DeletionRequested' OR a.action = 'delete' AND NOT (s.holds = 0 AND s.status IN ('DeletionApproved', 'Expired'))
+    FROM s JOIN a ON a.data_id = s.data_id AND a.i = s.i + 1)"""
+
+
+def _log(spark, base):
+    ev = G._events(spark, base)
+    u, day = F.col("user_id"), lambda x: F.lit(x).cast("timestamp")
+    r = ev.select("user_id").distinct().where("user_id % 10 <> 9")
+    r = r.select(u.alias("data_id"), F.element_at(F.array(*[F.lit(x) for x in ("DeletionRequested", "Expired", "DeletionApproved", "Active", "Active")]), (u % 5 + 1).cast("int")).alias("status"), (u % 3 == 0).cast("long").alias("holds"), F.when(u % 2 == 0, day("2024-01-15")).otherwise(day("2024-02-15")).alias("expires_at"))
+    kind = F.create_map(*[F.lit(x) for kv in {"signup": "hold", "error": "release", "view": "request", "click": "approve", "purchase": "delete"}.items() for x in kv])
+    return r, ev.select(u.alias("data_id"), F.col("event_id").alias("id"), "ts", F.element_at(kind, F.col("event_type")).alias("action"))
+
+
+@query(_REPLAY + " SELECT data_id, id, action, status, holds, rejected FROM s WHERE i > 0 UNION ALL SELECT data_id, id, action, NULL, NULL, true FROM a WHERE data_id % 10 = 9")
+def retention_replay(spark, base):
+    """Each action of the log with what it leads to; actions on no record are turned away."""
+    return retention_log.replay(*_log(spark, base), every_days=5).drop("ts")
+
+
+@query(_REPLAY + " SELECT data_id, arg_max(status, i) AS status, arg_max(holds, i) AS holds FROM s GROUP BY 1")
+def retention_after_log(spark, base):
+    r, a = _log(spark, base)
+    return retention_log.final(retention_log.replay(r, a, every_days=5), r)
+
+
 @query(f"WITH {G._RECORDS} SELECT status, sum(CAST(hold AS INTEGER) + CAST(data_id % 4 = 0 AS INTEGER))::BIGINT AS holds, count(*) AS n FROM (SELECT data_id, hold, CASE WHEN data_id % 4 = 0 THEN CASE WHEN data_id % 8 = 0 THEN CASE WHEN expires_at < TIMESTAMP '2000-01-01' THEN 'Expired' ELSE 'Active' END ELSE 'LegalHold' END ELSE status END AS status FROM x) GROUP BY 1")
 def hold_changes(spark, base):
     """Holds put on every fourth record and lifted from every eighth."""
