@@ -22,7 +22,9 @@ from corpusql.operators import embedding as e
 from corpusql.operators import governance as g
 from corpusql.operators import answers, bm25, chunking, ranking, records, rerank, retention_log, vector_search as vs
 from corpusql.plans import answer as plan, ingest
+from corpusql.session import shared_path
 from corpusql.sources import tables as t
+from corpusql.streaming import batcher, events as st
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -490,6 +492,25 @@ def request_batches(spark, base):
     return g.batches(G._events(spark, base), size=4, wait_us=2 * 86_400_000_000)
 
 
+# What a stream has closed when its watermark, ten minutes behind the last event, has passed.
+_CLOSED = """WITH RECURSIVE l AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE AS u FROM events), e AS (SELECT user_id, event_id, ts, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events, l WHERE ts <= u),
+    s AS (SELECT user_id, event_id, i, t AS f, CAST(0 AS BIGINT) AS batch, 0 AS place FROM e WHERE i = 1
+    UNION ALL SELECT e.user_id, e.event_id, e.i, CASE WHEN place + 1 = 4 OR e.t - f >= 172800000000 THEN e.t ELSE f END, CASE WHEN place + 1 = 4 OR e.t - f >= 172800000000 THEN batch + 1 ELSE batch END, CASE WHEN place + 1 = 4 OR e.t - f >= 172800000000 THEN 0 ELSE place + 1 END FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1),
+    b AS (SELECT user_id AS client, min(f) AS f, CAST(count(*) AS INTEGER) AS n, string_agg(event_id, ',' ORDER BY i) AS ids FROM s GROUP BY user_id, batch)
+    SELECT client, make_timestamp(f) AS opened, n, CASE WHEN n = 4 THEN 'size' ELSE 'wait' END AS closed_by, ids FROM b, l WHERE n = 4 OR epoch_us(u) - f >= 172800000000"""
+
+
+@query(_CLOSED)
+def request_batches_stream(spark, base):
+    """The batcher as a stream with timers, run to its end and started again from its checkpoint."""
+    path = shared_path(spark, "batches")
+    for _ in range(2):
+        ev = st.read_events(spark, f"{base}/events.parque[t]").select(F.col("user_id").alias("client"), F.col("event_id").alias("id"), "ts")
+        batcher.write(batcher.batches(ev, 4, 2 * 86_400_000_000), f"{path}/closed", f"{path}/state").awaitTermination()
+    out = spark.read.schema(batcher.CLOSED).parquet(f"{path}/closed")
+    return out.select("client", F.col("opened").cast("timestamp_ntz").alias("opened"), "n", "closed_by", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
 @query("WITH b AS (SELECT event_type, CASE WHEN value > 100 THEN user_id END AS batch FROM events) SELECT count(*) AS requests, count(DISTINCT batch) AS batches, round(count(batch) / count(DISTINCT batch), 6) AS mean_size, round(100 * count(batch) / count(*), 6) AS efficiency FROM b")
 def batch_statistics(spark, base):
     return g.batch_efficiency(G._events(spark, base).select(F.when(F.col("value") > 100, F.col("user_id")).alias("batch")))
