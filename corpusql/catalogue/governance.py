@@ -8,7 +8,7 @@ from corpusql.functions import lexicon
 from corpusql.operators import governance as g
 from corpusql.operators import ranking
 from corpusql.plans import answer
-from corpusql.sources import tables as t
+from corpusql.sources import buckets, tables as t
 from corpusql.session import shared_path
 from corpusql.streaming import events as st
 
@@ -267,6 +267,23 @@ def upsert_by_key(spark, base):
     return t.upsert(old, new, "doc_id")
 
 
+@query(
+    """WITH n AS (SELECT vec_id AS id, label + 100 AS label, -embedding[1] AS first FROM embeddings WHERE vec_id % 7 = 0 AND vec_id % 11 <> 0 UNION ALL SELECT vec_id + 1000000, label, embedding[1] FROM embeddings WHERE vec_id % 50 = 0),
+    a AS (SELECT * FROM n UNION ALL SELECT vec_id, label, embedding[1] FROM embeddings WHERE vec_id NOT IN (SELECT id FROM n))
+    SELECT id, label, round(first::DOUBLE, 6) AS first FROM a WHERE id % 13 <> 0"""
+)
+def upsert_buckets(spark, base):
+    """Vectors changed, added and deleted in a table of buckets; new rows without a vector are skipped."""
+    v = t.vectors(spark, base)
+    path = shared_path(spark, "vectors")
+    buckets.create(v, path, "id", buckets=16)
+    changed = v.where("id % 7 = 0").select("id", F.when(F.col("id") % 11 != 0, F.transform("embedding", lambda x: -x)).alias("embedding"), (F.col("label") + 100).alias("label"))
+    added = v.where("id % 50 = 0").withColumn("id", F.col("id") + 1_000_000)
+    buckets.upsert(path, v.schema, changed.unionByName(added).where("embedding is not null"), "id", buckets=16)
+    buckets.delete(path, v.schema, buckets.read(spark, path, v.schema).where("id % 13 = 0").select("id"), "id", buckets=16)
+    return buckets.read(spark, path, v.schema).select("id", "label", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
+
+
 @query(SQL["event_windows_tumbling"])
 def stream_tumbling_windows(spark, base):
     """The stream of the events file, in windows, brought to its end in a table and read back."""
