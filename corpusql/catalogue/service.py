@@ -749,3 +749,31 @@ def sql_chunks(spark, base):
     sqlfunctions.register(spark)
     t.read(spark, base, "documents").createOrReplaceTempView("cq_documents")
     return spark.sql("SELECT doc_id, i AS chunk_index, length(c) AS n FROM (SELECT doc_id, posexplode(cs) AS (i, c) FROM (SELECT doc_id, cq_chunks(text, 1000, 200) AS cs FROM cq_documents))")
+
+
+@query(
+    r"""SELECT doc_id, 'chunk' AS kind, CAST(i AS VARCHAR) AS name, CAST(i * 800 AS VARCHAR) || ':' || length(substring(text, i * 800 + 1, 1000)) AS value FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 800) AS BIGINT))) AS i FROM documents)
+    UNION ALL SELECT doc_id, 'front', unnest(['title', 'author', 'url']), unnest(['Doc ' || doc_id || ': one', source, 'http://x']) FROM documents"""
+)
+def sql_table_functions(spark, base):
+    """Chunks with their places and the entries of a head, as tables that SQL joins laterally."""
+    sqlfunctions.register(spark)
+    t.read(spark, base, "documents").createOrReplaceTempView("cq_documents")
+    return spark.sql(
+        r"""SELECT doc_id, 'chunk' AS kind, CAST(chunk_index AS STRING) AS name, concat(start, ':', length(content)) AS value FROM cq_documents, LATERAL cq_chunk_rows(text, 1000, 200)
+        UNION ALL SELECT doc_id, 'front', name, value FROM (SELECT doc_id, concat('---\ntitle: "Doc ', doc_id, ': one"\nauthor: ', source, '\nno entry\nurl: http://x\n---\n', text) AS md FROM cq_documents), LATERAL cq_front_matter(md)"""
+    )
+
+
+@query(
+    """WITH RECURSIVE c AS (SELECT doc_id, i, substring(text, i * 800 + 1, 1000) AS c FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 800) AS BIGINT))) AS i FROM documents)),
+    f AS (SELECT doc_id, i, 0 AS context, i AS first, c AS held FROM c WHERE i = 0
+    UNION ALL SELECT c.doc_id, c.i, CASE WHEN length(held) + 2 + length(c) <= 2500 THEN context ELSE context + 1 END, CASE WHEN length(held) + 2 + length(c) <= 2500 THEN first ELSE c.i END, CASE WHEN length(held) + 2 + length(c) <= 2500 THEN held || chr(10) || chr(10) || c ELSE c END
+    FROM f JOIN c ON c.doc_id = f.doc_id AND c.i = f.i + 1)
+    SELECT doc_id AS document_id, context, CAST(first AS INTEGER) AS first, CAST(max(i) AS INTEGER) AS last, arg_max(held, i) AS content FROM f GROUP BY 1, 2, 3"""
+)
+def sql_contexts(spark, base):
+    """Chunks packed into contexts by a table function over an ordered partition."""
+    sqlfunctions.register(spark)
+    chunking.chunks(t.read(spark, base, "documents").select("doc_id", "text")).createOrReplaceTempView("cq_document_chunks")
+    return spark.sql("SELECT * FROM cq_contexts(TABLE(SELECT document_id, chunk_index, content FROM cq_document_chunks) PARTITION BY (document_id) ORDER BY (chunk_index), 2500)")

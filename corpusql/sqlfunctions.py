@@ -1,11 +1,16 @@
 """The engine's functions under names that SQL can use.
 
-They are SQL functions, so Catalyst sees through them: nothing leaves the JVM.
+Scalar and table functions are SQL functions, so Catalyst sees through them: nothing leaves
+the JVM.  ``cq_contexts`` reads an ordered partition of a table with a state of one context;
+it is a Python table function.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import Row, SparkSession
+from pyspark.sql.functions import udtf
 
 _SUM = "aggregate({0}, 0D, (a, x) -> a + x)"
 _DOT = _SUM.format("zip_with(CAST(a AS ARRAY<DOUBLE>), CAST(b AS ARRAY<DOUBLE>), (x, y) -> x * y)")
@@ -17,9 +22,42 @@ FUNCTIONS = {
     "cq_jaccard(a ARRAY<STRING>, b ARRAY<STRING>) RETURNS DOUBLE": "CASE WHEN size(array_union(a, b)) = 0 THEN 0D ELSE size(array_intersect(a, b)) / size(array_union(a, b)) END",
     "cq_chunks(t STRING, n INT, overlap INT) RETURNS ARRAY<STRING>": "CASE WHEN length(t) = 0 THEN CAST(array() AS ARRAY<STRING>) ELSE transform(sequence(0, CAST(ceil(length(t) / (n - overlap)) AS INT) - 1), i -> substring(t, i * (n - overlap) + 1, n)) END",
 }
+TABLE_FUNCTIONS = {
+    # Chunks of a text with the place of their first character, from 0.
+    "cq_chunk_rows(t STRING, n INT, overlap INT) RETURNS TABLE(chunk_index INT, start INT, content STRING)": "SELECT i, i * (n - overlap), c FROM (SELECT posexplode(cs) AS (i, c) FROM (SELECT cq_chunks(coalesce(t, ''), n, overlap) AS cs))",
+    # The lines `name: value` between two lines `---` that a text begins with, quotes around values dropped.
+    "cq_front_matter(t STRING) RETURNS TABLE(place INT, name STRING, value STRING)": r"SELECT i, trim(substring_index(line, ':', 1)), regexp_replace(trim(substring(line, instr(line, ':') + 1)), '^\"(.*)\"$', '$1') FROM (SELECT posexplode(split(regexp_extract(coalesce(t, ''), '(?s)\\A---\\n(.*?)\\n---\\n', 1), '\n')) AS (i, line)) WHERE instr(line, ':') > 0",
+}
+
+
+@udtf(returnType="document_id long, context int, first int, last int, content string")
+class Contexts:
+    """Successive chunks of a document joined by empty lines while they fit in ``most`` characters.
+
+    Called with a table of ``document_id, chunk_index, content`` partitioned by document and
+    ordered by chunk; a chunk that alone is longer is a context of its own.
+    """
+
+    def __init__(self) -> None:
+        self.number, self.held = 0, None
+
+    def eval(self, row: Row, most: int) -> Iterator[tuple]:
+        key, place, text = row["document_id"], row["chunk_index"], row["content"] or ""
+        if self.held and len(self.held[3]) + 2 + len(text) <= most:
+            self.held = (*self.held[:2], place, f"{self.held[3]}\n\n{text}")
+            return
+        yield from self.terminate()
+        self.held = (key, place, place, text)
+
+    def terminate(self) -> Iterator[tuple]:
+        if self.held:
+            key, first, last, text = self.held
+            yield key, self.number, first, last, text
+            self.number, self.held = self.number + 1, None
 
 
 def register(spark: SparkSession) -> None:
     """Make them known to the session, in place of earlier ones of these names."""
-    for head, body in FUNCTIONS.items():
+    spark.udtf.register("cq_contexts", Contexts)
+    for head, body in (FUNCTIONS | TABLE_FUNCTIONS).items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
