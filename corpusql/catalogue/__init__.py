@@ -4,7 +4,7 @@
 same tables.  A name without SQL has semantics that SQL can't express.
 """
 
-from corpusql.catalogue import governance, search, service, text
+from corpusql.catalogue import formats, governance, search, service, text
 
-QUERIES = {**search.QUERIES, **text.QUERIES, **governance.QUERIES, **service.QUERIES}
-SQL = {**search.SQL, **text.SQL, **governance.SQL, **service.SQL}
+QUERIES = {**search.QUERIES, **text.QUERIES, **governance.QUERIES, **service.QUERIES, **formats.QUERIES}
+SQL = {**search.SQL, **text.SQL, **governance.SQL, **service.SQL, **formats.SQL}

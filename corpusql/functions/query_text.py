@@ -231,6 +231,41 @@ def add_terms(text: Column, terms: Column) -> Column:
     return F.trim(F.concat_ws(" ", text, F.array_join(terms, " ")))
 
 
+#: What a request may set for its own expansion; null or absent is the default.
+EXPANSION = {"synonyms": True, "semantic": True, "domain": True, "negation": True, "refinement": True, "most": 10}
+
+
+def expanded(text: Column, **overrides: Column) -> Column:
+    """Struct of ``refined``, ``synonyms``, ``semantic``, ``domain`` and ``query`` (the words asked and all that was found), as a request's own options say.
+
+    Options are columns (``EXPANSION`` names them and their defaults), so each row has its own.
+    ``refinement`` puts spelling and acronyms right; words are looked up in the refined text.
+    """
+    unknown = set(overrides) - set(EXPANSION)
+    if unknown:
+        raise ValueError(f"no options {sorted(unknown)}")
+    o = {k: F.coalesce(overrides.get(k, F.lit(None)), F.lit(v)) for k, v in EXPANSION.items()}
+    none = F.array().cast("array<string>")
+
+    def found(better: Column) -> Column:
+        w = words(F.lower(better))
+        parts = {
+            "synonyms": lookup(w, lexicon.GENERAL_SYNONYMS, lexicon.TECHNICAL_SYNONYMS, most=o["most"]),
+            "semantic": lookup(w, lexicon.HYPERNYMS, lexicon.RELATED, most=o["most"]),
+            "domain": lookup(w, lexicon.DOMAIN, lexicon.HIERARCHIES, most=o["most"]),
+        }
+        parts = {k: F.when(o[k], v).otherwise(none) for k, v in parts.items()}
+        return F.struct(better.alias("refined"), *[v.alias(k) for k, v in parts.items()], add_terms(text, F.concat(*parts.values())).alias("query"))
+
+    positive = F.when(o["negation"], without_negations(text)).otherwise(text)
+    return once(F.when(o["refinement"], acronyms(spelled(positive))).otherwise(positive), found)
+
+
+def sanitised(text: Column) -> Column:
+    """Without control characters but white space, which becomes single spaces, trimmed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f]", ""), r"\s+", " "))
+
+
 def refined(text: Column) -> Column:
     """Spelling, acronyms and negations put right."""
     return once(acronyms(spelled(text)), without_negations)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from corpusql.functions import lexicon
 
@@ -293,6 +293,18 @@ def prometheus(points: DataFrame, help_text: dict[str, tuple[str, str]] | None =
     return points.sparkSession.createDataFrame(head, "line string").unionByName(lines)
 
 
+def counted(df: DataFrame, name: str, **points: Column) -> tuple[DataFrame, Observation]:
+    """``df`` and what an action on it counts on the way: an aggregate for each of ``points``, without a scan of its own."""
+    seen = Observation(name)
+    return df.observe(seen, *[v.alias(k) for k, v in points.items()]), seen
+
+
+def counted_points(spark: SparkSession, seen: Observation, labels: dict[str, str], ts: Column) -> DataFrame:
+    """What was counted as metric points: ``name, labels, value, ts``; to be called after the action."""
+    rows = [(k, labels, float(v) if v is not None else None) for k, v in seen.get.items()]
+    return spark.createDataFrame(rows, "name string, labels map<string,string>, value double").withColumn("ts", ts)
+
+
 def metrics_summary(points: DataFrame) -> DataFrame:
     """One row: points, names, and the span of time."""
     return points.agg(F.count("*").alias("total_metrics"), F.countDistinct("name").alias("names"), F.min("ts").alias("first"), F.max("ts").alias("last"))

@@ -184,6 +184,11 @@ def collection_info(vectors: DataFrame) -> DataFrame:
     return vectors.agg(F.count("*").alias("points_count"), F.count("embedding").alias("vectors_count"), F.max(F.size("embedding")).cast("long").alias("dimension"))
 
 
+def of_documents(chunks: DataFrame, documents: DataFrame, key: str = "document_id") -> DataFrame:
+    """The chunks of given documents, however many these are."""
+    return chunks.join(documents.select(key).distinct(), key, "left_semi")
+
+
 def filters(document_ids: list | None = None, tags: list[str] | None = None, category: str | None = None, chunk_index: tuple[int, int] | None = None, length: tuple[int, int] | None = None, created_after=None, created_before=None, metadata: dict[str, str] | None = None) -> Column:
     """A predicate over ``document_id, tags, category, chunk_index, content, created_at, metadata`` (JSON).
 

@@ -42,7 +42,12 @@ def read_files(spark: SparkSession, path: str, most_bytes: int = 50 << 20, pdf:
     which are unreadable without one.  Contents over ``most_bytes`` are not loaded; files
     of no bytes at all are left out by the reader.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
+    return documents_of(spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path), most_bytes, pdf)
+
+
+def documents_of(files: DataFrame, most_bytes: int = 50 << 20, pdf: Column | None = None, hash_as: str | None = None) -> DataFrame:
+    """The same of rows as the reader of binary files gives them; ``hash_as``: a column for the hash of the content (of larger files null)."""
+    own = [F.sha2("content", 256).alias(hash_as)] if hash_as else []
     ext = T.extension(F.col("path"))
     plain = T.decode(F.col("content"))
     text = (
@@ -61,7 +66,7 @@ def read_files(spark: SparkSession, path: str, most_bytes: int = 50 << 20, pdf:
         F.nullif(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1), F.lit("")),
         F.lit("Untitled Document"),
     )
-    rows = files.where(F.col("length") <= most_bytes).select("path", ext.alias("file_type"), F.col("length").alias("file_size"), title.alias("title"), text.alias("text"))
+    rows = files.where(F.col("length") <= most_bytes).select(*own, "path", ext.alias("file_type"), F.col("length").alias("file_size"), title.alias("title"), text.alias("text"))
     status = F.when(F.col("text").isNull(), F.when(F.col("file_type").isin(*SUPPORTED), "unreadable").otherwise("type")).when(~F.col("text").rlike(r"\S"), "empty").otherwise("ok")
     large = files.where(F.col("length") > most_bytes).select("path", ext.alias("file_type"), F.col("length").alias("file_size"))
     return rows.withColumn("status", status).unionByName(large.withColumn("status", F.lit("size")), allowMissingColumns=True)
