@@ -47,14 +47,16 @@ def prepared(docs: DataFrame, strategy: str, **options) -> DataFrame:
     judged = clean.select("doc_id", "version", "clean", reasons.alias("found"))
     good = F.size("found") == 0
     pieces = F.when(good, chunking.STRATEGIES[strategy](F.col("clean"), **options)).otherwise(F.array().cast("array<string>"))
-    rows = judged.select(
+    # What a document has is made before its chunks are, and its text goes no further.
+    told = judged.select(
         F.col("doc_id").alias("document_id"),
         "version",
         F.when(good, "accepted").otherwise("rejected").alias("status"),
         F.when(good, T.language(F.col("clean"))).otherwise("unknown").alias("language"),
         F.when(~good, F.array_join("found", ",")).alias("reasons"),
-        F.posexplode_outer(pieces).alias("chunk_index", "content"),
+        pieces.alias("pieces"),
     )
+    rows = told.select("document_id", "version", "status", "language", "reasons", F.posexplode_outer("pieces").alias("chunk_index", "content"))
     return rows.select("document_id", "version", "chunk_index", "content", T.word_count(F.col("content")).alias("words"), "reasons", "status", "language")
 
 
