@@ -108,7 +108,7 @@ def _signed(x: int) -> int:
 
 
 def _table(spark: SparkSession, level: list[tuple[int, int, int]]) -> DataFrame:
-    """A round's masks, by parent: of fixed size (3,375 in the last of three rounds)."""
+    """A later round's masks, by parent: of fixed size (3,375 in the last of three rounds)."""
     return spark.createDataFrame([(p, t, _signed(m)) for p, t, m in level], "parent int, table int, mask long").groupBy("parent").agg(F.collect_list(F.struct("table", "mask")).alias("masks"))
 
 
@@ -166,7 +166,11 @@ def links(spark: SparkSession, classes: DataFrame, radius: int, bucket: int, bro
     levels = masks(radius)
     for i, own in enumerate(levels):
         last = i == len(levels) - 1
-        each = level.withColumnRenamed("table", "parent").join(F.broadcast(_table(spark, own)), "parent").select("fp", "id", F.explode("masks").alias("m"))
+        if i == 0:
+            masked = level.withColumn("masks", F.array(*[F.struct(F.lit(t).alias("table"), F.lit(_signed(m)).alias("mask")) for _, t, m in own]))
+        else:
+            masked = level.withColumnRenamed("table", "parent").join(F.broadcast(_table(spark, own)), "parent")
+        each = masked.select("fp", "id", F.explode("masks").alias("m"))
         keyed = each.select("fp", "id", F.col("m.table").alias("table"), F.xxhash64("m.table", F.col("fp").bitwiseAND(F.col("m.mask"))).alias("key"))
         # Counts are combined before they are dealt; of most buckets, of one class, nothing more moves.
         shared = materialise(keyed.groupBy("key").agg(F.count("*").alias("z")).where("z > 1"), "simhash-buckets")
