@@ -83,7 +83,9 @@ def run(spark: SparkSession, source: str, target: str, checkpoint: str | None =
     ``checkpoint`` (default: a folder of ``target``) and ``target`` belong together.
     Settings: ``strategy``, ``files_per_batch`` and the options of the chunking strategy.
     """
-    options = DEFAULTS | settings if settings.get("strategy", "fixed") == "fixed" else {"files_per_batch": DEFAULTS["files_per_batch"]} | settings
+    options = DEFAULTS | settings
+    if options["strategy"] != "fixed":  # the others' chunks don't overlap
+        options.pop("overlap")
     files = options.pop("files_per_batch")
     done = []
 

@@ -68,6 +68,18 @@ def test_ingest_repeats_a_batch(spark, tmp_path):
     assert ingest.current(spark, str(tmp_path / "nowhere")).count() == 0
 
 
+@pytest.mark.parametrize("strategy", ["paragraph", "sentence", "semantic"])
+def test_other_strategies(spark, tmp_path, strategy):
+    """The strategy alone may change in a config file that names all settings."""
+    docs = spark.createDataFrame([(1, "One sentence here. Another sentence there! " * 30), (2, "")], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "in"))
+    assert ingest.run(spark, str(tmp_path / "in"), str(tmp_path / "out"), strategy=strategy, size=300, overlap=50) == 1
+    got = ingest.current(spark, str(tmp_path / "out"))
+    assert got.count() >= 1 and {r.document_id for r in got.collect()} == {1}
+    if strategy == "sentence":
+        assert got.agg(F.max(F.length("content"))).first()[0] <= 300 and got.count() > 3
+
+
 def test_audit_grows(spark, duck, tmp_path):
     """Only what is above the mark is read; days that late events touch are reported anew, others aren't."""
     events = spark.read.parquet(f"{DATA}/events.parquet")
