@@ -6,6 +6,7 @@ import io
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from html.parser import HTMLParser
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from corpusql.llm import queries as Q
 from corpusql.llm.decontaminate import decontaminate
-from corpusql.llm.html import ASIDE_WORDS, ASIDES, BLOCKS, OUTSIDE_ONLY, VOID, extract, extract_pages, nodes_of, style_tree
+from corpusql.llm.html import ASIDE_WORDS, ASIDES, BESIDE, BLOCKS, FULL, LEVEL, OUTSIDE_ONLY, VOID, extract, extract_pages, nodes_of, step, style_tree
 from corpusql.llm.line_dedup import line_dedup
 from corpusql.llm.lm_score import Settings, Where, model_of, prefix_code, score_documents, training_counts, vocabulary, write_tables
 from corpusql.llm.near_dedup import components, near_duplicates
@@ -161,49 +162,58 @@ class Plain(HTMLParser):
 
 
 class BruteTree:
-    """Entropy and prior of each node of one host, in dictionaries."""
+    """One host's tree from whole pages, each with each: nodes are lists of names, features sentences."""
 
     def __init__(self, pages):
-        self.m, self.styles, self.contents, self.prior, self.share = Counter(), defaultdict(Counter), defaultdict(Counter), Counter(), Counter()
-        for page in set(pages):
+        self.on = defaultdict(dict)  # node -> page -> (prior, share, children of the parent, sentences)
+        for k, page in enumerate(sorted(set(pages))):
             p = Plain(page)
             article = any(s[-1][3] for s, _ in p.texts)
-            held, prior = defaultdict(list), {}
-            for stack, t in p.texts:
-                at = {x[0]: (0.0 if x[1] else 1.0 if article and not x[2] else 0.75) for x in reversed(stack) if x[6]}
-                if article and not stack[-1][3]:
-                    at[stack[-1][0] + "/#beside"] = 0.0
-                for path, x in at.items():
-                    held[path].append(t)
-                    prior.setdefault(path, x)
             total = sum(len(t) for _, t in p.texts)
-            for path, ts in held.items():
-                self.m[path] += 1
-                self.styles[path][tuple(p.shown[path])] += 1
-                self.contents[path][tuple(ts)] += 1
-                self.prior[path] += prior[path]
-                self.share[path] += sum(map(len, ts)) / total
-
-    def importance(self, path):
-        m = self.m[path]
-        entropy = lambda c: 1.0 if m == 1 else -sum(n / m * math.log(n / m) for n in c.values()) / math.log(m)
-        p, s = self.prior[path] / m, self.share[path] / m
+            aside = lambda s: next((x[0] for x in reversed(s) if x[1]), None)
+            for stack, t in p.texts:
+                main, under = stack[-1][3], stack[-1][2]
+                node = stack[-1][0] + ("/" + BESIDE if article and not main else "")
+                same = [(s, u) for s, u in p.texts if (aside(s) == aside(stack) if aside(stack) else s[-1][0] == stack[-1][0])]
+                prior = 1.0 if main else 0.0 if article or under else 0.75
+                up = stack[-1][0].rsplit("/", 1)[0]
+                _, _, _, sentences = self.on[node].setdefault(k, (prior, sum(len(u) for _, u in same) / total, tuple(p.shown[up]), set()))
+                sentences.update(re.split(r"(?<=[.!?])\s+|\s[\u00b7|]\s", t))
+
+    def content(self, node):
+        """The sum of one less the entropy of each feature where it stands, and how many there are."""
+        on, m = self.on[node], len(self.on[node])
+        pages = lambda x: sum(x in o[3] for o in on.values())
+        every = [1.0 if m == 1 else 1 - math.log(pages(x)) / math.log(m) for o in on.values() for x in o[3]]
+        return sum(every), len(every)
+
+    def evidence(self, node):
+        on, m = self.on[node], len(self.on[node])
+        up = lambda n: n.removesuffix("/" + BESIDE).rsplit("/", 1)[0]
+        family = [self.content(n) for n in self.on if up(n) == up(node)]
+        styles = Counter(o[2] for o in on.values())
+        style = 1.0 if m == 1 else -sum(n / m * math.log(n / m) for n in styles.values()) / math.log(m)
+        own = self.content(node)
+        return 0.1 * style + 0.9 * (own[0] / own[1] + sum(a for a, _ in family) / sum(b for _, b in family)) / 2
+
+    def importance(self, node, prior=True):
+        on, m, e = self.on[node], len(self.on[node]), self.evidence(node)
+        e = e / (2 * LEVEL) if e < LEVEL else min(1, 0.5 + (e - LEVEL) / (2 * (FULL - LEVEL)))
+        p, s = sum(o[0] for o in on.values()) / m, sum(o[1] for o in on.values()) / m
         w = 8 + m * (4 * (2 * p - 1) * s if p >= 0.5 else 2 * (1 - 2 * p) * (1 - s))
-        return (w * p + m * max(entropy(self.styles[path]), entropy(self.contents[path]))) / (w + m)
+        return (w * p + m * e) / (w + m) if prior else e
 
-    def low(self):
-        return {x for x in self.m if self.importance(x) < 0.5}
-
-    def text(self, page):
-        p, low, blocks, last = Plain(page), self.low(), [], None
+    def text(self, page, low):
+        p = Plain(page)
         article = any(s[-1][3] for s, _ in p.texts)
-        for stack, t in p.texts:
-            if any(x[0] in low for x in stack) or article and not stack[-1][3] and stack[-1][0] + "/#beside" in low:
-                continue
-            block = [x for x in stack if x[5] in BLOCKS][-1:]
-            assert block
-            blocks.append(t)
-        return "\n\n".join(blocks)
+        return "\n\n".join(t for stack, t in p.texts if stack[-1][0] + ("/" + BESIDE if article and not stack[-1][3] else "") not in low)
+
+
+def node_id(host, path):
+    at = step(0, host)
+    for name in path.split("/")[1:]:
+        at = step(at, name)
+    return at
 
 
 def host_pages(rng, n):
@@ -235,12 +245,14 @@ def test_pages_against_a_brute_force_tree(spark):
     rows += [(9000 + i, u, page) for i, u, page in rows[::7]]  # copies count once
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     trees = {f"h{h}.example": BruteTree(pages) for h, (_, pages) in enumerate(hosts)}
-    want = {i: trees[u.split("/")[2]].text(page) for i, u, page in rows}
-    for options in ({}, {"broadcast_bytes": 0}):
-        assert {r.page_id: r.text for r in extract_pages(df, **options).collect()} == want
-    tree = style_tree(df).collect()
-    assert len(tree) == sum(len(t.m) for t in trees.values())
-    assert all(r.importance == pytest.approx(trees[r.host].importance(r.path)) for r in tree)
+    for prior in (False, True):
+        by = {node_id(h, x): t.importance(x, prior) for h, t in trees.items() for x in t.on}
+        got = {r.node: r.importance for r in style_tree(df, prior=prior).collect()}
+        assert got == pytest.approx(by)
+        low = {h: {x for x in t.on if by[node_id(h, x)] < 0.5} for h, t in trees.items()}
+        want = {i: trees[u.split("/")[2]].text(page, low[u.split("/")[2]]) for i, u, page in rows}
+        for options in ({}, {"broadcast_bytes": 0}):
+            assert {r.page_id: r.text for r in extract_pages(df, prior=prior, **options).collect()} == want
     for h, (kind, pages) in enumerate(hosts):
         if len(pages) >= 30:
             shown = want[100 * h]
@@ -248,24 +260,47 @@ def test_pages_against_a_brute_force_tree(spark):
             assert len(shown.split("\n\n")) == pages[0].count("<p>") - (kind == 3) + (kind != 1)
 
 
+def article_text(html):
+    """The text of a page of the test tables, which have one plain article each."""
+    parts = re.split(r"</?(?:p|h1|article)>", re.search(r"<article>(.*)</article>", html, re.S)[1])
+    return "\n\n".join(t for t in (" ".join(htmllib.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", x))).split()) for x in parts) if t)
+
+
 def test_the_tree_decides(spark):
-    pages = spark.read.parquet(f"{DATA}/pages.parquet").collect()
-    low = defaultdict(set)
-    for r in style_tree(spark.read.parquet(f"{DATA}/pages.parquet")).where("importance < 0.5").collect():
-        low[r.host].add(r.path)
-    every = {r.path for r in style_tree(spark.read.parquet(f"{DATA}/pages.parquet")).collect()}
-    for r in pages:
+    df = spark.read.parquet(f"{DATA}/pages.parquet")
+    tree = style_tree(df).collect()
+    low, every = {r.node for r in tree if r.importance < 0.5}, {r.node for r in tree}
+    for r in df.collect():
         host = r.url.split("/")[2].lower()
-        text = extract(r.html, low[host])
-        assert extract(r.html) != text and extract(r.html, every) == "" != text
-        inner = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
-        parts = re.split(r"</?(?:p|h1|article)>", inner)
-        assert text == "\n\n".join(t for t in (" ".join(htmllib.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", x))).split()) for x in parts) if t)
+        text = extract(r.html, low, host)
+        assert extract(r.html) != text and extract(r.html, every, host) == "" != text and text == article_text(r.html)
+
+
+def test_entropies_alone_find_the_article(spark):
+    """No name or element is known here: classes are letters, and the prior is off."""
+    rng = random.Random(8)
+    own = lambda k: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(k))
+    pool = [own(8) + "." for _ in range(30)]
+    pages = [f"<body><div class=q><span>{rng.choice(pool)}</span></div><div class=r><h1>{(t := own(3))}</h1><p>{own(20)}. {own(9)}.</p></div><div class=s>{rng.choice(pool)}</div></body>" for _ in range(120)]
+    want = {i: "\n\n".join(re.findall(r"<(?:h1|p)>(.*?)</", p)) for i, p in enumerate(pages)}
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in extract_pages(df, prior=False).collect()} == want
+    assert {r.page_id: r.text for r in extract_pages(df).collect()} == want  # unnamed text is left to the evidence
+
+
+def test_deep_and_long_pages(spark):
+    n = 100_000
+    pages = ["<div>x" * n, "<article><p>" + "<b>" * n + "y" + "<hr></i></p>" * 1000, "<td>" + "<i>" * n + "<hr><li>z" * 1000, "<article><p>" + "word " * 400_000 + "</article>"]
+    df = spark.createDataFrame([(i, f"http://h{i}.example/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    began = time.time()
+    got = {r.page_id: r.text for r in extract_pages(df).collect()}
+    assert time.time() - began < 120  # the square of the nesting would take hours
+    assert got[0] == "\n\n".join("x" * n) and got[1] == "y" and got[2] == "\n\n".join("z" * 1000) and got[3] == ("word " * 400_000).strip()
 
 
 def test_html_pages():
     page = '<html><body><header><h1>Site</h1></header><div id="cookie-notice">We use cookies</div><div class="content"><div class="sidebar-left">Side</div><h2>Ti&amp;tle</h2>Hello <b>w</b>orld<br>x <ul><li>a<li>b</ul><div class="comments"><p>nice</p></div></div><script>if(a<b){"</div>"}</script><form>q</form><footer>f</footer>'
-    low = lambda p: {x for x, *_, prior, share in nodes_of(p) if prior == 0}  # noqa: E731 - all that a single page gives
+    low = lambda p: {k for k, x in nodes_of(p).items() if x.prior == 0}  # noqa: E731 - all that a single page gives
     assert extract(page, low(page)) == "Ti&tle\n\nHello world x\n\na\n\nb"
     page = '<body><nav>n</nav><article class="post"><header><h1>T</h1></header><p>One &lt;b&gt; two&nbsp;  three<aside>no</aside><section class="comments"><p>c</p></section><p>four<div class="ad">buy</div></article><article class="comment">x</article><p>out'
     assert extract(page, low(page)) == "T\n\nOne <b> two three\n\nfour"
@@ -276,9 +311,9 @@ def test_style_tree_drops_what_pages_share(spark):
     pages = [(i, f"http://h.example/{i}", f"<body><div class=top>Same words on all</div><div class=main><p>Text {i} of its own, and more of it</div></body>") for i in range(12)]
     pages += [(100, "http://other.example/", "<body><div class=top>Same words on all</div><p>once</body>"), (101, None, None), (102, "x", ""), (101, None, None), (100, "http://other.example/", "<body><div class=top>Same words on all</div><p>once</body>")]
     df = spark.createDataFrame([(*p, "clash", "clash", 1) for p in pages], "page_id long, url string, html string, text string, host string, low int")
-    tree = {(r.host, r.path): r for r in style_tree(df).collect()}
-    top, main = tree["h.example", "/body/div.top"], tree["h.example", "/body/div.main"]
-    assert top.style == top.content == 0 and top.importance < 0.5 and main.content == 1 and main.importance > 0.5
+    tree = {r.node: r for r in style_tree(df).collect()}
+    top, main = tree[node_id("h.example", "/body/div.top")], tree[node_id("h.example", "/body/div.main/p")]
+    assert top.style == pytest.approx(0) == top.content and top.importance < 0.5 and main.content == 1 and main.importance > 0.5
     for options in ({}, {"broadcast_bytes": 0}):
         got = [(r.page_id, r.text) for r in extract_pages(df, **options).collect()]
         assert len(got) == len(pages)
