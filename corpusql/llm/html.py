@@ -407,6 +407,7 @@ def style_tree(pages: DataFrame, *, url_col: str = "url", html_col: str = "html"
         (F.col("prior") / F.col("pages")).alias("prior"),
         (F.col("share") / F.col("pages")).alias("share"),
     )
+    tree = materialise(tree, "style-nodes")  # read twice, and the pages only once for it
     families = tree.groupBy("parent").agg((F.sum(F.col("f") * F.col("content")) / F.sum("f")).alias("family"))
     tree = tree.join(families, "parent").select("node", "parent", "pages", "style", "content", "family", "prior", "share")
     evidence = 0.1 * F.col("style") + 0.45 * (F.col("content") + F.col("family"))
