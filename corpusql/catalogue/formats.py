@@ -13,7 +13,7 @@ from corpusql.functions import validation as V
 from corpusql.operators import governance as g, vector_search as vs
 from corpusql.plans import answer as plan
 from corpusql.session import shared_path
-from corpusql.sources import buckets, tables as t
+from corpusql.sources import tables as t
 from corpusql.streaming import ingest as si
 
 QUERIES: dict = {}
@@ -171,5 +171,5 @@ def ingest_file_stream(spark, base):
     for _ in range(2):
         si.ingest_files(spark, f"{path}/in", f"{path}/out")
     number = F.regexp_extract("path", r"/k=(\d+)/", 1).cast("long").alias("k")
-    good = buckets.read(spark, f"{path}/out/documents", si.DOCUMENTS).select(number, "hash", F.col("file_size").alias("bytes"), F.lit("ok").alias("status"))
+    good = si.documents(spark, f"{path}/out").select(number, "hash", F.col("file_size").alias("bytes"), F.lit("ok").alias("status"))
     return good.unionByName(si.rejected(spark, f"{path}/out").select(number, "hash", F.col("file_size").alias("bytes"), "status"))

@@ -11,45 +11,56 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusql.functions import validation as V
-from corpusql.sources import buckets, files
+from corpusql.sources import files
 
 DOCUMENTS = "hash string, path string, file_type string, file_size long, title string, text string, language string"
 REJECTED = "hash string, path string, file_type string, file_size long, status string"
 BINARY = "path string, modificationTime timestamp, length long, content binary"
 
 
-def take(batch: DataFrame, number: int, out: str, most_bytes: int, pdf: Column | None, n_buckets: int) -> None:
-    """One batch of files; taking it again leaves the same tables."""
+def documents(spark: SparkSession, out: str) -> DataFrame:
+    """The documents so far, as ``DOCUMENTS`` names their columns, with ``batch``."""
+    return spark.read.schema(f"{DOCUMENTS}, batch long").parquet(f"{out}/documents")
+
+
+def take(batch: DataFrame, number: int, out: str, most_bytes: int, pdf: Column | None, most_files: int) -> None:
+    """One batch of files; taking it again leaves the same tables.
+
+    A batch owns a folder of each table: what it writes grows with the batch, not with the
+    table, and of the table it reads the hashes only.
+    """
     from corpusql.functions import text as T
 
     spark = batch.sparkSession
     rows = files.documents_of(batch, most_bytes, pdf, "hash")
     errors = V.errors(F.coalesce("text", F.lit("")))
     judged = rows.withColumn("status", F.when(F.col("status") != "ok", F.col("status")).when(F.size(errors) > 0, F.array_join(errors, ",")).otherwise("ok"))
-    # Read twice below; files are read once.
-    at = f"{out}/batches/batch={number}"
+    # Read again below; files are read once.  The next batch takes its place.
+    at = f"{out}/staged"
     judged.withColumn("language", T.language(F.col("text"))).write.mode("overwrite").parquet(at)
     judged = spark.read.schema(f"{DOCUMENTS}, status string").parquet(at)
-    good = judged.where("status = 'ok'").drop("status")
     # The file with the smallest path stands for all of its content.
-    new = good.groupBy("hash").agg(F.min_by(F.struct(*[c for c in good.columns if c != "hash"]), "path").alias("f")).select("hash", "f.*")
+    new = judged.where("status = 'ok'").groupBy("hash").agg(F.min("path").alias("path"))
     try:
-        known = buckets.read(spark, f"{out}/documents", DOCUMENTS).select("hash")
-        new = new.join(known, "hash", "left_anti")
-        buckets.upsert(f"{out}/documents", DOCUMENTS, new, "hash", buckets=n_buckets)
+        new = new.join(documents(spark, out).where(F.col("batch") != number).select("hash"), "hash", "left_anti")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        buckets.create(new, f"{out}/documents", "hash", buckets=n_buckets)
-    judged.where("status <> 'ok'").select("hash", "path", "file_type", "file_size", "status").write.mode("overwrite").parquet(f"{out}/rejected/batch={number}")
+    # Hashes and paths are joined, so texts stay where they were read.
+    kept = judged.where("status = 'ok'").drop("status").join(new, ["hash", "path"], "left_semi")
+    kept.coalesce(most_files).write.mode("overwrite").parquet(f"{out}/documents/batch={number}")
+    judged.where("status <> 'ok'").select("hash", "path", "file_type", "file_size", "status").coalesce(1).write.mode("overwrite").parquet(f"{out}/rejected/batch={number}")
+
 
+def ingest_files(spark: SparkSession, folder: str, out: str, files_a_batch: int = 10, most_bytes: int = 50 << 20, pdf: Column | None = None, most_files: int = 2) -> int:
+    """Take what is new in ``folder``; the number of batches that this took.
 
-def ingest_files(spark: SparkSession, folder: str, out: str, files_a_batch: int = 10, most_bytes: int = 50 << 20, pdf: Column | None = None, n_buckets: int = 16) -> int:
-    """Take what is new in ``folder``; the number of batches that this took."""
+    ``most_files``: into how many files a batch's documents go at most.
+    """
     done = []
 
     def each(batch: DataFrame, number: int) -> None:
-        take(batch, number, out, most_bytes, pdf, n_buckets)
+        take(batch, number, out, most_bytes, pdf, most_files)
         done.append(number)
 
     stream = spark.readStream.format("binaryFile").schema(BINARY).option("maxFilesPerTrigger", files_a_batch).option("recursiveFileLookup", "true").load(folder)

@@ -44,6 +44,23 @@ def test_files_come_one_by_one(spark, tmp_path):
     assert si.rejected(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_a_batch_rewrites_no_other(spark, tmp_path):
+    src, out = tmp_path / "in", tmp_path / "out"
+    src.mkdir()
+    for i in range(6):
+        (src / f"f{i}.txt").write_text(f"text number {i // 2} of several that are the same in pairs")
+    assert si.ingest_files(spark, str(src), str(out), files_a_batch=3) == 2
+    written = {p: p.stat().st_mtime_ns for p in (out / "documents").rglob("*.parquet")}
+    # The pair that lies in two batches is a document once.
+    assert sorted(r.text[12] for r in buckets.read(spark, str(out / "documents"), si.DOCUMENTS).collect()) == ["0", "1", "2"]
+    (src / "more.txt").write_text("a text that comes later than all of them")
+    assert si.ingest_files(spark, str(src), str(out)) == 1
+    assert {p: p.stat().st_mtime_ns for p in written if p.exists()} == written
+    # Of what is staged only the last batch is there.
+    assert [p.name for p in out.iterdir() if p.name.startswith(("batches", "documents.staged"))] == []
+    assert spark.read.parquet(str(out / "staged")).count() == 1
+
+
 def test_large_files_are_not_read(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "big.txt").write_text("many words " * 100)
