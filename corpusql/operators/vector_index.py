@@ -154,10 +154,13 @@ def _block(index: Index, q: DataFrame, k: int, probes: int, threshold: float | N
     near = vs.search(q, index.centroids(spark).select(F.col("list").alias("id"), F.col("centroid").alias("embedding")), probes, index.metric).groupBy("query_id").agg(F.sort_array(F.collect_list(F.col("id").cast("int"))).alias("lists"))
     asked = q.join(near, "query_id", "left").select(F.col("query_id").alias("id"), F.col("qv").alias("v"), F.lit(None).cast("long").alias("code"), F.coalesce("lists", F.array().cast("array<int>")).alias("lists")).toArrow()
     of = asked.column("lists").combine_chunks()
-    wanted = sorted({*np.unique(np.asarray(of.flatten())).tolist(), OTHER})
+    who, which = np.repeat(np.arange(len(of)), np.asarray(of.value_lengths())), np.asarray(of.flatten())
+    order = np.argsort(which, kind="stable")
+    names, first = np.unique(which[order], return_index=True)
+    wanted = sorted({*names.tolist(), OTHER})
     asks = {x: np.zeros(len(of), bool) for x in wanted}
-    for i, x in zip(np.repeat(np.arange(len(of)), np.asarray(of.value_lengths())).tolist(), np.asarray(of.flatten()).tolist()):
-        asks[x][i] = True
+    for x, some in zip(names.tolist(), np.split(who[order], first[1:])):
+        asks[x][some] = True
     asks[OTHER][:] = True
     shared = spark.sparkContext.broadcast((asked.drop_columns(["lists"]), asks))
 

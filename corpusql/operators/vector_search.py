@@ -45,15 +45,17 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "c
     are rounded to ``digits`` before ranking, ties go to the smaller id.  Null vectors,
     vectors with an entry that is null or not finite, and vectors of another length than the
     query's match nothing.  Queries of ``block_bytes``
-    in all are sent to all executors; of more, see the module.
+    in all, with ``k`` rows that take four times as much at most, are sent to all executors;
+    of more, see the module.
     """
     if metric not in METRICS:
         raise ValueError(f"no metric {metric!r}")
     q = queries.where("qv is not null").select(F.col("query_id").cast("long").alias("id"), V.doubles(F.col("qv")).alias("v"), _code(unlike))
     x = vectors.select(F.col("id").cast("long").alias("id"), V.doubles(F.col("embedding")).alias("v"), _code(unlike))
-    size = q.agg(F.sum(8 * F.size("v") + 24)).first()[0] or 0
+    size, count = q.agg(F.coalesce(F.sum(8 * F.size("v") + 24), F.lit(0)), F.count("*")).first()
     how = (k, metric, threshold, digits, bool(unlike))
-    found = _sent(q, x, how) if size <= block_bytes else _dealt(q, x, how, size, block_bytes)
+    blocks = max(1, -(-size // block_bytes), -(-16 * k * count // (4 * block_bytes)))
+    found = _sent(q, x, how) if blocks == 1 else _dealt(q, x, how, min(blocks, count), block_bytes)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -78,10 +80,10 @@ def _sent(q: DataFrame, x: DataFrame, how: tuple) -> DataFrame:
     return x.mapInArrow(run, FOUND)
 
 
-def _dealt(q: DataFrame, x: DataFrame, how: tuple, size: int, block_bytes: int) -> DataFrame:
-    """Blocks of queries and blocks of vectors, each pair of them in one task."""
+def _dealt(q: DataFrame, x: DataFrame, how: tuple, n: int, block_bytes: int) -> DataFrame:
+    """``n`` blocks of queries and blocks of vectors, each pair of them in one task."""
     total = x.agg(F.sum(8 * F.size("v") + 24)).first()[0] or 0
-    n, m = -(-size // block_bytes), max(1, -(-total // block_bytes))
+    m = max(1, -(-total // block_bytes))
     q = q.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n))).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     x = x.where("id is not null").withColumn("p", F.pmod(F.xxhash64("id"), F.lit(m))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
@@ -95,9 +97,17 @@ def _dealt(q: DataFrame, x: DataFrame, how: tuple, size: int, block_bytes: int)
 
 
 class Best:
-    """The best ``k`` vectors so far for each of some queries (``id, v, code``)."""
+    """The best ``k`` vectors so far for each of some queries (``id, v, code``).
 
-    CELLS = 1 << 22  # of a matrix of scores
+    They stand in two matrices, ``k`` a query; scores are worked on in tiles of a fixed
+    number of cells, and what comes in is merged into them a bounded number of rows at a
+    time, so that memory is that of the queries and their ``k`` rows, whatever the number of
+    vectors.
+    """
+
+    CELLS = 1 << 19  # of a tile of scores
+    ROWS = 2048  # vectors in it
+    FRESH = 20_000  # rows that wait to be merged
 
     def __init__(self, queries: pa.Table, k: int, metric: str, threshold: float | None, digits: int, unlike: bool):
         self.k, self.metric, self.digits, self.unlike = k, metric, digits, unlike
@@ -109,10 +119,14 @@ class Best:
         self.by_size = {}
         for n in np.unique(sizes).tolist():
             at = np.flatnonzero(sizes == n)
-            self.by_size[n] = at, np.asarray(v.take(pa.array(at)).flatten(), np.float64).reshape(len(at), n)
-        #: What a score must reach to matter: the threshold, and the k-th best once there are k.
+            same = v if len(at) == len(sizes) else v.take(pa.array(at))
+            self.by_size[n] = at, np.asarray(same.flatten(), np.float64).reshape(len(at), n)
+        #: What a score must reach to matter: the threshold, and the k-th best once there are k; of equal ones the ids up to ``last`` do.
         self.least = np.full(len(self.ids), -np.inf if threshold is None else threshold)
-        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # query, vector, score
+        self.last = np.full(len(self.ids), np.iinfo(np.int64).max)
+        self.count = np.zeros(len(self.ids), np.int64)
+        self.best = np.zeros((len(self.ids), k), np.int64), np.zeros((len(self.ids), k))  # vectors and scores, the best first
+        self.fresh: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # query, vector, score
         self.rows = 0
 
     def see(self, ids: pa.Array, vectors: pa.Array, code: pa.Array, only: np.ndarray | None = None) -> None:
@@ -122,48 +136,67 @@ class Best:
         ids = np.asarray(ids.fill_null(0)).astype(np.int64)
         coded, code = np.asarray(code.is_valid()), np.asarray(code.fill_null(0)).astype(np.int64)
         for n, (of, q) in self.by_size.items():
-            if only is not None:
-                of, q = of[only[of]], q[only[of]]
-                if not len(of):
-                    continue
+            mine = np.arange(len(of)) if only is None else np.flatnonzero(only[of])
             rows = np.flatnonzero((sizes == n) & known)
-            step = max(1, self.CELLS // len(of))
-            for a in range(0, len(rows), step):
-                at = rows[a : a + step]
+            if not len(mine) or not len(rows):
+                continue
+            for a in range(0, len(rows), self.ROWS):
+                at = rows[a : a + self.ROWS]
                 x = np.asarray(vectors.take(pa.array(at)).flatten(), np.float64).reshape(len(at), n)
                 if not (finite := np.isfinite(x).all(1)).all():
                     x, at = x[finite], at[finite]
-                s = similarity(self.metric, x, q)
-                np.round(s, self.digits, out=s)
-                keep = s >= self.least[of][None, :]
-                if self.unlike:
-                    keep &= ids[at][:, None] != self.ids[of][None, :]
-                    keep &= ~(coded[at][:, None] & self.coded[of][None, :] & (code[at][:, None] == self.code[of][None, :]))
-                i, j = np.nonzero(keep)
-                self.held.append((of[j], ids[at][i], s[i, j]))
-                self.rows += len(i)
-                if self.rows > max(4 * self.k * len(self.ids), 200_000):
-                    self.prune()
+                step = max(1, self.CELLS // max(1, len(at)))
+                for c in range(0, len(mine) if len(at) else 0, step):
+                    some = mine[c : c + step]
+                    self._tile(x, ids[at], code[at], coded[at], of[some], q[some])
+
+    def _tile(self, x: np.ndarray, ids: np.ndarray, code: np.ndarray, coded: np.ndarray, of: np.ndarray, q: np.ndarray) -> None:
+        s = similarity(self.metric, x, q)
+        np.round(s, self.digits, out=s)
+        least = self.least[of]
+        keep = s >= least[None, :]
+        if self.unlike:
+            keep &= ids[:, None] != self.ids[of][None, :]
+            keep &= ~(coded[:, None] & self.coded[of][None, :] & (code[:, None] == self.code[of][None, :]))
+        if 0 < self.k < len(s) and np.count_nonzero(keep) > 2 * self.k * len(of):
+            # Before the bars are up: of a tile no more than its k best, and what equals the last of them.
+            s[~keep] = -np.inf
+            keep &= s >= np.partition(s, len(s) - self.k, axis=0)[len(s) - self.k][None, :]
+        i, j = np.nonzero(keep)
+        near = (s[i, j] > least[j]) | (ids[i] <= self.last[of[j]])
+        self.fresh.append((of[j[near]], ids[i[near]], s[i[near], j[near]]))
+        self.rows += int(near.sum())
+        if self.rows > self.FRESH:
+            self.prune()
 
     def prune(self) -> None:
-        """Only the best stay, and what is worse than the k-th of a query no longer comes in."""
-        if not self.held:
+        """Of what is held and what is new only the best stay, and what is worse than the k-th of a query no longer comes in."""
+        if not self.rows:
             return
-        q, i, s = (np.concatenate(x) for x in zip(*self.held))
+        q, i, s = (np.concatenate(x) for x in zip(*self.fresh))
+        self.fresh, self.rows = [], 0
+        met = np.unique(q)
+        held = np.arange(self.k)[None, :] < self.count[met][:, None]
+        q = np.concatenate([np.repeat(met, self.count[met]), q])
+        i = np.concatenate([self.best[0][met][held], i])
+        s = np.concatenate([self.best[1][met][held], s])
         order = np.lexsort((i, -s, q))
         q, i, s = q[order], i[order], s[order]
-        first = np.searchsorted(q, q)
-        place = np.arange(len(q)) - first
-        full = place == self.k - 1
-        self.least[q[full]] = np.maximum(self.least[q[full]], s[full])
+        place = np.arange(len(q)) - np.searchsorted(q, q)
         stay = place < self.k
-        self.held = [(q[stay], i[stay], s[stay])]
-        self.rows = int(stay.sum())
+        q, i, s, place = q[stay], i[stay], s[stay], place[stay]
+        self.best[0][q, place], self.best[1][q, place] = i, s
+        self.count[met] = np.bincount(np.searchsorted(met, q), minlength=len(met))
+        full = place == self.k - 1
+        self.least[q[full]], self.last[q[full]] = s[full], i[full]
 
     def found(self) -> Iterator[pa.RecordBatch]:
         self.prune()
-        for q, i, s in self.held:
-            yield pa.RecordBatch.from_arrays([pa.array(self.ids[q]), pa.array(i), pa.array(s)], names=["query_id", "id", "score"])
+        step = max(1, 100_000 // max(1, self.k))
+        for a in range(0, len(self.ids), step):
+            held = np.arange(self.k)[None, :] < self.count[a : a + step, None]
+            of = np.repeat(self.ids[a : a + step], self.count[a : a + step])
+            yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(self.best[0][a : a + step][held]), pa.array(self.best[1][a : a + step][held])], names=["query_id", "id", "score"])
 
 
 def score_pairs(pairs: DataFrame, metric: str = "cosine", out: str = "score") -> DataFrame:

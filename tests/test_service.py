@@ -94,6 +94,34 @@ def test_best_keeps_ties_by_id():
     assert found.column(1).to_pylist() == [3, 7]
 
 
+def test_best_is_bounded():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    nq, d, k = 3000, 8, 20
+    lists = lambda m: pa.ListArray.from_arrays(np.arange(len(m) + 1, dtype=np.int32) * d, m.ravel())
+    # Few values, so that there are many ties, also across tiles.
+    q, x = r.integers(-1, 2, (nq, d)).astype(float), r.integers(-1, 2, (5000, d)).astype(float)
+    ids = r.permutation(5000)
+    best = vs.Best(pa.table({"id": np.arange(nq), "v": lists(q), "code": pa.nulls(nq, pa.int64())}), k, "euclidean", None, 9, False)
+    tracemalloc.start()
+    for a in range(0, 5000, 2500):
+        best.see(pa.array(ids[a : a + 2500]), lists(x[a : a + 2500]), pa.nulls(2500, pa.int64()))
+    found = pa.Table.from_batches(best.found())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20, peak
+    got = {}
+    for a, i in zip(found.column(0).to_pylist(), found.column(1).to_pylist()):
+        got.setdefault(a, []).append(i)
+    for a in range(0, nq, 97):
+        s = np.round(vs.similarity("euclidean", x, q[a : a + 1])[:, 0], 9)
+        assert got[a] == ids[np.lexsort((ids, -s))][:k].tolist()
+
+
 def test_errors():
     table = {name: (code, again) for name, code, again in errors.table()}
     assert table["NotFoundError"] == (404, False) and table["AuthenticationError"][0] == 401 and table["AuthorizationError"][0] == 403
