@@ -21,9 +21,12 @@ code is predicted and mixed:
 A probability is given to each bit of a prefix code, so the total is the probability of the
 text's words; in bits and divided by the bytes it is the total bits per byte.
 
-Weights and map are first fitted on ``fit_bytes`` of training texts against counts of other
-training texts, so no text of the fit is in its own counts.  Every text starts from what was
-fitted: a score depends on the text and the training texts and on nothing else.
+Weights and map are first fitted on all training texts (equal ones count once).  They are
+dealt by their hash into groups of about ``fit_bytes``; of each group the last quarter is
+read against the counts of the others, so no text is read against its own counts, and what
+the groups have learned is averaged, by how often each weight and each place of the map was
+met.  Every text starts from what was fitted: a score depends on the text and the training
+texts and on nothing else.
 
 What is counted grows with the training texts: the vocabulary, and the (context, symbol)
 pairs, which are counted by sorted runs that are merged by ranges of the context.  The tables
@@ -59,6 +62,7 @@ BUCKETS = 24
 PREFIX = 18  # bits of a hash by which words are found
 KEY, SYMBOL = 40, 24  # bits of a context and of a symbol in the key of a pair
 SALTS = 4
+UNIT = 1 << 12  # of one, in sums over the fit
 
 
 @dataclass(frozen=True)
@@ -69,8 +73,7 @@ class Settings:
     table_bytes: int = 128 << 20
     slots: float = 8  # of a bit table for each pair
     run_slots: float = 1.25  # of the third predictor for each context
-    fit_bytes: int = 4 << 20
-    fit_longest: int = 1 << 16
+    fit_bytes: int = 4 << 20  # of a group of the fit; 0: nothing is fitted
     step: int = 24
     rate: float = 0.004
     map_inertia: float = 30.0
@@ -157,6 +160,7 @@ class Model:
         self.weights = np.repeat(np.array(settings.start, np.float32)[:, None], GATES, 1)
         grid = (np.arange(BUCKETS, dtype=np.float32) + 0.5) * (16.0 / BUCKETS) - 8.0
         self.refined = np.tile(1 / (1 + np.exp(-grid)), MAPS).astype(np.float32)
+        self.met = np.zeros(GATES, np.int64), np.zeros(MAPS * BUCKETS, np.int64)  # bits, in shared reading
         self.tables: Tables | None = None
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
@@ -307,10 +311,14 @@ class Model:
                 change = np.bincount(k, weights=err * x[c])
                 weights[c][: len(change)] += s.rate * change
             off = np.bincount(cell, weights=t - q)
-            off /= np.bincount(cell) + s.map_inertia
+            times = np.bincount(cell)
+            if shared:
+                self.met[1][: len(times)] += times
+            off /= times + s.map_inertia
             refined[: len(off)] += off
         if shared:
             self.weights, self.refined = weights, refined
+            self.met[0][:] += np.bincount(key, minlength=GATES)
         np.clip(chance, 1e-5, 1 - 1e-5, out=chance)
         total = np.zeros(n)
         if len(symbol):
@@ -463,7 +471,6 @@ def fit(model: Model, texts: list[str]) -> None:
     model.tables = tables_in_memory(model, [counted(k) for k in keys])
     for block in blocks(pa.array(texts[cut:], pa.string()), SMALL):
         model.score(block, shared=True)
-    model.weights = np.clip(model.weights, 0.0, 1.5).astype(np.float32)
     model.tables = None
 
 
@@ -565,23 +572,40 @@ def model_of(where: Where) -> Model:
 
 
 def fitted(train: DataFrame, where: Where) -> Where:
-    """``where`` with weights and map, fitted in one task on a bounded sample of distinct training texts, chosen by their hash."""
+    """``where`` with weights and map, fitted on all distinct training texts: a task for each group of about ``fit_bytes``."""
     s = where.settings
-    share = min(1.0, s.fit_bytes / max(1, sum(where.byte_counts)))
-    chosen = train.where((F.octet_length("t") <= s.fit_longest) & (F.pmod(F.xxhash64("t"), F.lit(1 << 20)) <= int(share * (1 << 20)))).distinct()
+    if not s.fit_bytes:
+        return where
+    groups = max(1, -(-sum(where.byte_counts) // s.fit_bytes))
+    # Copies of a text meet in its group and go there, before anything is held.
+    dealt = train.select("t", F.xxhash64("t").alias("h")).repartition(groups, "h").distinct().select("t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [t for b in batches for t in b.column(0).to_pylist()]
         texts.sort(key=lambda t: (xxhash.xxh64_intdigest(t), t))
         model = model_of(where)
+        start = model.weights, model.refined
         fit(model, texts)
-        yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in (model.weights, model.refined)], names=["w", "m"])
-        _made.clear()
-
-    r = chosen.repartition(1).mapInArrow(run, "w binary, m binary").first()
-    if r is None:  # no text to fit on
+        n = np.concatenate([np.tile(model.met[0], N), model.met[1]])
+        value = np.concatenate([np.ravel(model.weights), model.refined]).astype(np.float64)
+        model.weights, model.refined = start
+        for x in model.met:
+            x[:] = 0
+        at = np.flatnonzero(n)
+        # Whole numbers, whose sums are the same in any order.
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at]), pa.array(np.rint(value * n * UNIT)[at].astype(np.int64))], names=["i", "n", "total"])
+
+    # A row for each weight and each place of the map.
+    rows = dealt.mapInArrow(run, "i int, n long, total long").groupBy("i").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()
+    if not rows:  # too few texts to fit on
         return where
-    return Where(**{**where.__dict__, "weights": bytes(r["w"]), "refined": bytes(r["m"])})
+    weights = np.repeat(np.array(s.start, np.float64), GATES)
+    grid = (np.arange(BUCKETS) + 0.5) * (16.0 / BUCKETS) - 8.0
+    value = np.concatenate([weights, np.tile(1 / (1 + np.exp(-grid)), MAPS)])
+    for r in rows:
+        value[r["i"]] = r["total"] / UNIT / r["n"]
+    weights, refined = np.clip(value[: N * GATES], 0.0, 1.5), value[N * GATES :]
+    return Where(**{**where.__dict__, "weights": weights.astype(np.float32).tobytes(), "refined": refined.astype(np.float32).tobytes()})
 
 
 def counted_pairs(train: DataFrame, where: Where, range_bits: int, most: int = 2_500_000) -> DataFrame:

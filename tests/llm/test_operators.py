@@ -543,6 +543,37 @@ def test_lm_scores(docs, odd, none):
     assert score_documents(odd).count() == odd.count() and score_documents(none).count() == 0
 
 
+def test_lm_fits_on_all_texts(spark):
+    import xxhash
+
+    from corpusql.llm.lm_score import fit, fitted
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    # Each longer than any sample of short texts would take; one comes several times.
+    texts = [" ".join(rng.choices(words, range(300, 0, -1), k=16_000)) for _ in range(5)]
+    train = spark.createDataFrame([(t,) for t in texts + texts[:1] * 3], "t string")
+    counted = training_counts(train).cache()
+    settings = Settings()
+    path, _, _ = vocabulary(counted.where("kind = 0").select("key", "n"), settings)
+    by_byte = [0] * 256
+    for r in counted.where("kind = 1").collect():
+        by_byte[r.key] = r.n
+    where = Where(path, 0, 8, tuple(by_byte), settings)
+    got = fitted(train, where)
+    # One group: what reading it teaches, for all that it has met.
+    model = model_of(where)
+    fit(model, sorted(texts, key=lambda t: (xxhash.xxh64_intdigest(t), t)))
+    met = model.met[0] > 0
+    mine = np.frombuffer(got.weights, np.float32).reshape(model.weights.shape)
+    assert met.sum() > 3 and np.allclose(mine[:, met], np.clip(model.weights, 0, 1.5)[:, met], atol=1e-3)
+    assert np.allclose(mine[:, ~met], np.array(settings.start, np.float32)[:, None])
+    # Several groups: the same in whatever order and parts the texts come.
+    where = Where(path, 0, 8, tuple(by_byte), Settings(fit_bytes=1 << 17))
+    a, b = fitted(train, where), fitted(train.orderBy("t").repartition(7), where)
+    assert a.weights == b.weights and a.refined == b.refined and a.weights != got.weights
+
+
 def test_lm_tables_grow_and_are_bounded(spark, docs, tmp_path):
     few, all_ = (docs.where(f"doc_id % {k} = 0").select(F.coalesce("text", F.lit("")).alias("t")) for k in (4, 1))
 
