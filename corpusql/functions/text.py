@@ -6,8 +6,9 @@ from pyspark.sql import Column, functions as F
 
 from corpusql.functions import lexicon
 
-#: What belongs to a term; the Unicode form keeps letters and digits of all scripts.
-ASCII_TERM, UNICODE_TERM = r"[^a-z0-9_-]", r"[^\p{L}\p{N}_-]"
+#: What is neither of a term nor white space; the Unicode form keeps letters and digits of all scripts.
+#: The ASCII form, all but ``a-z 0-9 _ -`` and white space, is written as ranges: Java takes a quarter of the time for them.
+ASCII_TERM, UNICODE_TERM = r"[\x00-\x08\x0e-\x1f!-,./:-^`{-\x{10ffff}]+", r"[^\p{L}\p{N}_\s-]+"
 
 
 def words(text: Column) -> Column:
@@ -20,8 +21,8 @@ def strings(values: list[str]) -> Column:
 
 def terms(text: Column, stop_words: list[str] | None = None, unicode: bool = False) -> Column:
     """Lower-case terms; with ``stop_words`` as a query is read, without as a chunk is."""
-    kept = F.transform(F.split(F.lower(text), r"\s+"), lambda w: F.regexp_replace(w, UNICODE_TERM if unicode else ASCII_TERM, ""))
-    kept = F.filter(kept, lambda w: w != "")
+    # Cleaned as a whole, then split: one pass over the text and none over each word.
+    kept = F.filter(F.split(F.regexp_replace(F.lower(text), UNICODE_TERM if unicode else ASCII_TERM, ""), r"\s+"), lambda w: w != "")
     return F.filter(kept, lambda w: ~w.isin(stop_words)) if stop_words else kept
 
 

@@ -9,6 +9,7 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
+from corpusql.functions.text import terms
 from corpusql.operators import inverted_index as ii
 from corpusql.operators import vector_index as vi
 from corpusql.operators import vector_search as vs
@@ -150,3 +151,30 @@ def test_blocks_are_skipped(spark, tmp_path):
     assert near_rows(rows(ii.search(index, q, str(tmp_path / "q2"), 5, ahead=2)), want)
     empty = ii.build(docs.limit(0).withColumn("k", F.lit(1)), str(tmp_path / "none"), "k")
     assert ii.search(empty, q, str(tmp_path / "q3")).count() == 0
+
+
+def test_blocks_stay_where_they_lie(spark, tmp_path):
+    """Bounds and scores are added in the buckets; no exchange carries the blocks or what a chunk's terms score."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "lang")
+    index = ii.build(docs, str(tmp_path / "ix"), "lang", buckets=3)
+    q = spark.createDataFrame([(1, "the of and"), (2, "ing tion zebra")], "query_id long, text string")
+    p = ii.plan(index, q, str(tmp_path / "q"))
+    plan = p.scores._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert "Bucketed: true" in plan and all("range" in line.split("hashpartitioning(")[1] for line in moved)
+    # Blocks and pairs of (query, range) are not dealt anew: at most the first ranges are.
+    assert len(moved) <= 2
+    # Another session finds the table by its path.
+    other = spark.newSession()
+    assert sorted(ii.load(other, index.path).blocks(other).select("term", "range").collect()) == sorted(index.blocks(spark).select("term", "range").collect())
+
+
+def test_terms_of_awkward_texts(spark):
+    """Cleaned as a whole, texts have the terms that their words have cleaned one by one."""
+    import re
+
+    texts = ["", None, " .. a.b  !c\t-d_\n", "X\x00Y \x1fz\x0b1\x0c2\r3", "Straße 日本 ÀB d\u00a0e f\u2003g", "`a` {b} [c]^d~\x7f @e /f :g ,h", "\U0001f600x y\U0001f600"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    for r in df.select("t", terms(F.col("t")).alias("x")).collect():
+        want = None if r.t is None else [w for w in (re.sub(r"[^a-z0-9_-]", "", x) for x in re.split(r"[ \t\n\x0b\f\r]+", r.t.lower())) if w]
+        assert r.x == want
