@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, functions as F
@@ -24,6 +25,37 @@ class Limits:
     sensitive: tuple[str, ...] = field(default_factory=lambda: tuple(lexicon.SENSITIVE))
 
 
+_THREE_DIGITS = ("like", "[0-9]{3}")
+#: Of patterns, what every match contains; nearly all texts have none of it, and it is found sooner.
+#: No replacement brings it in, so it is looked for in the text as it came.
+NEEDS = {
+    lexicon.SENSITIVE[0]: _THREE_DIGITS,
+    lexicon.SENSITIVE[1]: _THREE_DIGITS,
+    lexicon.SENSITIVE[2]: _THREE_DIGITS,
+    lexicon.SENSITIVE[3]: ("has", "@"),
+    lexicon.SENSITIVE[4]: _THREE_DIGITS,
+    lexicon.SENSITIVE[5]: ("like", r"[0-9]\.[0-9]"),
+    lexicon.SENSITIVE[6]: ("has", "://"),
+    lexicon.BLOCKED[0]: ("has", "<script"),
+    lexicon.BLOCKED[1]: ("has", "javascript:"),
+    lexicon.BLOCKED[2]: ("has", "vbscript:"),
+    lexicon.BLOCKED[3]: ("has", "="),
+}
+
+
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _with_needs(text: Column, patterns: tuple[str, ...], f: Callable[[Column, dict], Column]) -> Column:
+    """``f`` of a text and, by pattern, of whether it has what the pattern needs; each need is looked for once."""
+    kinds = sorted({NEEDS[p] for p in patterns if p in NEEDS})
+    found = lambda t: [(t.contains(what) if how == "has" else t.rlike(what)).alias(f"n{i}") for i, (how, what) in enumerate(kinds)]
+    own = lambda x: {p: x[f"n{kinds.index(NEEDS[p])}"] if p in NEEDS else F.lit(True) for p in patterns}
+    return once(text, lambda t: once(F.struct(t.alias("t"), *found(t)), lambda x: f(x["t"], own(x))))
+
+
 def some(*issues: Column) -> Column:
     """Array of the issues that apply."""
     return F.array_compact(F.array(*issues))
@@ -34,6 +66,11 @@ def control_ratio(text: Column) -> Column:
     return F.when(n == 0, 0.0).otherwise((n - F.length(F.regexp_replace(text, CONTROL, ""))) / n)
 
 
+def _matches(text: Column, pattern: str) -> Column:
+    how, what = NEEDS.get(pattern, ("", ""))
+    return text.contains(what) & text.rlike(pattern) if how == "has" else text.rlike(pattern)
+
+
 def errors(text: Column, file_type: Column | None = None, limits: Limits = Limits()) -> Column:
     """What makes content invalid."""
     size = F.octet_length(text)
@@ -42,7 +79,7 @@ def errors(text: Column, file_type: Column | None = None, limits: Limits = Limit
         F.when(size < limits.min_bytes, "too small"),
         F.when(size > limits.max_bytes, "too large"),
         F.when(control_ratio(text) > limits.max_control, "control characters"),
-        *[F.when(text.rlike(p), f"blocked {i}") for i, p in enumerate(limits.blocked)],
+        *[F.when(_matches(text, p), f"blocked {i}") for i, p in enumerate(limits.blocked)],
     ]
     if file_type is not None:
         found.append(F.when(~F.lower(file_type).isin(list(limits.file_types)), "file type"))
@@ -55,31 +92,48 @@ def long_lines(text: Column, limits: Limits = Limits()) -> Column:
 
 def sensitive_hits(text: Column, limits: Limits = Limits()) -> Column:
     """Numbers of the sensitive patterns that occur, from 0."""
-    return some(*[F.when(text.rlike(p), F.lit(i)) for i, p in enumerate(limits.sensitive)])
+    return _with_needs(text, limits.sensitive, lambda t, need: some(*[F.when(need[p] & t.rlike(p), F.lit(i)) for i, p in enumerate(limits.sensitive)]))
 
 
 def sanitise(text: Column, limits: Limits = Limits()) -> Column:
     """Control characters out, white space to one space, sensitive data and then blocked patterns replaced, in order."""
     text = F.trim(F.regexp_replace(F.regexp_replace(text, CONTROL, ""), r"\s+", " "))
-    for p in limits.sensitive:
-        text = F.regexp_replace(text, p, "[REDACTED]")
-    for p in limits.blocked:
-        text = F.regexp_replace(text, p, "[REMOVED]")
-    return text
+    patterns = [(p, "[REDACTED]") for p in limits.sensitive] + [(p, "[REMOVED]") for p in limits.blocked]
+
+    def replaced(t: Column, need: dict) -> Column:
+        any_ = F.lit(False)
+        for p, _ in patterns:
+            any_ = any_ | need[p]
+        out = t
+        for p, to in patterns:
+            out = F.regexp_replace(out, p, to)
+        return F.when(any_, out).otherwise(t)
+
+    return _with_needs(text, (*limits.sensitive, *limits.blocked), replaced)
 
 
 def repeats(w: Column, most: int) -> Column:
-    """Whether some word of an array occurs more than ``most`` times: once sorted, it stands ``most`` places apart."""
-    n = F.size(w)
-    apart = lambda x: F.exists(F.zip_with(F.slice(x, F.lit(1), n - most), F.slice(x, F.lit(most + 1), n - most), lambda a, b: a == b), lambda same: same)
-    return F.when(n > most, apart(F.array_sort(w))).otherwise(False)
+    """Whether some word of an array occurs more than ``most`` times: once sorted, it stands ``most`` places apart.
+
+    Such a word covers two neighbours among the places that are ``most // 2`` apart, so only
+    those are compared, and the places before them where they are equal.
+    """
+    step = max(most // 2, 1)
+
+    def far(s: Column) -> Column:
+        # Of a long enough run that holds places j and j + step, the first is among the step places up to j.
+        j = F.sequence(F.lit(0), F.size(s) - 1, F.lit(step))
+        begins = lambda j: F.exists(F.sequence(F.greatest(j - step + 1, F.lit(0)), j), lambda i: F.coalesce(F.get(s, i) == F.get(s, i + most), F.lit(False)))
+        return F.exists(j, lambda j: F.coalesce(F.get(s, j) == F.get(s, j + step), F.lit(False)) & begins(j))
+
+    # That many words have to be equal to others.
+    return F.when(F.size(w) - F.size(F.array_distinct(w)) >= most, once(F.sort_array(w), far)).otherwise(False) if most > 0 else F.size(w) > 0
 
 
 def quality(text: Column, limits: Limits = Limits()) -> Column:
     """100 less what repetition, poor vocabulary, sentence length and few letters cost; 0 at least."""
     # One element, so that the text is split once.
-    once = F.transform(F.array(words(F.lower(text))), lambda w: F.struct(F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("distinct"), repeats(w, limits.max_repetition).alias("repeats")))
-    w = F.get(once, F.lit(0))
+    w = once(words(F.lower(text)), lambda w: F.struct(F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("distinct"), repeats(w, limits.max_repetition).alias("repeats")))
     pieces = F.size(F.split(text, "[.!?]"))
     average = F.floor(F.octet_length(text) / pieces)
     chars = F.length(text)
@@ -101,7 +155,7 @@ def quick_valid(text: Column, limits: Limits = Limits()) -> Column:
     size = F.octet_length(text)
     ok = (F.trim(text) != "") & size.between(limits.min_bytes, limits.max_bytes)
     for p in limits.blocked:
-        ok = ok & ~text.rlike(p)
+        ok = ok & ~_matches(text, p)
     return ok
 
 

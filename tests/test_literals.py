@@ -184,3 +184,41 @@ def test_vector_search_edges(spark):
     assert vs.search(q, v.limit(0), 2).count() == 0
     blocks = vs.search(spark.createDataFrame([(i, [1.0, float(i)]) for i in range(7)], "query_id long, qv array<double>"), v, 3, block_bytes=80)
     assert blocks.count() == 21
+
+
+def test_patterns_with_what_they_need(spark):
+    """Texts are redacted as by all patterns one after the other, also where one replacement comes before another's match."""
+    import re
+
+    from corpusql.functions import lexicon
+
+    rows = ["", "no digits at all", "call 555-123-4567 or mail a.b@c.org", "123-45-6789 and 123456789", "1234 5678 9012 3456", "at 10.0.0.1 on 1.2.3", "http://x.y?key=abc", "x <script>a</script> onload = 1", "javascript:vbscript:", "123456789@a.com 1.1.1.1", "a@b.co=on1 =", "12 34 56", "ftp https://h/p&token=1.2 on=2", "x" * 30 + "=", "a@", None]
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, t string")
+    for r in df.select("t", V.sanitise(F.col("t")).alias("s"), V.sensitive_hits(F.col("t")).alias("h")).collect():
+        want = None
+        if r.t is not None:
+            want = re.sub(r"\s+", " ", r.t).strip(" ")
+            for p in lexicon.SENSITIVE:
+                want = re.sub(p, "[REDACTED]", want, flags=re.ASCII)
+            for p in lexicon.BLOCKED:
+                want = re.sub(p, "[REMOVED]", want, flags=re.ASCII)
+            assert r.h == [i for i, p in enumerate(lexicon.SENSITIVE) if re.search(p, r.t, re.ASCII)]
+        assert r.s == want
+    # Nearly all texts skip the patterns: the needs are looked for before.
+    assert set(lexicon.SENSITIVE) | set(lexicon.BLOCKED) == set(V.NEEDS)
+
+
+def test_repeats_at_the_limit(spark):
+    import random
+
+    rng = random.Random(3)
+    for most in (1, 2, 5, 50):
+        rows = []
+        for n in (0, 1, most, most + 1, 3 * most + 7):
+            for times in (1, most - 1, most, most + 1, most + 2):
+                w = ["k"] * times + [f"w{rng.randrange(max(n // 2, 1))}" for _ in range(n)]
+                rng.shuffle(w)
+                rows.append((w,))
+        df = spark.createDataFrame(rows, "w array<string>")
+        for r in df.select("w", V.repeats(F.col("w"), most).alias("r")).collect():
+            assert r.r == any(r.w.count(x) > most for x in r.w), (most, r.w)
