@@ -756,12 +756,12 @@ def sql_chunks(spark, base):
     UNION ALL SELECT doc_id, 'front', unnest(['title', 'author', 'url']), unnest(['Doc ' || doc_id || ': one', source, 'http://x']) FROM documents"""
 )
 def sql_table_functions(spark, base):
-    """Chunks with their places and the entries of a head, as tables that SQL joins laterally."""
+    """Chunks with their places and the entries of a head, as tables that SQL views laterally; nothing is shuffled."""
     sqlfunctions.register(spark)
     t.read(spark, base, "documents").createOrReplaceTempView("cq_documents")
     return spark.sql(
-        r"""SELECT doc_id, 'chunk' AS kind, CAST(chunk_index AS STRING) AS name, concat(start, ':', length(content)) AS value FROM cq_documents, LATERAL cq_chunk_rows(text, 1000, 200)
-        UNION ALL SELECT doc_id, 'front', name, value FROM (SELECT doc_id, concat('---\ntitle: "Doc ', doc_id, ': one"\nauthor: ', source, '\nno entry\nurl: http://x\n---\n', text) AS md FROM cq_documents), LATERAL cq_front_matter(md)"""
+        r"""SELECT doc_id, 'chunk' AS kind, CAST(chunk_index AS STRING) AS name, concat(start, ':', length(content)) AS value FROM (SELECT doc_id, cq_chunk_places(text, 1000, 200) AS cs FROM cq_documents) LATERAL VIEW inline(cs) c
+        UNION ALL SELECT doc_id, 'front', name, value FROM (SELECT doc_id, cq_front_entries(concat('---\ntitle: "Doc ', doc_id, ': one"\nauthor: ', source, '\nno entry\nurl: http://x\n---\n', text)) AS es FROM cq_documents) LATERAL VIEW inline(es) f"""
     )
 
 

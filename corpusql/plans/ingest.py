@@ -22,7 +22,8 @@ def ingest(docs: DataFrame, id_col: str = "doc_id", strategy: str = "fixed", emb
 
     Narrow from end to end: no shuffle between the scan and the write.
     """
-    good = validated(docs).where("validation.valid").select(F.col(id_col), F.col("validation.sanitised").alias("text"))
+    # What is valid is told once, by the filter.
+    good = docs.where(F.size(V.errors(F.col("text"))) == 0).select(F.col(id_col), V.sanitise(F.col("text")).alias("text"))
     out = chunks(good, strategy, id_col, "text", **options)
     return out.select("document_id", "chunk_index", "content", embed(F.col("content")).alias("embedding"), T.language(F.col("content")).alias("language"), T.word_count(F.col("content")).alias("word_count"))
 

@@ -1,7 +1,9 @@
 """The engine's functions under names that SQL can use.
 
 Scalar and table functions are SQL functions, so Catalyst sees through them: nothing leaves
-the JVM.  ``cq_contexts`` reads an ordered partition of a table with a state of one context;
+the JVM.  Spark joins what a table function of SQL makes back by its arguments, that is by the
+texts: over large tables unfold the arrays of ``cq_chunk_places`` and ``cq_front_entries``
+with ``LATERAL VIEW inline``, which moves nothing.  ``cq_contexts`` reads an ordered partition of a table with a state of one context;
 it is a Python table function.
 """
 
@@ -21,6 +23,9 @@ FUNCTIONS = {
     "cq_words(t STRING) RETURNS ARRAY<STRING>": r"filter(split(t, '\\s+'), w -> w <> '')",
     "cq_jaccard(a ARRAY<STRING>, b ARRAY<STRING>) RETURNS DOUBLE": "CASE WHEN size(array_union(a, b)) = 0 THEN 0D ELSE size(array_intersect(a, b)) / size(array_union(a, b)) END",
     "cq_chunks(t STRING, n INT, overlap INT) RETURNS ARRAY<STRING>": "CASE WHEN length(t) = 0 THEN CAST(array() AS ARRAY<STRING>) ELSE transform(sequence(0, CAST(ceil(length(t) / (n - overlap)) AS INT) - 1), i -> substring(t, i * (n - overlap) + 1, n)) END",
+    # The rows of the table functions below as arrays, for `LATERAL VIEW inline`.
+    "cq_chunk_places(t STRING, n INT, overlap INT) RETURNS ARRAY<STRUCT<chunk_index: INT, start: INT, content: STRING>>": "transform(cq_chunks(coalesce(t, ''), n, overlap), (c, i) -> named_struct('chunk_index', i, 'start', i * (n - overlap), 'content', c))",
+    "cq_front_entries(t STRING) RETURNS ARRAY<STRUCT<place: INT, name: STRING, value: STRING>>": r"transform(filter(transform(split(regexp_extract(coalesce(t, ''), '(?s)\\A---\\n(.*?)\\n---\\n', 1), '\n'), (line, i) -> named_struct('i', i, 'line', line)), x -> instr(x.line, ':') > 0), x -> named_struct('place', x.i, 'name', trim(substring_index(x.line, ':', 1)), 'value', regexp_replace(trim(substring(x.line, instr(x.line, ':') + 1)), '^\"(.*)\"$', '$1')))",
 }
 TABLE_FUNCTIONS = {
     # Chunks of a text with the place of their first character, from 0.

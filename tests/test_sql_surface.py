@@ -20,6 +20,22 @@ def test_table_functions(spark):
     assert spark.sql("SELECT * FROM cq_heads, LATERAL cq_chunk_rows(t, 4, 1) WHERE id IN (3, 4)").count() == 0
 
 
+def test_arrays_of_table_functions(spark):
+    """Unfolded, they are the rows of the table functions; the query over documents has no exchange."""
+    from conftest import DATA
+    from corpusql.catalogue import service
+
+    sqlfunctions.register(spark)
+    rows = [(1, '---\ntitle: "A: b"\nno entry\n x : y:z \n---\nbody'), (2, "no head\n---\na: b\n---\n"), (3, ""), (4, None), (5, "---\n---\n"), (6, "abcdefghij")]
+    spark.createDataFrame(rows, "id long, t string").createOrReplaceTempView("cq_heads")
+    for array, table in (("cq_front_entries(t)", "cq_front_matter(t)"), ("cq_chunk_places(t, 4, 1)", "cq_chunk_rows(t, 4, 1)")):
+        got = spark.sql(f"SELECT id, f.* FROM (SELECT id, {array} AS a FROM cq_heads) LATERAL VIEW inline(a) f").collect()
+        want = spark.sql(f"SELECT id, f.* FROM cq_heads, LATERAL {table} f").collect()
+        assert got and sorted(map(tuple, got)) == sorted(map(tuple, want))
+    plan = service.sql_table_functions(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
 def test_contexts(spark):
     sqlfunctions.register(spark)
     rows = [(1, 2, "cc"), (1, 0, "aaaa"), (1, 1, "b" * 30), (1, 3, None), (2, 0, "x"), (None, 0, "n"), (None, 1, "m")]
