@@ -51,13 +51,22 @@ def occurrences(text: Column, part: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("long")
 
 
-def language(text: Column, sample: int = 1000) -> Column:
-    """By substrings of the first ``sample`` characters: en, es, fr or unknown."""
+def language_counts(text: Column, sample: int = 1000) -> Column:
+    """How often the words of each language occur as substrings of the first ``sample`` characters: a struct by language."""
     s = F.lower(F.substring(text, 1, sample))
-    n = {k: sum((occurrences(s, w) for w in v), F.lit(0)) for k, v in lexicon.LANGUAGES.items()}
+    return F.struct(*[sum((occurrences(s, w) for w in v), F.lit(0)).alias(k) for k, v in lexicon.LANGUAGES.items()])
+
+
+def language_of(n: Column) -> Column:
+    """The language by ``language_counts``; where those are a column of their own, each is made once."""
     return F.when((n["en"] > n["es"]) & (n["en"] > n["fr"]), "en").when(n["es"] > n["fr"], "es").when(n["fr"] > 0, "fr").otherwise("unknown")
 
 
+def language(text: Column, sample: int = 1000) -> Column:
+    """By substrings of the first ``sample`` characters: en, es, fr or unknown."""
+    return language_of(language_counts(text, sample))
+
+
 def _quoted(x: Column) -> Column:
     """Without spaces and then quotation marks at the ends."""
     return F.regexp_replace(F.regexp_replace(F.trim(x), r'^"+|"+$', ""), r"^'+|'+$", "")

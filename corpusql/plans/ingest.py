@@ -24,8 +24,9 @@ def ingest(docs: DataFrame, id_col: str = "doc_id", strategy: str = "fixed", emb
     """
     # What is valid is told once, by the filter.
     good = docs.where(F.size(V.errors(F.col("text"))) == 0).select(F.col(id_col), V.sanitise(F.col("text")).alias("text"))
-    out = chunks(good, strategy, id_col, "text", **options)
-    return out.select("document_id", "chunk_index", "content", embed(F.col("content")).alias("embedding"), T.language(F.col("content")).alias("language"), T.word_count(F.col("content")).alias("word_count"))
+    # Counts before the language that they tell, so that they are made once.
+    out = chunks(good, strategy, id_col, "text", **options).select("*", T.language_counts(F.col("content")).alias("counts"))
+    return out.select("document_id", "chunk_index", "content", embed(F.col("content")).alias("embedding"), T.language_of(F.col("counts")).alias("language"), T.word_count(F.col("content")).alias("word_count"))
 
 
 def batch_stats(docs: DataFrame, text: str = "text") -> DataFrame:

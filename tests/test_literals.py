@@ -222,3 +222,16 @@ def test_repeats_at_the_limit(spark):
         df = spark.createDataFrame(rows, "w array<string>")
         for r in df.select("w", V.repeats(F.col("w"), most).alias("r")).collect():
             assert r.r == any(r.w.count(x) > most for x in r.w), (most, r.w)
+
+
+def test_ingest_tells_each_thing_once(spark):
+    """Errors are looked for once a document, and each language's words are counted once a chunk."""
+    from corpusql.functions import lexicon
+    from corpusql.plans import ingest
+
+    df = spark.createDataFrame([(1, "the end of the song and that is it"), (2, "le chat et la maison"), (3, "javascript:x of the"), (4, "x")], "doc_id long, text string").repartition(2)
+    out = ingest.ingest(df, size=20, overlap=5).select("document_id", "chunk_index", "language")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    words = sum(len(v) for v in lexicon.LANGUAGES.values())
+    assert plan.count("replace(lower(") == words and plan.count("too small") == 1
+    assert {r.document_id for r in out.collect()} == {1, 2}
