@@ -38,11 +38,12 @@ Counts of all other words, however many, are joined for the base score.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 import xxhash
@@ -54,6 +55,7 @@ from corpusql.llm.token_files import filesystem
 from corpusql.llm.vectext import SPACED_LOWER, Block, Words, blocks, mix
 
 SMALL = 1 << 18
+CHUNK = 1 << 16  # bits of codes that are read at a time, or those of one step
 ESCAPE, END = 0, 1  # symbols before the words
 N = 3  # predictors
 GATES = 32
@@ -62,6 +64,7 @@ BUCKETS = 24
 PREFIX = 18  # bits of a hash by which words are found
 KEY, SYMBOL = 40, 24  # bits of a context and of a symbol in the key of a pair
 SALTS = 4
+TOGETHER = 8  # groups of the fit that are read side by side
 UNIT = 1 << 12  # of one, in sums over the fit
 
 
@@ -110,6 +113,53 @@ def turns(place: np.ndarray, step: int) -> np.ndarray:
     return np.where(place < 16, np.searchsorted(edges, place, "right"), len(edges) + np.maximum(place - 16, 0) // step)
 
 
+def alike(column: pa.Array, limit: int) -> Iterator[tuple[pa.Array, Block]]:
+    """Cuts a string column into blocks of texts of about one length, which take about as many steps; and the rows of each."""
+    size = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.argsort(size, kind="stable")
+    run = np.concatenate([[0], np.cumsum(size[order])])
+    i = 0
+    while i < len(order):
+        j = max(int(np.searchsorted(run, run[i] + limit, "right")) - 1, i + 1)
+        rows = pa.array(order[i:j])
+        yield rows, next(blocks(column.take(rows), int(run[j] - run[i])))
+        i = j
+
+
+def gates(second: np.ndarray, third: np.ndarray) -> np.ndarray:
+    """How much the second and third context know, 0 to 15: sizes over 0.5 and 2, over 0.5 and 1.8."""
+    a, b = np.abs(second), np.abs(third)  # in steps of 1/14
+    out = np.zeros(len(a), np.uint8)
+    for known in (a > 7, a > 28, b > 7, b > 25):
+        out += out
+        out |= known.view(np.uint8)
+    return out
+
+
+def chunks(edges: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Cuts steps, of which each ends at the next of ``edges`` (in bits), into runs of about ``CHUNK``: what is made of their bits stays in a processor's cache."""
+    i, last = 0, len(edges) - 1
+    while i < last:
+        j = max(int(np.searchsorted(edges, edges[i] + CHUNK, "right")) - 1, i + 1)
+        if edges[j] > edges[i]:
+            yield i, j
+        i = j
+
+
+def in_turns(turn: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """The order by turn, then text (of ``n``), then place."""
+    size = len(turn)
+    bits = size.bit_length()
+    if not size or (int(turn.max()) + 1) * n >= 1 << (63 - bits):
+        return np.lexsort((doc, turn))
+    key = turn * n + doc  # and the place in the last bits: no two are alike, and values sort faster than places
+    key <<= bits
+    key |= np.arange(size)
+    key.sort()
+    key &= (1 << bits) - 1
+    return key
+
+
 def counted(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order and how often each occurs."""
     k = np.sort(np.concatenate(keys))
@@ -155,12 +205,10 @@ class Model:
         self.is_anchor[np.argsort(-counts[order], kind="stable")[: settings.anchors] + 2] = True
         self.codes = np.concatenate([codes, byte_codes]).astype(np.uint32)
         self.lengths = np.concatenate([lengths, byte_lengths]).astype(np.uint8)
-        size = np.abs(np.arange(256, dtype=np.uint8).view(np.int8).astype(np.int32)) / 14
-        self.gates = ((size > 0.5) * 8 + (size > 2) * 4).astype(np.uint8), ((size > 0.5) * 2 + (size > 1.8) * 1).astype(np.uint8)
         self.weights = np.repeat(np.array(settings.start, np.float32)[:, None], GATES, 1)
         grid = (np.arange(BUCKETS, dtype=np.float32) + 0.5) * (16.0 / BUCKETS) - 8.0
         self.refined = np.tile(1 / (1 + np.exp(-grid)), MAPS).astype(np.float32)
-        self.met = np.zeros(GATES, np.int64), np.zeros(MAPS * BUCKETS, np.int64)  # bits, in shared reading
+        self.met = np.zeros(GATES, np.int64), np.zeros(MAPS * BUCKETS, np.int64)  # bits, in the fit
         self.tables: Tables | None = None
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
@@ -185,13 +233,17 @@ class Model:
         number = np.where(known, at + 2, ESCAPE)
         w.known, w.at = known, at
         # One end after the words of each text.
-        ends = w.first[1:]
-        number = np.insert(number, ends, END)
-        doc = np.insert(w.doc, ends, np.arange(block.n))
-        hashed = np.insert(w.hash, ends, np.uint64(0))
-        start = np.insert(w.start, ends, 0)
-        size = np.insert(w.end - w.start, ends, 0)
-        place = np.arange(len(number)) - (w.first[:-1] + np.arange(block.n))[doc]
+        to, ends = np.arange(len(at)) + w.doc, w.first[1:] + np.arange(block.n)
+
+        def ended(words: np.ndarray, end: int) -> np.ndarray:
+            out = np.full(len(words) + block.n, end, words.dtype)
+            out[to] = words
+            return out
+
+        number, hashed = ended(number, END), ended(w.hash, 0)
+        count = w.count + 1
+        doc = np.repeat(np.arange(block.n), count)
+        place = np.arange(len(number)) - np.repeat(ends + 1 - count, count)
         last = np.zeros(len(number), np.uint64)
         last[1:] = np.where(doc[1:] == doc[:-1], hashed[:-1], 0)
         before = np.zeros(len(number), np.uint64)
@@ -199,9 +251,12 @@ class Model:
         # The last frequent word before each symbol.
         seen = np.maximum.accumulate(np.where(self.is_anchor[number], np.arange(len(number)), -1))
         seen = np.concatenate([[-1], seen[:-1]])
-        anchor = np.where((seen >= 0) & (doc[np.maximum(seen, 0)] == doc), hashed[np.maximum(seen, 0)], 0)
+        anchor = np.where(seen >= np.arange(len(number)) - place, hashed[np.maximum(seen, 0)], 0)
         # Spelled words: their bytes and a last one, after the escape.
         spelled = np.flatnonzero(number == ESCAPE)
+        if not len(spelled):
+            return w, number, doc, place, self.contexts(anchor, last, last + mix(before))
+        start, size = ended(w.start, 0), ended(w.end - w.start, 0)
         extra = np.zeros(len(number), np.int64)
         extra[spelled] = size[spelled] + 1
         total = len(number) + int(extra.sum())
@@ -211,23 +266,24 @@ class Model:
         out[into] = number
         ctx[0, into], ctx[1, into], ctx[2, into] = anchor, last, last + mix(before)
         where = np.repeat(np.arange(len(number)), extra + 1)
-        if len(spelled):
-            is_byte = np.ones(total, bool)
-            is_byte[into] = False
-            to = np.flatnonzero(is_byte)
-            i = to - into[where[to]] - 1  # place of the byte in its word
-            byte = np.where(i < size[where[to]], SPACED_LOWER[block.data[np.minimum(start[where[to]] + i, max(len(block.data) - 1, 0))]], 255).astype(np.uint64)
-            out[to] = self.base + byte.astype(np.int64)
-            run = np.zeros(total, np.uint64)
-            run[to] = byte + np.uint64(1)
-            held = np.zeros(len(to), np.uint64)
-            for d in range(1, 6):
-                held |= np.where(i >= d, run[np.maximum(to - d, 0)], 0) << np.uint64(9 * (d - 1))
-                if d in (1, 3, 5):
-                    ctx[d // 2, to] = held + np.uint64(1 << 50)
-        for c in range(N):
-            ctx[c] = mix(ctx[c] + np.uint64(c + 1)) >> np.uint64(64 - KEY)
-        return w, out, doc[where], place[where], ctx
+        is_byte = np.ones(total, bool)
+        is_byte[into] = False
+        to = np.flatnonzero(is_byte)
+        i = to - into[where[to]] - 1  # place of the byte in its word
+        byte = np.where(i < size[where[to]], SPACED_LOWER[block.data[np.minimum(start[where[to]] + i, max(len(block.data) - 1, 0))]], 255).astype(np.uint64)
+        out[to] = self.base + byte.astype(np.int64)
+        run = np.zeros(total, np.uint64)
+        run[to] = byte + np.uint64(1)
+        held = np.zeros(len(to), np.uint64)
+        for d in range(1, 6):
+            held |= np.where(i >= d, run[np.maximum(to - d, 0)], 0) << np.uint64(9 * (d - 1))
+            if d in (1, 3, 5):
+                ctx[d // 2, to] = held + np.uint64(1 << 50)
+        return w, out, doc[where], place[where], self.contexts(*ctx)
+
+    def contexts(self, *parts: np.ndarray) -> np.ndarray:
+        """The keys of contexts, by predictor."""
+        return np.stack([mix(x + np.uint64(c + 1)) >> np.uint64(64 - KEY) for c, x in enumerate(parts)])
 
     def pairs(self, block: Block) -> list[np.ndarray]:
         """The keys of a block's (context, symbol) pairs, for each of the three contexts."""
@@ -247,84 +303,103 @@ class Model:
         code *= np.uint32(0x9E3779B1)
         return place, bit, code
 
-    def score(self, block: Block, shared: bool = False) -> tuple[Words, np.ndarray]:
-        """Words, and the natural logarithm of each text's probability.
-
-        ``shared``: the block is read as one text, and what it has learned at the end stays
-        in the model.
-        """
+    def score(self, block: Block) -> tuple[Words, np.ndarray]:
+        """Words, and the natural logarithm of each text's probability."""
         s, n = self.s, block.n
         w, symbol, doc, place, ctx = self.symbols(block)
-        if shared:
-            n, doc, rank = 1, np.zeros(len(doc), np.int64), np.zeros(1, np.int64)
-            turn = np.arange(len(symbol)) // s.step
-        else:
-            # Longest texts first: those that are still being read are the first ones at any time.
-            by_length = np.argsort(-w.count, kind="stable")
-            rank = np.empty(n, np.int64)
-            rank[by_length] = np.arange(n)
-            doc = rank[doc]
-            turn = turns(place, s.step)
-        order = np.lexsort((doc, turn))
+        # Longest texts first: those that are still being read are the first ones at any time.
+        by_length = np.argsort(-w.count, kind="stable")
+        rank = np.empty(n, np.int64)
+        rank[by_length] = np.arange(n)
+        doc = rank[doc]
+        turn = turns(place, s.step)
+        order = in_turns(turn, doc, n)
         symbol, doc, ctx, turn = symbol[order], doc[order], ctx[:, order], turn[order]
         length = self.lengths[symbol].astype(np.int64)
-        at, bit, code = self.bits(symbol, length)
-        raw = [self.tables.bit_table(0, ctx[0], length, code), self.tables.bit_table(1, ctx[1], length, code), self.tables.run(self, ctx[2], symbol, length, at, bit)]
-        gate = self.gates[0].take(raw[1].view(np.uint8))
-        gate += self.gates[1].take(raw[2].view(np.uint8))
-        st = np.array(raw, np.float32)
-        st *= np.float32(1 / 14)
-        gate += np.repeat(np.where(symbol >= self.base, np.uint8(16), np.uint8(0)), length)
-        key = np.repeat(doc * GATES, length)
-        key += gate
-        weights = np.tile(self.weights, n)
-        refined = np.tile(self.refined, n)
+        mind = Mind(self, n)
         cuts = np.searchsorted(turn, np.arange((int(turn[-1]) if len(turn) else -1) + 2))
         first_bit = np.concatenate([[0], np.cumsum(length)])[cuts]
+        found = np.zeros(len(symbol), np.float32)
+        for i, j in chunks(first_bit):
+            part = slice(cuts[i], cuts[j])
+            raw, bit = self.bit_inputs(symbol[part], ctx[:, part], length[part])
+            key = np.repeat(doc[part] * GATES + np.where(symbol[part] >= self.base, 16, 0), length[part])
+            chance = mind.read(raw, bit, key, (first_bit[i : j + 1] - first_bit[i]).tolist())
+            np.log(chance, out=chance)
+            found[part] = np.add.reduceat(chance, np.cumsum(length[part]) - length[part])
+        return w, np.bincount(doc, weights=found, minlength=n)[rank]
+
+    def bit_inputs(self, symbol: np.ndarray, ctx: np.ndarray, length: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Of every bit of the symbols' codes the three predictions, stretched, and its value."""
+        at, bit, code = self.bits(symbol, length)
+        return [self.tables.bit_table(0, ctx[0], length, code), self.tables.bit_table(1, ctx[1], length, code), self.tables.run(self, ctx[2], symbol, length, at, bit)], bit
+
+
+class Mind:
+    """Weights and maps of ``n`` readers that start from the model's and learn as each reads bits of its own."""
+
+    def __init__(self, model: Model, n: int, met: bool = False):
+        self.model = model
+        self.weights = np.tile(model.weights.T, (n, 1)).ravel()  # by reader, gate and predictor
+        self.refined = np.tile(model.refined, n)
+        self.met = (np.zeros(n * GATES, np.int64), np.zeros(n * MAPS * BUCKETS, np.int64)) if met else None  # bits
+
+    def read(self, raw: list[np.ndarray], bit: np.ndarray, key: np.ndarray, edges: list[int]) -> np.ndarray:
+        """The chance given to each bit as it is; what is learned counts after each step, from one of ``edges`` to the next.
+
+        ``key``: of each bit the reader times ``GATES``, and 16 for a bit of a byte.
+        """
+        model, s, weights, refined = self.model, self.model.s, self.weights, self.refined
+        key = key + gates(raw[1], raw[2])
+        row = (key >> 2) * BUCKETS
+        # The predictors of a bit lie beside each other, so that sums over one weight don't wait for themselves.
+        each, st = np.empty(N * len(key), np.int64), np.empty(N * len(key), np.float32)
+        for c in range(N):
+            np.multiply(key, N, out=each[c::N])
+            each[c::N] += c
+            np.multiply(raw[c], np.float32(1 / 14), out=st[c::N])
         y = bit.astype(np.float32)
-        chance = np.empty(len(bit), np.float32)  # that the model gave to each bit as it is
-        for a, b in zip(first_bit[:-1].tolist(), first_bit[1:].tolist()):
+        chance = np.empty(len(y), np.float32)
+        if self.met:
+            self.met[0][:] += np.bincount(key, minlength=len(self.met[0]))
+        for a, b in zip(edges[:-1], edges[1:]):
             if a == b:
                 continue
-            k, x, t = key[a:b], st[:, a:b], y[a:b]
-            dot = weights[0].take(k, mode="clip")
-            dot *= x[0]
-            for c in range(1, N):
-                part = weights[c].take(k, mode="clip")
-                part *= x[c]
-                dot += part
-            np.clip(dot, -7.99, 7.99, out=dot)
-            cell = ((dot + np.float32(8.0)) * np.float32(BUCKETS / 16.0)).astype(np.int64)
-            cell += (k >> 2) * BUCKETS
+            k, x, t = each[N * a : N * b], st[N * a : N * b], y[a:b]
+            z = weights.take(k, mode="clip")
+            z *= x
+            dot = z[::N] + z[1::N]
+            for c in range(2, N):
+                dot += z[c::N]
+            np.minimum(dot, np.float32(7.99), out=dot)
+            np.maximum(dot, np.float32(-7.99), out=dot)
+            cell = dot + np.float32(8.0)
+            cell *= np.float32(BUCKETS / 16.0)
+            cell = cell.astype(np.int64)
+            cell += row[a:b]
             np.negative(dot, out=dot)
             np.exp(dot, out=dot)
-            dot += 1
+            dot += np.float32(1.0)
             p = np.reciprocal(dot, out=dot)
             q = refined.take(cell, mode="clip")
-            both = p + q
-            both *= np.float32(0.5)
-            both -= 1 - t
-            np.abs(both, out=chance[a:b])
-            err = t - p
-            # Sums over the cells that this step has met.
+            np.add(p, q, out=chance[a:b])
+            err = np.subtract(t, p, out=p)
             for c in range(N):
-                change = np.bincount(k, weights=err * x[c])
-                weights[c][: len(change)] += s.rate * change
-            off = np.bincount(cell, weights=t - q)
+                np.multiply(x[c::N], err, out=z[c::N])
+            # Sums over the cells that this step has met.
+            change = np.bincount(k, z)
+            change *= s.rate
+            weights[: len(change)] += change
+            off = np.bincount(cell, np.subtract(t, q, out=q))
             times = np.bincount(cell)
-            if shared:
+            if self.met:
                 self.met[1][: len(times)] += times
             off /= times + s.map_inertia
             refined[: len(off)] += off
-        if shared:
-            self.weights, self.refined = weights, refined
-            self.met[0][:] += np.bincount(key, minlength=GATES)
-        np.clip(chance, 1e-5, 1 - 1e-5, out=chance)
-        total = np.zeros(n)
-        if len(symbol):
-            np.log(chance, out=chance)
-            total += np.bincount(doc, weights=np.add.reduceat(chance, np.cumsum(length) - length), minlength=n)
-        return w, total[rank]
+        chance *= np.float32(0.5)
+        chance -= 1 - y
+        np.abs(chance, out=chance)
+        return np.clip(chance, 1e-5, 1 - 1e-5, out=chance)
 
 
 class Tables:
@@ -459,19 +534,62 @@ def tables_in_memory(model: Model, found: list[tuple[np.ndarray, np.ndarray]]) -
     return tables
 
 
+def fit_groups(model: Model, groups: Iterable[list[str]]) -> list[tuple[np.ndarray, ...]]:
+    """Of each group weights, map, and how often each of their places was met: from the last quarter of its texts, read against the counts of the others.
+
+    Groups learn each for itself, and are read side by side: a step of all at a time.
+    """
+    read = []
+    for texts in groups:
+        cut = len(texts) * 3 // 4
+        if not cut:
+            continue
+        keys: list[list[np.ndarray]] = [[], [], []]
+        for block in blocks(pa.array(texts[:cut], pa.string()), SMALL):
+            for c, k in enumerate(model.pairs(block)):
+                keys[c].append(k)
+        model.tables = tables_in_memory(model, [counted(keys.pop(0)) for _ in range(N)])
+        parts, sizes = [], []
+        for block in blocks(pa.array(texts[cut:], pa.string()), SMALL):
+            _, symbol, _, _, ctx = model.symbols(block)
+            length = model.lengths[symbol].astype(np.int64)
+            first_bit = np.append(np.concatenate([[0], np.cumsum(length)])[: len(symbol) : model.s.step], length.sum())
+            sizes.append(np.diff(first_bit))
+            for i, j in chunks(first_bit):
+                part = slice(i * model.s.step, j * model.s.step)
+                raw, bit = model.bit_inputs(symbol[part], ctx[:, part], length[part])
+                bit += np.repeat(np.where(symbol[part] >= model.base, np.uint8(16), np.uint8(0)), length[part])
+                parts.append((*raw, bit))
+        model.tables = None
+        read.append(([np.concatenate(x) for x in zip(*parts)], np.concatenate(sizes)))
+    if not read:
+        return []
+    n, steps = len(read), max(len(size) for _, size in read)
+    # Bits of each step and group, and where they start.
+    size = np.zeros((steps, n), np.int64)
+    for g, (_, x) in enumerate(read):
+        size[: len(x), g] = x
+    start = np.cumsum(size, axis=0) - size
+    edges = np.concatenate([[0], np.cumsum(size.sum(axis=1))])
+    mind = Mind(model, n, met=True)
+    for i, j in chunks(edges):
+        low, high = start[i], start[j - 1] + size[j - 1]
+        # The bits of these steps, group after group, and then in the order of steps.
+        held = [np.concatenate([x[c][a:b] for (x, _), a, b in zip(read, low, high)]) for c in range(N + 1)]
+        begin = start[i:j] - low + (np.cumsum(high - low) - (high - low))
+        lengths = size[i:j].ravel()
+        order = np.arange(int(lengths.sum())) + np.repeat(begin.ravel() - (np.cumsum(lengths) - lengths), lengths)
+        *raw, bit = (x.take(order) for x in held)
+        key = np.repeat(np.tile(np.arange(n) * GATES, j - i), lengths) + (bit & np.uint8(16))
+        mind.read(raw, bit & np.uint8(1), key, (edges[i : j + 1] - edges[i]).tolist())
+    weights = mind.weights.reshape(n, GATES, N).transpose(0, 2, 1)
+    return list(zip(weights, mind.refined.reshape(n, -1), mind.met[0].reshape(n, -1), mind.met[1].reshape(n, -1)))
+
+
 def fit(model: Model, texts: list[str]) -> None:
-    """Weights and map from the last quarter of the texts, read against the counts of the others."""
-    cut = len(texts) * 3 // 4
-    keys: list[list[np.ndarray]] = [[], [], []]
-    for block in blocks(pa.array(texts[:cut], pa.string()), SMALL):
-        for c, k in enumerate(model.pairs(block)):
-            keys[c].append(k)
-    if not cut or cut == len(texts):
-        return
-    model.tables = tables_in_memory(model, [counted(k) for k in keys])
-    for block in blocks(pa.array(texts[cut:], pa.string()), SMALL):
-        model.score(block, shared=True)
-    model.tables = None
+    """``model`` with what one group teaches."""
+    for weights, refined, *met in fit_groups(model, [texts]):
+        model.weights, model.refined, model.met = weights, refined, tuple(met)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -572,28 +690,29 @@ def model_of(where: Where) -> Model:
 
 
 def fitted(train: DataFrame, where: Where) -> Where:
-    """``where`` with weights and map, fitted on all distinct training texts: a task for each group of about ``fit_bytes``."""
+    """``where`` with weights and map, fitted on all distinct training texts, in groups of about ``fit_bytes``."""
     s = where.settings
     if not s.fit_bytes:
         return where
     groups = max(1, -(-sum(where.byte_counts) // s.fit_bytes))
-    # Copies of a text meet in its group and go there, before anything is held.
-    dealt = train.select("t", F.xxhash64("t").alias("h")).repartition(groups, "h").distinct().select("t")
+    # As many groups as are read together go to a task.
+    group = F.pmod(F.hash(F.xxhash64("t")), F.lit(groups))
+    dealt = train.select(group.alias("g"), "t").repartitionById(-(-groups // TOGETHER), F.floor(F.col("g") / TOGETHER).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = [t for b in batches for t in b.column(0).to_pylist()]
-        texts.sort(key=lambda t: (xxhash.xxh64_intdigest(t), t))
-        model = model_of(where)
-        start = model.weights, model.refined
-        fit(model, texts)
-        n = np.concatenate([np.tile(model.met[0], N), model.met[1]])
-        value = np.concatenate([np.ravel(model.weights), model.refined]).astype(np.float64)
-        model.weights, model.refined = start
-        for x in model.met:
-            x[:] = 0
-        at = np.flatnonzero(n)
-        # Whole numbers, whose sums are the same in any order.
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at]), pa.array(np.rint(value * n * UNIT)[at].astype(np.int64))], names=["i", "n", "total"])
+        held: dict[int, dict[str, None]] = {}
+        for b in batches:
+            for g, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                held.setdefault(g, {})[t] = None  # a copy goes at once
+        model, order = model_of(where), sorted(held)
+        for i in range(0, len(order), TOGETHER):
+            texts = (sorted(held.pop(g), key=lambda t: (xxhash.xxh64_intdigest(t), t)) for g in order[i : i + TOGETHER])
+            for weights, refined, *met in fit_groups(model, texts):
+                n = np.concatenate([np.tile(met[0], N), met[1]])
+                value = np.concatenate([np.ravel(weights), refined]).astype(np.float64)
+                at = np.flatnonzero(n)
+                # Whole numbers, whose sums are the same in any order.
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at]), pa.array(np.rint(value * n * UNIT)[at].astype(np.int64))], names=["i", "n", "total"])
 
     # A row for each weight and each place of the map.
     rows = dealt.mapInArrow(run, "i int, n long, total long").groupBy("i").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()
@@ -740,7 +859,7 @@ def score_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         m, done = model_of(where), TaskContext.get().partitionId() << 36
         gain = np.log10(m.counts.astype(float) + 1.0)
         for b in batches:
-            for block in blocks(b.column(2), SMALL):
+            for of, block in alike(b.column(2), SMALL):
                 w, total = m.score(block)
                 n = block.n
                 known = np.bincount(w.doc[w.known], minlength=n)
@@ -750,8 +869,8 @@ def score_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(done + np.arange(n)),
-                        b.column(0).slice(block.first, n),
-                        b.column(1).slice(block.first, n),
+                        b.column(0).take(of),
+                        b.column(1).take(of),
                         pa.array(w.count + 1),
                         pa.array(known + (texts > 0)),
                         pa.array(base),

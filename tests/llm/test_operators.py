@@ -574,6 +574,31 @@ def test_lm_fits_on_all_texts(spark):
     assert a.weights == b.weights and a.refined == b.refined and a.weights != got.weights
 
 
+def test_lm_groups_are_read_side_by_side(spark, monkeypatch):
+    """Each teaches what it does alone, and together they take the steps of the longest."""
+    from corpusql.llm import lm_score
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(200)]
+    texts = [[" ".join(rng.choices(words, range(200, 0, -1), k=300)) for _ in range(k)] for k in (12, 3, 30, 1, 8)]
+    counted = training_counts(spark.createDataFrame([(t,) for g in texts for t in g], "t string")).cache()
+    settings = Settings()
+    path, _, _ = vocabulary(counted.where("kind = 0").select("key", "n"), settings)
+    model = model_of(Where(path, 0, 54, (1,) * 256, settings))
+    steps, read = [], lm_score.Mind.read
+    monkeypatch.setattr(lm_score.Mind, "read", lambda self, raw, bit, key, edges: steps.append(len(edges) - 1) or read(self, raw, bit, key, edges))
+    alone, taken = [], []
+    for g in texts:
+        steps.clear()
+        alone += lm_score.fit_groups(model, [g])
+        taken.append(sum(steps))
+    steps.clear()
+    together = lm_score.fit_groups(model, texts)
+    assert len(alone) == len(together) == 4 and sum(steps) == max(taken) < sum(taken) / 1.5
+    for a, b in zip(alone, together):
+        assert all((x == y).all() for x, y in zip(a, b))
+
+
 def test_lm_tables_grow_and_are_bounded(spark, docs, tmp_path):
     few, all_ = (docs.where(f"doc_id % {k} = 0").select(F.coalesce("text", F.lit("")).alias("t")) for k in (4, 1))
 
