@@ -61,7 +61,7 @@ N = 3  # predictors
 GATES = 32
 MAPS = 8  # of the refinement: four gates share one
 BUCKETS = 24
-PREFIX = 18  # bits of a hash by which words are found
+PREFIX = 18, 22  # bits of a hash by which words are found, at least and at most
 KEY, SYMBOL = 40, 24  # bits of a context and of a symbol in the key of a pair
 SALTS = 4
 TOGETHER = 8  # groups of the fit that are read side by side
@@ -197,7 +197,9 @@ class Model:
         self.s = settings
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order].astype(np.uint64)
-        self.start = np.searchsorted(self.hashes >> np.uint64(64 - PREFIX), np.arange((1 << PREFIX) + 1, dtype=np.uint64)).astype(np.int32)
+        prefix = min(max(PREFIX[0], len(hashes).bit_length()), PREFIX[1])  # about one word shares each
+        self.behind = np.uint64(64 - prefix)
+        self.start = np.concatenate([[0], np.cumsum(np.bincount((self.hashes >> self.behind).astype(np.int64), minlength=1 << prefix))]).astype(np.int32)
         codes, lengths = prefix_code(np.concatenate([[rare + 1, texts + 1], self.counts]))
         byte_codes, byte_lengths = prefix_code(np.concatenate([byte_counts[:255], [byte_counts.sum() // 6 + 1]]))  # 255, never in UTF-8, ends a word
         self.base = len(codes)
@@ -214,7 +216,7 @@ class Model:
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Places of hashes among the vocabulary's, -1 for others; by their first bits, of which few words share any."""
         out = np.full(len(hashes), -1, np.int64)
-        first = (hashes >> np.uint64(64 - PREFIX)).astype(np.int64)
+        first = (hashes >> self.behind).astype(np.int64)
         at, end = self.start.take(first), self.start.take(first + 1)
         live = np.flatnonzero(at < end)
         while len(live):

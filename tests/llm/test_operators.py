@@ -574,6 +574,18 @@ def test_lm_fits_on_all_texts(spark):
     assert a.weights == b.weights and a.refined == b.refined and a.weights != got.weights
 
 
+def test_lm_finds_words_of_a_large_vocabulary():
+    from corpusql.llm.lm_score import Model
+
+    rng = np.random.default_rng(6)
+    hashes = np.unique(rng.integers(0, 1 << 64, 700_000, dtype=np.uint64))
+    model = Model(hashes, np.full(len(hashes), 2), 1, 1, np.ones(256, np.int64), Settings())
+    # However many words there are, few share the bits by which they are found.
+    assert np.diff(model.start).max() <= 10 and (model.find(hashes) == np.arange(len(hashes))).all()
+    others = rng.integers(0, 1 << 64, 100_000, dtype=np.uint64)
+    assert ((model.find(others) >= 0) == np.isin(others, hashes)).all()
+
+
 def test_lm_groups_are_read_side_by_side(spark, monkeypatch):
     """Each teaches what it does alone, and together they take the steps of the longest."""
     from corpusql.llm import lm_score
