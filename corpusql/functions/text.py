@@ -51,13 +51,21 @@ def occurrences(text: Column, part: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("long")
 
 
+def language_sample(text: Column, sample: int = 1000) -> Column:
+    return F.lower(F.substring(text, 1, sample))
+
+
+def counts_by_language(s: Column) -> dict[str, Column]:
+    """How often the words of each language occur as substrings of ``language_sample``."""
+    return {k: sum((occurrences(s, w) for w in v), F.lit(0)) for k, v in lexicon.LANGUAGES.items()}
+
+
 def language_counts(text: Column, sample: int = 1000) -> Column:
     """How often the words of each language occur as substrings of the first ``sample`` characters: a struct by language."""
-    s = F.lower(F.substring(text, 1, sample))
-    return F.struct(*[sum((occurrences(s, w) for w in v), F.lit(0)).alias(k) for k, v in lexicon.LANGUAGES.items()])
+    return F.struct(*[n.alias(k) for k, n in counts_by_language(language_sample(text, sample)).items()])
 
 
-def language_of(n: Column) -> Column:
+def language_of(n: Column | dict[str, Column]) -> Column:
     """The language by ``language_counts``; where those are a column of their own, each is made once."""
     return F.when((n["en"] > n["es"]) & (n["en"] > n["fr"]), "en").when(n["es"] > n["fr"], "es").when(n["fr"] > 0, "fr").otherwise("unknown")
 
@@ -202,7 +210,7 @@ def rtf_text(text: Column) -> Column:
 
 def inferred_title(text: Column) -> Column:
     """The first line, if it has more than 3 and fewer than 100 bytes."""
-    line = F.trim(F.get(F.split(text, "\n"), F.lit(0)))
+    line = F.trim(F.substring_index(text, "\n", 1))
     return F.when((F.octet_length(line) > 3) & (F.octet_length(line) < 100), line)
 
 

@@ -48,9 +48,11 @@ def read_files(spark: SparkSession, path: str, most_bytes: int = 50 << 20, pdf:
 def documents_of(files: DataFrame, most_bytes: int = 50 << 20, pdf: Column | None = None, hash_as: str | None = None) -> DataFrame:
     """The same of rows as the reader of binary files gives them; ``hash_as``: a column for the hash of the content (of larger files null)."""
     own = [F.sha2("content", 256).alias(hash_as)] if hash_as else []
-    ext = T.extension(F.col("path"))
-    plain = T.decode(F.col("content"))
-    text = (
+    own += [F.col("path"), T.extension(F.col("path")).alias("file_type"), F.col("length").alias("file_size")]
+    ext, plain, text = F.col("file_type"), F.col("plain"), F.col("text")
+    # A column each, so that a content is decoded once and plans stay small.
+    read = files.where(F.col("length") <= most_bytes).select(*own, "content").withColumn("plain", F.when(~ext.isin("docx", "pdf"), T.decode(F.col("content"))))
+    texts = (
         F.when(ext.isin("txt", "text"), plain)
         .when(ext.isin("md", "markdown"), T.markdown_text(plain))
         .when(ext.isin("html", "htm"), T.html_text(plain))
@@ -66,9 +68,9 @@ def documents_of(files: DataFrame, most_bytes: int = 50 << 20, pdf: Column | Non
         F.nullif(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1), F.lit("")),
         F.lit("Untitled Document"),
     )
-    rows = files.where(F.col("length") <= most_bytes).select(*own, "path", ext.alias("file_type"), F.col("length").alias("file_size"), title.alias("title"), text.alias("text"))
+    rows = read.withColumn("text", texts).select(*([hash_as] if hash_as else []), "path", "file_type", "file_size", title.alias("title"), "text")
     status = F.when(F.col("text").isNull(), F.when(F.col("file_type").isin(*SUPPORTED), "unreadable").otherwise("type")).when(~F.col("text").rlike(r"\S"), "empty").otherwise("ok")
-    large = files.where(F.col("length") > most_bytes).select("path", ext.alias("file_type"), F.col("length").alias("file_size"))
+    large = files.where(F.col("length") > most_bytes).select(*own[-3:])
     return rows.withColumn("status", status).unionByName(large.withColumn("status", F.lit("size")), allowMissingColumns=True)
 
 

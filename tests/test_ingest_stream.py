@@ -61,6 +61,45 @@ def test_a_batch_rewrites_no_other(spark, tmp_path):
     assert spark.read.parquet(str(out / "staged")).count() == 1
 
 
+def test_hashes_of_other_batches(spark, tmp_path, monkeypatch):
+    """What a batch reads to know the others grows with the logarithm of their number, and it knows all."""
+    out, n = str(tmp_path / "out"), 12
+    known, read = si.known, []
+    monkeypatch.setattr(si, "SPAN", 2)
+    monkeypatch.setattr(si, "known", lambda *a: read.append((a[2], known(*a))) or read[-1][1])
+
+    def rows(number, of):
+        one = [(f"h{k}", f"/in/{number}-{k}.txt", "txt", 1, "t", f"text {k}", "en", "ok" if k % 10 else "empty") for k in of]
+        return spark.createDataFrame(one, f"{si.DOCUMENTS}, status string").coalesce(1)
+
+    # A new text, one that was bad, one of the batch before and one of the first batch.
+    for b in range(n):
+        si.store(rows(b, [b + 1000, 10 * b, max(b + 999, 1000), 1000]), b, out, 2)
+        # Taking a batch again changes nothing, also where it ends a span.
+        if b in (0, 3, 8, n - 1):
+            si.store(rows(b, [b + 1000, 10 * b, max(b + 999, 1000), 1000]), b, out, 2)
+    want = sorted((f"h{b + 1000}", b) for b in range(n) if (b + 1000) % 10)
+    assert sorted((r.hash, r.batch) for r in si.documents(spark, out).collect()) == want
+    last = [df for number, df in read if number == n - 1][0]
+    parents = {f.rsplit("/", 2)[1] for f in last.inputFiles()}
+    assert parents == {"batch=10", "5", "4"}
+    assert sorted(r.hash for r in last.collect()) == sorted(h for h, b in want if b < n - 1)
+    # A table without the hashes, as it was written before, is read itself.
+    old = str(tmp_path / "old")
+    with monkeypatch.context() as m:
+        m.setattr(si, "_end_span", lambda *a: None)
+        for b in range(5):
+            si.store(rows(b, [b + 1001]), b, old, 2)
+    for b in range(5, 8):
+        si.store(rows(b, [1001, 1005]), b, old, 2)
+    assert sorted((r.hash, r.batch) for r in si.documents(spark, old).collect()) == [(f"h{b + 1001}", b) for b in range(5)]
+    assert sorted(r.hash for r in spark.read.parquet(f"{old}/hashes/4").collect()) == [f"h{b + 1001}" for b in range(5)]
+    # A batch that is taken again by other limits leaves no rejected row behind.
+    si.store(rows(3, [30]), 3, out, 2)
+    si.store(rows(3, [1003]), 3, out, 2)
+    assert si.rejected(spark, out).where("hash = 'h30'").count() == 0
+
+
 def test_large_files_are_not_read(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "big.txt").write_text("many words " * 100)
