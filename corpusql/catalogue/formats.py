@@ -171,5 +171,6 @@ def ingest_file_stream(spark, base):
     for _ in range(2):
         si.ingest_files(spark, f"{path}/in", f"{path}/out")
     number = F.regexp_extract("path", r"/k=(\d+)/", 1).cast("long").alias("k")
-    good = si.documents(spark, f"{path}/out").select(number, "hash", F.col("file_size").alias("bytes"), F.lit("ok").alias("status"))
-    return good.unionByName(si.rejected(spark, f"{path}/out").select(number, "hash", F.col("file_size").alias("bytes"), "status"))
+    columns = [number, "hash", F.col("file_size").alias("bytes")]
+    good = si.documents(spark, f"{path}/out").select("hash", "path", "file_size").unionByName(si.copies(spark, f"{path}/out").select("hash", "path", "file_size"))
+    return good.select(*columns, F.lit("ok").alias("status")).unionByName(si.rejected(spark, f"{path}/out").select(*columns, "status"))

@@ -2,7 +2,8 @@
 
 Files of any supported type that appear in a folder are taken once, ``files_a_batch`` at a
 time.  A document's key is the hash of its content, so a file that comes again under another
-name, and a batch that is run again after a failure, change nothing.
+name makes no document but a row among the copies, and a batch that is run again after a
+failure changes nothing.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from corpusql.functions import validation as V
 from corpusql.sources import files
 
 DOCUMENTS = "hash string, path string, file_type string, file_size long, title string, text string, language string"
-REJECTED = "hash string, path string, file_type string, file_size long, status string"
+COPIES = "hash string, path string, file_type string, file_size long"
+REJECTED = f"{COPIES}, status string"
 BINARY = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -109,12 +111,19 @@ def store(rows: DataFrame, number: int, out: str, most_files: int) -> None:
     if new:
         for r in known(spark, out, number).where(F.col("hash").isin(list(new))).collect():
             new.pop(r.hash, None)
-    kept = rows.where((F.col("status") == "ok") & F.col("path").isin(list(new.values()))).drop("status")
-    kept.coalesce(most_files).write.mode("overwrite").parquet(f"{out}/documents/batch={number}")
-    # Most batches have no bad files; one that is taken again by other limits may have had some.
-    to = f"{out}/rejected/batch={number}"
-    if any(r.status != "ok" for r in found) or _if_there(lambda: spark.read.schema(REJECTED).parquet(to), lambda: None) is not None:
-        rows.where("status <> 'ok'").select("hash", "path", "file_type", "file_size", "status").coalesce(1).write.mode("overwrite").parquet(to)
+    ok, path = F.col("status") == "ok", F.col("path")
+    kept = list(new.values())
+    rows.where(ok & path.isin(kept)).drop("status").coalesce(most_files).write.mode("overwrite").parquet(f"{out}/documents/batch={number}")
+
+    def aside(table: str, part: DataFrame, any_: bool) -> None:
+        # Most batches have none; one that is taken again by other limits may have had some.
+        to = f"{out}/{table}/batch={number}"
+        if any_ or _if_there(lambda: spark.read.schema(COPIES).parquet(to), lambda: None) is not None:
+            part.coalesce(1).write.mode("overwrite").parquet(to)
+
+    copy = ["hash", "path", "file_type", "file_size"]
+    aside("copies", rows.where(ok & ~path.isin(kept)).select(copy), sum(r.status == "ok" for r in found) > len(kept))
+    aside("rejected", rows.where(~ok).select(*copy, "status"), any(r.status != "ok" for r in found))
     if (number + 1) % SPAN == 0:
         _end_span(spark, out, (number + 1) // SPAN)
 
@@ -141,5 +150,10 @@ def ingest_files(spark: SparkSession, folder: str, out: str, files_a_batch: int
     return len(done)
 
 
+def copies(spark: SparkSession, out: str) -> DataFrame:
+    """The files whose content another file had before, or by a smaller path in the same batch."""
+    return _if_there(lambda: spark.read.schema(COPIES).parquet(f"{out}/copies"), lambda: spark.createDataFrame([], COPIES))
+
+
 def rejected(spark: SparkSession, out: str) -> DataFrame:
     return _if_there(lambda: spark.read.schema(REJECTED).parquet(f"{out}/rejected"), lambda: spark.createDataFrame([], REJECTED))

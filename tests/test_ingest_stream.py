@@ -1,8 +1,11 @@
 """Files taken by a stream, options of a request, and counters taken on the way."""
 
+import duckdb
 import pytest
+from conftest import same
 from pyspark.sql import functions as F
 
+from corpusql.catalogue import formats
 from corpusql.functions import query_text as Q
 from corpusql.operators import governance as g
 from corpusql.operators import vector_search as vs
@@ -100,6 +103,16 @@ def test_hashes_of_other_batches(spark, tmp_path, monkeypatch):
     assert si.rejected(spark, out).where("hash = 'h30'").count() == 0
 
 
+def test_files_of_the_same_content_are_rows_too(spark, tmp_path):
+    """As in larger tables that repeat the documents with shifted keys."""
+    table = str(tmp_path / "documents.parquet")
+    d = spark.createDataFrame([(i, f"text number {i} of some") for i in range(20)], "doc_id long, text string")
+    spark.range(12).withColumnRenamed("id", "n").crossJoin(d).select((F.col("doc_id") + 250 * F.col("n")).alias("doc_id"), "text").write.parquet(table)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{table}/*.parquet'")
+    same(formats.ingest_file_stream(spark, str(tmp_path)), con, formats.SQL["ingest_file_stream"])
+
+
 def test_large_files_are_not_read(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "big.txt").write_text("many words " * 100)
